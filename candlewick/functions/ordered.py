@@ -6,8 +6,8 @@ ordered key into chunks first, so the largest sort is one chunk, however hot the
 * ``index_rows``       row number per key from chunk counts plus their running sum;
 * ``spread``           equal chunks by row number, each with the preceding rows it needs (its halo),
                        for every window with a bounded frame;
-* ``running``          unbounded running sum/max/min/last: local window plus the carry of earlier chunks;
-* ``running_walk``     running sum with its running maximum and minimum (drawdown, reflected walks);
+* ``running``          unbounded running sum/max/min/last and walks (a sum with its extremes: drawdown,
+                       reflected walks): local window plus the carry of earlier chunks;
 * ``recurrence``       first-order linear recurrences (EMA, Wilder averages) inside a chunk and its halo.
 
 ``chunk`` arguments are columns that never decrease along the row order. Only the per-chunk summary
@@ -81,70 +81,61 @@ def full_frame(agg: Column, keys: Sequence[str], n: int, seq: str = "row_no",
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-            specs: Mapping[str, tuple[str, Column]], descending: bool = False,
-            exclusive: bool = False) -> DataFrame:
-    """Unbounded running aggregates. ``specs`` maps output name to (sum|max|min|last, expression).
+            specs: Mapping[str, tuple], descending: bool = False, exclusive: bool = False) -> DataFrame:
+    """Unbounded running aggregates, one pass for any number of them.
 
-    ``last`` is the latest non-NULL value. ``exclusive`` leaves the current row out. With
-    ``descending`` the running direction is from the end of the order backwards.
+    ``specs`` maps an output name to ``(kind, expression)`` or ``(kind, expression, exclusive)``:
+
+    * ``sum`` / ``max`` / ``min``; ``last`` is the latest non-NULL value;
+    * ``walk`` is a running sum from 0 that also yields ``<name>_high`` and ``<name>_low``, its
+      extremes so far (0 included).
+
+    Exclusive aggregates leave the current row out. With ``descending`` the direction is from the
+    end of the order backwards.
     """
+    full = {n: (s[0], s[1], s[2] if len(s) > 2 else exclusive) for n, s in specs.items()}
     side = F.desc if descending else F.asc
-    tagged = df.withColumn("_chunk", chunk)
-    for name, (_, expr) in specs.items():
-        tagged = tagged.withColumn(f"_x_{name}", expr)
-    place = F.struct(*[F.col(c) for c in order])
     latest = F.min_by if descending else F.max_by
-    totals, carries, local_cols, merged = [], [], {}, {}
-    before = (Window.partitionBy(*keys).orderBy(side("_chunk"))
-              .rowsBetween(Window.unboundedPreceding, -1))
-    local = (Window.partitionBy(*keys, "_chunk").orderBy(*[side(c) for c in order])
-             .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
-    for name, (kind, _) in specs.items():
-        x, t, c, v = F.col(f"_x_{name}"), f"_t_{name}", f"_c_{name}", f"_l_{name}"
-        if kind == "sum":
+    place = F.struct(*[F.col(c) for c in order])
+    part = Window.partitionBy(*keys, "_chunk").orderBy(*[side(c) for c in order])
+    before = Window.partitionBy(*keys).orderBy(side("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    has_walk = any(kind == "walk" for kind, _, _ in full.values())
+    rows = df.withColumn("_chunk", chunk).withColumns({f"_x_{n}": x for n, (_, x, _) in full.items()})
+    local, totals, carries, merged = rows, [], {}, {}
+    for n, (kind, _, excl) in full.items():
+        x, t, c, v = F.col(f"_x_{n}"), f"_t_{n}", f"_c_{n}", f"_l_{n}"
+        w = part.rowsBetween(Window.unboundedPreceding, -1 if excl else 0)
+        if kind in ("sum", "walk"):
             totals.append(F.sum(x).alias(t))
-            carries.append(F.sum(t).over(before).alias(c))
-            local_cols[v] = F.sum(x).over(local)
-            merged[name] = F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(v), F.lit(0))
+            carries[c] = F.coalesce(F.sum(t).over(before), F.lit(0))
+            local = local.withColumn(v, F.coalesce(F.sum(x).over(w), F.lit(0)))
+            merged[n] = F.col(c) + F.col(v)
+            if kind == "walk":
+                local = (local.withColumn(f"{v}_hi", F.max(v).over(w)).withColumn(f"{v}_lo", F.min(v).over(w)))
+                totals += [F.max(v).alias(f"{t}_hi"), F.min(v).alias(f"{t}_lo")]
+                carries[f"{c}_hi"] = F.max(F.col(c) + F.col(f"{t}_hi")).over(before)
+                carries[f"{c}_lo"] = F.min(F.col(c) + F.col(f"{t}_lo")).over(before)
+                merged[f"{n}_high"] = F.greatest(F.lit(0.0), F.col(f"{c}_hi"), F.col(c) + F.col(f"{v}_hi"))
+                merged[f"{n}_low"] = F.least(F.lit(0.0), F.col(f"{c}_lo"), F.col(c) + F.col(f"{v}_lo"))
         elif kind in ("max", "min"):
             fn, pick = (F.max, F.greatest) if kind == "max" else (F.min, F.least)
             totals.append(fn(x).alias(t))
-            carries.append(fn(t).over(before).alias(c))
-            local_cols[v] = fn(x).over(local)
-            merged[name] = pick(F.col(c), F.col(v))
+            carries[c] = fn(t).over(before)
+            local = local.withColumn(v, fn(x).over(w))
+            merged[n] = pick(F.col(c), F.col(v))
         elif kind == "last":
             totals.append(latest(x, F.when(x.isNotNull(), place)).alias(t))
-            carries.append(F.last(t, ignorenulls=True).over(before).alias(c))
-            local_cols[v] = F.last(x, ignorenulls=True).over(local)
-            merged[name] = F.coalesce(F.col(v), F.col(c))
+            carries[c] = F.last(t, ignorenulls=True).over(before)
+            local = local.withColumn(v, F.last(x, ignorenulls=True).over(w))
+            merged[n] = F.coalesce(F.col(v), F.col(c))
         else:
             raise ValueError(f"unknown running aggregate {kind!r}")
-    summary = tagged.groupBy(*keys, "_chunk").agg(*totals).select(*keys, "_chunk", *carries)
-    joined = tagged.withColumns(local_cols).join(summary, [*keys, "_chunk"]).withColumns(merged)
-    return joined.select(*[c for c in df.columns if c not in specs], *specs)
-
-
-def running_walk(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, step: Column,
-                 total: str = "walk", high: str = "walk_high", low: str = "walk_low") -> DataFrame:
-    """Running sum of ``step`` from 0, with its running maximum and minimum (both include the 0)."""
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = (df.withColumn("_chunk", chunk).withColumn("_step", step)
-            .withColumn("_sum", F.sum("_step").over(local))
-            .withColumn("_hi", F.max("_sum").over(local))
-            .withColumn("_lo", F.min("_sum").over(local)))
-    before = _before(keys)
-    summary = (rows.groupBy(*keys, "_chunk")
-               .agg(F.sum("_step").alias("_t"), F.max("_sum").alias("_h"), F.min("_sum").alias("_l"))
-               .withColumn("_base", F.coalesce(F.sum("_t").over(before), F.lit(0.0)))
-               .withColumn("_top", F.max(F.col("_base") + F.col("_h")).over(before))
-               .withColumn("_bottom", F.min(F.col("_base") + F.col("_l")).over(before))
-               .select(*keys, "_chunk", "_base", "_top", "_bottom"))
-    out = rows.join(summary, [*keys, "_chunk"])
-    return out.select(
-        *[c for c in df.columns if c not in (total, high, low)],
-        (F.col("_base") + F.col("_sum")).alias(total),
-        F.greatest(F.lit(0.0), F.col("_top"), F.col("_base") + F.col("_hi")).alias(high),
-        F.least(F.lit(0.0), F.col("_bottom"), F.col("_base") + F.col("_lo")).alias(low))
+    # Without walks the totals come straight from the input and combine before the shuffle.
+    summary = (local if has_walk else rows).groupBy(*keys, "_chunk").agg(*totals)
+    for c, expr in carries.items():
+        summary = summary.withColumn(c, expr)
+    joined = local.join(summary.select(*keys, "_chunk", *carries), [*keys, "_chunk"]).withColumns(merged)
+    return joined.select(*[c for c in df.columns if c not in merged], *merged)
 
 
 def _rate(alpha: float) -> float:

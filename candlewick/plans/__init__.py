@@ -1,4 +1,4 @@
 """Registered queries; importing this package fills the registry."""
 
-from candlewick.plans import bar_queries, indicator_queries  # noqa: F401
+from candlewick.plans import bar_queries, indicator_queries, trade_queries  # noqa: F401
 from candlewick.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -117,11 +117,11 @@ def indicator_crossings(spark, d):
 
 
 @query("indicator_ma_distance", isql.features() + ", " + b.SQL["specs"] + """ SELECT symbol, ts,
- round(CASE WHEN sma_fast IS NOT NULL AND tick_size > 0 THEN abs(close - sma_fast) / tick_size ELSE 0 END, 0) AS ticks
+ round(CASE WHEN sma_fast IS NOT NULL AND tick_size > 0 THEN abs(close - sma_fast) / tick_size ELSE 0 END, 2) AS ticks
  FROM feats JOIN specs USING (symbol)""")
 def indicator_ma_distance(spark, d):
     f = feature_table(spark, d).join(b.specs(spark), "symbol")
-    return f.select("symbol", "ts", F.round(ind.ma_distance_ticks(F.col("close"), F.col("sma_fast"), F.col("tick_size")), 0).alias("ticks"))
+    return f.select("symbol", "ts", ind.ma_distance_ticks(F.col("close"), F.col("sma_fast"), F.col("tick_size")).alias("ticks"))
 
 
 SMA_PERIODS, EMA_PERIODS, CHANNELS = (5, 10, 15, 20, 30, 50, 80, 100), (5, 20, 100), (20, 40)
