@@ -91,10 +91,11 @@ def macd(indexed: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) ->
     return ordered.own_rows(rows).drop("_f", "_s")
 
 
-def _gain_loss(rows: DataFrame) -> DataFrame:
-    return (rows.withColumn("_step", F.col("close") - prev_col("close"))
-            .withColumn("_gain", F.greatest(F.col("_step"), F.lit(0.0)))
-            .withColumn("_loss", F.greatest(-F.col("_step"), F.lit(0.0))))
+def _step_cols() -> dict[str, Column]:
+    """Gains and losses; needs the previous close ``_pc``."""
+    move = F.col("close") - F.col("_pc")
+    known = F.col("_pc").isNotNull()
+    return {"_gain": F.when(known, F.greatest(move, F.lit(0.0))), "_loss": F.when(known, F.greatest(-move, F.lit(0.0)))}
 
 
 def _rsi_from(gain: str, loss: str) -> Column:
@@ -105,24 +106,25 @@ def rsi(indexed: DataFrame, period: int = 14, out: str = "rsi") -> DataFrame:
     _need(period, 2, "RSI")
     a = wilder_alpha(period)
     rows, halo, size = _chunked(indexed, period + 1, [[a]])
-    rows = _gain_loss(rows)
-    rows = (rows.withColumn("_ag", seeded_average("_gain", period, a, 2, halo, size))
-            .withColumn("_al", seeded_average("_loss", period, a, 2, halo, size))
+    rows = (rows.withColumn("_pc", prev_col("close")).withColumns(_step_cols())
+            .withColumns({"_ag": seeded_average("_gain", period, a, 2, halo, size),
+                          "_al": seeded_average("_loss", period, a, 2, halo, size)})
             .withColumn(out, _rsi_from("_ag", "_al")))
-    return ordered.own_rows(rows).drop("_step", "_gain", "_loss", "_ag", "_al")
+    return ordered.own_rows(rows).drop("_pc", "_gain", "_loss", "_ag", "_al")
 
 
-def _true_range(rows: DataFrame) -> DataFrame:
-    pc = prev_col("close")
-    return rows.withColumn("_pc", pc).withColumn("_tr", F.when(F.col("_pc").isNotNull(), F.greatest(
-        F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc")))))
+def _range_cols() -> dict[str, Column]:
+    """True range; needs ``_pc``."""
+    return {"_tr": F.when(F.col("_pc").isNotNull(), F.greatest(
+        F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc"))))}
 
 
 def atr(indexed: DataFrame, period: int = 14, out: str = "atr") -> DataFrame:
     _need(period, 1, "ATR")
     a = wilder_alpha(period)
     rows, halo, size = _chunked(indexed, period + 1, [[a]])
-    rows = _true_range(rows).withColumn(out, seeded_average("_tr", period, a, 2, halo, size))
+    rows = (rows.withColumn("_pc", prev_col("close")).withColumns(_range_cols())
+            .withColumn(out, seeded_average("_tr", period, a, 2, halo, size)))
     return ordered.own_rows(rows).drop("_pc", "_tr")
 
 
@@ -132,18 +134,19 @@ def bollinger(indexed: DataFrame, period: int = 20, width: float = 2.0) -> DataF
     if width <= 0:
         raise IndicatorError(f"BB std must be > 0, got {width}")
     rows, _, _ = _chunked(indexed, period)
-    return ordered.own_rows(bollinger_cols(rows, period, width))
+    return ordered.own_rows(rows.withColumns(_bollinger_base(period)).withColumns(_bollinger_bands(width))).drop("_sd")
 
 
-def bollinger_cols(rows: DataFrame, period: int, width: float) -> DataFrame:
+def _bollinger_base(period: int) -> dict[str, Column]:
     w = ordered.chunk_window(KEYS).rowsBetween(-(period - 1), 0)
     full = F.col("row_no") >= period
-    rows = (rows.withColumn("bb_mid", F.when(full, F.avg("close").over(w)))
-            .withColumn("_sd", F.when(full, F.stddev_pop("close").over(w))))
+    return {"bb_mid": F.when(full, F.avg("close").over(w)), "_sd": F.when(full, F.stddev_pop("close").over(w))}
+
+
+def _bollinger_bands(width: float) -> dict[str, Column]:
     mid, off = F.col("bb_mid"), F.col("_sd") * width
-    return (rows.withColumn("bb_upper", mid + off).withColumn("bb_lower", mid - off)
-            .withColumn("bb_width", F.try_divide(off * 2 * 100, mid))
-            .withColumn("bb_pct", F.try_divide(F.col("close") - (mid - off), off * 2)).drop("_sd"))
+    return {"bb_upper": mid + off, "bb_lower": mid - off, "bb_width": F.try_divide(off * 2 * 100, mid),
+            "bb_pct": F.try_divide(F.col("close") - (mid - off), off * 2)}
 
 
 def donchian_cols(period: int, upper: str, lower: str) -> dict[str, Column]:
@@ -160,31 +163,34 @@ def donchian(indexed: DataFrame, period: int = 20) -> DataFrame:
     return ordered.own_rows(rows.withColumn("mid", (F.col("upper") + F.col("lower")) / 2))
 
 
-def _directional(rows: DataFrame) -> DataFrame:
+def _directional_cols() -> dict[str, Column]:
+    """Directional moves; needs the previous high and low ``_ph``, ``_pl``."""
     up, down = F.col("high") - F.col("_ph"), F.col("_pl") - F.col("low")
-    return (rows.withColumn("_ph", prev_col("high")).withColumn("_pl", prev_col("low"))
-            .withColumn("_up", F.when(F.col("_ph").isNotNull(), F.when((up > down) & (up > 0), up).otherwise(F.lit(0.0))))
-            .withColumn("_dn", F.when(F.col("_pl").isNotNull(), F.when((down > up) & (down > 0), down).otherwise(F.lit(0.0)))))
+    known = F.col("_ph").isNotNull()
+    return {"_up": F.when(known, F.when((up > down) & (up > 0), up).otherwise(F.lit(0.0))),
+            "_dn": F.when(known, F.when((down > up) & (down > 0), down).otherwise(F.lit(0.0)))}
+
+
+def _di_cols(smoothed_range: str) -> dict[str, Column]:
+    r = F.col(smoothed_range)
+    di = lambda c: F.when(r.isNotNull(), F.coalesce(F.try_divide(F.col(c) * 100, r), F.lit(0.0)))
+    return {"dmp": di("_au"), "dmn": di("_ad")}
 
 
-def _adx_cols(rows: DataFrame, period: int, a: float, halo: int, size: int) -> DataFrame:
-    """Expects _tr, _up, _dn and the smoothed range ``atr_for_adx``."""
-    rows = (rows.withColumn("_au", seeded_average("_up", period, a, 2, halo, size))
-            .withColumn("_ad", seeded_average("_dn", period, a, 2, halo, size)))
-    di = lambda c: F.when(F.col("_ar").isNotNull(), F.coalesce(F.try_divide(F.col(c) * 100, F.col("_ar")), F.lit(0.0)))
-    rows = rows.withColumn("dmp", di("_au")).withColumn("dmn", di("_ad"))
+def _dx_col() -> Column:
     total = F.col("dmp") + F.col("dmn")
-    rows = rows.withColumn("_dx", F.when(total.isNotNull(), F.coalesce(
-        F.try_divide(F.abs(F.col("dmp") - F.col("dmn")) * 100, total), F.lit(0.0))))
-    return rows.withColumn("adx", seeded_average("_dx", period, a, period + 1, halo, size))
+    return F.when(total.isNotNull(), F.coalesce(F.try_divide(F.abs(F.col("dmp") - F.col("dmn")) * 100, total), F.lit(0.0)))
 
 
 def adx(indexed: DataFrame, period: int = 14) -> DataFrame:
     _need(period, 2, "ADX")
     a = wilder_alpha(period)
     rows, halo, size = _chunked(indexed, 2 * period + 1, [[a, a]])
-    rows = _directional(_true_range(rows)).withColumn("_ar", seeded_average("_tr", period, a, 2, halo, size))
-    rows = _adx_cols(rows, period, a, halo, size)
+    average = lambda src: seeded_average(src, period, a, 2, halo, size)
+    for cols in ({f"_p{c[0]}": prev_col(c) for c in ("close", "high", "low")}, {**_range_cols(), **_directional_cols()},
+                 {"_ar": average("_tr"), "_au": average("_up"), "_ad": average("_dn")}, _di_cols("_ar"), {"_dx": _dx_col()},
+                 {"adx": seeded_average("_dx", period, a, period + 1, halo, size)}):
+        rows = rows.withColumns(cols)
     return ordered.own_rows(rows).drop("_pc", "_tr", "_ph", "_pl", "_up", "_dn", "_ar", "_au", "_ad", "_dx")
 
 
@@ -223,27 +229,30 @@ def features(indexed: DataFrame, params: dict | None = None) -> DataFrame:
     longest = max(fast, slow, p.get("channel_period", 0), p.get("exit_period", 0), 20, n + 1)
     # one extra row for lagged values, 20 for the ATR average and 28 for the two stacked seeds
     rows, halo, size = _chunked(indexed, longest + 50, [[w14, w14], [wr]])
+    prev = lambda c: prev_col(c)
+    base = {"_pc": prev("close"), "_ph": prev("high"), "_pl": prev("low"), "volume_sma": sma_col("volume", 20),
+            **_bollinger_base(20)}
     if not use_ema:
-        rows = rows.withColumn("sma_fast", sma_col("close", fast)).withColumn("sma_slow", sma_col("close", slow))
-    rows = _directional(_true_range(_gain_loss(rows)))
-    rows = (rows.withColumn("_ag", seeded_average("_gain", n, wr, 2, halo, size))
-            .withColumn("_al", seeded_average("_loss", n, wr, 2, halo, size))
-            .withColumn("rsi", _rsi_from("_ag", "_al"))
-            .withColumn("atr", seeded_average("_tr", 14, w14, 2, halo, size)).withColumn("_ar", F.col("atr")))
-    rows = _adx_cols(rows, 14, w14, halo, size)
-    rows = bollinger_cols(rows, 20, 2.0)
-    rows = (rows.withColumn("volume_sma", sma_col("volume", 20))
-            .withColumn("volume_rel", F.try_divide("volume", "volume_sma"))
-            .withColumn("atr_sma20", sma_col("atr", 20, first_row=15))
-            .withColumn("atr_ratio", F.try_divide("atr", "atr_sma20"))
-            .withColumn("session", session_label(F.col("ts")))
-            .withColumn("regime", regime_label(F.col("adx"), F.col("atr_ratio"))))
+        base |= {"sma_fast": sma_col("close", fast), "sma_slow": sma_col("close", slow)}
     if "channel_period" in p:
-        rows = rows.withColumns(donchian_cols(p["channel_period"], "donchian_upper_entry", "donchian_lower_entry"))
-        rows = rows.withColumns(donchian_cols(p["exit_period"], "donchian_upper_exit", "donchian_lower_exit"))
-    rows = rows.withColumns({f"{c}_prev": prev_col(c) for c in ("sma_fast", "sma_slow", "rsi")})
-    return ordered.own_rows(rows).drop("_step", "_gain", "_loss", "_pc", "_tr", "_ph", "_pl", "_up", "_dn",
-                                       "_ag", "_al", "_ar", "_au", "_ad", "_dx")
+        base |= donchian_cols(p["channel_period"], "donchian_upper_entry", "donchian_lower_entry")
+        base |= donchian_cols(p["exit_period"], "donchian_upper_exit", "donchian_lower_exit")
+    average = lambda src, k, a: seeded_average(src, k, a, 2, halo, size)
+    steps = [
+        base,
+        {**_step_cols(), **_range_cols(), **_directional_cols(), **_bollinger_bands(2.0),
+         "volume_rel": F.try_divide("volume", "volume_sma"), "session": session_label(F.col("ts"))},
+        {"_ag": average("_gain", n, wr), "_al": average("_loss", n, wr), "atr": average("_tr", 14, w14),
+         "_au": average("_up", 14, w14), "_ad": average("_dn", 14, w14)},
+        {"rsi": _rsi_from("_ag", "_al"), **_di_cols("atr"), "atr_sma20": sma_col("atr", 20, first_row=15)},
+        {"_dx": _dx_col(), "atr_ratio": F.try_divide("atr", "atr_sma20"),
+         **{f"{c}_prev": prev(c) for c in ("sma_fast", "sma_slow", "rsi")}},
+        {"adx": seeded_average("_dx", 14, w14, 15, halo, size)},
+        {"regime": regime_label(F.col("adx"), F.col("atr_ratio"))},
+    ]
+    for cols in steps:
+        rows = rows.withColumns(cols)
+    return rows.filter("_own").drop("_chunk", "_own", *[c for c in rows.columns if c.startswith("_")])
 
 
 # What a strategy sees while an indicator is still warming up.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from candlewick.functions import money, ordered
 from candlewick.functions.calendar import mandate_date
+from candlewick.functions.staging import stage
 from candlewick.operators.paths import equity_path
 
 # Default circuit breakers of the live side, in percent.
@@ -25,7 +26,9 @@ def trading_days(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
 def with_daily_start(path: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column) -> DataFrame:
     """Equity at the day's reset. A reset happens at rows whose date exceeds every earlier date, which
     also holds for rows in shuffled date order. Needs ``day`` and ``_max_day`` (exclusive running max).
+    The path itself is two passes over its input, so it is written once before being read twice.
     """
+    path = stage(path)
     reset = F.col("_max_day").isNull() | (F.col("day") > F.col("_max_day"))
     return ordered.running(path, keys, order, chunk, {"daily_start": ("last", F.when(reset, F.col("equity")))}).drop("_max_day")
 
@@ -119,13 +122,13 @@ def breaker_status(curve: DataFrame, keys: Sequence[str], order: Sequence[str],
                    max_dd_pct: float = MAX_TRAILING_DD_PCT) -> DataFrame:
     """Sticky circuit breaker along a live equity curve, UTC and mandate days both watched."""
     points = curve_points(curve, keys, order, chunk, initial_equity, mandate)
-    utc = points.withColumn("_utc", F.to_date("ts"))
+    utc = stage(points).withColumn("_utc", F.to_date("ts"))
     utc = ordered.running(utc, keys, order, chunk, {"_max_utc": ("max", F.col("_utc"), True)})
     reset = F.col("_max_utc").isNull() | (F.col("_utc") > F.col("_max_utc"))
-    utc = ordered.running(utc, keys, order, chunk, {"utc_start": ("last", F.when(reset, F.col("equity")))})
+    utc = ordered.running(stage(utc), keys, order, chunk, {"utc_start": ("last", F.when(reset, F.col("equity")))})
     daily = F.when(F.col("utc_start") > 0, F.try_divide((F.col("equity") - F.col("utc_start")) * 100, F.col("utc_start"))).otherwise(0.0)
     hit = ((daily <= -max_daily_loss_pct) | (F.col("overall_dd_pct") >= max_dd_pct) | F.col("breach").isNotNull())
-    out = ordered.running(utc.withColumn("daily_pnl_pct", daily).withColumn("trips", hit.cast("int")), keys, order, chunk,
+    out = ordered.running(stage(utc).withColumn("daily_pnl_pct", daily).withColumn("trips", hit.cast("int")), keys, order, chunk,
                           {"_tripped": ("max", F.col("trips"))})
     return out.withColumn("tripped", F.col("_tripped") == 1).drop("_tripped", "_utc", "_max_utc")
 
@@ -142,7 +145,7 @@ def stress_test(trades: DataFrame, keys: Sequence[str], trade_key: Sequence[str]
     fanned = (trades.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
               .withColumn("_place", money.uniform_hash(F.lit("order"), F.col("perm"), ident))
               .withColumn("_pnl", F.col("net_pnl") - slip)
-              .select(*keys, *trade_key, "perm", "_place", "_pnl", "exit_time"))
+              .select(*dict.fromkeys([*keys, *trade_key, "perm", "_place", "_pnl", "exit_time"])))
     per = [*keys, "perm"]
     order = ["_place", *trade_key]
     points = trade_points(fanned, per, order, F.floor(F.col("_place") * chunks), initial_equity, mandate, F.col("_pnl"))

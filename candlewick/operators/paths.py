@@ -23,11 +23,11 @@ def equity_path(trades: DataFrame, keys: Sequence[str], order: Sequence[str], ch
 
 
 def equity_curve(trades: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-                 initial_equity: float) -> DataFrame:
+                 initial_equity: float, digits: int = 2) -> DataFrame:
     """Curve points (keys, seq, time, equity) with an anchor at the entry of the first trade."""
     numbered = ordered.index_rows(trades, keys, [F.col(c) for c in order], chunk, out="seq")
     path = equity_path(numbered, keys, ["seq"], F.floor((F.col("seq") - 1) / ordered.CHUNK_ROWS), initial_equity)
-    points = path.select(*keys, "seq", F.col("exit_time").alias("time"), F.round("equity", 2).alias("equity"))
+    points = path.select(*keys, "seq", F.col("exit_time").alias("time"), F.round("equity", digits).alias("equity"))
     anchor = numbered.filter("seq = 1").select(*keys, F.lit(0).cast("bigint").alias("seq"),
                                                F.col("entry_time").alias("time"),
                                                F.lit(float(initial_equity)).alias("equity"))

@@ -96,7 +96,7 @@ def export_build_history(spark, d):
 
 
 @query("export_build_summary", f"""WITH {_LINE_SQL}, {_CLEAN_SQL}, {_MULTI_SQL} SELECT symbol, timeframe, count(*) AS candles,
- min(ts)::DATE AS start, max(ts)::DATE AS "end", 'OK' AS status FROM built GROUP BY ALL""")
+ min(ts)::DATE AS start, max(ts)::DATE AS "end", 'OK' AS status FROM built GROUP BY ALL""", dates=('start', 'end'))
 def export_build_summary(spark, d):
     return sb.build_summary(export_lines(spark, d))
 
@@ -198,7 +198,7 @@ def bars_last_closed(spark, d):
 # ---- quality
 
 @query("quality_profile", b.with_sql("daily") + """ SELECT symbol, timeframe, count(*) AS total_candles, min(ts)::DATE AS date_start,
- max(ts)::DATE AS date_end, round((epoch(max(ts)) - epoch(min(ts))) / 86400 / 365, 1) AS years_covered FROM bars GROUP BY ALL""")
+ max(ts)::DATE AS date_end, round((epoch(max(ts)) - epoch(min(ts))) / 86400 / 365, 1) AS years_covered FROM bars GROUP BY ALL""", dates=('date_start', 'date_end'))
 def quality_profile(spark, d):
     return quality.profile(b.daily_bars(spark, d))
 
@@ -307,12 +307,12 @@ _ROLL = """ SELECT symbol, ts, close, {day} AS day, lag({day}) OVER w IS NOT NUL
  first_value(close) OVER (PARTITION BY symbol, {day} ORDER BY ts) AS day_start_value FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)"""
 
 
-@query("calendar_utc_rollover", b.with_sql("bars") + _ROLL.format(day="ts::DATE"))
+@query("calendar_utc_rollover", b.with_sql("bars") + _ROLL.format(day="ts::DATE"), dates=('day',))
 def calendar_utc_rollover(spark, d):
     return calendar.day_rollover(b.bars(spark, d).select("symbol", "ts", "close"), ["symbol"], "ts", "close", F.to_date("ts"))
 
 
-@query("calendar_mandate_rollover", b.with_sql("bars") + _ROLL.format(day="timezone('Europe/Prague', timezone('UTC', ts))::DATE"))
+@query("calendar_mandate_rollover", b.with_sql("bars") + _ROLL.format(day="timezone('Europe/Prague', timezone('UTC', ts))::DATE"), dates=('day',))
 def calendar_mandate_rollover(spark, d):
     return calendar.day_rollover(b.bars(spark, d).select("symbol", "ts", "close"), ["symbol"], "ts", "close",
                                  calendar.mandate_date(F.col("ts")))

@@ -17,7 +17,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def session(cpus: str = "8") -> SparkSession:
     return (SparkSession.builder.master(f"local[{cpus}]").appName("candlewick-check")
             .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8")
-            .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+            .config("spark.driver.memory", "12g")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
 
 
 def normal(df: pd.DataFrame) -> pd.DataFrame:
@@ -27,17 +28,22 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
         if pd.api.types.is_bool_dtype(s):
             df[c] = s.astype(str)
         elif pd.api.types.is_datetime64_any_dtype(s):
-            df[c] = s.astype("datetime64[us]").astype(str)
+            df[c] = s.astype("datetime64[us]").astype(str).replace("NaT", "NULL")
         elif pd.api.types.is_float_dtype(s):
             df[c] = s.map(lambda v: "NULL" if pd.isna(v) else repr(float(v) + 0.0))
         else:
-            df[c] = s.map(lambda v: "NULL" if v is None or v is pd.NA or (isinstance(v, float) and pd.isna(v))
+            df[c] = s.map(lambda v: "NULL" if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and pd.isna(v))
                           else repr(float(v) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v))
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
+SPENT = [0.0]
+
+
 def compare(spark, con, fn, sql, sf_dir):
+    t0 = time.time()
     got = fn(spark, sf_dir).toPandas()
+    SPENT[0] = time.time() - t0
     want = con.sql(sql).df()
     if sorted(got.columns) != sorted(want.columns):
         return f"COLUMNS {sorted(got.columns)} vs {sorted(want.columns)}", len(got)
@@ -76,7 +82,7 @@ def main():
             verdict, n = f"{type(e).__name__}: {str(e)[:700]}", -1
         if verdict not in ("ok", "rows-only"):
             failed.append(name)
-        print(f"{name:34s} {n:8d} {time.time() - t0:6.1f}s {verdict}", flush=True)
+        print(f"{name:34s} {n:8d} {SPENT[0]:6.1f}s of {time.time() - t0:6.1f}s {verdict}", flush=True)
     print("FAILED:", failed)
 
 
