@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from candlewick import bindings as b
 from candlewick.functions import calendar
+from candlewick.functions.staging import stage
 from candlewick.operators import bars as ob
 from candlewick.operators import quality
 from candlewick.plans.registry import query
@@ -36,11 +37,11 @@ def export_lines(spark, d):
     e = b.table(spark, d, "events")
     fmt = lambda c: F.format_string("%.2f", c)
     v, i = F.col("value"), F.col("event_id")
-    return e.select(F.col("event_type").alias("symbol"), i.alias("line_no"), F.concat(
+    return stage(e.select(F.col("event_type").alias("symbol"), i.alias("line_no"), F.concat(
         F.when(i % 97 == 0, "2024.13.77").otherwise(F.date_format("ts", "yyyy.MM.dd")), F.lit(" "),
         F.date_format("ts", "HH:mm"), F.lit(":00 "), F.when(i % 89 == 0, "0.00").otherwise(fmt(v)), F.lit(" "),
         fmt(v + 1), F.lit(" "), F.when(i % 83 == 0, fmt(v + 2)).otherwise(F.format_string("%.3f", v / 2)), F.lit(" "), fmt(v), F.lit(" "),
-        F.col("user_id") % 7, F.lit(" 0 "), F.col("user_id") % 20).alias("line"))
+        F.col("user_id") % 7, F.lit(" 0 "), F.col("user_id") % 20).alias("line")))
 
 
 def rounded(df, cols, digits=6):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from candlewick import bindings as b
+from candlewick.functions.staging import stage
 from candlewick.plans.bar_queries import rounded
 from candlewick.plans.registry import query
 from candlewick.sources import logs
@@ -36,7 +37,7 @@ def log_lines(spark, d):
     jsonl = (F.when(i % 31 == 0, "{broken").when(i % 7 == 0, F.concat(F.lit('{"created_at":"'), iso, F.lit('Z","metric_type":"LATENCY","details":"'), t, F.lit('","error":"x"}')))
              .otherwise(F.concat(F.lit('{"timestamp":"'), iso, F.lit('+00:00","event_type":"'), t, F.lit('_FAILURE","message":"user '), u, F.lit('"}'))))
     snap = F.concat(F.lit('{"updated_at":"'), fmt("yyyy-MM-dd HH:mm:ss"), F.lit('","status":"'), F.when(i % 5 == 0, "FAILED").otherwise("OK"), F.lit('"}'))
-    return e.select(path.alias("path"), F.when(i % 3 == 0, text).when(i % 3 == 1, jsonl).otherwise(snap).alias("line"), i.alias("line_no"))
+    return stage(e.select(path.alias("path"), F.when(i % 3 == 0, text).when(i % 3 == 1, jsonl).otherwise(snap).alias("line"), i.alias("line_no")))
 
 
 def entries(spark, d):

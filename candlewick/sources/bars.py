@@ -70,17 +70,16 @@ def parse_minute_export(lines: DataFrame) -> DataFrame:
     Among rows of one minute the first in ``line_no`` order counts (lowest line hash without a line
     number), and only then invalid prices are rejected, so a bad first row hides its copies.
     """
-    header = F.col("line").contains("<")
-    part = F.split(F.trim("line"), r"\s+")
-    cols = {c: F.get(part, F.lit(i)) for i, c in enumerate(_EXPORT_COLUMNS)}
     rank = (F.col("line_no").cast("bigint") if "line_no" in lines.columns
             else F.conv(F.substring(F.md5("line"), 1, 15), 16, 10).cast("bigint"))
-    return (lines.filter(~header & (F.trim("line") != ""))
-            .select("symbol", F.try_to_timestamp(F.concat_ws(" ", cols["date"], cols["time"]),
-                                                 F.lit("yyyy.MM.dd HH:mm:ss")).alias("ts"),
-                    *[cols[c].try_cast("double").alias(c) for c in ("open", "high", "low", "close")],
-                    cols["tickvol"].try_cast("double").alias("volume"), cols["spread"].try_cast("double").alias("spread"),
-                    rank.alias("_rank")))
+    # one split per line; later columns only index into it
+    body = lines.filter(~F.trim("line").startswith("<") & (F.trim("line") != ""))
+    cut = body.select("symbol", rank.alias("_rank"), F.split(F.trim("line"), r"\s+").alias("_part"))
+    part = {c: F.get("_part", F.lit(i)) for i, c in enumerate(_EXPORT_COLUMNS)}
+    return cut.select(
+        "symbol", F.try_to_timestamp(F.concat_ws(" ", part["date"], part["time"]), F.lit("yyyy.MM.dd HH:mm:ss")).alias("ts"),
+        *[part[c].try_cast("double").alias(c) for c in ("open", "high", "low", "close")],
+        part["tickvol"].try_cast("double").alias("volume"), part["spread"].try_cast("double").alias("spread"), "_rank")
 
 
 def clean_minute_bars(parsed: DataFrame) -> DataFrame:
