@@ -42,8 +42,15 @@ def utc(col: str) -> Column:
     return F.col(col).cast("timestamp")
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
+    """Rows as a VALUES relation: the optimizer knows its size and decides on broadcasting itself."""
+    body = ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(schema.fieldNames())})").select(
+        *[F.col(f.name).cast(f.dataType) for f in schema])
+
+
 def specs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SPECS, INSTRUMENT)
+    return literal_rows(spark, SPECS, INSTRUMENT)
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,8 @@ def next_bar_fills(signals: DataFrame, feats: DataFrame, specs: DataFrame, keys:
 
     ``signals`` holds symbol, row_no, signal, close, sl_price, tp_price and any ``keys``. Session,
     volatility and the feature snapshot are those of the fill bar. Entries whose stop ends up on the
-    wrong side of the fill, or whose size rounds to nothing, are dropped. ``specs`` is one literal row
-    per instrument.
+    wrong side of the fill, or whose size rounds to nothing, are dropped. ``specs`` is the instrument table; the
+    optimizer broadcasts it when its size allows.
     """
     cand = (signals.filter(F.col("signal").isin("BUY", "SELL"))
             .select("symbol", *keys, F.col("row_no").alias("signal_no"), (F.col("row_no") + 1).alias("row_no"),
@@ -31,7 +31,7 @@ def next_bar_fills(signals: DataFrame, feats: DataFrame, specs: DataFrame, keys:
                     "sl_price", "tp_price"))
     bar = feats.select("symbol", "row_no", F.col("ts").alias("entry_time"), F.col("open").alias("fill_open"), "session",
                        "regime", "sma_fast", *SNAPSHOT)
-    j = cand.join(bar, ["symbol", "row_no"]).join(F.broadcast(specs), "symbol")
+    j = cand.join(bar, ["symbol", "row_no"]).join(specs, "symbol")
     pip = money.pip_size(F.col("digits"), F.col("point"))
     rnd = lambda tag: money.cost_noise(F.lit(tag), F.col("symbol"), F.col("row_no")) if noise else F.lit(1.0)
     half = money.spread_pips(F.col("spread_typical"), F.col("point"), pip, F.col("session"), F.col("atr_ratio"), rnd("spread")) * pip / 2
@@ -172,7 +172,7 @@ def with_pnl(trades: DataFrame, specs: DataFrame, commission_per_lot: float = mo
              apply_exit_costs: bool = False, noise: bool = True, base_slippage: float = money.BASE_SLIPPAGE_PIPS) -> DataFrame:
     """Gross and net P&L with both commission legs and swap; optional costs on the exit side."""
     dims = ["symbol", "digits", "point", "tick_size", "tick_value", "spread_typical", "swap_long", "swap_short"]
-    t = trades.join(F.broadcast(specs.select(*dims)), "symbol")
+    t = trades.join(specs.select(*dims), "symbol")
     side, lots, price = F.col("direction"), F.col("lots"), F.col("exit_price")
     if apply_exit_costs:
         pip = money.pip_size(F.col("digits"), F.col("point"))
@@ -210,7 +210,7 @@ def mark_to_market(trades: DataFrame, bars: DataFrame, specs: DataFrame, keys: S
     """Open P&L at every bar close, summed over the trades open at that close."""
     extra = [k for k in keys if k != "symbol"]
     o = open_bars(trades, bars, [*extra, "direction", "entry_price", "lots"]).join(
-        F.broadcast(specs.select("symbol", "tick_size", "tick_value")), "symbol")
+        specs.select("symbol", "tick_size", "tick_value"), "symbol")
     pnl = money.gross_pnl(F.col("direction"), F.col("entry_price"), F.col("close"), F.col("lots"), F.col("tick_size"), F.col("tick_value"))
     return o.groupBy(*keys, "row_no", "ts").agg(F.sum(pnl).alias("unrealised_pnl"), F.count(F.lit(1)).alias("open_trades"))
 

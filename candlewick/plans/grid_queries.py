@@ -26,7 +26,7 @@ def daily(spark, d):
 
 def daily_specs(spark):
     row = b.SPECS[0]
-    return spark.createDataFrame([(f"LN{i}", *row[1:]) for i in range(1, 8)], INSTRUMENT)
+    return b.literal_rows(spark, [(f"LN{i}", *row[1:]) for i in range(1, 8)], INSTRUMENT)
 
 
 def _list(vals):
@@ -70,7 +70,7 @@ _BAD = {"fast_ma_period": [0, 10, 60], "slow_ma_period": [30, 50], "sl_atr_multi
  SELECT symbol, f AS fast_ma_period, s AS slow_ma_period, sl AS sl_atr_multiple, tp AS tp_rr_ratio, CASE WHEN f <= 0 THEN 'MA_PERIOD_NOT_POSITIVE' WHEN f >= s THEN 'FAST_NOT_BELOW_SLOW' WHEN sl <= 0 THEN 'STOP_NOT_POSITIVE' WHEN tp <= 0 THEN 'TARGET_NOT_POSITIVE'
  WHEN sl * mean_atr / point < stops_level THEN 'STOP_BELOW_BROKER_MINIMUM' WHEN {tsql.lots('10000.0', '1.0', 'sl * mean_atr')} = 0 THEN 'SIZE_ROUNDS_TO_ZERO' END AS incoherent_because FROM x""")
 def grid_coherence(spark, d):
-    stats = ind.atr(b.indexed_bars(spark, d)).groupBy("symbol").agg(F.avg("atr").alias("mean_atr")).join(F.broadcast(b.specs(spark)), "symbol")
+    stats = ind.atr(b.indexed_bars(spark, d)).groupBy("symbol").agg(F.avg("atr").alias("mean_atr")).join(b.specs(spark), "symbol")
     sets = g.parameter_grid(spark, "ma_crossover", _BAD, base=stats, valid_only=False)
     out = g.coherence(sets)
     return out.select("symbol", "fast_ma_period", "slow_ma_period", "sl_atr_multiple", "tp_rr_ratio", "incoherent_because")

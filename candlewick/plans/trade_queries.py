@@ -33,7 +33,7 @@ def _signal_sql(name, adx=0, extra="false", lo=30, hi=70, sl=1.5, rr=2.0):
 
 def signal_rows(spark, d, name, params):
     pip = money.pip_size(F.col("digits"), F.col("point"))
-    f = ready(spark, d).join(F.broadcast(b.specs(spark).select("symbol", "digits", "point")), "symbol")
+    f = ready(spark, d).join(b.specs(spark).select("symbol", "digits", "point"), "symbol")
     s = signals.with_signals(f, name, params, pip)
     return rounded(rounded(s, ["sl_price", "tp_price"]), ["sl_pips"], 4).select(
         "symbol", "ts", "signal", "sl_price", "tp_price", "sl_pips", "rr_ratio", "confidence")
@@ -171,7 +171,7 @@ _BT = b.with_sql("bars", "specs") + f""", t AS (SELECT bars.*, specs.* EXCLUDE (
 
 def bar_trades(spark, d):
     from candlewick.functions.calendar import session_label
-    t = b.bars(spark, d).join(F.broadcast(b.specs(spark)), "symbol")
+    t = b.bars(spark, d).join(b.specs(spark), "symbol")
     return (t.withColumn("pip", money.pip_size(F.col("digits"), F.col("point")))
             .withColumn("direction", F.when(F.col("close") >= F.col("open"), "BUY").otherwise("SELL"))
             .withColumn("exit_time", F.timestamp_seconds(F.unix_seconds("ts") + (F.col("volume") * 9 * 3600).cast("bigint")))
