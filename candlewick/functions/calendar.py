@@ -26,16 +26,18 @@ def day_of_week(ts: Column) -> Column:
     return F.weekday(ts)
 
 
+# UTC hours [from, to) of each session; every other hour is ASIAN. A NY_OPEN label exists
+# in the cost tables, but the overlap session covers all of its hours.
+SESSION_HOURS = [(7, 9, "LONDON_OPEN"), (9, 13, "LONDON"), (13, 16, "LONDON_NY_OVERLAP"), (16, 21, "NEW_YORK"), (21, 24, "DEAD_ZONE")]
+
+
 def session_label(ts: Column) -> Column:
-    """Session of a UTC timestamp. Later branches are shadowed by earlier ones on purpose."""
+    """Session of a UTC timestamp by its hour."""
     hour = F.hour(ts)
-    return (F.when(hour >= 21, "DEAD_ZONE")
-            .when((hour >= 13) & (hour < 16), "LONDON_NY_OVERLAP")
-            .when((hour >= 7) & (hour < 9), "LONDON_OPEN")
-            .when((hour >= 13) & (hour < 15), "NY_OPEN")
-            .when((hour >= 8) & (hour < 16), "LONDON")
-            .when((hour >= 13) & (hour < 21), "NEW_YORK")
-            .otherwise("ASIAN"))
+    label = F.lit("ASIAN")
+    for lo, hi, name in SESSION_HOURS:
+        label = F.when((hour >= lo) & (hour < hi), name).otherwise(label)
+    return label
 
 
 def broker_to_utc(local: Column) -> Column:

@@ -171,3 +171,29 @@ def test_windows_count_from_origin(spark):
     w = wf.build_windows(b, 6, 2).orderBy("window_num").collect()
     assert [x.test_start for x in w] == [datetime(2020, 7, 31), datetime(2020, 9, 30), datetime(2020, 11, 30)]
     assert w[0].opt_start == datetime(2020, 1, 31) and w[2].test_end == datetime(2021, 1, 31)
+
+
+def test_filter_test_keeps_only_real_improvements(spark, indexed, specs):
+    ev = wf.Evaluation(indexed, specs, "ma_crossover", SPACE)
+    ts = lambda n: datetime(2024, 1, 1) + timedelta(hours=n - 1)
+    spans = spark.createDataFrame([("A", "MAIN", 1, 300, ts(1), ts(300)), ("A", "HELD_OUT", 300, 421, ts(300), ts(420))],
+                                  "symbol string, span_id string, start_no bigint, end_no bigint, start timestamp, end timestamp")
+    sets = g.parameter_grid(spark, "ma_crossover", SPACE).filter("adx_threshold = 0").withColumn("symbol", F.lit("A"))
+    rates = spark.createDataFrame([("volatility", 0.1)], "filter_name string, improvement_rate double")
+    out, log = wf.filter_test(ev, sets, spans, rates)
+    rows, tried = out.collect(), log.collect()
+    assert len(rows) == sets.count() == len({r.params_id for r in rows})
+    assert {t.filter_name for t in tried} == {"session", "adx_trend"}  # the filter that rarely helped is skipped
+    for r in rows:
+        mine = [t for t in tried if t.params_id == r.params_id]
+        assert r.applied == [t.setting for t in mine if t.improved] and len(r.applied) <= 2
+        base = r.score - sum(t.delta for t in mine if t.improved)
+        for t in mine:
+            assert t.improved == (base + t.delta > base * 1.05 + 1e-12)
+            base += t.delta if t.improved else 0
+
+
+def test_combination_must_beat_both_parents(spark):
+    f = lambda rows: spark.createDataFrame(rows, "symbol string, params_id bigint, score double")
+    out = wf.combination_test(f([("A", 1, 0.5), ("A", 2, 0.2)]), f([("A", 7, 0.4)]), f([("A", 1, 0.52), ("A", 2, 0.43)]))
+    assert {(r.entry_id, r.beats_parents) for r in out.collect()} == {(1, False), (2, True)}
