@@ -268,7 +268,7 @@ def grouped_rule(feats: DataFrame, rule, keys: Sequence[str], schema: str) -> Da
 def checklist(df: DataFrame) -> DataFrame:
     """Nine pre-trade checks as an array of structs, with all_passed and first_failure_reason.
 
-    Expects the columns named in the reference order: connected, strategy_id, data_fresh,
+    Expects the columns connected, strategy_id, data_fresh,
     stale_seconds, spread_pips, max_spread_pips, session, allowed_sessions, regime, regime_target,
     safe_mode, daily_loss_ok, drawdown_ok, free_margin, required_margin, open_positions,
     max_open_positions, conflicting.
