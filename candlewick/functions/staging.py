@@ -15,15 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of its own only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """``spark.checkpoint.dir`` of the session, else the context's checkpoint folder.
+
+    Only a local master, where driver and executors are one process, gets a folder of its own if neither is set.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="candlewick-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="candlewick-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:
