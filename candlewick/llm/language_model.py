@@ -32,7 +32,7 @@ from candlewick.llm.common import doc_id_type
 from candlewick.llm.shingles import WordHashes, mixed
 
 FOLDS, TEST, DELETED = 5, 1, 0
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 BUCKETS = 24
 ROUNDS = 60
 _END, _BEGIN = np.uint64(0x51ED270B), np.uint64(0x2545F491)
@@ -43,8 +43,8 @@ def fold(doc_id) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
 
 
-def tokens(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word keys, pair keys and number of tokens by document; each document ends with the end token."""
+def tokens(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word keys, pair keys, first token and number of tokens by document; each document ends with the end token."""
     docs = [t.lower().split() for t in texts]
     sizes = np.array([len(d) + 1 for d in docs], np.int64)
     ends = np.cumsum(sizes) - 1
@@ -54,73 +54,83 @@ def tokens(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
         words[at:at + len(d)] = np.fromiter(map(hashes.__getitem__, d), np.uint64, len(d))
         at += len(d) + 1
     words[ends] = _END
+    firsts = np.concatenate([[0], ends[:-1] + 1])
     before = np.empty_like(words)
     before[1:] = words[:-1]
-    before[np.concatenate([[0], ends[:-1] + 1])] = _BEGIN
-    return mixed(words), mixed(before), mixed(mixed(before) * _PAIR + words), sizes
+    before[firsts] = _BEGIN
+    return mixed(words), mixed(mixed(before) * _PAIR + words), firsts, sizes
 
 
 class Lookup:
-    """The distinct keys of a batch, in parts, and where each token finds its own."""
+    """The distinct keys of a batch in order. A part is a range of keys, so its keys are neighbours here."""
 
-    def __init__(self, keys: np.ndarray, parts: int):
-        self.keys, self.inverse = np.unique(keys, return_inverse=True)
-        # order by part and, inside a part, by the 48 bits that are sent
-        self.part = (self.keys % np.uint64(parts)).astype(np.int64)
-        self.short = self.keys >> np.uint64(16)
-        self.order = np.lexsort((self.short, self.part))
-        self.bounds = np.searchsorted(self.part[self.order], np.arange(parts + 1))
+    def __init__(self, keys: np.ndarray, parts: int, inverse: bool = True):
+        if inverse:
+            self.keys, self.inverse = np.unique(keys, return_inverse=True)
+        else:
+            self.keys = np.unique(keys)
+        width = np.uint64((1 << 64) // parts + 1)
+        self.bounds = np.searchsorted(self.keys // width, np.arange(parts + 1, dtype=np.uint64))
 
-    def of(self, p: int) -> np.ndarray:
-        return self.order[self.bounds[p]:self.bounds[p + 1]]
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, keys)
 
+    def of(self, p: int) -> slice:
+        return slice(self.bounds[p], self.bounds[p + 1])
 
-def _deltas(sorted_keys: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_keys, prepend=np.uint64(0))
+    def short(self, at: slice) -> np.ndarray:
+        """The 48 bits that are sent, as differences."""
+        return np.diff(self.keys[at] >> np.uint64(16), prepend=np.uint64(0))
 
 
 class _Batch:
-    def __init__(self, row: dict, parts: int, hashes: WordHashes):
+    """A batch as words and pairs of its tokens; with ``only``, token positions are found for documents of one fold."""
+
+    def __init__(self, row: dict, parts: int, hashes: WordHashes, only: int | None = None):
         self.ids, texts = packed.unpack(row["data"])
-        words, contexts, pairs, self.sizes = tokens(texts, hashes)
-        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
+        words, pairs, firsts, self.sizes = tokens(texts, hashes)
         self.folds = np.array([fold(i) for i in self.ids], np.int64)
+        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
         self.parts = parts
-        # the begin of each document is one more key of the words' table, which is no token
-        begin = mixed(np.array([_BEGIN]))
-        self.n, self.singles, self.pairs = len(words), Lookup(np.concatenate([words, contexts, begin]), parts), Lookup(pairs, parts)
-
-    def counted(self, lookup: Lookup, index: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        return np.bincount(index[chosen], minlength=len(lookup.keys))
+        begin = mixed(np.array([_BEGIN]))  # one more key of the words' table, which is no token
+        every = np.concatenate([words, begin])
+        self.singles, self.pairs = (Lookup(k, parts, only is None) for k in (every, pairs))
+        if only is None:
+            self.begin, self.word, self.pair = self.singles.inverse[-1], self.singles.inverse[:-1], self.pairs.inverse
+            self.context = np.empty_like(self.word)
+            self.context[1:] = self.word[:-1]
+            self.context[firsts] = self.begin
+        else:
+            chosen = np.flatnonzero(self.folds[self.doc] == only)
+            before = np.concatenate([begin, words[:-1]])
+            before[firsts] = begin
+            self.word, self.context, self.pair = self.singles.find(words[chosen]), self.singles.find(before[chosen]), self.pairs.find(pairs[chosen])
 
     def question(self):
         token_fold = self.folds[self.doc]
-        rest, deleted = (token_fold != TEST) & (token_fold != DELETED), token_fold == DELETED
-        own, pair = self.singles.inverse[:self.n], self.pairs.inverse
-        tables = [(self.singles, self.counted(self.singles, own, rest), self.counted(self.singles, own, deleted)),
-                  (self.pairs, self.counted(self.pairs, pair, rest), self.counted(self.pairs, pair, deleted))]
-        begin = self.singles.inverse[-1]
-        tables[0][1][begin] = ((self.folds != TEST) & (self.folds != DELETED)).sum()
-        tables[0][2][begin] = (self.folds == DELETED).sum()
+        tables = []
+        for table, index in ((self.singles, self.word), (self.pairs, self.pair)):
+            tables.append((table, *(np.bincount(index[keep], minlength=len(table.keys)) for keep in ((token_fold != TEST) & (token_fold != DELETED), token_fold == DELETED))))
+        tables[0][1][self.begin] = ((self.folds != TEST) & (self.folds != DELETED)).sum()
+        tables[0][2][self.begin] = (self.folds == DELETED).sum()
         for p in range(self.parts):
             at = [t[0].of(p) for t in tables]
-            if len(at[0]) or len(at[1]):
+            if any(i.stop > i.start for i in at):
                 yield p, packed.write_parts(*(x for (t, c, d), i in zip(tables, at, strict=True) for x in (
-                    packed.write_ints(_deltas(t.short[i]), 6), packed.write_ints(c[i], 5), packed.write_ints(d[i], 5))))
+                    packed.write_ints(t.short(i), 6), packed.write_ints(c[i], 5), packed.write_ints(d[i], 5))))
 
-    def read(self, answers: list[dict] | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For words and for pairs: counts without the deleted part, and all training counts, by key."""
+    def read(self, answers: list[dict] | None, full: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words and of pairs, by key: all training counts, or those without the deleted part."""
         got = packed.by_part(answers)
         out = []
         for k, t in enumerate((self.singles, self.pairs)):
-            rest, full = np.zeros(len(t.keys), np.int64), np.zeros(len(t.keys), np.int64)
+            counts = np.zeros(len(t.keys), np.int64)
             for p, data in got.items():
                 i = t.of(p)
-                if len(i):
-                    s = packed.read_parts(data)[2 * k:2 * k + 2]
-                    rest[i], full[i] = packed.read_ints(s[0], 5), packed.read_ints(s[1], 5)
-            out.append((rest, full))
-        return out
+                if i.stop > i.start:
+                    counts[i] = packed.read_ints(packed.read_parts(data)[2 * k + full], 5)
+            out.append(counts)
+        return out[0], out[1]
 
 
 def _answer(parts: int):
@@ -202,12 +212,11 @@ def scores(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     def deleted(arriving):
         for arrow in arriving:
             for row in arrow.to_pylist():
-                b = _Batch(row, n_parts, hashes)
-                (words, _), (pairs, _) = b.read(row["answers"])
-                chosen = np.flatnonzero(b.folds[b.doc] == DELETED)
-                context = words[b.singles.inverse[b.n:2 * b.n][chosen]]
-                f2 = _share(pairs[b.pairs.inverse[chosen]].astype(float), context)
-                f1 = words[b.singles.inverse[:b.n][chosen]] / max(n_rest, 1)
+                b = _Batch(row, n_parts, hashes, only=DELETED)
+                words, pairs = b.read(row["answers"], False)
+                context = words[b.context]
+                f2 = _share(pairs[b.pair].astype(float), context)
+                f1 = words[b.word] / max(n_rest, 1)
                 cell = (bucket(context) * 128 + _level(f2)) * 128 + _level(f1)
                 cells, inverse = np.unique(cell, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(np.bincount(inverse, minlength=len(cells)), pa.int64()),
@@ -223,9 +232,9 @@ def scores(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
         for arrow in arriving:
             for row in arrow.to_pylist():
                 b = _Batch(row, n_parts, hashes)
-                (_, words), (_, pairs) = b.read(row["answers"])
-                c, context = words[b.singles.inverse[:b.n]], words[b.singles.inverse[b.n:2 * b.n]]
-                f2, f1 = _share(pairs[b.pairs.inverse].astype(float), context), c / max(n_all, 1)
+                words, pairs = b.read(row["answers"], True)
+                c, context = words[b.word], words[b.context]
+                f2, f1 = _share(pairs[b.pair].astype(float), context), c / max(n_all, 1)
                 w = lam[bucket(context)]
                 p = w[:, 2] * f2 + w[:, 1] * f1 + w[:, 0] / (v_all + 1)
                 base = np.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1)))
