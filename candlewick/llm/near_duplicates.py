@@ -95,7 +95,7 @@ def groups(classes: DataFrame) -> DataFrame:
     keyed = _keyed(classes)
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("low")).where("n > 1")
     first = shared.groupBy("n", "x", "low").agg(F.min_by("key", F.col("key").bitwiseAND(F.lit(63))).alias("key")).select("key", "n")
-    rows = keyed.join(first, "key")
+    rows = keyed.join(first.hint("merge"), "key")  # grows with the corpus: never broadcast
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     # block b meets the blocks before it (row b) and behind it (column b)
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     live = classes.where("id IS NOT NULL")
     grouped = stage(groups(live))
     wanted = grouped.select("id").distinct()
-    packed = compress(docs).select(F.col("doc_id").cast("bigint").alias("id"), "packed").join(wanted, "id")
+    packed = compress(docs).select(F.col("doc_id").cast("bigint").alias("id"), "packed").join(wanted.hint("merge"), "id")
     texts_of = rows.select(F.col("doc_id").cast("bigint").alias("id"), F.col("n_shingles").alias("n"), "signature").where("n > 0").dropDuplicates(["id"])
     members = grouped.join(packed.join(texts_of, "id"), "id").select("key", "part", "id", "n", "signature", "packed")
     links = _linked(members.repartition("key", "part").sortWithinPartitions("key", "part", "id"))
