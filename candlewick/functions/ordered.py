@@ -38,16 +38,27 @@ def _before(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _group(keys: Sequence[str]) -> Column:
+    """Key and chunk as one value that is never NULL itself: rows with a NULL key or chunk form groups as well."""
+    return F.struct(*[F.col(c) for c in keys], F.col("_chunk"))
+
+
+def _with(rows: DataFrame, summary: DataFrame) -> DataFrame:
+    """Rows with the columns of their group's summary. Rows are already dealt and sorted by group, so only the
+    summary moves; merging keeps the optimizer from broadcasting rows whose number it underestimates."""
+    return rows.join(summary.hint("merge"), "_g").drop("_g")
+
+
 def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column,
                out: str = "row_no") -> DataFrame:
     """Add the 1-based position of each row within its key, in ``order``."""
     tagged = df.withColumn("_chunk", chunk)
     counts = tagged.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(*keys, "_chunk",
-                            F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_offset"))
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    offsets = counts.select(_group(keys).alias("_g"), F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_offset"))
+    tagged = tagged.withColumn("_g", _group(keys))
+    local = Window.partitionBy("_g").orderBy(*order)
     return (tagged.withColumn("_pos", F.row_number().over(local))
-            .join(offsets, [*keys, "_chunk"])
+            .transform(_with, offsets)
             .withColumn(out, F.col("_offset") + F.col("_pos"))
             .drop("_chunk", "_pos", "_offset"))
 
@@ -97,10 +108,10 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
     side = F.desc if descending else F.asc
     latest = F.min_by if descending else F.max_by
     place = F.struct(*[F.col(c) for c in order])
-    part = Window.partitionBy(*keys, "_chunk").orderBy(*[side(c) for c in order])
+    part = Window.partitionBy("_g").orderBy(*[side(c) for c in order])
     before = Window.partitionBy(*keys).orderBy(side("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     has_walk = any(kind == "walk" for kind, _, _ in full.values())
-    rows = df.withColumn("_chunk", chunk).withColumns({f"_x_{n}": x for n, (_, x, _) in full.items()})
+    rows = df.withColumn("_chunk", chunk).withColumns({f"_x_{n}": x for n, (_, x, _) in full.items()}).withColumn("_g", _group(keys))
     local, totals, carries, merged = rows, [], {}, {}
     for n, (kind, _, excl) in full.items():
         x, t, c, v = F.col(f"_x_{n}"), f"_t_{n}", f"_c_{n}", f"_l_{n}"
@@ -134,7 +145,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
     summary = (local if has_walk else rows).groupBy(*keys, "_chunk").agg(*totals)
     for c, expr in carries.items():
         summary = summary.withColumn(c, expr)
-    joined = local.join(summary.select(*keys, "_chunk", *carries), [*keys, "_chunk"]).withColumns(merged)
+    joined = _with(local, summary.select(_group(keys).alias("_g"), *carries)).withColumns(merged)
     return joined.select(*[c for c in df.columns if c not in merged], *merged)
 
 

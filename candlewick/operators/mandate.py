@@ -134,12 +134,16 @@ def breaker_status(curve: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def stress_test(trades: DataFrame, keys: Sequence[str], trade_key: Sequence[str], mandate: dict, initial_equity: float,
-                pip_value: Column, permutations: int = 500, max_slippage_pips: float = 1.5, chunks: int = 64) -> DataFrame:
+                pip_value: Column, permutations: int = 500, max_slippage_pips: float = 1.5, chunks: int | None = None) -> DataFrame:
     """Breach rate over ``permutations`` reshuffled trade orders with extra slippage.
 
     A permutation is an order by a hash of (permutation, trade), so it needs no driver-side shuffle,
-    repeats exactly, and its chunks are slices of the hash range: equal in size for any key.
+    repeats exactly, and its chunks are slices of the hash range: equal in size for any key. Their
+    number follows from the trades of the largest key.
     """
+    if chunks is None:
+        largest = trades.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+        chunks = -(-largest // ordered.CHUNK_ROWS)
     ident = F.concat_ws("|", *[F.col(c).cast("string") for c in trade_key])
     slip = money.uniform_hash(F.lit("slip"), F.col("perm"), ident) * max_slippage_pips * pip_value * F.col("lots")
     fanned = (trades.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))

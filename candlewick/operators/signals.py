@@ -2,7 +2,7 @@
 
 A template supplies an entry side, the inputs it needs, and an exit condition. Parameters are plain
 values or columns, so one parameter set and a whole grid use the same code. Register a template with
-``register`` to add a rule of your own; rules that cannot be columns go through ``grouped_rule``.
+``register`` to add a rule of your own.
 """
 
 from __future__ import annotations
@@ -52,16 +52,16 @@ def _fmt(pattern: str, *cols) -> Column:
     return F.format_string(pattern, *cols)
 
 
-def _ma_columns():
-    return [F.col(c) for c in ("sma_fast", "sma_fast_prev", "sma_slow", "sma_slow_prev")]
-
-
 def _num(c: Column) -> Column:
     """Threshold as text: whole numbers without a fraction."""
     d = c.cast("double")
     return F.when(d == F.floor(d), d.cast("bigint").cast("string")).otherwise(d.cast("string"))
 
 
+def _ma_columns():
+    return [F.col(c) for c in ("sma_fast", "sma_fast_prev", "sma_slow", "sma_slow_prev")]
+
+
 def _opposite_cross(p: Params):
     on = param(p, "exit_on_opposite_crossover", False)
     return (on & crossed_below(*_ma_columns()), on & crossed_above(*_ma_columns()),
@@ -98,35 +98,43 @@ def _hybrid_side(p: Params):
     return (F.col("close") > F.col("sma_slow")) & strong & up, (F.col("close") < F.col("sma_slow")) & strong & down
 
 
-def _hybrid_reason(p: Params):
-    lo, hi, thr = param(p, "rsi_oversold", 30), param(p, "rsi_overbought", 70), adx_threshold(p, 20)
-    text = "%s: close=%.5f%ssma_slow=%.5f, adx=%.1f>=%s, rsi_bounce %.1f->%.1f(thr=%s)"
-    return (_fmt(text, F.lit("HYBRID_BULL"), F.col("close"), F.lit(">"), F.col("sma_slow"), F.col("adx"), _num(thr), F.col("rsi_prev"), F.col("rsi"), _num(lo)),
-            _fmt(text, F.lit("HYBRID_BEAR"), F.col("close"), F.lit("<"), F.col("sma_slow"), F.col("adx"), _num(thr), F.col("rsi_prev"), F.col("rsi"), _num(hi)))
+def _code(code: str, **values: Column) -> Column:
+    """A reason: its code, then the values it rests on as name=value."""
+    shown = [F.concat(F.lit(f"{n}="), F.format_string("%.5f", v.cast("double"))) for n, v in values.items()]
+    return F.concat_ws(" ", F.lit(code), *shown)
+
+
+def _sides(code: str, columns: Sequence[str], low: Callable[[Params], Column] | None = None, high: Callable[[Params], Column] | None = None):
+    """Reasons of a long and a short entry over the same columns, with the level each had to pass."""
+    def reasons(p: Params) -> tuple[Column, Column]:
+        shown = {n: F.col(n) for n in columns}
+        return tuple(_code(f"{code}_{side}", **shown, **({"level": level(p)} if level else {})) for side, level in (("long", low), ("short", high)))
+
+    return reasons
 
 
+def _oversold(p: Params) -> Column:
+    return param(p, "rsi_oversold", 30)
+
+
+def _overbought(p: Params) -> Column:
+    return param(p, "rsi_overbought", 70)
+
+
+NO_ENTRY = "no_entry"
+
 register(Template(
     "ma_crossover", ("sma_fast", "sma_slow", "atr", "close"),
-    lambda p: (crossed_above(*_ma_columns()), crossed_below(*_ma_columns())), _opposite_cross,
-    lambda p: (_fmt("MA_CROSS_BULL: fast=%.5f crossed above slow=%.5f", F.col("sma_fast"), F.col("sma_slow")),
-               _fmt("MA_CROSS_BEAR: fast=%.5f crossed below slow=%.5f", F.col("sma_fast"), F.col("sma_slow"))),
-    "No crossover this candle"))
+    lambda p: (crossed_above(*_ma_columns()), crossed_below(*_ma_columns())), _opposite_cross, _sides("ma_cross", ("sma_fast", "sma_slow")), NO_ENTRY))
 register(Template(
-    "rsi_reversion", ("rsi", "rsi_prev", "atr", "close"), _band_recross, _midline_level,
-    lambda p: (_fmt("RSI_OVERSOLD_REVERSION: rsi_prev=%.2f < %s -> rsi=%.2f >= %s", F.col("rsi_prev"), _num(param(p, "rsi_oversold", 30)),
-                    F.col("rsi"), _num(param(p, "rsi_oversold", 30))),
-               _fmt("RSI_OVERBOUGHT_REVERSION: rsi_prev=%.2f > %s -> rsi=%.2f <= %s", F.col("rsi_prev"), _num(param(p, "rsi_overbought", 70)),
-                    F.col("rsi"), _num(param(p, "rsi_overbought", 70)))),
-    "No RSI threshold reversion this candle"))
+    "rsi_reversion", ("rsi", "rsi_prev", "atr", "close"), _band_recross, _midline_level, _sides("rsi_return", ("rsi_prev", "rsi"), _oversold, _overbought), NO_ENTRY))
 register(Template(
     "donchian_breakout", ("donchian_upper_entry", "donchian_lower_entry", "atr", "close"),
     lambda p: (F.col("close") > F.col("donchian_upper_entry"), F.col("close") < F.col("donchian_lower_entry")), _opposite_channel,
-    lambda p: (_fmt("DONCHIAN_BREAK_BULL: close=%.5f > upper_entry=%.5f", F.col("close"), F.col("donchian_upper_entry")),
-               _fmt("DONCHIAN_BREAK_BEAR: close=%.5f < lower_entry=%.5f", F.col("close"), F.col("donchian_lower_entry"))),
-    "No breakout this candle"))
+    _sides("channel_break", ("close",), lambda p: F.col("donchian_upper_entry"), lambda p: F.col("donchian_lower_entry")), NO_ENTRY))
 register(Template(
-    "hybrid_confluence", ("close", "sma_slow", "rsi", "rsi_prev", "adx", "atr"), _hybrid_side, _midline_cross, _hybrid_reason,
-    "No confluence signal this candle", own_adx_rule=True, adx_default=20, stop_default=2.0))
+    "hybrid_confluence", ("close", "sma_slow", "rsi", "rsi_prev", "adx", "atr"), _hybrid_side, _midline_cross,
+    _sides("trend_and_rsi", ("close", "sma_slow", "adx", "rsi_prev", "rsi"), _oversold, _overbought), NO_ENTRY, own_adx_rule=True, adx_default=20, stop_default=2.0))
 
 
 def parse_combo(name: str) -> tuple[str, str] | None:
@@ -258,67 +266,48 @@ def live_exits(positions: DataFrame, latest_features: DataFrame, name: str, para
             .withColumn("exit_reason", F.when(hit, F.when(buy, b_text).otherwise(s_text))))
 
 
-def grouped_rule(feats: DataFrame, rule, keys: Sequence[str], schema: str) -> DataFrame:
-    """User-written pandas rule per bounded group (for example symbol and chunk): pdf -> pdf."""
-    return feats.groupBy(*keys).applyInPandas(rule, schema)
+# ---- pre-trade checks --------------------------------------------------------------------------
 
+def _free_session() -> Column:
+    named = F.col("allowed_sessions")
+    any_session = named.isNull() | (F.size(named) == 0)
+    return (F.col("session") != "DEAD_ZONE") & (any_session | F.array_contains(named, F.col("session")))
+
+
+def _right_regime() -> Column:
+    wanted = F.coalesce(F.col("regime_target"), F.lit(""))
+    return (wanted == "") | F.coalesce(F.upper("regime") == F.upper(wanted), F.lit(False))
+
+
+#: code, rule, columns that explain the outcome; the order is the order of evaluation
+CHECKS: list[tuple[str, Callable[[], Column], tuple[str, ...]]] = [
+    ("connection", lambda: F.col("connected"), ()),
+    ("strategy", lambda: F.col("strategy_id").isNotNull(), ("strategy_id",)),
+    ("freshness", lambda: F.col("data_fresh"), ("stale_seconds",)),
+    ("spread", lambda: F.col("spread_pips") <= F.col("max_spread_pips"), ("spread_pips", "max_spread_pips")),
+    ("session", _free_session, ("session",)),
+    ("regime", _right_regime, ("regime", "regime_target")),
+    ("risk", lambda: ~F.col("safe_mode") & F.col("daily_loss_ok") & F.col("drawdown_ok"), ("safe_mode", "daily_loss_ok", "drawdown_ok")),
+    ("margin", lambda: F.col("free_margin") >= F.col("required_margin"), ("free_margin", "required_margin")),
+    ("positions", lambda: (F.col("open_positions") < F.col("max_open_positions")) & ~F.col("conflicting"), ("open_positions", "max_open_positions", "conflicting")),
+]
 
-# ---- pre-trade checks --------------------------------------------------------------------------
 
 def checklist(df: DataFrame) -> DataFrame:
-    """Nine pre-trade checks as an array of structs, with all_passed and first_failure_reason.
+    """The pre-trade checks as an array of (item_id, name, pass, detail), with all_passed, failed_items and first_failure_reason.
 
-    Expects the columns connected, strategy_id, data_fresh,
-    stale_seconds, spread_pips, max_spread_pips, session, allowed_sessions, regime, regime_target,
-    safe_mode, daily_loss_ok, drawdown_ok, free_margin, required_margin, open_positions,
-    max_open_positions, conflicting.
+    ``detail`` lists the values a check looked at as name=value; a failure reason is the check's code and its detail.
+    Expects the columns named in ``CHECKS`` and allowed_sessions.
     """
-    c = F.col
-    sec = lambda word: _fmt(word + " (%.1fs ago)", c("stale_seconds"))
-    listed = c("allowed_sessions").isNotNull() & (F.size("allowed_sessions") > 0)
-    in_list = F.array_contains("allowed_sessions", c("session"))
-    dead = c("session") == "DEAD_ZONE"
-    session_ok = ~dead & (~listed | in_list)
-    session_text = (F.when(dead, "BLOCKED (DEAD_ZONE 21:00-00:00 UTC)")
-                    .when(listed & in_list, _fmt("Session '%s' in allowed list", c("session")))
-                    .when(listed, _fmt("Session '%s' not in allowed list", c("session")))
-                    .otherwise(_fmt("Session '%s' allowed (all non-dead-zone sessions active)", c("session"))))
-    no_target = c("regime_target").isNull() | (c("regime_target") == "")
-    regime_ok = no_target | F.coalesce(F.upper("regime") == F.upper("regime_target"), F.lit(False))
-    regime_text = (F.when(no_target, _fmt("Regime filter inactive (current regime: %s)", c("regime")))
-                   .when(regime_ok, _fmt("Regime matched (%s)", c("regime")))
-                   .otherwise(_fmt("Regime mismatch (current: %s, target: %s)", c("regime"), c("regime_target"))))
-    spread_ok = c("spread_pips") <= c("max_spread_pips")
-    risk_ok = ~c("safe_mode") & c("daily_loss_ok") & c("drawdown_ok")
-    risk_text = (F.when(c("safe_mode"), "BLOCKED: SAFE_MODE active").when(~c("daily_loss_ok"), "BLOCKED: Daily loss limit breached")
-                 .when(~c("drawdown_ok"), "BLOCKED: Max drawdown limit breached").otherwise("Risk limits OK (Normal operation)"))
-    margin_ok = c("free_margin") >= c("required_margin")
-    full = c("open_positions") >= c("max_open_positions")
-    slots = lambda word: _fmt(word + " (%d/%d)", c("open_positions"), c("max_open_positions"))
-    pos_text = F.when(full, slots("Position limit reached")).when(c("conflicting"), "Conflicting direction position open").otherwise(slots("Position slots available"))
-    has = c("strategy_id").isNotNull()
-    rows = [
-        ("MT5 Connection", c("connected"), F.when(c("connected"), "CONNECTED").otherwise("DISCONNECTED"), F.lit("MT5 terminal connection disconnected")),
-        ("Strategy Loaded", has, F.when(has, _fmt("Loaded '%s'", c("strategy_id"))).otherwise("No valid strategy loaded or DNA hash missing"),
-         F.lit("Strategy not loaded or DNA hash invalid")),
-        ("Data Freshness", c("data_fresh"), F.when(c("data_fresh"), sec("FRESH")).otherwise(sec("STALE")), sec("Data stale")),
-        ("Spread Check", spread_ok, F.when(spread_ok, _fmt("Spread %.1f pips <= limit %.1f pips", c("spread_pips"), c("max_spread_pips")))
-         .otherwise(_fmt("Spread %.1f pips exceeds limit %.1f pips", c("spread_pips"), c("max_spread_pips"))),
-         _fmt("Spread %.1f exceeds limit %.1f", c("spread_pips"), c("max_spread_pips"))),
-        ("Session Filter", session_ok, session_text, session_text),
-        ("Regime Filter", regime_ok, regime_text, regime_text),
-        ("Risk Limits", risk_ok, risk_text, risk_text),
-        ("Margin Availability", margin_ok, F.when(margin_ok, _fmt("Free margin %.2f >= required %.2f", c("free_margin"), c("required_margin")))
-         .otherwise(_fmt("Free margin %.2f insufficient for required %.2f", c("free_margin"), c("required_margin"))),
-         _fmt("Insufficient margin (%.2f < %.2f)", c("free_margin"), c("required_margin"))),
-        ("Position Limit", ~full & ~c("conflicting"), pos_text, pos_text),
-    ]
-    items = F.array(*[F.struct(F.lit(i).alias("item_id"), F.lit(name).alias("name"), ok.alias("pass"), text.alias("detail"),
-                               why.alias("failure")) for i, (name, ok, text, why) in enumerate(rows, 1)])
-    failed = F.filter("_items", lambda x: ~x["pass"])
-    return (df.withColumn("_items", items).withColumn("all_passed", F.forall("_items", lambda x: x["pass"]))
-            .withColumn("failed_items", F.size(failed)).withColumn("first_failure_reason", F.get(failed, F.lit(0))["failure"])
-            .withColumn("checklist", F.transform("_items", lambda x: x.dropFields("failure"))).drop("_items"))
+    def item(number: int, code: str, rule: Callable[[], Column], shown: tuple[str, ...]) -> Column:
+        detail = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("none"))) for c in shown])
+        return F.struct(F.lit(number).alias("item_id"), F.lit(code).alias("name"), rule().alias("pass"), detail.alias("detail"))
+
+    out = df.withColumn("checklist", F.array(*[item(i, *check) for i, check in enumerate(CHECKS, 1)]))
+    failed = F.filter("checklist", lambda x: ~x["pass"])
+    first = F.get(failed, F.lit(0))
+    return out.withColumns({"all_passed": F.size(failed) == 0, "failed_items": F.size(failed),
+                            "first_failure_reason": F.rtrim(F.concat(first["name"], F.lit(" "), first["detail"]))})
 
 
 def mandate_gate(df: DataFrame, mandate: dict | None) -> DataFrame:

@@ -112,8 +112,8 @@ def filter_test(ev: Evaluation, candidates: DataFrame, spans: DataFrame, rates:
 
     ``spans`` has one MAIN and one HELD_OUT row per symbol. Each of the three filters is one round for
     all candidates and symbols together: best setting in-sample, kept if it beats the current
-    held-out score by ``threshold``. ``rates`` (filter_name, improvement_rate) skips filters that
-    rarely helped. Returns (candidates with filters and score, filter results).
+    held-out score by ``threshold``. ``rates`` (filter_name, template, improvement_rate) skips filters that
+    rarely helped this template. Returns (candidates with filters and score, filter results).
     """
     cur = candidates
     for c, t in _SETTING_COLS.items():
@@ -139,7 +139,10 @@ def filter_test(ev: Evaluation, candidates: DataFrame, spans: DataFrame, rates:
             for i, o in enumerate(settings)])
         live = cur.filter(F.col("n_filters") < max_filters)
         if rates is not None:
-            weak = rates.filter((F.col("filter_name") == name) & (F.col("improvement_rate") < 0.20)).select("filter_name").distinct()
+            weak = rates.filter((F.col("filter_name") == name) & (F.col("improvement_rate") < 0.20))
+            if "template" in rates.columns:  # what failed for another template says nothing here
+                weak = weak.filter(F.col("template") == ev.template)
+            weak = weak.select("filter_name").distinct()
             # at most one row: the distinct name
             live = live.withColumn("filter_name", F.lit(name)).join(F.broadcast(weak), "filter_name", "left_anti").drop("filter_name")
         tried = live.withColumn("_o", F.explode(opts))

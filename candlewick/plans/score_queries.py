@@ -105,11 +105,12 @@ def gates_table(spark, d):
     return scoring.gate_table(gated(spark, d)).select("candidate_id", "gate_no", "passed")
 
 
+GATE_PERMUTATIONS = 500
 _KEY = "exit_time, order_key, line_no, part_key"
 _ID = "concat_ws('|', perm, concat_ws('|', exit_time::VARCHAR, order_key, line_no, part_key))"
 _OVER = f"OVER (PARTITION BY cid, perm ORDER BY place, {_KEY} ROWS"
 _STRESS = _GATED + f""", k AS MATERIALIZED (SELECT t.account // 1000 AS cid, {_KEY}, perm, {mq._DAY.format('exit_time')} AS day, (('0x' || substr(md5('order|' || {_ID}), 1, 8))::BIGINT / 4294967296.0) AS place,
- net_pnl - (('0x' || substr(md5('slip|' || {_ID}), 1, 8))::BIGINT / 4294967296.0) * 1.5 * 10.0 * lots AS pnl FROM trades t, range(0, 20) r(perm) WHERE t.account // 1000 IN (SELECT candidate_id FROM g WHERE failed_gate IS NULL)),
+ net_pnl - (('0x' || substr(md5('slip|' || {_ID}), 1, 8))::BIGINT / 4294967296.0) * 1.5 * 10.0 * lots AS pnl FROM trades t, range(0, {GATE_PERMUTATIONS}) r(perm) WHERE t.account // 1000 IN (SELECT candidate_id FROM g WHERE failed_gate IS NULL)),
  e AS (SELECT *, {EQ0} + sum(pnl) {_OVER} UNBOUNDED PRECEDING) AS equity, max(day) {_OVER} BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM k),
  s2 AS (SELECT *, last_value(CASE WHEN pm IS NULL OR day > pm THEN equity END IGNORE NULLS) {_OVER} UNBOUNDED PRECEDING) AS day0 FROM e),
  v AS (SELECT cid, perm, bool_or((CASE WHEN day0 > 0 THEN (day0 - equity) * 100 / day0 ELSE 0 END) >= 4.0 OR ({EQ0} - equity) * 100 / {EQ0} >= 8.0) AS hit FROM s2 GROUP BY ALL),
@@ -123,7 +124,7 @@ def gates_stress_for_survivors(spark, d):
     """Gate 10: the permutation stress runs only for candidates that passed the other gates."""
     first = stage(gated(spark, d))
     t = window_trades(spark, d).join(first.filter("gates_passed").select("candidate_id"), "candidate_id", "left_semi")
-    s = mandate.stress_test(t, ["candidate_id"], ["exit_time", "order_key", "line_no", "part_key"], M, EQ0, F.lit(10.0), 20)
+    s = mandate.stress_test(t, ["candidate_id"], ["exit_time", "order_key", "line_no", "part_key"], M, EQ0, F.lit(10.0), GATE_PERMUTATIONS)
     return scoring.with_stress(first, s.select("candidate_id", "breach_rate_pct"), M).select(
         "candidate_id", "gates_passed", "failed_gate", F.round("breach_rate_pct", 4).alias("breach_rate_pct"))
 

@@ -79,8 +79,8 @@ def signal_block_reasons(spark, d):
 
 
 @query("signal_reasons", tsql.feats() + f""", s AS (SELECT *, {tsql.signal_case('ma_crossover')} AS signal FROM ff)
- SELECT symbol, ts, CASE signal WHEN 'BUY' THEN printf('MA_CROSS_BULL: fast=%.5f crossed above slow=%.5f', sma_fast, sma_slow)
- ELSE printf('MA_CROSS_BEAR: fast=%.5f crossed below slow=%.5f', sma_fast, sma_slow) END AS reason FROM s WHERE signal <> 'HOLD'""")
+ SELECT symbol, ts, CASE signal WHEN 'BUY' THEN printf('ma_cross_long sma_fast=%.5f sma_slow=%.5f', sma_fast, sma_slow)
+ ELSE printf('ma_cross_short sma_fast=%.5f sma_slow=%.5f', sma_fast, sma_slow) END AS reason FROM s WHERE signal <> 'HOLD'""")
 def signal_reasons(spark, d):
     s = signals.with_signals(ready(spark, d), "ma_crossover", {})
     return s.filter("signal <> 'HOLD'").select("symbol", "ts", "reason")
