@@ -34,6 +34,17 @@ def time_chunk(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(ts) / F.lit(seconds))
 
 
+def time_slices(df: DataFrame, keys: Sequence[str], ts: str, out: str, rows: int = CHUNK_ROWS, slot: int = 86400) -> DataFrame:
+    """Add a chunk column that follows the density of each key: slots of ``slot`` seconds are cut into equal
+    slices of time, as many as bring about ``rows`` rows into each."""
+    at = F.unix_micros(ts)
+    length = slot * 1_000_000
+    tagged = df.withColumn("_slot", F.expr(f"floor(unix_micros({ts}) / {length})")).withColumn("_g", F.struct(*keys, "_slot"))
+    parts = tagged.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / rows).cast("bigint").alias("_parts"))
+    inside = F.floor((at - F.col("_slot") * length) * F.col("_parts") / length)
+    return tagged.join(parts, "_g").withColumn(out, F.col("_slot") * (1 << 24) + inside).drop("_g", "_slot", "_parts")
+
+
 def _before(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -163,11 +174,22 @@ def recurrence_rows(alpha: float) -> int:
     return 1 << 30 if alpha >= 1 else int(_GROWTH / _rate(alpha))
 
 
-def chunk_plan(chains: Sequence[Sequence[float]], lookback: int = 0) -> tuple[int, int]:
-    """(halo, size) for recurrences with the given alphas; inner lists are applied one after another."""
+def _layout(chains: Sequence[Sequence[float]], lookback: int) -> tuple[int, int]:
     halo = max([lookback, *(sum(recurrence_halo(a) for a in chain) + lookback for chain in chains)])
     longest = min([1 << 30, *(recurrence_rows(a) for chain in chains for a in chain)])
-    size = min(longest - halo, max(CHUNK_ROWS, 4 * halo))
+    return halo, min(longest - halo, max(CHUNK_ROWS, 4 * halo))
+
+
+def fits(chains: Sequence[Sequence[float]], lookback: int = 0) -> bool:
+    """Whether recurrences of these alphas can share chunks: the slowest one's halo must not outgrow the fastest one's range."""
+    halo, size = _layout(chains, lookback)
+    return size >= max(1, halo // 64)
+
+
+def chunk_plan(chains: Sequence[Sequence[float]], lookback: int = 0) -> tuple[int, int]:
+    """(halo, size) for recurrences with the given alphas; inner lists are applied one after another. Alphas that do
+    not ``fits`` need chunks of their own, one after the other."""
+    halo, size = _layout(chains, lookback)
     if size < 1:
         raise ValueError("these recurrences need separate chunks")
     return halo, size

@@ -135,31 +135,18 @@ def slice_windows(indexed: DataFrame, windows: DataFrame, warmup: int = 250) ->
 def window_edges(indexed: DataFrame, windows: DataFrame) -> DataFrame:
     """First row number at or after each window's start and end (one past the last if none).
 
-    Counting the rows before an instant is a sum over time slots plus the rest inside one slot, so
-    no join of all bars with all windows is needed.
+    Edges and bars are put into one order of time, edges before bars of the same instant; the highest row number so
+    far is what lies before an edge. Time is cut into slices of bounded size, so bars and windows never meet in a join.
     """
-    slot = 30 * 86400
-    points = (windows.select("symbol", "window_id", F.explode(F.array(
-        F.struct(F.lit("start_no").alias("edge"), F.col("start").alias("at")),
-        F.struct(F.lit("end_no").alias("edge"), F.col("end").alias("at")))).alias("_p"))
-        .select("symbol", "window_id", "_p.edge", "_p.at")
-        .withColumn("_slot", ordered.time_chunk(F.col("at"), slot)))
-    rows = indexed.select("symbol", "ts", "row_no").withColumn("_slot", ordered.time_chunk(F.col("ts"), slot))
-    per_slot = rows.groupBy("symbol", "_slot").agg(F.max("row_no").alias("_last"))
-    # rows before the slot: the last row number of an earlier slot
-    earlier = (points.alias("p").join(per_slot.alias("s"),
-                                      (F.col("p.symbol") == F.col("s.symbol")) & (F.col("s._slot") < F.col("p._slot")),
-                                      "left")
-               .groupBy("p.symbol", "p.window_id", "p.edge", "p.at", "p._slot")
-               .agg(F.coalesce(F.max("_last"), F.lit(0)).alias("_before")))
-    inside = (earlier.alias("e").join(rows.alias("r"),
-                                      (F.col("e.symbol") == F.col("r.symbol")) & (F.col("e._slot") == F.col("r._slot"))
-                                      & (F.col("r.ts") < F.col("e.at")), "left")
-              .groupBy("e.symbol", "e.window_id", "e.edge")
-              .agg(F.max("_before").alias("_before"), F.count("r.ts").alias("_in")))
-    return (inside.groupBy("symbol", "window_id")
-            .agg(*[F.max(F.when(F.col("edge") == e, F.col("_before") + F.col("_in") + 1)).alias(e)
-                   for e in ("start_no", "end_no")]))
+    points = windows.select("symbol", F.explode(F.array(
+        F.struct(F.lit("start_no").alias("edge"), F.col("start").alias("at"), F.col("window_id").alias("id")),
+        F.struct(F.lit("end_no").alias("edge"), F.col("end").alias("at"), F.col("window_id").alias("id")))).alias("_p"))
+    both = points.select("symbol", F.col("_p.at").alias("_at"), F.lit(None).cast("bigint").alias("_no"), "_p").unionByName(
+        indexed.select("symbol", F.col("ts").alias("_at"), F.col("row_no").cast("bigint").alias("_no")), allowMissingColumns=True)
+    both = ordered.time_slices(both, ["symbol"], "_at", "_slice", slot=30 * 86400)
+    seen = ordered.running(both, ["symbol"], ["_at", "_no", "_p"], F.col("_slice"), {"_before": ("max", F.col("_no"))})
+    found = seen.filter(F.col("_p").isNotNull()).select("symbol", F.col("_p.id").alias("window_id"), "_p.edge", (F.coalesce("_before", F.lit(0)) + 1).alias("_first"))
+    return found.groupBy("symbol", "window_id").agg(*[F.max(F.when(F.col("edge") == e, F.col("_first"))).alias(e) for e in ("start_no", "end_no")])
 
 
 def holdout_split(bars: DataFrame, held_out_months: int = 2, opt_months: int = 6, test_months: int = 3,

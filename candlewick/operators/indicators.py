@@ -79,14 +79,19 @@ def ema(indexed: DataFrame, period: int, src: str = "close", out: str = "ema") -
 
 
 def macd(indexed: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """Line, signal and histogram. Both averages and the signal share one set of chunks."""
+    """Line, signal and histogram. Both averages and the signal share one set of chunks if their periods allow it;
+    otherwise each average is computed in chunks of its own."""
     lo, hi = sorted((fast, slow))
     af, as_, sg = ema_alpha(lo), ema_alpha(hi), ema_alpha(signal)
-    rows, halo, size = _chunked(indexed, hi, [[af, sg], [as_, sg]])
-    rows = (rows.withColumn("_f", seeded_average("close", lo, af, 1, halo, size))
-            .withColumn("_s", seeded_average("close", hi, as_, 1, halo, size))
-            .withColumn("macd", F.col("_f") - F.col("_s"))
-            .withColumn("macd_signal", seeded_average("macd", signal, sg, hi, halo, size))
+    line = F.col("_f") - F.col("_s")
+    if ordered.fits([[af, sg], [as_, sg]], hi):
+        rows, halo, size = _chunked(indexed, hi, [[af, sg], [as_, sg]])
+        rows = (rows.withColumn("_f", seeded_average("close", lo, af, 1, halo, size))
+                .withColumn("_s", seeded_average("close", hi, as_, 1, halo, size)).withColumn("macd", line))
+    else:
+        apart = ema(ema(indexed, lo, out="_f"), hi, out="_s").withColumn("macd", line)
+        rows, halo, size = _chunked(apart, hi + signal, [[sg]])
+    rows = (rows.withColumn("macd_signal", seeded_average("macd", signal, sg, hi, halo, size))
             .withColumn("macd_hist", F.col("macd") - F.col("macd_signal")))
     return ordered.own_rows(rows).drop("_f", "_s")
 
@@ -228,7 +233,10 @@ def features(indexed: DataFrame, params: dict | None = None) -> DataFrame:
     w14, wr = wilder_alpha(14), wilder_alpha(n)
     longest = max(fast, slow, p.get("channel_period", 0), p.get("exit_period", 0), 20, n + 1)
     # one extra row for lagged values, 20 for the ATR average and 28 for the two stacked seeds
-    rows, halo, size = _chunked(indexed, longest + 50, [[w14, w14], [wr]])
+    rsi_apart = not ordered.fits([[w14, w14], [wr]], longest + 50)
+    if rsi_apart:
+        indexed = rsi(indexed, n)
+    rows, halo, size = _chunked(indexed, longest + 50, [[w14, w14]] if rsi_apart else [[w14, w14], [wr]])
     prev = lambda c: prev_col(c)
     base = {"_pc": prev("close"), "_ph": prev("high"), "_pl": prev("low"), "volume_sma": sma_col("volume", 20),
             **_bollinger_base(20)}
@@ -242,9 +250,9 @@ def features(indexed: DataFrame, params: dict | None = None) -> DataFrame:
         base,
         {**_step_cols(), **_range_cols(), **_directional_cols(), **_bollinger_bands(2.0),
          "volume_rel": F.try_divide("volume", "volume_sma"), "session": session_label(F.col("ts"))},
-        {"_ag": average("_gain", n, wr), "_al": average("_loss", n, wr), "atr": average("_tr", 14, w14),
+        {**({} if rsi_apart else {"_ag": average("_gain", n, wr), "_al": average("_loss", n, wr)}), "atr": average("_tr", 14, w14),
          "_au": average("_up", 14, w14), "_ad": average("_dn", 14, w14)},
-        {"rsi": _rsi_from("_ag", "_al"), **_di_cols("atr"), "atr_sma20": sma_col("atr", 20, first_row=15)},
+        {**({} if rsi_apart else {"rsi": _rsi_from("_ag", "_al")}), **_di_cols("atr"), "atr_sma20": sma_col("atr", 20, first_row=15)},
         {"_dx": _dx_col(), "atr_ratio": F.try_divide("atr", "atr_sma20"),
          **{f"{c}_prev": prev(c) for c in ("sma_fast", "sma_slow", "rsi")}},
         {"adx": seeded_average("_dx", 14, w14, 15, halo, size)},

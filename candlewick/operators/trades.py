@@ -13,6 +13,7 @@ from candlewick.functions.staging import stage
 from candlewick.operators.indicators import ma_distance_ticks
 
 SNAPSHOT = ["rsi", "bb_pct", "atr", "atr_ratio", "volume_rel"]
+TOP_COPIES = 64
 
 
 def next_bar_fills(signals: DataFrame, feats: DataFrame, specs: DataFrame, keys: Sequence[str] = (), risk_pct: float = 1.0,
@@ -79,7 +80,8 @@ def barrier_outcomes(entries: DataFrame, bars: DataFrame, fan_out: int = 64) ->
     ``fan_out`` at a time into blocks with their lowest low and highest high, blocks into larger ones
     and so on, three levels up. A search climbs from the entry block until some block touches and then
     descends into it, so it reads a few short arrays, however far away the touch is, and every
-    array except the per-symbol top list has at most ``fan_out`` nodes.
+    array except the per-symbol top list has at most ``fan_out`` nodes. The top lists are repeated under ``TOP_COPIES``
+    numbers, among which the entries of a symbol spread; entries that need no more search carry keys of their own.
     """
     f = fan_out
     node = lambda key, src: src.withColumn("_up", F.floor(F.col(key) / f))
@@ -93,6 +95,8 @@ def barrier_outcomes(entries: DataFrame, bars: DataFrame, fan_out: int = 64) ->
             .withColumnRenamed("_up", "no")
         level = node("no", level) if depth < 2 else level.withColumn("_up", F.lit(0).cast("bigint"))
         arrays.append(level.groupBy("symbol", "_up").agg(F.sort_array(F.collect_list(F.struct("no", "low", "high"))).alias("_a")))
+    copies = F.sequence(F.lit(0), F.lit(TOP_COPIES - 1)).cast("array<bigint>")
+    arrays[3] = arrays[3].withColumn("_up", F.explode(copies))
 
     buy = money.is_buy(F.col("direction"))
     w = (entries.withColumn("_lo_level", F.when(buy, F.col("sl_price")).otherwise(F.col("tp_price")))
@@ -104,7 +108,8 @@ def barrier_outcomes(entries: DataFrame, bars: DataFrame, fan_out: int = 64) ->
 
     def step(w: DataFrame, depth: int, where: Column, active: Column, after: Column | None, target: str) -> DataFrame:
         """Look into one node list per unresolved entry."""
-        probe = w.withColumn("_up", F.when(active, where))
+        # node numbers are not negative, so a resolved entry meets nothing and none of its like
+        probe = w.withColumn("_up", F.when(active, where).otherwise(-1 - F.col("entry_no")))
         seen = probe.join(arrays[depth], ["symbol", "_up"], "left")
         found = _first("_a", after, "no") if target != "_hit" else F.get(
             F.filter("_a", lambda n: _touches(n["low"], n["high"]) & (n["no"] >= after if after is not None else F.lit(True))), F.lit(0))
@@ -114,7 +119,7 @@ def barrier_outcomes(entries: DataFrame, bars: DataFrame, fan_out: int = 64) ->
     w = step(w, 0, F.col("_at1"), F.lit(True), F.col("_at0"), "_hit")
     w = step(w, 1, F.col("_at2"), none("_hit")[0], F.col("_at1") + 1, "_b1")
     w = step(w, 2, F.col("_at3"), none("_hit")[0] & none("_b1")[0], F.col("_at2") + 1, "_b2")
-    w = step(w, 3, F.lit(0).cast("bigint"), none("_hit")[0] & none("_b1")[0] & none("_b2")[0], F.col("_at3") + 1, "_b3")
+    w = step(w, 3, F.pmod(F.col("entry_no"), F.lit(TOP_COPIES)).cast("bigint"), none("_hit")[0] & none("_b1")[0] & none("_b2")[0], F.col("_at3") + 1, "_b3")
     w = step(w, 2, F.col("_b3"), F.col("_b3").isNotNull(), None, "_b2")
     w = step(w, 1, F.col("_b2"), F.col("_b2").isNotNull(), None, "_b1")
     w = step(w, 0, F.col("_b1"), F.col("_b1").isNotNull(), None, "_hit")
@@ -226,19 +231,18 @@ def excursions(trades: DataFrame, bars: DataFrame, trade_key: Sequence[str]) ->
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, payload: Sequence[str],
-          tie: Sequence[str], chunk_seconds: int = 30 * 86400) -> DataFrame:
+          tie: Sequence[str], chunk_rows: int = ordered.CHUNK_ROWS) -> DataFrame:
     """Attach the latest right row at or before each left time.
 
-    Union, then the last non-NULL payload in time order, carried across calendar chunks. ``tie`` are
-    left columns that make the order of left rows total.
+    Union, then the last non-NULL payload in time order, carried across slices of time of about ``chunk_rows`` rows.
+    ``tie`` are left columns that make the order of left rows total.
     """
     body = F.struct(*[F.col(c) for c in [right_ts, *payload]])
     r = right.select(*keys, F.col(right_ts).alias("_at"), F.lit(0).alias("_side"), body.alias("_p"))
     l0 = left.select(*keys, F.col(left_ts).alias("_at"), F.lit(1).alias("_side"),
                      F.struct(*[c for c in left.columns if c not in keys]).alias("_row"), F.struct(*tie).alias("_tie"))
-    both = l0.unionByName(r, allowMissingColumns=True)
-    got = ordered.running(both, keys, ["_at", "_side", "_tie"], ordered.time_chunk(F.col("_at"), chunk_seconds),
-                          {"_last": ("last", F.col("_p"))})
+    both = ordered.time_slices(l0.unionByName(r, allowMissingColumns=True), keys, "_at", "_slice", chunk_rows)
+    got = ordered.running(both, keys, ["_at", "_side", "_tie"], F.col("_slice"), {"_last": ("last", F.col("_p"))})
     return got.filter("_side = 1").select(*keys, "_row.*", F.col(f"_last.{right_ts}").alias("as_of_ts"),
                                           *[F.col(f"_last.{c}").alias(c) for c in payload])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,24 +41,40 @@ def live_signals(bars: DataFrame, template: str, params: dict, lookback: int = L
     return signals.latest(sig)
 
 
-def signal_sink(bar_path: str, out_path: str, template: str, params: dict, timeframe: str = "H1",
-                span_days: int = 90) -> Callable[[DataFrame, int], None]:
+def last_bars(bars: DataFrame, lookback: int = LIVE_WINDOW) -> DataFrame:
+    """The newest ``lookback`` bars per symbol; the map side already drops what no symbol can need."""
+    w = Window.partitionBy("symbol").orderBy(F.desc("ts"))
+    return bars.withColumn("_back", F.row_number().over(w)).filter(F.col("_back") <= lookback).drop("_back")
+
+
+def signal_sink(bar_path: str, out_path: str, template: str, params: dict, lookback: int = LIVE_WINDOW) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: store the closed bars, then evaluate the newest bar per symbol.
 
-    Both outputs are folders per batch id, overwritten on a retry, so a replayed batch changes nothing.
-    ``span_days`` prunes the stored history to what ``LIVE_WINDOW`` bars can need.
+    All outputs are folders per batch id, overwritten on a retry, so a replayed batch changes nothing.
+    Next to the full history, ``<bar_path>_last`` keeps the newest ``lookback`` bars of every symbol as of each batch: a
+    batch reads that of the one before it, so its cost follows the number of symbols, not the length of the
+    history or the timeframe. Where it is missing (a sink put onto older files), the stored history is read once.
     """
 
+    def before(spark, batch_id: int) -> DataFrame | None:
+        if batch_id == 0:
+            return None
+        try:
+            return spark.read.parquet(f"{bar_path}_last/batch={batch_id - 1}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        return spark.read.option("basePath", bar_path).parquet(bar_path).filter(F.col("batch") < batch_id).drop("batch")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{bar_path}/batch={batch_id}")
-        stored = spark.read.option("basePath", bar_path).parquet(bar_path).filter(F.col("batch") <= batch_id).drop("batch")
-        newest = batch.groupBy().agg(F.max("ts").alias("_hi"), F.lit(1).alias("_k"))
-        # one row: the batch's last bar time
-        pruned = (stored.withColumn("_k", F.lit(1)).join(F.broadcast(newest), "_k")
-                  .filter(F.unix_seconds("ts") >= F.unix_seconds("_hi") - span_days * 86400).drop("_k", "_hi"))
-        touched = pruned.join(batch.select("symbol").distinct(), "symbol", "left_semi")
-        out = live_signals(touched, template, params)
+        new = spark.read.schema(batch.schema).parquet(f"{bar_path}/batch={batch_id}")
+        old = before(spark, batch_id)
+        last = f"{bar_path}_last/batch={batch_id}"
+        last_bars(new if old is None else old.unionByName(new), lookback).write.mode("overwrite").parquet(last)
+        touched = spark.read.schema(batch.schema).parquet(last).join(new.select("symbol").distinct(), "symbol", "left_semi")
+        out = live_signals(touched, template, params, lookback)
         out.select("symbol", "ts", "signal", "reason", "sl_price", "tp_price", "session", "regime").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return write
