@@ -40,10 +40,18 @@ FIXED = {"risk_per_trade_pct": 1.0, "exit_on_opposite_crossover": False, "warmup
 # pairs that must be strictly increasing
 ORDERED = {"ma_crossover": ("fast_ma_period", "slow_ma_period"), "rsi_reversion": ("rsi_oversold", "rsi_overbought"),
            "donchian_breakout": ("exit_period", "channel_period")}
-# parameters that decide where a template enters
-ENTRY_AXES = {"ma_crossover": ["fast_ma_period", "slow_ma_period"], "rsi_reversion": ["rsi_oversold", "rsi_overbought"],
-              "donchian_breakout": ["channel_period"], "hybrid_confluence": ["slow_ma_period", "rsi_oversold", "rsi_overbought"]}
-EXIT_AXES = ["sl_atr_multiple", "tp_rr_ratio", "use_exit"]
+# parameters that decide where a template enters, and their values where a space does not name them
+ENTRY_AXES = {"ma_crossover": ["fast_ma_period", "slow_ma_period", "ma_type"], "rsi_reversion": ["rsi_period", "rsi_oversold", "rsi_overbought"],
+              "donchian_breakout": ["channel_period"], "hybrid_confluence": ["slow_ma_period", "ma_type", "rsi_period", "rsi_oversold", "rsi_overbought"]}
+ENTRY_DEFAULTS = {"ma_type": "SMA", "rsi_period": 14}
+# ``rule_period`` is the period of the exit rule where it is no entry parameter (the exit channel), else 0
+EXIT_AXES = ["sl_atr_multiple", "tp_rr_ratio", "use_exit", "risk_per_trade_pct", "rule_period"]
+# the switch of a template's exit rule and its default; a template without a switch always uses its rule
+EXIT_SWITCH = {"ma_crossover": ("exit_on_opposite_crossover", False), "donchian_breakout": ("exit_on_opposite_crossover", False), "rsi_reversion": ("exit_on_midline", True)}
+# entry parameters that an exit rule depends on
+RULE_AXES = {"ma_crossover": ["fast_ma_period", "slow_ma_period", "ma_type"], "rsi_reversion": ["rsi_period"], "hybrid_confluence": ["rsi_period"], "donchian_breakout": []}
+# parameters of a set that filter its signals or change its account, for every template
+SET_FILTERS = ["adx_threshold", "allowed_sessions", "atr_ratio_min", "atr_ratio_max", "daily_loss_halt_pct", "cooldown_requires_midline"]
 # Template pairs tried as combinations, and the filter settings tried on a candidate.
 COMBINATIONS = [("ma_crossover", "rsi_reversion"), ("donchian_breakout", "rsi_reversion"), ("hybrid_confluence", "rsi_reversion")]
 FILTER_SETTINGS = {
@@ -74,7 +82,28 @@ def parameter_grid(spark: SparkSession, template: str, space: dict | None = None
         lo, hi = ORDERED[template]
         out = out.filter(F.col(lo) < F.col(hi))
     adx = F.col("adx_threshold") if "adx_threshold" in space else F.lit(0)
-    return out.withColumns({**{k: F.lit(v) for k, v in FIXED.items()}, "adx_threshold": adx, "adx_min_threshold": adx})
+    return out.withColumns({**{k: F.lit(v) for k, v in FIXED.items() if k not in space}, "adx_threshold": adx, "adx_min_threshold": adx})
+
+
+def check_space(template: str, space: dict) -> None:
+    """Raise on a parameter that the evaluation of this template would not use."""
+    rule = [EXIT_SWITCH[template][0]] if template in EXIT_SWITCH else []
+    known = {*ENTRY_AXES[template], *rule, *SET_FILTERS, "sl_atr_multiple", "tp_rr_ratio", "risk_per_trade_pct", *(["exit_period"] if template == "donchian_breakout" else [])}
+    if unknown := sorted(set(space) - known):
+        raise ValueError(f"the evaluation of {template} does not use {', '.join(unknown)}")
+
+
+def with_axes(sets: DataFrame, template: str, exit_template: str | None = None) -> DataFrame:
+    """Sets with every entry and exit axis; those a set does not name get their defaults."""
+    has, rule = set(sets.columns), exit_template or template
+    new = {a: F.lit(v) for a, v in ENTRY_DEFAULTS.items() if a in ENTRY_AXES[template] and a not in has}
+    if "use_exit" not in has:
+        switch, default = EXIT_SWITCH.get(rule, (None, True))
+        new["use_exit"] = F.col(switch) if switch in has else F.lit(default)
+    new["risk_per_trade_pct"] = (F.col("risk_per_trade_pct") if "risk_per_trade_pct" in has else F.lit(FIXED["risk_per_trade_pct"])).cast("double")
+    out = sets.withColumns(new)
+    period = F.when(F.col("use_exit"), F.col("exit_period")).otherwise(0) if rule == "donchian_breakout" and "exit_period" in has else F.lit(0)
+    return out.withColumn("rule_period", period.cast("int"))
 
 
 def grid_size(spark: SparkSession, template: str, space: dict | None = None) -> DataFrame:
@@ -107,64 +136,121 @@ def coherence(sets: DataFrame, risk_capital: float = 10_000.0) -> DataFrame:
 def entry_combos(template: str, space: dict | None = None) -> list[tuple]:
     """Distinct entry combinations of a space."""
     space = space or SPACES[template]
-    combos = itertools.product(*[space[a] for a in ENTRY_AXES[template]])
     axes = ENTRY_AXES[template]
+    combos = itertools.product(*[space[a] if a in space or a not in ENTRY_DEFAULTS else [ENTRY_DEFAULTS[a]] for a in axes])
     if template in ORDERED and set(ORDERED[template]) <= set(axes):
         lo, hi = (axes.index(a) for a in ORDERED[template])
         return [c for c in combos if c[lo] < c[hi]]
     return list(combos)
 
 
-def exit_combos(space: dict) -> list[tuple]:
-    """Distinct (stop, target, use_exit); templates without the switch always use their exit rule."""
-    return list(itertools.product(space["sl_atr_multiple"], space["tp_rr_ratio"], space.get("exit_on_midline", [True])))
+def exit_combos(space: dict, template: str, exit_template: str | None = None) -> list[tuple]:
+    """Distinct combinations of the exit axes."""
+    rule = exit_template or template
+    switch, default = EXIT_SWITCH.get(rule, (None, True))
+    periods = space.get("exit_period", [0]) if rule == "donchian_breakout" else [0]
+    every = itertools.product(space["sl_atr_multiple"], space["tp_rr_ratio"], space.get(switch, [default]), space.get("risk_per_trade_pct", [FIXED["risk_per_trade_pct"]]), periods)
+    return list(dict.fromkeys((sl, tp, use, float(risk), n if use else 0) for sl, tp, use, risk, n in every))
 
 
-def grid_features(indexed: DataFrame, template: str, combos: Sequence[tuple], rsi_period: int = 14) -> DataFrame:
-    """Features with one column per distinct period, from one set of chunks."""
+def _values(template: str, combos: Sequence[tuple], axis: str) -> list:
     axes = ENTRY_AXES[template]
-    of = lambda a: sorted({c[axes.index(a)] for c in combos}) if a in axes else []
-    mas = sorted(set(of("fast_ma_period")) | set(of("slow_ma_period")))
-    chans = of("channel_period")
-    feats = ind.with_warmup_defaults(ind.features(indexed, {"rsi_period": rsi_period}))
-    if not mas and not chans:
+    return sorted({c[axes.index(axis)] for c in combos}) if axis in axes else []
+
+
+def _averages(template: str, combos: Sequence[tuple]) -> list[tuple[str, int]]:
+    """(type, period) of every moving average the combinations use."""
+    axes = ENTRY_AXES[template]
+    if "ma_type" not in axes:
+        return []
+    kind = axes.index("ma_type")
+    return sorted({(c[kind], c[axes.index(a)]) for c in combos for a in ("fast_ma_period", "slow_ma_period") if a in axes})
+
+
+def grid_features(indexed: DataFrame, template: str, combos: Sequence[tuple], exit_periods: Sequence[int] = ()) -> DataFrame:
+    """Features with one column per distinct average (``sma_n``, ``ema_n``), RSI (``rsi_n``) and channel (``upper_n``,
+    ``lower_n``). Plain averages and channels share one set of chunks; every other EMA and RSI has its own."""
+    averages, rsis = _averages(template, combos), _values(template, combos, "rsi_period")
+    chans = sorted({*_values(template, combos, "channel_period"), *[n for n in exit_periods if n > 0]})
+    base = ENTRY_DEFAULTS["rsi_period"]
+    feats = ind.with_warmup_defaults(ind.features(indexed, {"rsi_period": base}))
+    for kind, n in averages:
+        if kind not in ("SMA", "EMA"):
+            raise ValueError(f"unknown kind of moving average {kind!r}")
+        if kind == "EMA":
+            feats = ind.ema(feats, n, out=f"ema_{n}")
+    for n in rsis:
+        feats = feats.withColumns({f"rsi_{n}": F.col("rsi"), f"rsi_{n}_prev": F.col("rsi_prev")}) if n == base else ind.rsi(feats, n, out=f"rsi_{n}")
+    own_rsi = [n for n in rsis if n != base]
+    plain = [n for kind, n in averages if kind == "SMA"]
+    if not averages and not chans and not own_rsi:
         return feats
-    rows = ordered.spread(feats, max([*mas, *chans]) + 2)
-    rows = rows.withColumns({f"sma_{n}": ind.sma_col("close", n) for n in mas} | {
+    rows = ordered.spread(feats, max([*plain, *chans, 1]) + 2)
+    rows = rows.withColumns({f"sma_{n}": ind.sma_col("close", n) for n in plain} | {
         k: v for n in chans for k, v in ind.donchian_cols(n, f"upper_{n}", f"lower_{n}").items()})
-    if mas:
-        rows = rows.withColumns({f"sma_{n}_prev": ind.prev_col(f"sma_{n}") for n in mas})
-    return ordered.own_rows(rows)
+    rows = rows.withColumns({f"{kind.lower()}_{n}_prev": ind.prev_col(f"{kind.lower()}_{n}") for kind, n in averages} | {f"rsi_{n}_prev": ind.prev_col(f"rsi_{n}") for n in own_rsi})
+    calm = ind.WARMUP_DEFAULTS["rsi"]
+    return ordered.own_rows(rows.withColumns({c: ind.finite_or(F.col(c), calm) for n in own_rsi for c in (f"rsi_{n}", f"rsi_{n}_prev")}))
+
+
+def _inputs(at: dict) -> list[Column]:
+    """The feature columns of one combination under the names the templates read, with a leading underscore."""
+    cols = []
+    for role, a in (("sma_fast", "fast_ma_period"), ("sma_slow", "slow_ma_period")):
+        if a in at:
+            name = f"{at['ma_type'].lower()}_{at[a]}"
+            cols += [F.col(name).alias(f"_{role}"), F.col(f"{name}_prev").alias(f"_{role}_prev")]
+    if "rsi_period" in at:
+        cols += [F.col(f"rsi_{at['rsi_period']}{end}").alias(f"_rsi{end}") for end in ("", "_prev")]
+    for role, a in (("entry", "channel_period"), ("exit", "rule_period")):
+        if a in at:
+            cols += [F.col(f"{side}_{at[a]}").alias(f"_donchian_{side}_{role}") for side in ("upper", "lower")]
+    return cols
+
+
+def _per_combo(feats: DataFrame, combos: Sequence[dict], keep: Sequence[str]) -> DataFrame:
+    """Every bar once per combination: its parameters and the columns that ``_inputs`` picks for it."""
+    base = feats.withColumn("_e", F.explode(F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in at.items()], *_inputs(at)) for at in combos])))
+    names = base.schema["_e"].dataType.fieldNames()
+    taken = {n.removeprefix("_") for n in names}
+    return base.select(*[c for c in keep if c not in taken], *[F.col(f"_e.{n}").alias(n.removeprefix("_")) for n in names])
 
 
 def entry_signals(feats: DataFrame, template: str, combos: Sequence[tuple]) -> DataFrame:
     """Signal bars of every entry combination, before session, ADX and volatility filters."""
     axes = ENTRY_AXES[template]
-    fields = []
-    for combo in combos:
-        at = dict(zip(axes, combo, strict=True))
-        cols = [F.lit(v).alias(a) for a, v in at.items()]
-        for role, a in (("sma_fast", "fast_ma_period"), ("sma_slow", "slow_ma_period")):
-            if a in at:
-                cols += [F.col(f"sma_{at[a]}").alias(f"_{role}"), F.col(f"sma_{at[a]}_prev").alias(f"_{role}_prev")]
-        if "channel_period" in at:
-            n = at["channel_period"]
-            cols += [F.col(f"upper_{n}").alias("_donchian_upper_entry"), F.col(f"lower_{n}").alias("_donchian_lower_entry")]
-        fields.append(F.struct(*cols))
-    base = feats.filter("session <> 'DEAD_ZONE'").withColumn("_e", F.explode(F.array(*fields)))
-    picked_names = base.schema["_e"].dataType.fieldNames()
-    taken = {n.removeprefix("_") for n in picked_names}
     keep = ["symbol", "row_no", "ts", "close", "atr", "adx", "session", "atr_ratio", "rsi", "rsi_prev", "sma_fast", "sma_fast_prev",
             "sma_slow", "sma_slow_prev"]
-    picked = base.select(*[c for c in keep if c not in taken], *[F.col(f"_e.{n}").alias(n.removeprefix("_")) for n in picked_names])
+    picked = _per_combo(feats.filter("session <> 'DEAD_ZONE'"), [dict(zip(axes, c, strict=True)) for c in combos], keep)
     params = {a: F.col(a) for a in axes} | {"adx_threshold": 0}
     sig = signals.with_signals(picked, template, params, reasons=False)
     return sig.filter("signal <> 'HOLD'").select("symbol", *axes, "row_no", "ts", "signal", "close", "atr", "adx", "session", "atr_ratio")
 
 
+def exit_bars(feats: DataFrame, template: str, exit_template: str | None, combos: Sequence[tuple], exits: Sequence[tuple]) -> tuple[DataFrame, list[str]]:
+    """For every bar and setting of the exit rule, the next bar it would close a long or a short; and the setting's columns."""
+    rule, axes = exit_template or template, ENTRY_AXES[template]
+    keep = ["symbol", "row_no", "close", "session", "rsi", "rsi_prev", "sma_fast", "sma_fast_prev", "sma_slow", "sma_slow_prev"]
+    if rule == "donchian_breakout":
+        keys = ["rule_period"]
+        settings = [{"rule_period": n} for n in sorted({e[4] for e in exits if e[2]})]
+    else:
+        # a rule whose parameters the entries do not have runs on its defaults
+        keys = RULE_AXES[rule] if set(RULE_AXES[rule]) <= set(axes) else []
+        settings = [dict(zip(keys, c, strict=True)) for c in dict.fromkeys(tuple(c[axes.index(a)] for a in keys) for c in combos)]
+    rows = _per_combo(feats, settings, keep) if keys else feats.select(*keep)
+    switch = {EXIT_SWITCH[rule][0]: True} if rule in EXIT_SWITCH else {}
+    return trades.next_exit_bars(signals.with_exit_flags(rows, rule, switch), ["symbol", *keys]), keys
+
+
 def outcomes(sig: DataFrame, feats: DataFrame, specs: DataFrame, template: str, exits: Sequence[tuple], exit_template: str | None = None,
-             capital: float = 10_000.0, noise: bool = True, fan_out: int = 64) -> DataFrame:
-    """Fill, barrier touch and next signal exit of every (signal, stop, target, exit switch)."""
+             capital: float = 10_000.0, noise: bool = True, fan_out: int = 64, combos: Sequence[tuple] = ()) -> DataFrame:
+    """Fill, barrier touch and next signal exit of every (signal, combination of the exit axes).
+
+    ``exits`` may leave out the last axes (risk and rule period). ``combos`` are the entry combinations of ``sig``;
+    an exit rule that depends on entry parameters needs them.
+    """
+    exits = [(*e, *(float(FIXED["risk_per_trade_pct"]), 0)[len(e) - 3:]) for e in exits]
     axes = [*ENTRY_AXES[template], *EXIT_AXES]
     ex = F.explode(F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip(EXIT_AXES, e, strict=True)]) for e in exits]))
     s = sig.withColumn("_x", ex).select("symbol", *ENTRY_AXES[template], "row_no", "ts", "signal", "close", "atr", "adx", "session", "atr_ratio", "_x.*")
@@ -175,17 +261,18 @@ def outcomes(sig: DataFrame, feats: DataFrame, specs: DataFrame, template: str,
     gate = ["adx", "session", "atr_ratio"]
     s = s.withColumns({f"signal_{g}": F.col(g) for g in gate})
     carried = [*axes, *[f"signal_{g}" for g in gate]]
-    fills = trades.next_bar_fills(s, feats, specs, keys=carried, capital=capital, noise=noise)
+    fills = trades.next_bar_fills(s, feats, specs, keys=carried, risk_pct=F.col("risk_per_trade_pct"), capital=capital, noise=noise)
     touched = trades.barrier_outcomes(stage(fills), feats, fan_out)
-    flags = signals.with_exit_flags(feats, exit_template or template, {})
-    nxt = trades.next_exit_bars(flags).withColumnRenamed("row_no", "entry_no")
-    t = touched.join(nxt, ["symbol", "entry_no"], "left")
+    if not any(e[2] for e in exits):
+        return touched.withColumn("flag_no", F.lit(None).cast("bigint"))
+    nxt, keys = exit_bars(feats, template, exit_template, combos, exits)
+    t = touched.join(nxt.withColumnRenamed("row_no", "entry_no"), ["symbol", *keys, "entry_no"], "left")
     flag = F.when(money.is_buy(F.col("direction")), F.col("next_buy_exit")).otherwise(F.col("next_sell_exit"))
     return t.withColumn("flag_no", F.when(F.col("use_exit"), flag)).drop("next_buy_exit", "next_sell_exit")
 
 
 def pick_trades(out: DataFrame, feats: DataFrame, specs: DataFrame, template: str, sets: DataFrame, spans: DataFrame,
-                set_key: str = "params_id", capital: float = 10_000.0, warmup: int = 250, block: int = 1024) -> DataFrame:
+                set_key: str = "params_id", capital: float = 10_000.0, warmup: int = 250, block: int = 1024, exit_template: str | None = None) -> DataFrame:
     """Trades of every (symbol, span, parameter set): filters, horizon, P&L, single position.
 
     ``spans``: symbol, span_id, start_no, end_no (row numbers, end exclusive). ``sets``: the set key,
@@ -193,6 +280,7 @@ def pick_trades(out: DataFrame, feats: DataFrame, specs: DataFrame, template: st
     daily_loss_halt_pct, cooldown_requires_midline. A ``symbol`` or ``span_id`` column in ``sets``
     restricts a set to that symbol or span.
     """
+    sets = with_axes(sets, template, exit_template)
     scope = [c for c in ("symbol", "span_id") if c in sets.columns]
     axes = [*scope, *ENTRY_AXES[template], *EXIT_AXES]
     has = set(sets.columns)
@@ -208,8 +296,7 @@ def pick_trades(out: DataFrame, feats: DataFrame, specs: DataFrame, template: st
     priced = inside.join(bar, ["symbol", "exit_no"]).withColumn("exit_price", F.when(F.col("close_reason").isin("SL_HIT", "TP_HIT"), F.col("touch_price"))
                                                                .when(F.col("close_reason") == "END_OF_DATA", F.col("_c")).otherwise(F.col("_o"))).drop("_o", "_c")
     costed = trades.with_pnl(priced, specs)
-    s = sets.select(set_key, *[F.col(a) for a in axes], *[c for c in ("adx_threshold", "allowed_sessions", "atr_ratio_min", "atr_ratio_max",
-                                                                      "daily_loss_halt_pct", "cooldown_requires_midline") if c in has])
+    s = sets.select(set_key, *[F.col(a) for a in axes], *[c for c in SET_FILTERS if c in has])
     picked = costed.join(s, axes)
     ok = (F.col("adx_threshold") <= 0) | (F.col("signal_adx") >= F.col("adx_threshold"))
     if "allowed_sessions" in has:

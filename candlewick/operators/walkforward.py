@@ -50,19 +50,18 @@ def sufficiency(spans: DataFrame, warmup: int = 250, min_opt: int = MIN_OPT_BARS
 def walk_forward(indexed: DataFrame, specs: DataFrame, template: str, space: dict, opt_months: int, test_months: int, mandate: dict | None = None,
                  capital: float = 10_000.0, anchored: bool = False, noise: bool = True, min_opt: int = MIN_OPT_BARS, min_test: int = MIN_TEST_BARS,
                  min_trades_opt: int = 10, min_trades_test: int = 10) -> DataFrame:
-    """Every window of every symbol: best set in-sample over the full grid, then that set out-of-sample."""
+    """Every window of every symbol: best coherent set in-sample over the full grid, then that set out-of-sample."""
     spark = indexed.sparkSession
     indexed = stage(indexed)
     windows = build_windows(indexed, opt_months, test_months, anchored)
     spans = stage(phase_spans(indexed, windows))
     enough = sufficiency(spans, min_opt=min_opt, min_test=min_test)
     usable = spans.join(enough.filter("status = 'OK'").select("symbol", "window_num"), ["symbol", "window_num"], "left_semi")
-    combos = g.entry_combos(template, space)
-    feats = stage(g.grid_features(indexed, template, combos))
-    sets = g.parameter_grid(spark, template, space)
-    sets = sets.withColumn("use_exit", F.col("exit_on_midline") if "exit_on_midline" in sets.columns else F.lit(template not in ("ma_crossover", "donchian_breakout")))
-    exits = g.exit_combos(space) if "exit_on_midline" in space else [(s, t, template not in ("ma_crossover", "donchian_breakout")) for s, t, _ in g.exit_combos(space)]
-    out = stage(g.outcomes(g.entry_signals(feats, template, combos), feats, specs, template, exits, capital=capital, noise=noise))
+    g.check_space(template, space)
+    combos, exits = g.entry_combos(template, space), g.exit_combos(space, template)
+    feats = stage(g.grid_features(indexed, template, combos, [e[4] for e in exits]))
+    sets = g.with_axes(g.coherence(g.parameter_grid(spark, template, space)).filter("incoherent_because IS NULL").drop("incoherent_because"), template)
+    out = stage(g.outcomes(g.entry_signals(feats, template, combos), feats, specs, template, exits, capital=capital, noise=noise, combos=combos))
     opt = usable.filter("phase = 'OPT'")
     scored = g.score_trades(g.pick_trades(out, feats, specs, template, sets, opt, capital=capital), opt, "params_id", capital, mandate, min_trades_opt, True)
     best = stage(g.best_per_span(scored).withColumn("window_num", F.split("span_id", ":")[0].cast("int")))
@@ -88,19 +87,19 @@ class Evaluation:
 
     def __init__(self, indexed: DataFrame, specs: DataFrame, template: str, space: dict, exit_template: str | None = None,
                  capital: float = 10_000.0, noise: bool = True):
-        self.template, self.specs, self.capital = template, specs, capital
+        g.check_space(template, space)
+        self.template, self.exit_template, self.specs, self.capital = template, exit_template, specs, capital
         self.axes = g.ENTRY_AXES[template]
-        combos = g.entry_combos(template, space)
-        self.feats = stage(g.grid_features(stage(indexed), template, combos))
-        self.uses_exit = exit_template is not None or template not in ("ma_crossover", "donchian_breakout")
-        exits = [(s, t, self.uses_exit) for s in space["sl_atr_multiple"] for t in space["tp_rr_ratio"]]
-        self.out = stage(g.outcomes(g.entry_signals(self.feats, template, combos), self.feats, specs, template, exits, exit_template, capital, noise))
+        combos, exits = g.entry_combos(template, space), g.exit_combos(space, template, exit_template)
+        self.feats = stage(g.grid_features(stage(indexed), template, combos, [e[4] for e in exits]))
+        self.out = stage(g.outcomes(g.entry_signals(self.feats, template, combos), self.feats, specs, template, exits, exit_template, capital, noise, combos=combos))
+
+    def trades(self, sets: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+        return g.pick_trades(self.out, self.feats, self.specs, self.template, sets, spans, key, self.capital, exit_template=self.exit_template)
 
     def scores(self, sets: DataFrame, spans: DataFrame, key: str, min_trades: int = 10) -> DataFrame:
         """Quick score per (symbol, span, set) that traded at all."""
-        sets = sets.withColumn("use_exit", F.lit(self.uses_exit))
-        t = g.pick_trades(self.out, self.feats, self.specs, self.template, sets, spans, key, self.capital)
-        return g.score_trades(t, spans, key, self.capital, None, min_trades, False).select("symbol", "span_id", key, "score")
+        return g.score_trades(self.trades(sets, spans, key), spans, key, self.capital, None, min_trades, False).select("symbol", "span_id", key, "score")
 
 
 _SETTING_COLS = {"allowed_sessions": "array<string>", "adx_threshold": "double", "atr_ratio_min": "double", "atr_ratio_max": "double"}
@@ -123,8 +122,7 @@ def filter_test(ev: Evaluation, candidates: DataFrame, spans: DataFrame, rates:
 
     def evaluate(rows: DataFrame, span: DataFrame, out: str) -> DataFrame:
         rows = rows.withColumn("set_id", F.concat_ws("|", "params_id", F.coalesce("setting", F.lit("-"))))
-        t = g.pick_trades(ev.out, ev.feats, ev.specs, ev.template, rows.withColumn("use_exit", F.lit(ev.uses_exit)), span, "set_id", ev.capital)
-        s = g.score_trades(t, span, "set_id", ev.capital, None, 10, False).select("symbol", "set_id", F.col("score").alias(out))
+        s = g.score_trades(ev.trades(rows, span, "set_id"), span, "set_id", ev.capital, None, 10, False).select("symbol", "set_id", F.col("score").alias(out))
         return rows.join(s, ["symbol", "set_id"], "left").fillna(0.0, [out]).drop("set_id")
 
     cur = stage(evaluate(cur.withColumn("setting", F.lit(None).cast("string")), held, "score").drop("setting"))

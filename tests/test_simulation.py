@@ -161,6 +161,42 @@ def test_factored_grid_equals_single_runs(spark, indexed, specs):
     assert total > 50
 
 
+@pytest.mark.parametrize(("name", "space"), [
+    ("ma_crossover", {"fast_ma_period": [3], "slow_ma_period": [9], "ma_type": ["SMA", "EMA"], "exit_on_opposite_crossover": [False, True], "risk_per_trade_pct": [0.5, 2.0], "sl_atr_multiple": [1.0]}),
+    ("rsi_reversion", {"rsi_period": [5, 14], "rsi_oversold": [45], "rsi_overbought": [55], "exit_on_midline": [True, False], "sl_atr_multiple": [1.0]}),
+    ("donchian_breakout", {"channel_period": [12], "exit_period": [3, 5], "exit_on_opposite_crossover": [False, True], "sl_atr_multiple": [2.0]}),
+    ("hybrid_confluence", {"slow_ma_period": [9], "ma_type": ["EMA"], "rsi_period": [2, 7], "rsi_oversold": [48], "rsi_overbought": [52], "sl_atr_multiple": [1.0]})])
+def test_every_axis_of_the_grid_counts(spark, indexed, specs, name, space):
+    """Each set of the factored grid has the trades and lots of a run of that set alone."""
+    space = {**space, "tp_rr_ratio": [1.5], "adx_threshold": [0]}
+    g.check_space(name, space)
+    combos, exits = g.entry_combos(name, space), g.exit_combos(space, name)
+    feats = stage(g.grid_features(indexed, name, combos, [e[4] for e in exits]))
+    sets = g.parameter_grid(spark, name, space)
+    out = stage(g.outcomes(g.entry_signals(feats, name, combos), feats, specs, name, exits, noise=False, combos=combos))
+    last = indexed.agg(F.max("row_no")).first()[0]
+    spans = spark.createDataFrame([("A", "MAIN", 1, last + 1)], "symbol string, span_id string, start_no bigint, end_no bigint")
+    got = {}
+    for r in g.pick_trades(out, feats, specs, name, sets, spans, warmup=0).collect():
+        got.setdefault(r.params_id, []).append((r.signal_no, r.exit_no, r.direction, r.close_reason, round(r.lots, 6), round(r.net_pnl, 6)))
+    seen = set()
+    for p in sets.collect():
+        one = stage(ind.with_warmup_defaults(ind.features(indexed, p.asDict())))
+        want = [(r.signal_no, r.exit_no, r.direction, r.close_reason, round(r.lots, 6), round(r.net_pnl, 6))
+                for r in trades.simulate(one, specs, name, p.asDict(), noise=False).collect()]
+        assert sorted(got.get(p.params_id, [])) == sorted(want)
+        seen.add(tuple(sorted(want)))
+    assert len(seen) >= 2 and max(map(len, seen)) > 5
+
+
+def test_unknown_axes_raise(spark, indexed, specs):
+    space = {**SPACE, "trailing_stop": [1]}
+    with pytest.raises(ValueError, match="trailing_stop"):
+        wf.Evaluation(indexed, specs, "ma_crossover", space)
+    with pytest.raises(ValueError, match="rsi_period"):
+        g.check_space("donchian_breakout", {"rsi_period": [14]})
+
+
 def test_best_per_span_first_wins_ties(spark):
     s = spark.createDataFrame([("A", "1", 3, 0.5), ("A", "1", 2, 0.5), ("A", "1", 1, 0.1), ("A", "2", 1, 0.0)], "symbol string, span_id string, params_id bigint, score double")
     assert [(r.span_id, r.params_id) for r in g.best_per_span(s).collect()] == [("1", 2)]
