@@ -337,10 +337,11 @@ def long_indicators(indexed: DataFrame, sma_periods: Sequence[int] = (), ema_per
     return out.filter("_own").select("symbol", "row_no", "ts", "kind", "period", "value", "value_prev", "upper", "lower")
 
 
-def rows_changed(before: DataFrame, after: DataFrame, upto: Column) -> DataFrame:
-    """Look-ahead audit: rows up to a point that differ between two computations (empty if none)."""
-    a, z = before.filter(upto), after.filter(upto)
-    return a.exceptAll(z).withColumn("side", F.lit("BEFORE")).unionByName(z.exceptAll(a).withColumn("side", F.lit("AFTER")))
+def change_audit(before: DataFrame, after: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Look-ahead audit of two computations that must agree: rows compared and rows changed, per ``by``."""
+    both = before.withColumn("_s", F.lit(1)).unionByName(after.withColumn("_s", F.lit(-1)))
+    rows = both.groupBy(*before.columns).agg(F.count_if(F.col("_s") == 1).alias("_n"), F.sum("_s").alias("_d"))
+    return rows.groupBy(*by).agg(F.sum("_n").alias("compared"), F.sum(F.greatest(F.col("_d"), F.lit(0))).alias("changed"))
 
 
 def dominant_regime(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from candlewick.functions.staging import stage
 from candlewick.operators import bars as ob
 from candlewick.operators import grid as g
+from candlewick.operators import indicators as ind
 
 MIN_OPT_BARS, MIN_TEST_BARS = 1000, 100
 
@@ -171,7 +172,6 @@ def combination_test(entry_top: DataFrame, exit_top: DataFrame, combo_scores: Da
 
 
 def leak_audit(before: DataFrame, after: DataFrame) -> DataFrame:
-    """In-sample columns that changed between two runs (empty when out-of-sample data cannot leak)."""
+    """In-sample results compared and changed between two runs, per symbol (none changes unless out-of-sample data leaks)."""
     cols = ["symbol", "window_num", "params_id", "is_trades", "is_composite_score"]
-    a, z = before.select(*cols), after.select(*cols)
-    return a.exceptAll(z).unionByName(z.exceptAll(a))
+    return ind.change_audit(before.select(*cols), after.select(*cols))

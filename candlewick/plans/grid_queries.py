@@ -14,7 +14,7 @@ from candlewick.plans.bar_queries import rounded
 from candlewick.plans.registry import query
 from candlewick.schemas import INSTRUMENT
 
-# The search of the walk-forward queries: a custom space like any user's.
+# The search of the audit, filter and combination queries: a custom space like any user's.
 SPACE = {"fast_ma_period": [5, 10, 20], "slow_ma_period": [30, 50], "ma_type": ["SMA"], "sl_atr_multiple": [1.0, 2.0],
          "tp_rr_ratio": [1.5, 2.5], "adx_threshold": [0, 15]}
 CAPITAL = 10_000.0
@@ -122,26 +122,47 @@ def grid_entry_signals(spark, d):
     return s.groupBy("symbol", "fast_ma_period", "slow_ma_period").agg(F.count_if(F.col("signal") == "BUY").alias("buys"), F.count_if(F.col("signal") == "SELL").alias("sells"))
 
 
+def _searched(spark, d, template):
+    r = wf.walk_forward(daily(spark, d), daily_specs(spark), template, g.SPACES[template], 36, 6, None, CAPITAL)
+    return rounded(r, ["is_profit_factor", "is_calmar", "is_net_profit", "oos_profit_factor", "oos_calmar", "oos_net_profit", "oos_win_rate", "oos_max_drawdown"], 4)
+
+
 @query("wf_walk_forward")
 def wf_walk_forward(spark, d):
-    """Grid search per training window and its out-of-sample check (brute force on a fixture in the tests)."""
-    r = wf.walk_forward(daily(spark, d), daily_specs(spark), "ma_crossover", SPACE, 36, 6, None, CAPITAL)
-    return rounded(r, ["is_profit_factor", "is_calmar", "is_net_profit", "oos_profit_factor", "oos_calmar", "oos_net_profit", "oos_win_rate", "oos_max_drawdown"], 4)
+    """Search of the template's full grid per training window and the winner's out-of-sample check (the evaluation of
+    every set and the choice of the winner are compared with loops on a fixture in the tests)."""
+    return _searched(spark, d, "ma_crossover")
+
 
+@query("wf_walk_forward_donchian")
+def wf_walk_forward_donchian(spark, d):
+    return _searched(spark, d, "donchian_breakout")
 
-@query("wf_leak_audit", "SELECT event_type AS symbol, 0::INT AS window_num, event_id AS params_id, event_id AS is_trades, value AS is_composite_score FROM events WHERE false")
+
+@query("wf_walk_forward_hybrid")
+def wf_walk_forward_hybrid(spark, d):
+    return _searched(spark, d, "hybrid_confluence")
+
+
+@query("wf_leak_audit", b.with_sql("daily") + ", " + _win_sql(False) + " SELECT symbol, count(*) AS compared, 0::BIGINT AS changed, TRUE AS planted_found FROM w GROUP BY symbol")
 def wf_leak_audit(spark, d):
-    """Change every bar of the last test window; in-sample results of all windows must not move."""
+    """Change every bar of the last test window; in-sample results of all windows must not move. A change inside the
+    training windows, planted for comparison, must move them."""
     i = stage(daily(spark, d))
     # the first symbol-wide instant that belongs to no training window
     last = i.groupBy("symbol").agg(F.max("ts").alias("_hi")).groupBy().agg(F.min("_hi").alias("_hi"))
-    cut = F.add_months("_hi", -5).cast("timestamp")
-    wild = (i.withColumn("_k", F.lit(1)).join(F.broadcast(last.withColumn("_cut", cut).withColumn("_k", F.lit(1))), "_k")
-            .withColumns({c: F.when(F.col("ts") >= F.col("_cut"), F.col(c) * 3).otherwise(F.col(c)) for c in ("open", "high", "low", "close")})
-            .drop("_k", "_cut", "_hi"))
+
+    def changed(months):
+        cut = F.add_months("_hi", -months).cast("timestamp")
+        return (i.withColumn("_k", F.lit(1)).join(F.broadcast(last.withColumn("_cut", cut).withColumn("_k", F.lit(1))), "_k")
+                .withColumns({c: F.when(F.col("ts") >= F.col("_cut"), F.col(c) * 3).otherwise(F.col(c)) for c in ("open", "high", "low", "close")})
+                .drop("_k", "_cut", "_hi"))
+
     small = {**SPACE, "fast_ma_period": [10], "sl_atr_multiple": [2.0], "adx_threshold": [0]}
     run = lambda x: wf.walk_forward(x, daily_specs(spark), "ma_crossover", small, 36, 6, None, CAPITAL)
-    return wf.leak_audit(run(i), run(wild))
+    base = stage(run(i))
+    planted = wf.leak_audit(base, run(changed(18))).select("symbol", (F.col("changed") > 0).alias("planted_found"))
+    return wf.leak_audit(base, run(changed(5))).join(planted, "symbol").select("symbol", "compared", "changed", "planted_found")
 
 
 @query("wf_filter_test")

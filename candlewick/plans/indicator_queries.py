@@ -139,15 +139,22 @@ def indicator_long_form(spark, d):
     return rounded(out.select("symbol", "ts", "kind", "period", "value", "value_prev"), ["value", "value_prev"])
 
 
-@query("indicator_lookahead_audit", "SELECT symbol, ts, 'X' AS side FROM (SELECT event_type AS symbol, ts FROM events) WHERE false")
+@query("indicator_lookahead_audit", b.with_sql("bars") + " SELECT symbol, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS compared, 0::BIGINT AS changed, TRUE AS planted_found FROM bars GROUP BY symbol")
 def indicator_lookahead_audit(spark, d):
-    """Change every bar from mid-month on; earlier features must not move (an empty result)."""
+    """Change every bar from mid-month on; earlier features must not move. A planted column that reads the next bar must."""
     bars = b.bars(spark, d)
     cut = F.lit("2024-01-16 00:00:00").cast("timestamp")
     wild = bars.withColumns({c: F.when(F.col("ts") >= cut, F.col(c) * 3 + 7).otherwise(F.col(c)) for c in ("open", "high", "low", "close")})
     cols = ["symbol", "ts", "regime", *FEATURE_COLS]
-    compute = lambda x: rounded(ind.features(b.indexed(x), PARAMS).select(*cols), FEATURE_COLS, 9)
-    return ind.rows_changed(compute(bars), compute(wild), F.col("ts") < cut).select("symbol", "ts", "side")
+    compute = lambda x: rounded(ind.features(b.indexed(x), PARAMS).select(*cols), FEATURE_COLS, 9).filter(F.col("ts") < cut)
+
+    def peeking(x):
+        i = b.indexed(x)
+        after = i.select("symbol", (F.col("row_no") - 1).alias("row_no"), F.col("close").alias("next_close"))
+        return i.join(after, ["symbol", "row_no"], "left").filter(F.col("ts") < cut).select("symbol", "ts", "next_close")
+
+    planted = ind.change_audit(peeking(bars), peeking(wild)).select("symbol", (F.col("changed") > 0).alias("planted_found"))
+    return ind.change_audit(compute(bars), compute(wild)).join(planted, "symbol").select("symbol", "compared", "changed", "planted_found")
 
 
 @query("indicator_dominant_regime", isql.features() + """, c AS (SELECT symbol, epoch(date_trunc('week', ts))::BIGINT AS window_id, regime, count(*) AS n
