@@ -35,14 +35,13 @@ def time_chunk(ts: Column, seconds: int) -> Column:
 
 
 def time_slices(df: DataFrame, keys: Sequence[str], ts: str, out: str, rows: int = CHUNK_ROWS, slot: int = 86400) -> DataFrame:
-    """Add a chunk column that follows the density of each key: slots of ``slot`` seconds are cut into equal
-    slices of time, as many as bring about ``rows`` rows into each."""
+    """Add a chunk column that follows the density of each key: the times that occur in a slot of ``slot`` seconds are
+    cut into equal slices, as many as bring about ``rows`` rows into each."""
     at = F.unix_micros(ts)
-    length = slot * 1_000_000
-    tagged = df.withColumn("_slot", F.expr(f"floor(unix_micros({ts}) / {length})")).withColumn("_g", F.struct(*keys, "_slot"))
-    parts = tagged.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / rows).cast("bigint").alias("_parts"))
-    inside = F.floor((at - F.col("_slot") * length) * F.col("_parts") / length)
-    return tagged.join(parts, "_g").withColumn(out, F.col("_slot") * (1 << 24) + inside).drop("_g", "_slot", "_parts")
+    tagged = df.withColumn("_slot", F.floor(at / (slot * 1_000_000))).withColumn("_g", F.struct(*keys, "_slot"))
+    found = tagged.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / rows).cast("bigint").alias("_parts"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    inside = F.floor((at - F.col("_lo")) * F.col("_parts") / (F.col("_hi") - F.col("_lo") + 1))
+    return tagged.join(found, "_g").withColumn(out, F.col("_slot") * (1 << 24) + inside).drop("_g", "_slot", "_parts", "_lo", "_hi")
 
 
 def _before(keys: Sequence[str]):

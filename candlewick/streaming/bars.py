@@ -47,13 +47,14 @@ def last_bars(bars: DataFrame, lookback: int = LIVE_WINDOW) -> DataFrame:
     return bars.withColumn("_back", F.row_number().over(w)).filter(F.col("_back") <= lookback).drop("_back")
 
 
-def signal_sink(bar_path: str, out_path: str, template: str, params: dict, lookback: int = LIVE_WINDOW) -> Callable[[DataFrame, int], None]:
+def signal_sink(bar_path: str, out_path: str, template: str, params: dict, timeframe: str = "H1",
+                lookback: int = LIVE_WINDOW) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: store the closed bars, then evaluate the newest bar per symbol.
 
     All outputs are folders per batch id, overwritten on a retry, so a replayed batch changes nothing.
     Next to the full history, ``<bar_path>_last`` keeps the newest ``lookback`` bars of every symbol as of each batch: a
     batch reads that of the one before it, so its cost follows the number of symbols, not the length of the
-    history or the timeframe. Where it is missing (a sink put onto older files), the stored history is read once.
+    history. ``timeframe`` is the only one evaluated. Where it is missing (a sink put onto older files), the stored history is read once.
     """
 
     def before(spark, batch_id: int) -> DataFrame | None:
@@ -64,7 +65,7 @@ def signal_sink(bar_path: str, out_path: str, template: str, params: dict, lookb
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-        return spark.read.option("basePath", bar_path).parquet(bar_path).filter(F.col("batch") < batch_id).drop("batch")
+        return spark.read.option("basePath", bar_path).parquet(bar_path).filter((F.col("batch") < batch_id) & (F.col("timeframe") == timeframe)).drop("batch")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -72,6 +73,7 @@ def signal_sink(bar_path: str, out_path: str, template: str, params: dict, lookb
         new = spark.read.schema(batch.schema).parquet(f"{bar_path}/batch={batch_id}")
         old = before(spark, batch_id)
         last = f"{bar_path}_last/batch={batch_id}"
+        new = new.filter(F.col("timeframe") == timeframe)
         last_bars(new if old is None else old.unionByName(new), lookback).write.mode("overwrite").parquet(last)
         touched = spark.read.schema(batch.schema).parquet(last).join(new.select("symbol").distinct(), "symbol", "left_semi")
         out = live_signals(touched, template, params, lookback)

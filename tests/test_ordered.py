@@ -97,3 +97,34 @@ def test_spread_bounds_every_chunk(rows):
     idx = ordered.index_rows(df, KEYS, [F.col("t")], F.floor(F.col("t") / 37))
     biggest = ordered.spread(idx, 10, 50).groupBy("k", "_chunk").count().agg(F.max("count")).first()[0]
     assert biggest <= 60
+
+
+def test_time_slices_bound_a_hot_key(spark):
+    """Thousands of rows of one key and day fall into many slices that follow time; null times stay together."""
+    rows = spark.range(20_000).select(F.when(F.col("id") < 19_000, "hot").otherwise("cold").alias("k"),
+                                      F.when(F.col("id") != 5, F.timestamp_micros(F.col("id") * 4_000_000 + F.lit(1_700_000_000_000_000))).alias("t"))
+    cut = ordered.time_slices(rows, ["k"], "t", "s", rows=500)
+    groups = cut.groupBy("k", "s").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("s IS NOT NULL").orderBy("k", "s").collect()
+    assert cut.count() == 20_000 and max(r.n for r in groups) <= 1000
+    assert all(a.hi < b.lo for a, b in zip(groups, groups[1:]) if a.k == b.k)
+
+
+def test_averages_far_apart(spark):
+    from candlewick.operators import indicators as ind
+
+    rng = random.Random(2)
+    close = [100 + rng.gauss(0, 3) for _ in range(900)]
+    rows = spark.createDataFrame([("A", i + 1, None, c, c, c, c, 1.0) for i, c in enumerate(close)],
+                                 "symbol string, row_no bigint, ts timestamp, open double, high double, low double, close double, volume double")
+
+    def ema(x, n, first):
+        out, a = [None] * len(x), 2 / (n + 1)
+        for k in range(first + n - 1, len(x)):
+            out[k] = sum(x[first:first + n]) / n if k == first + n - 1 else out[k - 1] + a * (x[k] - out[k - 1])
+        return out
+
+    line = [None if s is None else f - s for f, s in zip(ema(close, 3, 0), ema(close, 200, 0))]
+    want = list(zip(line, ema(line, 9, 199)))
+    got = [(r.macd, r.macd_signal) for r in ind.macd(rows, 3, 200, 9).orderBy("row_no").collect()]
+    assert all(g == w if w is None else g == pytest.approx(w, abs=1e-9) for a, b in zip(got, want) for g, w in zip(a, b))
+    assert ind.features(rows, {"rsi_period": 2, "slow_ma_period": 400}).count() == 900

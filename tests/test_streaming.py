@@ -70,6 +70,21 @@ def test_signal_sink_matches_live_signals(spark, tmp_path):
     assert sorted((r.symbol, r.ts, r.signal, r.reason) for r in newest.collect()) == sorted((r.symbol, r.ts, r.signal, r.reason) for r in want.collect())
 
 
+def test_signal_sink_keeps_all_bars_an_average_needs(spark, tmp_path):
+    """Daily bars: the newest 300 reach back more than a year, and a replayed batch changes nothing."""
+    rows = [("A", "D1", datetime(2022, 1, 1) + timedelta(days=i), *[100.0 + (i * 37 % 11) + i / 50] * 4, 1.0) for i in range(340)]
+    bars = spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp, open double, high double, low double, close double, volume double")
+    params = {"fast_ma_period": 2, "slow_ma_period": 200}
+    sink = stb.signal_sink(str(tmp_path / "bars"), str(tmp_path / "out"), "ma_crossover", params, "D1")
+    day = F.datediff("ts", F.lit("2022-01-01"))
+    for batch, (lo, hi) in enumerate(((0, 330), (330, 338), (338, 340), (338, 340))):
+        sink(bars.filter((day >= lo) & (day < hi)), min(batch, 2))
+    got = spark.read.parquet(str(tmp_path / "out" / "batch=2")).collect()
+    want = stb.live_signals(bars, "ma_crossover", params).collect()
+    assert [(r.ts, r.signal, r.reason) for r in got] == [(r.ts, r.signal, r.reason) for r in want]
+    assert "NaN" not in got[0].reason and spark.read.parquet(str(tmp_path / "bars_last" / "batch=2")).count() == 300
+
+
 def test_staleness_fires(spark, tmp_path):
     t0 = datetime(2026, 1, 1)
     rows = [("A", t0, 0.0), ("B", t0, 0.0), ("B", t0 + timedelta(minutes=30), 1.0), ("B", t0 + timedelta(minutes=70), 2.0), ("B", t0 + timedelta(minutes=71), 3.0)]
