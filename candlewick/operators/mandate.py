@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.functions import money, ordered
@@ -133,27 +133,68 @@ def breaker_status(curve: DataFrame, keys: Sequence[str], order: Sequence[str],
     return out.withColumn("tripped", F.col("_tripped") == 1).drop("_tripped", "_utc", "_max_utc")
 
 
+def _reshuffled(trades: DataFrame, keys: Sequence[str], trade_key: Sequence[str], pip_value: Column, max_slippage_pips: float) -> DataFrame:
+    """Each row's place in the order of its ``perm`` and its P&L after that permutation's slippage (needs _ident, perm, day)."""
+    slip = money.uniform_hash(F.lit("slip"), F.col("perm"), F.col("_ident")) * max_slippage_pips * pip_value * F.col("lots")
+    return (trades.withColumn("_place", money.uniform_hash(F.lit("order"), F.col("perm"), F.col("_ident")))
+            .withColumn("_pnl", F.col("net_pnl") - slip)
+            .select(*dict.fromkeys([*keys, *trade_key, "perm", "_place", "_pnl", "day", "exit_time"])))
+
+
+def _failing(rows: DataFrame, per: Sequence[str], order: Sequence[str], chunk: Column, initial_equity: float, mandate: dict) -> DataFrame:
+    """Whether each path breaches at all: (per, failed), without a row per point behind the one shuffle.
+
+    Between two resets of the day's start equity both limits depend on the lowest equity only. A chunk's candidate resets
+    are the rows with a later day than all before them in the chunk, about ln(rows) many in a shuffled order, so
+    every chunk shrinks to that many stretches. Which of them are resets, and the equity they start from, follows from
+    the stretches before them. A trailing limit also needs the lowest equity against the peak inside the chunk.
+    """
+    keep = 1 - mandate["max_overall_drawdown_pct"] / 100.0
+    w = Window.partitionBy(*per, "_chunk").orderBy(*order)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    local = (rows.withColumn("_chunk", chunk).withColumn("_pnl", F.coalesce("_pnl", F.lit(0.0)))
+             .withColumn("_sum", F.sum("_pnl").over(upto)).withColumn("_latest", F.max("day").over(before)))
+    opens = F.col("_latest").isNull() | F.coalesce(F.col("day") > F.col("_latest"), F.lit(False))
+    local = local.withColumn("_opens", opens).withColumn("_peak", F.max("_sum").over(upto)).withColumn("_stretch", F.count_if("_opens").over(upto))
+    stretches = local.groupBy(*per, "_chunk", "_stretch").agg(
+        F.sum("_pnl").alias("_step"), F.max(F.when(F.col("_opens"), F.col("_pnl"))).alias("_first"), F.max(F.when(F.col("_opens"), F.col("_sum"))).alias("_at"),
+        F.min("_sum").alias("_low"), F.max("_sum").alias("_high"), F.min(F.col("_sum") - keep * F.col("_peak")).alias("_fall"), F.max("day").alias("day"))
+    along = Window.partitionBy(*per).orderBy("_chunk", "_stretch")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    start = F.lit(float(initial_equity))
+    based = (stretches.withColumn("_base", start + F.coalesce(F.sum("_step").over(earlier), F.lit(0.0)) + F.col("_first") - F.col("_at"))  # equity where _sum is 0
+             .withColumn("_latest", F.max("day").over(earlier)).withColumn("equity", F.col("_base") + F.col("_low")))
+    reset = F.col("_latest").isNull() | (F.col("day") > F.col("_latest"))
+    based = (based.withColumn("daily_start", F.last(F.when(reset, F.col("_base") + F.col("_at")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("peak_equity", F.greatest(start, F.max(F.col("_base") + F.col("_high")).over(earlier))))
+    hit = F.col("breach").isNotNull()
+    if str(mandate["drawdown_type"]).lower() != "static":
+        hit = hit | ((1 - keep) * F.col("_base") + F.col("_fall") <= 0)
+    return limits(based, initial_equity, mandate).groupBy(*per).agg(F.bool_or(hit).alias("failed"))
+
+
 def stress_test(trades: DataFrame, keys: Sequence[str], trade_key: Sequence[str], mandate: dict, initial_equity: float,
                 pip_value: Column, permutations: int = 500, max_slippage_pips: float = 1.5, chunks: int | None = None) -> DataFrame:
-    """Breach rate over ``permutations`` reshuffled trade orders with extra slippage.
+    """Breach rate over ``permutations`` reshuffled trade orders with extra slippage, and the rule that the first failing one breaks.
 
     A permutation is an order by a hash of (permutation, trade), so it needs no driver-side shuffle,
     repeats exactly, and its chunks are slices of the hash range: equal in size for any key. Their
-    number follows from the trades of the largest key.
+    number follows from the trades of the largest key. All permutations are only tested for a breach; the full
+    path is built for the first failing one of each key.
     """
     if chunks is None:
         largest = trades.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
         chunks = -(-largest // ordered.CHUNK_ROWS)
-    ident = F.concat_ws("|", *[F.col(c).cast("string") for c in trade_key])
-    slip = money.uniform_hash(F.lit("slip"), F.col("perm"), ident) * max_slippage_pips * pip_value * F.col("lots")
-    fanned = (trades.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-              .withColumn("_place", money.uniform_hash(F.lit("order"), F.col("perm"), ident))
-              .withColumn("_pnl", F.col("net_pnl") - slip)
-              .select(*dict.fromkeys([*keys, *trade_key, "perm", "_place", "_pnl", "exit_time"])))
-    per = [*keys, "perm"]
-    order = ["_place", *trade_key]
-    points = trade_points(fanned, per, order, F.floor(F.col("_place") * chunks), initial_equity, mandate, F.col("_pnl"))
-    verdict = first_breach(points, per, order, mandate)
-    return verdict.groupBy(*keys).agg(
-        (F.count_if(~F.col("compliant")) * 100.0 / F.count(F.lit(1))).alias("breach_rate_pct"),
-        F.min_by("breach", F.when(~F.col("compliant"), F.col("perm"))).alias("first_breach"))
+    per, order = [*keys, "perm"], ["_place", *trade_key]
+    chunk = F.floor(F.col("_place") * chunks)
+    told = (trades.withColumn("day", mandate_date(F.col("exit_time")))
+            .withColumn("_ident", F.concat_ws("|", *[F.col(c).cast("string") for c in trade_key])))
+    fanned = _reshuffled(told.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))), keys, trade_key, pip_value, max_slippage_pips)
+    tested = stage(_failing(fanned.drop(*{"exit_time"} - set(order)), per, order, chunk, initial_equity, mandate).groupBy(*keys).agg(
+        (F.count_if("failed") * 100.0 / F.count(F.lit(1))).alias("breach_rate_pct"), F.min(F.when(F.col("failed"), F.col("perm"))).alias("perm")))
+    group = F.struct(*keys)
+    picked = told.withColumn("_g", group).join(tested.where("perm IS NOT NULL").select(group.alias("_g"), "perm"), "_g").drop("_g")
+    points = trade_points(_reshuffled(picked, keys, trade_key, pip_value, max_slippage_pips), per, order, chunk, initial_equity, mandate, F.col("_pnl"))
+    rule = first_breach(points, per, order, mandate).select(*keys, F.col("breach").alias("first_breach"))
+    both = tested.drop("perm").unionByName(rule, allowMissingColumns=True)
+    return both.groupBy(*keys).agg(F.max("breach_rate_pct").alias("breach_rate_pct"), F.max("first_breach").alias("first_breach"))

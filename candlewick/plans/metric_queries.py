@@ -217,7 +217,7 @@ def mandate_breaker_status(spark, d):
                                     F.bool_or("tripped").alias("tripped"))
 
 
-PERMUTATIONS = 20
+PERMUTATIONS = 500
 _IDENT = "concat_ws('|', perm, concat_ws('|', {}))".format(", ".join(["epoch(exit_time)::BIGINT", "order_key", "line_no", "part_key"]))
 
 
