@@ -135,7 +135,7 @@ class Entries:
         head = np.flatnonzero(new)
         self.part, self.lead, self.run, self.id, self.doc = p[head], lead[head], run[head], self.sorted_ids[head], runs.doc[self.order[head]]
         present, at = np.unique(self.part, return_index=True)
-        self.spans = {int(q): (int(a), int(b)) for q, a, b in zip(present, at, np.append(at[1:], len(self.part)), strict=True)}
+        self.spans = {int(q): (int(a), int(b)) for q, a, b in zip(present, at, np.append(at, len(self.part))[1:], strict=True)}
 
     def states(self, answers: list[dict] | None) -> np.ndarray:
         """By run of the batch: 0 unique, 1 an earlier document has it, 2 open."""
