@@ -12,7 +12,8 @@ probability 4e-5, and shares no key at all with 5e-7; every pair that shares a k
 3. Texts of the members come in, compressed. A group larger than ``BLOCK`` is cut into blocks, and each pair of blocks
    is a group. Inside a group, pairs not yet connected there, whose first common key is this one and whose sizes
    allow the similarity, are compared on full sets. Only links that connect something are emitted.
-4. Connected components of the links, by distributed stars, and back to all documents.
+4. Connected components of the links, by distributed stars, and back to all documents. Classes that hold a notable share
+   of the rows are fewer than ``HOT`` and are sent to the rows; the others are joined by digest.
 
 Sets are sets of 64-bit shingle hashes.
 
@@ -38,6 +39,7 @@ from candlewick.llm.components import components
 CHUNKS, WIDTH, ERRORS = 6, 5, 2
 PERCENT = 75
 BLOCK = 2048
+HOT = 1024
 _DECODED = 4_000_000
 _COMBINATIONS = list(itertools.combinations(range(WIDTH), WIDTH - ERRORS))
 KEYS = CHUNKS * len(_COMBINATIONS)
@@ -196,11 +198,25 @@ def _linked(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "u bigint, v bigint")
 
 
+def _of_each_row(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component of every row; ``named`` tells digest, component and copies of every class.
+
+    A class with more than one row in ``HOT`` is common. Fewer than ``HOT`` classes can be, so these few go to the rows, and no
+    task gathers the rows of a common class. All other rows, and only these, are dealt by digest. Empty sets need no join.
+    """
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    common = F.broadcast(named.where(F.col("copies") * HOT > total).select("digest", "component"))
+    full = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "digest")
+    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("component"))
+    rare = full.join(common, "digest", "left_anti").join(named.where(F.col("copies") * HOT <= total).select("digest", "component").hint("merge"), "digest")
+    return full.join(common, "digest").drop("digest").unionByName(rare.drop("digest")).unionByName(empty)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id = component_id) of every row."""
     rows = stage(sketches(docs))
-    classes = rows.where("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").cast("bigint").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = stage(rows.where("n_shingles > 0").groupBy("digest").agg(
+        F.min("doc_id").cast("bigint").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
     live = classes.where("id IS NOT NULL")
     grouped = stage(groups(live))
     wanted = grouped.select("id").distinct()
@@ -209,10 +225,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = grouped.join(packed.join(texts_of, "id"), "id").select("key", "part", "id", "n", "signature", "packed")
     links = _linked(members.repartition("key", "part").sortWithinPartitions("key", "part", "id"))
     labels = components(links)
-    found = rows.join(classes.select("digest", "id"), "digest", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    # the component is found once for each class; classes are distinct texts, so no id is common here
+    named = stage(classes.select("digest", "copies", "id").join(labels.withColumnRenamed("node", "id").hint("merge"), "id", "left")
+                  .select("digest", "copies", F.coalesce("label", "id").alias("component")))
     own = F.col("doc_id")
-    component = F.when(F.col("n_shingles") == 0, own).otherwise(F.coalesce("label", "id"))
-    return found.select(own, "n_shingles", component.cast(dict(docs.dtypes)["doc_id"]).alias("component_id")).withColumn("kept", own.eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("n_shingles") == 0, own).otherwise(F.col("component"))
+    return _of_each_row(rows, named).select(own, "n_shingles", component.cast(dict(docs.dtypes)["doc_id"]).alias("component_id")).withColumn(
+        "kept", own.eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
