@@ -15,7 +15,7 @@ the two it reads. The escaped form is parsed too, and the job fails loudly if th
 One row is one conversation: rows are gathered by conv_id, which is as large as the conversation itself.
 
 Defined cases: null text and null role are empty strings; rows of one turn number are ordered by role and
-text; repeated rows are repeated turns; a null conv_id is a conversation of its own; an empty table gives
+text; rows without a turn number come last; repeated rows are repeated turns; a null conv_id is a conversation of its own; an empty table gives
 an empty result; further columns are ignored.
 """
 
@@ -81,7 +81,7 @@ def parse(formatted: Column) -> Column:
 
 def gather(conversations: DataFrame) -> DataFrame:
     """conv_id and its turns in order, as an array of (role, text)."""
-    rows = conversations.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("_t"))
+    rows = conversations.select("conv_id", F.struct(F.col("turn").isNull().alias("late"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("_t"))
     turns = F.transform(F.array_sort(F.collect_list("_t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return rows.groupBy("conv_id").agg(turns.alias("turns"))
 
