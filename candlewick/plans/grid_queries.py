@@ -14,9 +14,8 @@ from candlewick.plans.bar_queries import rounded
 from candlewick.plans.registry import query
 from candlewick.schemas import INSTRUMENT
 
-# The search of the audit, filter and combination queries: a custom space like any user's.
-SPACE = {"fast_ma_period": [5, 10, 20], "slow_ma_period": [30, 50], "ma_type": ["SMA"], "sl_atr_multiple": [1.0, 2.0],
-         "tp_rr_ratio": [1.5, 2.5], "adx_threshold": [0, 15]}
+# The averages whose crossings grid_entry_signals counts; every search uses g.SPACES.
+CROSSINGS = {"fast_ma_period": [5, 10, 20], "slow_ma_period": [30, 50], "ma_type": ["SMA"]}
 CAPITAL = 10_000.0
 
 
@@ -116,7 +115,7 @@ def _halves(i):
  l AS (SELECT *, lag(v) OVER (PARTITION BY symbol, p ORDER BY row_no) AS pv FROM m) SELECT f.symbol, f.p AS fast_ma_period, s.p AS slow_ma_period, count(*) FILTER (f.pv <= s.pv AND f.v > s.v) AS buys, count(*) FILTER (f.pv >= s.pv AND f.v < s.v) AS sells
  FROM l f JOIN l s ON s.symbol = f.symbol AND s.row_no = f.row_no AND f.p IN (5, 10, 20) AND s.p IN (30, 50) GROUP BY ALL""".replace("SELECT sum(close) FROM indexed j WHERE j.symbol = i.symbol AND j.row_no <= i.row_no - p", "SELECT cs FROM (SELECT symbol AS sy, row_no AS rn, sum(close) OVER (PARTITION BY symbol ORDER BY row_no) AS cs FROM indexed) j WHERE j.sy = i.symbol AND j.rn = i.row_no - p"))
 def grid_entry_signals(spark, d):
-    combos = g.entry_combos("ma_crossover", SPACE)
+    combos = g.entry_combos("ma_crossover", CROSSINGS)
     feats = g.grid_features(daily(spark, d), "ma_crossover", combos)
     s = g.entry_signals(feats, "ma_crossover", combos)
     return s.groupBy("symbol", "fast_ma_period", "slow_ma_period").agg(F.count_if(F.col("signal") == "BUY").alias("buys"), F.count_if(F.col("signal") == "SELL").alias("sells"))
@@ -144,6 +143,11 @@ def wf_walk_forward_hybrid(spark, d):
     return _searched(spark, d, "hybrid_confluence")
 
 
+@query("wf_walk_forward_rsi")
+def wf_walk_forward_rsi(spark, d):
+    return _searched(spark, d, "rsi_reversion")
+
+
 @query("wf_leak_audit", b.with_sql("daily") + ", " + _win_sql(False) + " SELECT symbol, count(*) AS compared, 0::BIGINT AS changed, TRUE AS planted_found FROM w GROUP BY symbol")
 def wf_leak_audit(spark, d):
     """Change every bar of the last test window; in-sample results of all windows must not move. A change inside the
@@ -158,35 +162,43 @@ def wf_leak_audit(spark, d):
                 .withColumns({c: F.when(F.col("ts") >= F.col("_cut"), F.col(c) * 3).otherwise(F.col(c)) for c in ("open", "high", "low", "close")})
                 .drop("_k", "_cut", "_hi"))
 
-    small = {**SPACE, "fast_ma_period": [10], "sl_atr_multiple": [2.0], "adx_threshold": [0]}
-    run = lambda x: wf.walk_forward(x, daily_specs(spark), "ma_crossover", small, 36, 6, None, CAPITAL)
+    run = lambda x: wf.walk_forward(x, daily_specs(spark), "ma_crossover", g.SPACES["ma_crossover"], 36, 6, None, CAPITAL)
     base = stage(run(i))
     planted = wf.leak_audit(base, run(changed(18))).select("symbol", (F.col("changed") > 0).alias("planted_found"))
     return wf.leak_audit(base, run(changed(5))).join(planted, "symbol").select("symbol", "compared", "changed", "planted_found")
 
 
+def _best_two(spark, ev, spans):
+    """The two best sets of a template's full grid per symbol, with their scores and parameters."""
+    sets = g.parameter_grid(spark, ev.template)
+    top = g.top_sets(ev.scores(sets, spans.filter("span_id = 'MAIN'"), "params_id"), ["symbol"], 2).select("symbol", "params_id", F.col("score").alias("main_score"))
+    return stage(top.join(sets, "params_id"))
+
+
 @query("wf_filter_test")
 def wf_filter_test(spark, d):
-    """Forward filter selection for the best two moving-average sets per symbol."""
-    i = stage(daily(spark, d))
-    space = {**SPACE, "fast_ma_period": [5, 10], "slow_ma_period": [30]}
-    ev = wf.Evaluation(i, daily_specs(spark), "ma_crossover", space)
+    """Forward filter selection for the best two sets of every template and symbol."""
+    i, out = stage(daily(spark, d)), None
     spans = stage(_halves(i))
-    sets = g.parameter_grid(spark, "ma_crossover", space)
-    top = g.top_sets(ev.scores(sets, spans.filter("span_id = 'MAIN'"), "params_id"), ["symbol"], 2).select("symbol", "params_id")
-    out, _ = wf.filter_test(ev, stage(top.join(sets, "params_id")), spans)
-    return out.select("symbol", "params_id", "adx_threshold", "atr_ratio_min", "atr_ratio_max", F.array_join("applied", ",").alias("applied"), F.round("score", 6).alias("score"))
+    for template, space in g.SPACES.items():
+        ev = wf.Evaluation(i, daily_specs(spark), template, space)
+        tested, _ = wf.filter_test(ev, _best_two(spark, ev, spans), spans)
+        one = tested.select("symbol", F.lit(template).alias("template"), "params_id", "adx_threshold", "atr_ratio_min", "atr_ratio_max",
+                            F.array_join("applied", ",").alias("applied"), F.round("score", 6).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("wf_combination_test")
 def wf_combination_test(spark, d):
-    """Moving-average entries with RSI midline exits against both parents."""
-    i = stage(daily(spark, d))
-    sp, spec = {**SPACE, "fast_ma_period": [5, 10], "slow_ma_period": [30]}, daily_specs(spark)
-    rsi_sp = {"rsi_oversold": [35, 45], "rsi_overbought": [55, 65], "sl_atr_multiple": [1.0, 2.0], "tp_rr_ratio": [1.5, 2.5], "adx_threshold": [0]}
+    """Entries of one template with exits of another, for every pair, against both parents."""
+    i, spec, out = stage(daily(spark, d)), daily_specs(spark), None
     spans = stage(_halves(i).filter("span_id = 'MAIN'"))
-    ma_sets, rsi_sets = g.parameter_grid(spark, "ma_crossover", sp), g.parameter_grid(spark, "rsi_reversion", rsi_sp)
-    ma = wf.Evaluation(i, spec, "ma_crossover", sp).scores(ma_sets, spans, "params_id")
-    rsi = wf.Evaluation(i, spec, "rsi_reversion", rsi_sp).scores(rsi_sets, spans, "params_id")
-    combo = wf.Evaluation(i, spec, "ma_crossover", sp, exit_template="rsi_reversion").scores(ma_sets, spans, "params_id")
-    return rounded(wf.combination_test(g.top_sets(ma, ["symbol"], 2), g.top_sets(rsi, ["symbol"], 2), combo), ["entry_score", "exit_score", "combo_score"])
+    best = {t: _best_two(spark, wf.Evaluation(i, spec, t, g.SPACES[t]), spans) for t in dict.fromkeys(t for pair in g.COMBINATIONS for t in pair)}
+    parents = {t: top.select("symbol", "params_id", F.col("main_score").alias("score")) for t, top in best.items()}
+    for entry, rule in g.COMBINATIONS:
+        # a set per symbol that chose it: only the best two are combined
+        combo = wf.Evaluation(i, spec, entry, g.SPACES[entry], exit_template=rule).scores(best[entry], spans, "params_id")
+        one = wf.combination_test(parents[entry], parents[rule], combo).withColumns({"entry_template": F.lit(entry), "exit_template": F.lit(rule)})
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, ["entry_score", "exit_score", "combo_score"])
