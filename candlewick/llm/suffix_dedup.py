@@ -12,7 +12,9 @@ together they are a run of 50 to 76 bytes.
    goes as a whole. Where documents share a lead but differ in their runs, the first document of each distinct
    run is an open case.
 3. For open cases, the suffixes of their runs go to the same partitions, are sorted byte by byte over the full window, and
-   equal neighbours tell which windows an earlier document has.
+   equal neighbours tell which windows an earlier document has. A lead with more than ``HOT_RUNS`` distinct runs (at the border
+   of a passage that many documents share) would go whole into one task; its windows are dealt by a hash of their 50 bytes
+   instead, one entry per batch and distinct window with its smallest document.
 
 Leads and runs are compared by 48-bit hashes each in step 2 (a run counts as equal only with both), windows by their
 bytes in step 3. Before the shuffle, a batch keeps one entry of each distinct run, so a passage or copy costs one entry per
@@ -41,6 +43,7 @@ SPAN = LENGTH - LEAD + 1
 BATCH_BYTES = 2 << 20
 SAMPLE = 64
 SAMPLED_BATCHES = 400
+HOT_RUNS = 1024
 _LAST = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) | np.uint64(1 << 63)
@@ -138,7 +141,7 @@ class Entries:
         self.spans = {int(q): (int(a), int(b)) for q, a, b in zip(present, at, np.append(at, len(self.part))[1:], strict=True)}
 
     def states(self, answers: list[dict] | None) -> np.ndarray:
-        """By run of the batch: 0 unique, 1 an earlier document has it, 2 open."""
+        """By run of the batch: 0 unique, 1 an earlier document has it, 2 open, 3 open at a hot lead."""
         state = np.zeros(len(self.part), np.int64)
         for q, data in packed.by_part(answers).items():
             a, b = self.spans[q]
@@ -173,9 +176,9 @@ def _compare(asked: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     new_run = new_lead | np.concatenate([[True], r[1:] != r[:-1]])
     heads, leads = np.flatnonzero(new_run), np.flatnonzero(new_lead)
     head, group = np.cumsum(new_run) - 1, np.cumsum(new_lead) - 1
-    several = np.add.reduceat(new_run.astype(np.int64), leads) > 1
+    distinct = np.add.reduceat(new_run.astype(np.int64), leads)
     across = np.minimum.reduceat(d, leads) < np.maximum.reduceat(d, leads)
-    state = np.where(d > d[heads][head], 1, np.where((several & across)[group], 2, 0))
+    state = np.where(d > d[heads][head], 1, np.where((distinct > 1) & across, np.where(distinct > HOT_RUNS, 3, 2), 0)[group])
     back = np.empty(len(order), np.int64)
     back[order] = state
     cuts = np.cumsum([0, *sizes])
@@ -232,14 +235,81 @@ def _compare_windows(asked: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     return [(b, packed.write_ints(bits[cuts[i]:cuts[i + 1]], 4)) for i, (b, _) in enumerate(asked)]
 
 
-def _removed(runs: Runs, states: np.ndarray, cases: dict[int, np.ndarray], answers: list[dict] | None) -> np.ndarray:
+class HotWindows:
+    """The distinct windows of a batch's runs in state 3, by a hash of their bytes, behind the ``n`` parts of the leads."""
+
+    def __init__(self, runs: Runs, states: np.ndarray, n: int):
+        chosen = np.flatnonzero(states == 3)
+        counts = runs.last[chosen] - runs.first[chosen] + 1
+        self.at = np.repeat(runs.first[chosen] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        self.ids = np.repeat(runs.ids[runs.doc[chosen]], counts)
+        self.spans: dict[int, tuple[int, int]] = {}
+        if not len(chosen):
+            return
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(runs.data, LENGTH)[self.at])
+        h = np.zeros(len(rows), np.uint64)
+        for i in range(LENGTH):
+            h = h * np.uint64(_BASE) + _BYTES[rows[:, i]]
+        part = n + (mixed(h) % np.uint64(n)).astype(np.int64)
+        windows = rows.view(f"S{LENGTH}").ravel()
+        order = np.lexsort((windows, part))
+        windows, part = windows[order], part[order]
+        heads = np.flatnonzero(np.concatenate([[True], (windows[1:] != windows[:-1]) | (part[1:] != part[:-1])]))
+        self.windows, self.least = windows[heads], np.minimum.reduceat(self.ids[order], heads)
+        self.group = np.empty(len(order), np.int64)
+        self.group[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+        present, at = np.unique(part[heads], return_index=True)
+        self.spans = {int(q): (int(a), int(b)) for q, a, b in zip(present, at, np.append(at[1:], len(heads)), strict=True)}
+
+    def questions(self):
+        import zstandard
+
+        for q, (a, b) in self.spans.items():
+            yield q, packed.write_parts(self.least[a:b].astype("<i8").tobytes(), zstandard.ZstdCompressor(level=3).compress(self.windows[a:b].tobytes()))
+
+    def gone(self, answers: dict[int, bytes]) -> np.ndarray:
+        """Where windows start that an earlier document has, in this batch or in another."""
+        if not self.spans:
+            return self.at
+        before = np.zeros(len(self.windows), bool)
+        for q, (a, b) in self.spans.items():
+            before[a:b] = packed.read_ints(answers[q], 1) == 1
+        return self.at[before[self.group] | (self.ids > self.least[self.group])]
+
+
+def _compare_hot(asked: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """For each distinct window of each batch: another batch has it in an earlier document."""
+    import zstandard
+
+    sections = [packed.read_parts(q) for _, q in asked]
+    ids = [np.frombuffer(s[0], "<i8") for s in sections]
+    windows = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(s[1]) for s in sections), f"S{LENGTH}")
+    cuts, ids = np.cumsum([0, *map(len, ids)]), np.concatenate(ids)
+    order = np.argsort(windows, kind="stable")
+    windows, d = windows[order], ids[order]
+    heads = np.flatnonzero(np.concatenate([[True], windows[1:] != windows[:-1]]))
+    hit = np.zeros(len(order), np.int64)
+    hit[order] = d > np.repeat(np.minimum.reduceat(d, heads), np.diff(np.append(heads, len(d))))
+    return [(b, packed.write_ints(hit[cuts[i]:cuts[i + 1]], 1)) for i, (b, _) in enumerate(asked)]
+
+
+def _answer_windows(asked: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """A part has either open cases by lead (three sections) or hot windows (two)."""
+    return (_compare_hot if len(packed.read_parts(asked[0][1])) == 2 else _compare_windows)(asked)
+
+
+def _removed(runs: Runs, states: np.ndarray, cases: dict[int, np.ndarray], hot: HotWindows, answers: list[dict] | None) -> np.ndarray:
     """Which bytes of the batch go."""
     change = np.zeros(len(runs.data) + 1, np.int64)
     gone = states == 1
     np.add.at(change, runs.first[gone], 1)
     np.add.at(change, runs.last[gone] + LENGTH, -1)
-    for q, data in packed.by_part(answers).items():
-        bits = packed.read_ints(data, 4)
+    answered = packed.by_part(answers)
+    at = hot.gone(answered)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + LENGTH, -1)
+    for q in cases:
+        bits = packed.read_ints(answered[q], 4)
         for o in range(SPAN):
             at = runs.first[cases[q][(bits >> np.uint64(o)) & np.uint64(1) == 1]] + o
             np.add.at(change, at, 1)
@@ -274,11 +344,12 @@ def remove_repeats(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame
 
     def ask_windows(row):
         runs = Runs(*packed.unpack(row["data"]), powers)
-        cases = _open_cases(runs, splitters, Entries(runs, splitters).states(row["answers"]))
-        return ((q, _open_question(runs, c)) for q, c in cases.items())
+        states = Entries(runs, splitters).states(row["answers"])
+        yield from ((q, _open_question(runs, c)) for q, c in _open_cases(runs, splitters, states).items())
+        yield from HotWindows(runs, states, n).questions()
 
     with_first = packed.joined(texts, first)
-    second = packed.ask(with_first, ask_windows, _compare_windows)
+    second = packed.ask(with_first, ask_windows, _answer_windows)
 
     def finish(arriving):
         for arrow in arriving:
@@ -286,7 +357,7 @@ def remove_repeats(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame
                 ids, bodies = packed.unpack(row["data"])
                 runs = Runs(ids, bodies, powers)
                 states = Entries(runs, splitters).states(row["answers"])
-                gone = _removed(runs, states, _open_cases(runs, splitters, states), row["windows"])
+                gone = _removed(runs, states, _open_cases(runs, splitters, states), HotWindows(runs, states, n), row["windows"])
                 out = []
                 for i, s, e, t in zip(ids, runs.starts[:-1].tolist(), runs.starts[1:].tolist(), bodies, strict=True):
                     g = gone[s:e]

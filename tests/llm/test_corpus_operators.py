@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from tests.llm.conftest import rows_of
 
-from candlewick.llm import language_model, mixing, near_duplicates, suffix_dedup, warc
+from candlewick.llm import language_model, mixing, near_duplicates, packed, suffix_dedup, warc
 from candlewick.llm.components import components
 
 
@@ -107,6 +107,25 @@ def test_suffix_dedup(odd, small, empty, batch_bytes):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_hot_lead(spark, monkeypatch):
+    """A passage of many documents with other text around it: the windows across its borders are dealt to many parts."""
+    rng, asked, ask = np.random.default_rng(8), [], packed.ask
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    passage, ends = word(120), [word(40) for _ in range(300)]
+    rows = [(int(i), word(60) + passage + (ends[i % 300] if i % 2 else word(40))) for i in rng.permutation(3 * suffix_dedup.HOT_RUNS)]
+
+    def counted(*args):
+        asked.append(ask(*args))
+        return asked[-1]
+
+    monkeypatch.setattr(packed, "ask", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = suffix_dedup.remove_repeats(df, 20_000)
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats_loop(rows)
+    n = packed.parts(spark)
+    assert {r["part"] for r in asked[1].select("part").distinct().collect()} >= set(range(n, 2 * n))
+
+
 def test_suffix_dedup_short_alphabet(spark):
     rng = np.random.default_rng(3)
     rows = []
