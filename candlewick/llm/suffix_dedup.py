@@ -1,4 +1,4 @@
-"""Removal of repeated 50-byte strings by a range-partitioned, sparse suffix array.
+"""Removal of repeated 50-byte strings at range-partitioned anchors: grouped by hash, open cases sorted by bytes.
 
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id. Sorting every suffix would
 shuffle each text fifty times, so the array is sparse: of the 24-byte strings inside each window of 50 bytes, the one with
@@ -8,7 +8,7 @@ together they are a run of 50 to 76 bytes.
 
 1. Splitters are sampled; anchor suffixes are range-partitioned by their leading 24 bytes. Equal leads never straddle
    a boundary, as a splitter is a whole lead, so neighbouring partitions need no further comparison.
-2. Each partition sorts by several keys, most significant first: lead, run, doc_id. A run that an earlier document has too
+2. Each partition groups by hashes, sorted by lead, run, doc_id; no suffix is sorted here. A run that an earlier document has too
    goes as a whole. Where documents share a lead but differ in their runs, the first document of each distinct
    run is an open case.
 3. For open cases, the suffixes of their runs go to the same partitions, are sorted byte by byte over the full window, and
