@@ -4,7 +4,7 @@ A signature has 30 components of 16 bits; its distance to another is the number
 split into 6 chunks of 5. Two signatures at distance 17 or less leave, by pigeonhole, a chunk with at most 2
 errors. Each of the 10 ways to choose these 2 errors gives a key of the other 3 components, so a document
 has 60 keys, and all such pairs share at least one. (At a similarity of 0.75, a pair lies further apart with
-probability 4e-5, and shares no key at all with 5e-7; every pair that shares a key is compared exactly.)
+probability 5e-5, and shares no key at all with 1.2e-6; every pair that shares a key is compared exactly.)
 
 1. Texts become sketches: set size, set digest, signature. Equal sets are one class from here on, so exact copies
    cost nothing. The class is known by its smallest doc_id.

@@ -199,6 +199,15 @@ def test_pigeonhole():
         assert (k[0] == k[1]).any()
 
 
+def test_stated_loss():
+    nd, p = near_duplicates, near_duplicates.PERCENT / 100
+    at_most = lambda n, k, p: sum(math.comb(n, i) * p**i * (1 - p)**(n - i) for i in range(k + 1))
+    no_key = at_most(nd.WIDTH, nd.WIDTH - nd.ERRORS - 1, p)**nd.CHUNKS
+    far = 1 - at_most(nd.CHUNKS * nd.WIDTH, nd.CHUNKS * (nd.ERRORS + 1) - 1, 1 - p)
+    assert (f"{no_key:.1e}", f"{far:.0e}") == ("1.2e-06", "5e-05")
+    assert "no key at all with 1.2e-6" in nd.__doc__ and "probability 5e-5" in nd.__doc__
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(int(a), int(b)) for a, b in rng.integers(100, 400, (200, 2))] + [(500, x) for x in range(501, 560)]
