@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import chat, decontaminate, language_model, mixing, near_duplicates, pii, quality, sql, suffix_dedup, token_counts, warc
+from candlewick.llm import (
+    chat, decontaminate, exact_dedup, filter_audit, language_model, mixing, near_duplicates, pii, quality, sql, suffix_dedup, token_counts, warc, whitening,
+)
 from candlewick.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +82,18 @@ def op9(spark, sf_dir):
 @query("op10_personal_data")
 def op10(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query("op11_exact_dedup", sql.EXACT_DUPLICATES)
+def op11(spark, sf_dir):
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_filter_interactions", sql.FILTER_AUDIT)
+def op12(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))

@@ -69,3 +69,27 @@ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT doc_id AS x, doc_id AS c FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.x)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id, d.doc_id = min(r.c) AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY d.doc_id, n"""
+
+EXACT_DUPLICATES = """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+g AS (SELECT text, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY text)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(text) AS text_sha256 FROM d JOIN g USING (text)"""
+
+FILTER_AUDIT = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part,
+   list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+e AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+   + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 4 ELSE 0 END
+   + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN first_id < doc_id THEN 16 ELSE 0 END AS bits, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+   FROM d JOIN e USING (text) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, bits, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT chr(65 + i::INT) AS letter, 1 << i::INT AS bit FROM range(5) AS t(i)),
+o AS (SELECT a.letter || b.letter || g.letter || h.letter || k.letter AS filter_order FROM x AS a, x AS b, x AS g, x AS h, x AS k
+   WHERE a.bit + b.bit + g.bit + h.bit + k.bit = 31 AND len(list_distinct([a.letter, b.letter, g.letter, h.letter, k.letter])) = 5),
+s AS (SELECT filter_order, step, x.letter, x.bit, (SELECT coalesce(sum(y.bit), 0) FROM x AS y WHERE contains(left(filter_order, step - 1), y.letter))::INT AS before
+   FROM (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o) JOIN x ON x.letter = filter_order[step]),
+r AS (SELECT part, filter_order, step, s.letter, coalesce(sum(n) FILTER (bits & (before | bit) = 0), 0)::BIGINT AS kept,
+   coalesce(sum(n) FILTER (bits & before = 0 AND bits & bit <> 0), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (bits & before <> 0 AND bits & bit <> 0), 0)::BIGINT AS redundant,
+   coalesce(sum(n) FILTER (bits = bit), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (bits & before = 0 AND bits & bit <> 0 AND good), 0)::BIGINT AS good_lost,
+   coalesce(sum(n) FILTER (bits & before = 0 AND bits & bit <> 0 AND toxic), 0)::BIGINT AS toxic_lost FROM c, s GROUP BY part, filter_order, step, s.letter, s.bit)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r"""
