@@ -307,18 +307,15 @@ def pick_trades(out: DataFrame, feats: DataFrame, specs: DataFrame, template: st
     keys = ["symbol", "span_id", set_key]
     want = [*keys, "signal_no", "entry_no", "exit_no", "direction", "entry_time", "exit_time", "lots", "net_pnl", "close_reason"]
     cand = picked.filter(ok)
-    halt, cool = "daily_loss_halt_pct" in has, "cooldown_requires_midline" in has
-    if halt:
-        cand, want = cand.withColumns({"signal_day": F.to_date("signal_time"), "exit_day": F.to_date("exit_time")}), [*want, "signal_day", "exit_day", "daily_loss_halt_pct"]
-    if cool:
-        # crossings of the midline count on bars that pass the dead-zone rule
-        m = signals.midline_crossed({}, template).cast("int")
-        crosses = ordered.running(feats.withColumn("_m", m), ["symbol"], ["row_no"], F.floor((F.col("row_no") - 1) / ordered.CHUNK_ROWS), {"_x": ("sum", F.col("_m"))})
-        cand = (cand.join(crosses.select("symbol", F.col("row_no").alias("signal_no"), F.col("_x").alias("cross_at_signal")), ["symbol", "signal_no"])
-                .join(crosses.select("symbol", F.col("row_no").alias("exit_no"), (F.col("_x") - F.col("_m")).alias("cross_before_exit")), ["symbol", "exit_no"]))
-        want = [*want, "cross_at_signal", "cross_before_exit", "cooldown_requires_midline"]
-    return paths.one_position(stage(cand.select(*want)), keys, F.col("daily_loss_halt_pct") if halt else None, capital if halt else None,
-                              F.col("cooldown_requires_midline") if cool else False)
+    guards = [c for c in ("daily_loss_halt_pct", "cooldown_requires_midline") if c in has]
+    if guards:
+        want = [*want, "signal_time", *guards]
+    taken = paths.one_position(stage(cand.select(*want)), keys)
+    if not guards:
+        return taken
+    marked = trades.with_guard_inputs(taken, feats, signals.midline_crossed({}, template))
+    halt, cool = (F.col(c) if c in has else F.lit(v) for c, v in (("daily_loss_halt_pct", 0.0), ("cooldown_requires_midline", False)))
+    return paths.guarded(marked, keys, capital, halt, cool)
 
 
 def score_trades(picked: DataFrame, spans: DataFrame, set_key: str, capital: float, mandate: dict | None = None, min_trades: int = 10,

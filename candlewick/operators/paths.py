@@ -1,14 +1,13 @@
-"""Order-dependent rules over trades: equity, single position, halts, reconciliation."""
+"""Order-dependent rules over trades: equity, single position, guards, reconciliation."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.functions import ordered
-from candlewick.functions.staging import stage
+from candlewick.functions import forest, ordered
 
 
 def equity_path(trades: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
@@ -34,81 +33,44 @@ def equity_curve(trades: DataFrame, keys: Sequence[str], order: Sequence[str], c
     return anchor.unionByName(points)
 
 
-def one_position(cands: DataFrame, keys: Sequence[str], daily_halt_pct: Column | float | None = None,
-                 capital: float | None = None, cooldown: Column | bool = False) -> DataFrame:
+def one_position(cands: DataFrame, keys: Sequence[str], size: int = forest.SLOT) -> DataFrame:
     """Keep the candidates a single-position account would take.
 
-    Needs ``signal_no`` and ``exit_no`` (bar numbers, unique signal per key): a candidate is taken
-    when flat at its signal bar. With ``daily_halt_pct`` (needs ``signal_day, exit_day, net_pnl``) no
-    entry follows on a day whose realised loss reached that share of ``capital``. With ``cooldown``
-    (needs ``direction, net_pnl, cross_at_signal, cross_before_exit``) the side of a lost trade stays
-    blocked until the midline was crossed.
+    Needs ``signal_no`` and ``exit_no`` (bar numbers, unique signal per key): a candidate is taken when flat at its signal bar, so
+    each candidate leads to the first one at or after its exit. Those links are a forest (see ``functions.forest``), of which the
+    path from a key's first candidate is kept, however long candidates overlap. ``cands`` is read several times.
+    """
+    return forest.path(cands, keys, "signal_no", "exit_no", size)
+
+
+def guard_columns(taken: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What guards of an account look at when a taken trade signals, as plain columns.
+
+    Needs ``signal_no, exit_no, direction, net_pnl, signal_day, exit_day``, and the midline crossings counted up to the signal bar and
+    before the exit bar, ``cross_at_signal, cross_before_exit``. Adds
+
+    * ``day_low``: the lowest the day's realised P&L had been, over earlier trades closed on the signal's day (NULL without one);
+    * ``side_lost``: the trade before lost on the same side and the midline was not crossed since.
 
-    The rule is sequential, but it starts afresh wherever no earlier candidate can still matter: no
-    position reaches over that bar (and no shared day, no missing crossing). The history is cut
-    there, and only the short runs in between are folded.
+    Trades are those of the path without guards: a guard filters them, it does not time later ones anew.
     """
-    halt_on, cool_on = daily_halt_pct is not None, cooldown is not False
-    if halt_on and capital is None:
-        raise ValueError("a daily halt needs the capital it refers to")
-    halt = F.lit(daily_halt_pct) if isinstance(daily_halt_pct, (int, float)) else daily_halt_pct
-    cool = F.lit(cooldown) if isinstance(cooldown, bool) else cooldown
-    chunk = F.floor(F.col("signal_no") / ordered.CHUNK_ROWS)
-    specs = {"_busy": ("max", F.col("exit_no"), True)}
-    if halt_on:
-        specs["_day"] = ("max", F.col("exit_day"), True)
-    if cool_on:
-        specs["_cross"] = ("max", F.col("cross_before_exit"), True)
-    seen = stage(ordered.running(cands, keys, ["signal_no"], chunk, specs))
-    fresh = F.col("signal_no") >= F.col("_busy")
-    if halt_on:
-        fresh = fresh & ((halt <= 0) | (F.col("signal_day") > F.col("_day")))
-    if cool_on:
-        fresh = fresh & (~cool | (F.col("cross_at_signal") > F.col("_cross")))
-    cut = F.col("_busy").isNull() | fresh
-    runs = ordered.running(seen, keys, ["signal_no"], chunk,
-                           {"_run": ("max", F.when(cut, F.col("signal_no")))})
-    fields = ["signal_no", "exit_no"]
-    if halt_on:
-        fields += ["signal_day", "exit_day"]
-    if cool_on:
-        fields += ["direction", "cross_at_signal", "cross_before_exit"]
-    if halt_on or cool_on:
-        fields.append("net_pnl")
-    group = runs.groupBy(*keys, "_run").agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("_c"),
-        *([F.max(halt).alias("_halt")] if halt_on else []), *([F.max(cool).alias("_cool")] if cool_on else []))
-    zero = F.struct(
-        F.lit(-1).cast("bigint").alias("free_at"), F.lit(None).cast("date").alias("day"), F.lit(0.0).alias("loss"),
-        F.lit(None).cast("string").alias("lost_side"), F.lit(-1).cast("bigint").alias("cross"),
-        F.array().cast("array<bigint>").alias("kept"))
-
-    def step(s, c):
-        take = c.signal_no >= s.free_at
-        if halt_on:
-            same = s.day == c.signal_day
-            hit = (F.col("_halt") > 0) & same & (s.loss / capital * 100 <= -F.col("_halt"))
-            take = take & ~F.coalesce(hit, F.lit(False))
-        if cool_on:
-            blocked = F.col("_cool") & (s.lost_side == c.direction) & (c.cross_at_signal <= s.cross)
-            take = take & ~F.coalesce(blocked, F.lit(False))
-        day, loss, side, cross = s.day, s.loss, s.lost_side, s.cross
-        if halt_on:
-            loss = F.when(F.coalesce(s.day == c.exit_day, F.lit(False)), s.loss).otherwise(F.lit(0.0)) + c.net_pnl
-            day = c.exit_day
-        if cool_on:
-            side = F.when(c.net_pnl < 0, c.direction)
-            cross = c.cross_before_exit
-        pick = lambda new, old: F.when(take, new).otherwise(old)
-        return F.struct(
-            pick(c.exit_no.cast("bigint"), s.free_at).alias("free_at"), pick(day, s.day).alias("day"),
-            pick(loss, s.loss).alias("loss"), pick(side, s.lost_side).alias("lost_side"),
-            pick(cross.cast("bigint"), s.cross).alias("cross"),
-            pick(F.array_append(s.kept, c.signal_no.cast("bigint")), s.kept).alias("kept"))
-
-    kept = (group.withColumn("_kept", F.aggregate("_c", zero, step)["kept"])
-            .select(*keys, F.explode("_kept").alias("signal_no")))
-    return cands.join(kept, [*keys, "signal_no"], "left_semi")
+    day = F.struct(*[F.col(k) for k in keys], "exit_day")
+    w = Window.partitionBy(day).orderBy("signal_no")
+    rows = taken.withColumn("_day_sum", F.sum("net_pnl").over(w)).withColumn("_day_low", F.min("_day_sum").over(w))
+    last = F.struct("exit_day", "_day_low", "direction", "net_pnl", "cross_before_exit")
+    seen = ordered.running(rows, keys, ["signal_no"], F.floor(F.col("signal_no") / ordered.CHUNK_ROWS), {"_before": ("last", last, True)})
+    b = lambda c: F.col(f"_before.{c}")
+    lost = (b("net_pnl") < 0) & (b("direction") == F.col("direction")) & (F.col("cross_at_signal") <= b("cross_before_exit"))
+    return (seen.withColumn("day_low", F.when(b("exit_day") == F.col("signal_day"), b("_day_low")))
+            .withColumn("side_lost", F.coalesce(lost, F.lit(False))).drop("_day_sum", "_day_low", "_before"))
+
+
+def guarded(taken: DataFrame, keys: Sequence[str], capital: float, halt_pct: Column, cooldown: Column) -> DataFrame:
+    """Leave out trades signalled on a day whose realised loss had reached ``halt_pct`` of ``capital`` (0: no limit), and, with
+    ``cooldown``, trades on a side that just lost before the midline was crossed."""
+    halted = (halt_pct > 0) & (F.col("day_low") / capital * 100 <= -halt_pct)
+    rows = guard_columns(taken, keys)
+    return rows.filter(~F.coalesce(halted, F.lit(False)) & ~(F.coalesce(cooldown, F.lit(False)) & F.col("side_lost"))).drop("day_low", "side_lost")
 
 
 # Broker deal reason codes.

@@ -247,6 +247,15 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str,
                                           *[F.col(f"_last.{c}").alias(c) for c in payload])
 
 
+def with_guard_inputs(taken: DataFrame, feats: DataFrame, crossed: Column) -> DataFrame:
+    """Days and midline crossings that ``paths.guard_columns`` needs; ``crossed`` is a condition on the bars."""
+    chunk = F.floor((F.col("row_no") - 1) / ordered.CHUNK_ROWS)
+    count = ordered.running(feats.withColumn("_m", crossed.cast("int")), ["symbol"], ["row_no"], chunk, {"_x": ("sum", F.col("_m"))})
+    return (taken.withColumns({"signal_day": F.to_date("signal_time"), "exit_day": F.to_date("exit_time")})
+            .join(count.select("symbol", F.col("row_no").alias("signal_no"), F.col("_x").alias("cross_at_signal")), ["symbol", "signal_no"])
+            .join(count.select("symbol", F.col("row_no").alias("exit_no"), (F.col("_x") - F.col("_m")).alias("cross_before_exit")), ["symbol", "exit_no"]))
+
+
 # ---- the whole chain for one parameter set -----------------------------------------------------
 
 def simulate(feats: DataFrame, specs: DataFrame, name: str, params: dict, capital: float = 10_000.0,
@@ -265,14 +274,9 @@ def simulate(feats: DataFrame, specs: DataFrame, name: str, params: dict, capita
     flags = signals.with_exit_flags(seen, name, params)
     out = resolve_exits(barrier_outcomes(stage(fills), feats, fan_out), feats, next_exit_bars(flags))
     costed = with_pnl(out, specs, params.get("commission_per_lot", money.COMMISSION_PER_LOT), apply_exit_costs, noise)
-    halt = params.get("daily_loss_halt_pct") or None
-    cool = bool(params.get("cooldown_requires_midline", False))
-    if halt:
-        costed = costed.withColumn("signal_day", F.to_date("signal_time")).withColumn("exit_day", F.to_date("exit_time"))
-    if cool:
-        chunk = F.floor((F.col("row_no") - 1) / ordered.CHUNK_ROWS)
-        crossed = ordered.running(feats.withColumn("_m", signals.midline_crossed(params, name).cast("int")), ["symbol"], ["row_no"],
-                                  chunk, {"_crosses": ("sum", F.col("_m"))}).select("symbol", "row_no", "_crosses", "_m")
-        costed = (costed.join(crossed.select("symbol", F.col("row_no").alias("signal_no"), F.col("_crosses").alias("cross_at_signal")), ["symbol", "signal_no"])
-                  .join(crossed.select("symbol", F.col("row_no").alias("exit_no"), (F.col("_crosses") - F.col("_m")).alias("cross_before_exit")), ["symbol", "exit_no"]))
-    return paths.one_position(stage(costed), ["symbol"], halt, capital if halt else None, cool)
+    taken = paths.one_position(stage(costed), ["symbol"])
+    halt, cool = params.get("daily_loss_halt_pct") or 0.0, bool(params.get("cooldown_requires_midline", False))
+    if not halt and not cool:
+        return taken
+    marked = with_guard_inputs(taken, feats, signals.midline_crossed(params, name))
+    return paths.guarded(marked, ["symbol"], capital, F.lit(float(halt)), F.lit(cool)).select(*taken.columns)

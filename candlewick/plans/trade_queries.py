@@ -319,13 +319,19 @@ def trade_as_of_bar(spark, d):
     return out.select("symbol", "seq", "ts", F.col("bar_ts").alias("as_of_ts"), "close")
 
 
-@query("trade_simulated_halt_cooldown")
-def trade_simulated_halt_cooldown(spark, d):
-    """RSI reversion with daily halt and midline cooldown (sequential rule; checked by brute force in the tests)."""
-    t = trades.simulate(ready(spark, d), b.specs(spark), "rsi_reversion", {
-        "rsi_oversold": 45, "rsi_overbought": 55, "exit_on_midline": False, "daily_loss_halt_pct": 1.5,
-        "cooldown_requires_midline": True}, CAPITAL)
-    return rounded(t.select("symbol", "signal_no", "exit_no", "direction", "close_reason", "net_pnl"), ["net_pnl"], 4)
+@query("trade_guard_flags", _SIM + """, x AS (SELECT symbol, row_no, CASE WHEN (rsi_prev < 50 AND rsi >= 50) OR (rsi_prev > 50 AND rsi <= 50) THEN 1 ELSE 0 END
+ * CASE WHEN session = 'DEAD_ZONE' OR donchian_upper_entry IS NULL OR donchian_lower_entry IS NULL OR atr IS NULL OR close IS NULL THEN 0 ELSE 1 END AS m FROM ff),
+ xs AS (SELECT *, sum(m) OVER (PARTITION BY symbol ORDER BY row_no) AS c FROM x),
+ t AS (SELECT p.*, sum(p.net_pnl) OVER (PARTITION BY p.symbol, p.exit_time::DATE ORDER BY p.signal_no) AS day_sum, a.c AS at_signal, z.c - z.m AS at_exit FROM kept JOIN pnl p USING (symbol, signal_no)
+  JOIN xs a ON a.symbol = p.symbol AND a.row_no = p.signal_no JOIN xs z ON z.symbol = p.symbol AND z.row_no = p.exit_no),
+ u AS (SELECT *, min(day_sum) OVER (PARTITION BY symbol, exit_time::DATE ORDER BY signal_no) AS low FROM t),
+ v AS (SELECT *, lag(exit_time::DATE) OVER w AS b_day, lag(low) OVER w AS b_low, lag(net_pnl) OVER w AS b_net, lag(direction) OVER w AS b_dir, lag(at_exit) OVER w AS b_cross FROM u WINDOW w AS (PARTITION BY symbol ORDER BY signal_no))
+ SELECT symbol, signal_no, round(CASE WHEN b_day = signal_time::DATE THEN b_low END, 4) AS day_low, coalesce(b_net < 0 AND b_dir = direction AND at_signal <= b_cross, FALSE) AS side_lost FROM v""")
+def trade_guard_flags(spark, d):
+    """What a daily halt and a re-entry cooldown look at when a taken trade signals."""
+    f, t = simulated(spark, d)
+    marked = trades.with_guard_inputs(stage(t), f, signals.midline_crossed({}, "combo_donchian_breakout__rsi_reversion"))
+    return rounded(paths.guard_columns(marked, ["symbol"]).select("symbol", "signal_no", "day_low", "side_lost"), ["day_low"], 4)
 
 
 @query("flagship_ma_signals", b.with_sql("indexed") + f""", m AS (SELECT symbol, ts, close, row_no, {b.session_sql('ts')} AS session,

@@ -113,15 +113,33 @@ def test_simulate_equals_candle_loop(feats, specs, name, params):
     assert [t.exit_price for t in got] == pytest.approx([w[4] for w in want])
 
 
-def test_halt_and_cooldown(feats, specs):
+def test_guards_are_columns_of_the_path(feats, specs):
+    """Day's realised low and lost side of every taken trade against a loop, and what the guards leave."""
     params = {"rsi_oversold": 48, "rsi_overbought": 52, "exit_on_midline": False, "sl_atr_multiple": 0.5, "tp_rr_ratio": 1.5}
-    plain = candle_loop(feats, specs, "rsi_reversion", params)
-    for halt, cool in ((1.0, False), (0.0, True), (1.0, True)):
-        p = {**params, "daily_loss_halt_pct": halt, "cooldown_requires_midline": cool}
-        got = trades.simulate(feats, specs, "rsi_reversion", p, CAPITAL).orderBy("signal_no").collect()
-        want = candle_loop(feats, specs, "rsi_reversion", params, halt, cool)
-        assert [(t.signal_no, t.exit_no) for t in got] == [w[:2] for w in want]
-        assert want != plain
+    taken = stage(trades.simulate(feats, specs, "rsi_reversion", params, CAPITAL))
+    crossed = signals.midline_crossed(params, "rsi_reversion")
+    crossings = [r.row_no for r in feats.filter(crossed).collect()]
+    got = {r.signal_no: r for r in paths.guard_columns(trades.with_guard_inputs(taken, feats, crossed), ["symbol"]).collect()}
+    rows = taken.orderBy("signal_no").collect()
+    assert len(got) == len(rows) > 20
+    kept = {(h, c): [] for h in (0.0, 1.0) for c in (False, True)}
+    for i, t in enumerate(rows):
+        total, low = 0.0, None
+        for x in rows[:i]:
+            if x.exit_time.date() == t.signal_time.date():
+                total += x.net_pnl
+                low = total if low is None else min(low, total)
+        last = rows[i - 1] if i else None
+        lost = bool(last) and last.net_pnl < 0 and last.direction == t.direction and not any(last.exit_no <= c <= t.signal_no for c in crossings)
+        assert got[t.signal_no].side_lost == lost and (low is None) == (got[t.signal_no].day_low is None)
+        assert low is None or got[t.signal_no].day_low == pytest.approx(low)
+        for h, c in kept:
+            if not (h > 0 and low is not None and low / CAPITAL * 100 <= -h) and not (c and lost):
+                kept[h, c].append(t.signal_no)
+    assert len({tuple(k) for k in kept.values()}) >= 3
+    for (h, c), want in kept.items():
+        p = {**params, "daily_loss_halt_pct": h, "cooldown_requires_midline": c}
+        assert [t.signal_no for t in trades.simulate(feats, specs, "rsi_reversion", p, CAPITAL).orderBy("signal_no").collect()] == want
 
 
 def test_one_position_long_overlapping_run(spark):
