@@ -8,7 +8,8 @@ ordered key into chunks first, so the largest sort is one chunk, however hot the
                        for every window with a bounded frame;
 * ``running``          unbounded running sum/max/min/last and walks (a sum with its extremes: drawdown,
                        reflected walks): local window plus the carry of earlier chunks;
-* ``recurrence``       first-order linear recurrences (EMA, Wilder averages) inside a chunk and its halo.
+* ``averages``         first-order linear recurrences (EMA, Wilder averages) as affine maps composed along the chunks;
+* ``recurrence``       the same inside a chunk and its halo, where many short averages share one shuffle.
 
 ``chunk`` arguments are columns that never decrease along the row order. Only the per-chunk summary
 (one row per key and chunk) is ever ordered as a whole.
@@ -17,12 +18,17 @@ ordered key into chunks first, so the largest sort is one chunk, however hot the
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 CHUNK_ROWS = 4096
+# chunk of ``averages``: weights of alpha up to 2/3 stay in range
+AVERAGE_ROWS = 512
 # exp(-41.5) is below 1e-18: older inputs cannot change a double.
 _FORGET = 41.5
 # keeps (1 - alpha)^-rows below 1e250 inside one chunk
@@ -186,27 +192,102 @@ def fits(chains: Sequence[Sequence[float]], lookback: int = 0) -> bool:
 
 
 def chunk_plan(chains: Sequence[Sequence[float]], lookback: int = 0) -> tuple[int, int]:
-    """(halo, size) for recurrences with the given alphas; inner lists are applied one after another. Alphas that do
-    not ``fits`` need chunks of their own, one after the other."""
-    halo, size = _layout(chains, lookback)
-    if size < 1:
-        raise ValueError("these recurrences need separate chunks")
-    return halo, size
+    """(halo, size) for recurrences with the given alphas that ``fits``; inner lists are applied one after another."""
+    return _layout(chains, lookback)
+
+
+def known(x: Column) -> Column:
+    """NaN becomes NULL: a missing input, whichever way it is missing, leaves an average as it is."""
+    return F.when(~F.isnan(x), x)
 
 
 def recurrence(term: Column, seed: Column, seed_row: int, alpha: float, keys: Sequence[str],
                halo: int, size: int, seq: str = "row_no") -> Column:
-    """``y = y + alpha * (x - y)`` seeded with ``seed`` at row ``seed_row``; NULL before it.
+    """``y = y + alpha * (x - y)`` seeded with ``seed`` at row ``seed_row``; NULL before it, unchanged where x is missing.
 
-    Needs rows from ``spread(halo, size)``. Inputs are scaled by a growing weight, summed with an
-    ordinary running sum, and scaled back.
+    Needs rows from ``spread(halo, size)``. Inputs are scaled by a weight that grows with every known input, summed with an
+    ordinary running sum, and scaled back. Where most inputs of a halo are missing, use ``averages``.
     """
+    x = known(term)
+    w = chunk_window(keys, seq).rowsBetween(Window.unboundedPreceding, 0)
     if alpha >= 1:
-        return F.when(F.col(seq) == seed_row, seed).when(F.col(seq) > seed_row, term)
-    pos = F.col(seq) - (F.col("_chunk") * size + 1 - halo)
+        return F.when(F.col(seq) >= seed_row, F.last(F.when(F.col(seq) > seed_row, x).otherwise(seed), ignorenulls=True).over(w))
+    pos, lost = F.col(seq) - (F.col("_chunk") * size + 1 - halo), F.count_if(x.isNull()).over(w)
     keep = F.lit(1.0 - alpha)
     scaled = (F.when(F.col(seq) == seed_row, seed)
-              .when(F.col(seq) > seed_row, F.lit(alpha) * term)
-              .otherwise(F.lit(0.0)) * F.pow(keep, -pos))
-    w = chunk_window(keys, seq).rowsBetween(Window.unboundedPreceding, 0)
-    return F.when(F.col(seq) >= seed_row, F.sum(scaled).over(w) * F.pow(keep, pos))
+              .when((F.col(seq) > seed_row) & x.isNotNull(), F.lit(alpha) * x)
+              .otherwise(F.lit(0.0)) * F.pow(keep, lost - pos))
+    return F.when(F.col(seq) >= seed_row, F.sum(scaled).over(w) * F.pow(keep, pos - lost))
+
+
+def _affine_scan(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Maps ``_a<i> * y + _b<i>`` of the chunks of a key, in order (``_n`` counts from 1), to the value each chunk starts from, ``_c<i>``.
+
+    Composing maps is associative, so doubling distances reach all earlier chunks of a key in logarithmically many
+    passes over arrays. A key that spans batches goes on from the last value of the batch before.
+    """
+    carry = np.zeros(n)
+    for batch in batches:
+        place = batch.column("_n").to_numpy()
+        at, out = np.arange(len(place)), list(batch.columns)
+        if not len(at):
+            continue
+        begun = at - place + 1  # where the key began, negative if in an earlier batch
+        for i in range(n):
+            a, b = (batch.column(f"_{c}{i}").to_numpy() for c in "ab")
+            step = 1
+            while step < len(at):
+                there = np.maximum(at - step, 0)
+                ok = at - step >= np.maximum(begun, 0)
+                a, b = np.where(ok, a * a[there], a), np.where(ok, a * b[there] + b, b)
+                step *= 2
+            end = np.where(begun < 0, a * carry[i] + b, b)
+            out.append(pa.array(np.where(place == 1, 0.0, np.concatenate([carry[i:i + 1], end[:-1]]))))
+            carry[i] = end[-1]
+        yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names, *[f"_c{i}" for i in range(n)]])
+
+
+def averages(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, int, float, int]], size: int = AVERAGE_ROWS, seq: str = "row_no") -> DataFrame:
+    """Averages ``y = y + alpha * (x - y)``, seeded with the plain mean of their first inputs, for any alpha and any length of history.
+
+    ``specs`` maps an output to (source column, n, alpha, first row): the seed is the mean of rows first .. first + n - 1 and stands at
+    the last of them; before it the output is NULL. Missing inputs (NULL or NaN) leave the average as it is and are left out
+    of the seed; without any input for the seed there is no average, the output stays NULL.
+
+    Over a chunk such an average is an affine map a * y + b of the value it starts from. Each chunk's map is found on its own, the maps are
+    composed along the key (one summary row per chunk), and every row applies its chunk's map so far to the chunk's start. So
+    no row is computed twice and nothing depends on where chunks begin. Chunks shrink where ``size`` rows would not keep the weights in range.
+    """
+    parts = list(enumerate(specs.items()))
+    size = min([size, *(recurrence_rows(alpha) for _, _, alpha, _ in specs.values())])
+    seed_row = [first + n - 1 for _, n, _, first in specs.values()]
+    rows = df.withColumn("_chunk", F.floor((F.col(seq) - 1) / size)).withColumn("_g", _group(keys))
+    w = Window.partitionBy("_g").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    maps, ends, seeds = {}, [], []
+    for i, (_, (src, n, alpha, first)) in parts:
+        x, keep = known(F.col(src).cast("double")), F.lit(1.0 - alpha)
+        seeds.append(F.avg(F.when(F.col(seq).between(first, first + n - 1), x)).alias(f"_s{i}"))
+        later = F.when(F.col(seq) > seed_row[i], x)
+        count = F.count(later).over(w)  # inputs since the chunk's start: the exponent of its map so far
+        scaled = F.last(later, ignorenulls=True).over(w) if alpha >= 1 else F.sum(later * alpha * F.pow(keep, -count)).over(w) * F.pow(keep, count)
+        maps |= {f"_m{i}": count, f"_l{i}": F.coalesce(scaled, F.lit(0.0))}
+        ends += [F.pow(keep, F.max(f"_m{i}")).alias(f"_a{i}"), F.max_by(f"_l{i}", seq).alias(f"_b{i}")]
+    local = rows.withColumns(maps)
+    summary = local.groupBy("_g").agg(*ends).withColumn("_k", F.struct(*[F.col(f"_g.{k}").alias(k) for k in keys], F.lit(0).alias("_")))
+    seeded = (df.filter(F.col(seq) <= max(seed_row)).groupBy(F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_")).alias("_k")).agg(*seeds))
+    summary = summary.join(seeded, "_k", "left")
+    chunk = F.col("_g._chunk")
+    for i, _ in parts:
+        holder, a, b = (seed_row[i] - 1) // size, F.col(f"_a{i}"), F.col(f"_b{i}")
+        # NaN marks a key without a seed, also in all later chunks
+        seed = F.coalesce(f"_s{i}", F.lit(float("nan")))
+        summary = summary.withColumns({f"_s{i}": seed, f"_a{i}": F.when(chunk > holder, a).otherwise(0.0), f"_b{i}": F.when(chunk > holder, b).when(chunk == holder, a * seed + b).otherwise(0.0)})
+    summary = summary.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(chunk))).drop("_k")
+    count = len(parts)
+    kind = StructType([*summary.schema.fields, *[StructField(f"_c{i}", DoubleType()) for i, _ in parts]])
+    starts = summary.mapInArrow(lambda batches: _affine_scan(batches, count), kind).drop("_n", *[f"_{c}{i}" for i, _ in parts for c in "ab"])
+    out, values = _with(local, starts), {}
+    for i, (name, (_, _, alpha, _)) in parts:
+        start = F.when(F.col("_chunk") == (seed_row[i] - 1) // size, F.col(f"_s{i}")).otherwise(F.col(f"_c{i}"))
+        values[name] = F.when(F.col(seq) >= seed_row[i], known(F.pow(F.lit(1.0 - alpha), F.col(f"_m{i}")) * start + F.col(f"_l{i}")))
+    return out.withColumns(values).drop("_chunk", *[f"_{c}{i}" for i, _ in parts for c in "mlsc"])

@@ -1,7 +1,9 @@
 """Indicators over ordered bars; NULL until enough history exists.
 
 Inputs carry ``row_no`` (see ``ordered.index_rows``). Each operator works on chunks of bars with the
-halo it needs: bounded windows directly, EMA and Wilder averages as chunked recurrences.
+halo it needs for bounded windows; EMA and Wilder averages are affine maps composed along the chunks. Where many averages share
+one shuffle (``features``, ``long_indicators``) their halo holds all rows they can remember.
+A missing input (NULL or NaN) leaves an average as it is, here as there.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def seeded_average(src: str, n: int, alpha: float, first_row: int, halo: int, si
                    keys: Sequence[str] = KEYS) -> Column:
     """Recurrence seeded with the plain mean of the first ``n`` values."""
     w = ordered.chunk_window(keys).rowsBetween(-(n - 1), 0)
-    return ordered.recurrence(F.col(src), F.avg(src).over(w), first_row + n - 1, alpha, keys, halo, size)
+    return ordered.recurrence(F.col(src), F.avg(ordered.known(F.col(src))).over(w), first_row + n - 1, alpha, keys, halo, size)
 
 
 def ema_alpha(n: int) -> float:
@@ -71,29 +73,27 @@ def volume_sma(indexed: DataFrame, period: int = 20, out: str = "volume_sma") ->
     return sma(indexed, period, "volume", out)
 
 
+def _average(rows: DataFrame, specs: dict[str, tuple[str, int, float, int]]) -> DataFrame:
+    return ordered.averages(rows, KEYS, specs)
+
+
 def ema(indexed: DataFrame, period: int, src: str = "close", out: str = "ema") -> DataFrame:
     _need(period, 1, "EMA")
-    a = ema_alpha(period)
-    rows, halo, size = _chunked(indexed, period, [[a]])
-    return ordered.own_rows(rows.withColumn(out, seeded_average(src, period, a, 1, halo, size)))
+    return _average(indexed, {out: (src, period, ema_alpha(period), 1)})
 
 
 def macd(indexed: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """Line, signal and histogram. Both averages and the signal share one set of chunks if their periods allow it;
-    otherwise each average is computed in chunks of its own."""
+    """Line, signal and histogram, for any periods: both averages in one scan, the signal in a second."""
     lo, hi = sorted((fast, slow))
-    af, as_, sg = ema_alpha(lo), ema_alpha(hi), ema_alpha(signal)
-    line = F.col("_f") - F.col("_s")
-    if ordered.fits([[af, sg], [as_, sg]], hi):
-        rows, halo, size = _chunked(indexed, hi, [[af, sg], [as_, sg]])
-        rows = (rows.withColumn("_f", seeded_average("close", lo, af, 1, halo, size))
-                .withColumn("_s", seeded_average("close", hi, as_, 1, halo, size)).withColumn("macd", line))
-    else:
-        apart = ema(ema(indexed, lo, out="_f"), hi, out="_s").withColumn("macd", line)
-        rows, halo, size = _chunked(apart, hi + signal, [[sg]])
-    rows = (rows.withColumn("macd_signal", seeded_average("macd", signal, sg, hi, halo, size))
-            .withColumn("macd_hist", F.col("macd") - F.col("macd_signal")))
-    return ordered.own_rows(rows).drop("_f", "_s")
+    rows = _average(indexed, {"_f": ("close", lo, ema_alpha(lo), 1), "_s": ("close", hi, ema_alpha(hi), 1)}).withColumn("macd", F.col("_f") - F.col("_s"))
+    rows = _average(rows, {"macd_signal": ("macd", signal, ema_alpha(signal), hi)})
+    return rows.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_f", "_s")
+
+
+def _with_previous(indexed: DataFrame, *cols: str) -> DataFrame:
+    """Add the previous bar's values as ``_p`` and their first letter."""
+    rows, _, _ = _chunked(indexed, 1)
+    return ordered.own_rows(rows.withColumns({f"_p{c[0]}": prev_col(c) for c in cols}))
 
 
 def _step_cols() -> dict[str, Column]:
@@ -109,13 +109,9 @@ def _rsi_from(gain: str, loss: str) -> Column:
 
 def rsi(indexed: DataFrame, period: int = 14, out: str = "rsi") -> DataFrame:
     _need(period, 2, "RSI")
-    a = wilder_alpha(period)
-    rows, halo, size = _chunked(indexed, period + 1, [[a]])
-    rows = (rows.withColumn("_pc", prev_col("close")).withColumns(_step_cols())
-            .withColumns({"_ag": seeded_average("_gain", period, a, 2, halo, size),
-                          "_al": seeded_average("_loss", period, a, 2, halo, size)})
-            .withColumn(out, _rsi_from("_ag", "_al")))
-    return ordered.own_rows(rows).drop("_pc", "_gain", "_loss", "_ag", "_al")
+    rows = _with_previous(indexed, "close").withColumns(_step_cols())
+    rows = _average(rows, {f"_a{c}": (f"_{word}", period, wilder_alpha(period), 2) for c, word in (("g", "gain"), ("l", "loss"))})
+    return rows.withColumn(out, _rsi_from("_ag", "_al")).drop("_pc", "_gain", "_loss", "_ag", "_al")
 
 
 def _range_cols() -> dict[str, Column]:
@@ -126,11 +122,8 @@ def _range_cols() -> dict[str, Column]:
 
 def atr(indexed: DataFrame, period: int = 14, out: str = "atr") -> DataFrame:
     _need(period, 1, "ATR")
-    a = wilder_alpha(period)
-    rows, halo, size = _chunked(indexed, period + 1, [[a]])
-    rows = (rows.withColumn("_pc", prev_col("close")).withColumns(_range_cols())
-            .withColumn(out, seeded_average("_tr", period, a, 2, halo, size)))
-    return ordered.own_rows(rows).drop("_pc", "_tr")
+    rows = _with_previous(indexed, "close").withColumns(_range_cols())
+    return _average(rows, {out: ("_tr", period, wilder_alpha(period), 2)}).drop("_pc", "_tr")
 
 
 def bollinger(indexed: DataFrame, period: int = 20, width: float = 2.0) -> DataFrame:
@@ -190,13 +183,11 @@ def _dx_col() -> Column:
 def adx(indexed: DataFrame, period: int = 14) -> DataFrame:
     _need(period, 2, "ADX")
     a = wilder_alpha(period)
-    rows, halo, size = _chunked(indexed, 2 * period + 1, [[a, a]])
-    average = lambda src: seeded_average(src, period, a, 2, halo, size)
-    for cols in ({f"_p{c[0]}": prev_col(c) for c in ("close", "high", "low")}, {**_range_cols(), **_directional_cols()},
-                 {"_ar": average("_tr"), "_au": average("_up"), "_ad": average("_dn")}, _di_cols("_ar"), {"_dx": _dx_col()},
-                 {"adx": seeded_average("_dx", period, a, period + 1, halo, size)}):
-        rows = rows.withColumns(cols)
-    return ordered.own_rows(rows).drop("_pc", "_tr", "_ph", "_pl", "_up", "_dn", "_ar", "_au", "_ad", "_dx")
+    rows = _with_previous(indexed, "close", "high", "low").withColumns({**_range_cols(), **_directional_cols()})
+    rows = _average(rows, {f"_a{c[1]}": (c, period, a, 2) for c in ("_up", "_dn")} | {"_ar": ("_tr", period, a, 2)})
+    rows = rows.withColumns(_di_cols("_ar")).withColumn("_dx", _dx_col())
+    rows = _average(rows, {"adx": ("_dx", period, a, period + 1)})
+    return rows.drop("_pc", "_tr", "_ph", "_pl", "_up", "_dn", "_ar", "_au", "_ad", "_dx")
 
 
 def regime_label(adx_: Column, ratio: Column) -> Column:
@@ -307,6 +298,7 @@ def long_indicators(indexed: DataFrame, sma_periods: Sequence[int] = (), ema_per
     keys = ["symbol", "kind", "period"]
     w = ordered.chunk_window(keys)
     upto = w.rowsBetween(-(1 << 30), 0)
+    x = ordered.known(F.col("close"))
     frames = []
     for kind, periods in (("SMA", sma_periods), ("CHANNEL", channel_periods)):
         frames += [(kind, n) for n in sorted(set(periods))]
@@ -322,13 +314,14 @@ def long_indicators(indexed: DataFrame, sma_periods: Sequence[int] = (), ema_per
     seed = F.lit(None).cast("double")
     for n in sorted(set(ema_periods)):
         seed = F.when((F.col("kind") == "EMA") & (F.col("period") == n),
-                      F.avg("close").over(w.rowsBetween(-(n - 1), 0))).otherwise(seed)
-    pos = F.col("row_no") - (F.col("_chunk") * F.col("_size") + 1 - F.col("_halo"))
+                      F.avg(x).over(w.rowsBetween(-(n - 1), 0))).otherwise(seed)
+    rows = rows.withColumn("_lost", F.count_if(x.isNull()).over(upto))
+    pos = F.col("row_no") - (F.col("_chunk") * F.col("_size") + 1 - F.col("_halo")) - F.col("_lost")
     keep = F.lit(1.0) - F.col("_alpha")
     scaled = (F.when(F.col("kind") != "EMA", F.lit(0.0)).when(F.col("row_no") == F.col("period"), F.col("_seed"))
-              .when(F.col("row_no") > F.col("period"), F.col("_alpha") * F.col("close")).otherwise(F.lit(0.0)))
+              .when((F.col("row_no") > F.col("period")) & x.isNotNull(), F.col("_alpha") * x).otherwise(F.lit(0.0)))
     ema_value = F.when((F.col("kind") == "EMA") & (F.col("row_no") >= F.col("period")),
-                       F.when(F.col("period") == 1, F.col("close")).otherwise(F.col("_run") * F.pow(keep, pos)))
+                       F.when(F.col("period") == 1, F.last(x, ignorenulls=True).over(upto)).otherwise(F.col("_run") * F.pow(keep, pos)))
     weight = F.when((F.col("kind") == "EMA") & (F.col("period") > 1), F.pow(keep, -pos)).otherwise(F.lit(0.0))
     out = (rows.withColumn("_sma", sma_value).withColumn("upper", upper).withColumn("lower", lower)
            .withColumn("_seed", seed).withColumn("_run", F.sum(scaled * weight).over(upto))

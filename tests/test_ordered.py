@@ -128,3 +128,77 @@ def test_averages_far_apart(spark):
     got = [(r.macd, r.macd_signal) for r in ind.macd(rows, 3, 200, 9).orderBy("row_no").collect()]
     assert all(g == w if w is None else g == pytest.approx(w, abs=1e-9) for a, b in zip(got, want) for g, w in zip(a, b))
     assert ind.features(rows, {"rsi_period": 2, "slow_ma_period": 400}).count() == 900
+
+
+def average_loop(xs, n, alpha, first):
+    """y = y + alpha * (x - y) over known inputs, seeded with the mean of the known ones of rows first .. first + n - 1."""
+    known = lambda x: x is not None and not math.isnan(x)
+    out, y = [], None
+    for i, x in enumerate(xs, 1):
+        if i == first + n - 1:
+            head = [v for v in xs[first - 1:i] if known(v)]
+            y = sum(head) / len(head) if head else None
+        elif i > first + n - 1 and y is not None and known(x):
+            y = x if alpha >= 1 else y + alpha * (x - y)
+        out.append(y)
+    return out
+
+
+@pytest.fixture(scope="module")
+def patchy(spark):
+    """One key with 6 000 rows, some inputs missing either way, among them a stretch of 300; a key whose seed is missing; a short and a NULL key."""
+    rng = random.Random(11)
+    data = {}
+    for key, n in (("hot", 6000), ("late", 90), ("short", 2), (None, 40)):
+        xs = [100 + rng.gauss(0, 5) for _ in range(n)]
+        for i in rng.sample(range(n), n // 9):
+            xs[i] = rng.choice([None, float("nan")])
+        data[key] = xs
+    data["hot"][2500:2800] = [None] * 300
+    data["late"][:5] = [float("nan")] * 5
+    rows = [(k, i + 1, x) for k, xs in data.items() for i, x in enumerate(xs)]
+    rng.shuffle(rows)
+    return data, spark.createDataFrame(rows, "k string, row_no bigint, x double").cache()
+
+
+@pytest.mark.parametrize("size", [64, 200, 512])
+def test_averages_do_not_depend_on_chunks(patchy, size):
+    data, df = patchy
+    specs = {"a3": ("x", 3, 0.5, 1), "w3": ("x", 3, 1 / 3, 2), "a2000": ("x", 2000, 2 / 2001, 1), "one": ("x", 1, 1.0, 1), "fast": ("x", 2, 0.95, 5)}
+    got = ordered.averages(df, KEYS, specs, size).toPandas()
+    assert len(got) == len(df.toPandas()) and list(got.columns) == ["k", "row_no", "x", *specs]
+    for k, xs in data.items():
+        mine = got[got.k.isna() if k is None else got.k == k].sort_values("row_no")
+        for name, (_, n, alpha, first) in specs.items():
+            for g, w in zip(mine[name], average_loop(xs, n, alpha, first), strict=True):
+                assert (w is None and pd.isna(g)) or math.isclose(g, w, rel_tol=1e-11), (k, name, size)
+
+
+def test_shared_halo_has_the_same_rule(patchy):
+    """The form that shares chunks gives the same values where its halo holds enough known inputs."""
+    data, df = patchy
+    for n, alpha in ((3, 0.5), (14, 1 / 14)):
+        halo, size = ordered.chunk_plan([[alpha]], 350)
+        seed = F.avg(ordered.known(F.col("x"))).over(ordered.chunk_window(KEYS).rowsBetween(-(n - 1), 0))
+        cut = ordered.spread(df.filter("k = 'hot'"), halo, size)
+        got = ordered.own_rows(cut.withColumn("y", ordered.recurrence(F.col("x"), seed, n, alpha, KEYS, halo, size))).orderBy("row_no").collect()
+        for r, w in zip(got, average_loop(data["hot"], n, alpha, 1), strict=True):
+            assert (w is None and r.y is None) or math.isclose(r.y, w, rel_tol=1e-9)
+
+
+def test_a_key_may_span_batches():
+    """Summaries of one key in several batches, and a key that begins inside a batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    place = [*range(1, 41), *range(1, 8)]
+    a, b = rng.random(47), rng.normal(size=47)
+    table = pa.RecordBatch.from_arrays([pa.array(place), pa.array(a), pa.array(b)], names=["_n", "_a0", "_b0"])
+    got = [v for batch in ordered._affine_scan(iter([table.slice(0, 13), table.slice(13, 20), table.slice(33)]), 1) for v in batch.column("_c0").to_pylist()]
+    y, want = 0.0, []
+    for n, u, v in zip(place, a, b, strict=True):
+        y = 0.0 if n == 1 else y
+        want.append(y)
+        y = v if n == 1 else u * y + v
+    assert got[0] == 0 and np.allclose([g for g, n in zip(got, place) if n > 1], [w for w, n in zip(want, place) if n > 1])
