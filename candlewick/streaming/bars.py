@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
@@ -16,16 +16,57 @@ from candlewick.schemas import OHLCV
 LIVE_WINDOW = 300
 
 
-def stream_bars(ticks: DataFrame, timeframe: str = "H1", late_by: str = "10 minutes", unique: bool = True) -> DataFrame:
-    """Bars from a tick stream (symbol, ts, price, volume, seq). In append mode a bar appears once the
-    watermark has passed its end, so only closed bars are ever seen; later ticks are dropped."""
+def _from_ticks(ticks: DataFrame, timeframe: str, late_by: str, unique: bool) -> DataFrame:
     t = ticks.withWatermark("ts", late_by)
     if unique:
         t = t.dropDuplicatesWithinWatermark(["symbol", "seq"])
-    return (t.groupBy("symbol", F.window("ts", f"{TIMEFRAME_MINUTES[timeframe]} minutes"))
-            .agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-                 F.max_by("price", "ts").alias("close"), F.sum("volume").alias("volume"))
-            .select("symbol", F.lit(timeframe).alias("timeframe"), F.col("window.start").alias("ts"), *OHLCV))
+    return t.groupBy("symbol", F.window("ts", f"{TIMEFRAME_MINUTES[timeframe]} minutes")).agg(
+        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", "ts").alias("close"), F.sum("volume").alias("volume"))
+
+
+def _labelled(bars: DataFrame, timeframe: str) -> DataFrame:
+    return bars.select("symbol", F.lit(timeframe).alias("timeframe"), F.col("window.start").alias("ts"), *OHLCV)
+
+
+def stream_bars(ticks: DataFrame, timeframe: str = "H1", late_by: str = "10 minutes", unique: bool = True) -> DataFrame:
+    """Bars from a tick stream (symbol, ts, price, volume, seq). In append mode a bar appears once the
+    watermark has passed its end, so only closed bars are ever seen; later ticks are dropped."""
+    return _labelled(_from_ticks(ticks, timeframe, late_by, unique), timeframe)
+
+
+def bar_chain(ticks: DataFrame, timeframes: Sequence[str] = ("M15", "H1", "H4"), late_by: str = "10 minutes", unique: bool = True) -> dict[str, DataFrame]:
+    """Closed bars of several timeframes from one tick stream, each aggregated from the closed bars before it.
+
+    Only the shortest timeframe keeps ticks (as aggregates) in its state; a longer one sees a few closed bars per window, by their
+    event time. Each timeframe must be a multiple of the one before. Append mode, like ``stream_bars``.
+    """
+    out, chain, before = {}, None, 0
+    for t in timeframes:
+        minutes = TIMEFRAME_MINUTES[t]
+        if before and (minutes % before or minutes <= before):
+            raise ValueError(f"{t} is no multiple of the timeframe before it")
+        if chain is None:
+            chain = _from_ticks(ticks, t, late_by, unique)
+        else:
+            chain = chain.groupBy("symbol", F.window(F.window_time("window"), f"{minutes} minutes")).agg(
+                F.min_by("open", F.col("window.start")).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+                F.max_by("close", F.col("window.start")).alias("close"), F.sum("volume").alias("volume"))
+        out[t], before = _labelled(chain, t), minutes
+    return out
+
+
+def as_of_stream(left: DataFrame, bars: DataFrame, left_key: Sequence[str], payload: Sequence[str], max_age: str = "4 hours", late_by: str = "10 minutes") -> DataFrame:
+    """Each row of a stream (symbol, ts, ...) with the latest bar closed by then, of a second stream (symbol, at: closing time, ...).
+
+    An interval join with watermarks on both sides, so state older than ``max_age`` and ``late_by`` is dropped; of the bars in reach, the
+    aggregation behind the join keeps the newest. Rows without a bar in reach appear with NULLs. ``left_key`` are the columns that make a left row unique.
+    """
+    ticks = left.withWatermark("ts", late_by)
+    closed = bars.select(F.col("symbol").alias("_symbol"), "at", F.struct("at", *payload).alias("_bar")).withWatermark("at", late_by)
+    near = (F.col("symbol") == F.col("_symbol")) & (F.col("at") <= F.col("ts")) & (F.col("at") > F.col("ts") - F.expr(f"INTERVAL {max_age}"))
+    found = ticks.join(closed, near, "left").groupBy("symbol", *left_key, "ts").agg(F.max_by("_bar", "at").alias("_bar"))
+    return found.select("symbol", *left_key, "ts", F.col("_bar.at").alias("as_of_ts"), *[F.col(f"_bar.{c}").alias(c) for c in payload])
 
 
 def live_signals(bars: DataFrame, template: str, params: dict, lookback: int = LIVE_WINDOW) -> DataFrame:
