@@ -107,7 +107,31 @@ def log_incremental_manifest(spark, d):
     return logs.processed_counts(logs.unprocessed(lines, done))
 
 
+def performance_records(spark, d):
+    return b.table(spark, d, "events").select(F.when(F.col("user_id") % 2 == 0, "ENGINE").otherwise("TRAINER").alias("source_system"), F.col("event_type").alias("metric_type"), "value",
+                                              F.col("ts").cast("timestamp").alias("timestamp"))
+
+
 @query("log_performance_summary", "SELECT CASE WHEN user_id % 2 = 0 THEN 'ENGINE' ELSE 'TRAINER' END AS source_system, event_type AS metric_type, count(*) AS n, round(avg(value), 5) AS mean, round(quantile_cont(value, 0.5), 5) AS median, round(quantile_cont(value, 0.95), 5) AS p95, max(value) AS max FROM events GROUP BY ALL")
 def log_performance_summary(spark, d):
-    r = b.table(spark, d, "events").select(F.when(F.col("user_id") % 2 == 0, "ENGINE").otherwise("TRAINER").alias("source_system"), F.col("event_type").alias("metric_type"), "value")
-    return rounded(logs.performance_summary(r, "value"), ["mean", "median", "p95"], 5)
+    return rounded(logs.performance_summary(performance_records(spark, d), "value", exact=True), ["mean", "median", "p95"], 5)
+
+
+@query("log_performance_sketches", """WITH r AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'ENGINE' ELSE 'TRAINER' END AS source_system, event_type AS metric_type, value FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20')
+ SELECT source_system, metric_type, count(*) AS n, round(avg(value), 5) AS mean, max(value) AS max, TRUE AS median_close, TRUE AS p95_close, TRUE AS n_values_close FROM r GROUP BY ALL""")
+def log_performance_sketches(spark, d):
+    """Sketches per day and source, merged for a range of days: exact counts, and whether the estimates are as close as stated."""
+    r = performance_records(spark, d)
+    span = F.col("day").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date"))
+    keys = ["source_system", "metric_type"]
+    # the daily rows are what a store would keep
+    merged = logs.merged_sketches(stage(logs.performance_sketches(r, "value")).filter(span))
+    days = r.withColumn("day", F.to_date("timestamp")).filter(span)
+    at = days.join(merged.select(*keys, "q50", "q95"), keys).groupBy(*keys).agg(
+        *[(F.count_if(F.col("value") < F.col(q)) / F.count("value")).alias(f"{q}_below") for q in ("q50", "q95")],
+        *[(F.count_if(F.col("value") <= F.col(q)) / F.count("value")).alias(f"{q}_upto") for q in ("q50", "q95")], F.countDistinct("value").alias("_exact"))
+    e = logs.RANK_ERROR
+    close = lambda q, p: (F.col(f"{q}_below") - e <= p) & (p <= F.col(f"{q}_upto") + e)
+    out = merged.join(at, keys).select(*keys, "n", "mean", "max", close("q50", 0.5).alias("median_close"), close("q95", 0.95).alias("p95_close"),
+                                       (F.abs(F.col("n_values") - F.col("_exact")) <= 0.05 * F.col("_exact")).alias("n_values_close"))
+    return rounded(out, ["mean"], 5)

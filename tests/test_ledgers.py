@@ -17,7 +17,7 @@ def test_audit_performance_and_trials(spark, tmp_path):
     assert got.count() == 2 and got.filter("timestamp IS NOT NULL AND details.pct = '4.2'").count() == 2
     p = spark.createDataFrame([("ENGINE", "EVAL", float(i)) for i in range(11)], "source_system string, metric_type string, ms double")
     logs.append_performance(p, str(tmp_path / "perf"))
-    s = logs.performance_summary(spark.read.parquet(str(tmp_path / "perf")), "ms").first()
+    s = logs.performance_summary(spark.read.parquet(str(tmp_path / "perf")), "ms", exact=True).first()
     assert (s.n, s["mean"], s.median, s["max"]) == (11, 5.0, 5.0, 10.0)
     t = spark.createDataFrame([("ma_crossover", 0.5, {"fast_ma_period": "5", "pip_size": "0.1"})], "template string, composite_score double, parameters map<string,string>")
     history.append_trials(t, str(tmp_path / "trials"))
