@@ -18,8 +18,10 @@ probability 5e-5, and shares no key at all with 1.2e-6; every pair that shares a
 Sets are sets of 64-bit shingle hashes.
 
 Defined cases: texts without words have an empty set and link with nothing; a null doc_id takes part in no link of
-its own, but follows the class of an equal text; rows that repeat a doc_id are judged by their own text; an
-empty table gives an empty result; further columns are ignored by ``near_duplicates`` and kept by ``one_of_each``.
+its own, but follows the class of an equal text; rows that repeat a doc_id are judged by their own text: links are between texts,
+so one of them may follow a smaller doc_id while another stays (if two classes have the same smallest doc_id, classes are numbered in the
+order of doc_id and digest instead); an empty table gives an empty result; further columns are ignored by ``near_duplicates`` and
+kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ _FIRST = np.array([next((i for i, c in enumerate(_COMBINATIONS) if all(p >> x &
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest and signature of every row (the last two null for empty sets)."""
+    """doc_id, t (a hash of the text), n_shingles, digest and signature of every row (the last two null for empty sets)."""
     narrow_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -61,10 +63,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 dig.append(shingles.digest(s) if len(s) else None)
                 sig.append(shingles.signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(sig, pa.binary())],
-                                             names=["doc_id", "n_shingles", "digest", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(sig, pa.binary())],
+                                             names=["doc_id", "t", "n_shingles", "digest", "signature"])
 
-    return texts(docs).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, signature binary")
+    return texts(docs).withColumn("t", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, t bigint, n_shingles bigint, digest binary, signature binary")
 
 
 def keys_of(signatures: np.ndarray) -> np.ndarray:
@@ -108,7 +110,7 @@ def groups(classes: DataFrame) -> DataFrame:
 
 
 def compress(docs: DataFrame) -> DataFrame:
-    """doc_id and text as a compressed binary."""
+    """doc_id, the hash of the text and the text as a compressed binary."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
@@ -116,10 +118,10 @@ def compress(docs: DataFrame) -> DataFrame:
 
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([z.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())],
-                                             names=["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array([z.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())],
+                                             names=["doc_id", "t", "packed"])
 
-    return texts(docs).mapInArrow(run, f"doc_id {kind}, packed binary")
+    return texts(docs).withColumn("t", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, t bigint, packed binary")
 
 
 class _Sets:
@@ -199,46 +201,69 @@ def _linked(members: DataFrame) -> DataFrame:
 
 
 def _of_each_row(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component of every row; ``named`` tells digest, component and copies of every class.
+    """Every row with component and pick of its class; ``named`` tells digest, copies, component and pick of every class.
 
     A class with more than one row in ``HOT`` is common. Fewer than ``HOT`` classes can be, so these few go to the rows, and no
     task gathers the rows of a common class. All other rows, and only these, are dealt by digest. Empty sets need no join.
     """
     total = named.agg(F.sum("copies")).first()[0] or 0
-    common = F.broadcast(named.where(F.col("copies") * HOT > total).select("digest", "component"))
-    full = rows.where("n_shingles > 0").select("doc_id", "n_shingles", "digest")
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("component"))
-    rare = full.join(common, "digest", "left_anti").join(named.where(F.col("copies") * HOT <= total).select("digest", "component").hint("merge"), "digest")
+    own = ["doc_id", "t", "n_shingles"]
+    common = F.broadcast(named.where(F.col("copies") * HOT > total).select("digest", "component", "pick"))
+    full = rows.where("n_shingles > 0").select(*own, "digest")
+    empty = rows.where("n_shingles = 0").select(*own, F.col("doc_id").cast("bigint").alias("component"), F.col("t").alias("pick"))
+    rare = full.join(common, "digest", "left_anti").join(named.where(F.col("copies") * HOT <= total).select("digest", "component", "pick").hint("merge"), "digest")
     return full.join(common, "digest").drop("digest").unionByName(rare.drop("digest")).unionByName(empty)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id = component_id) of every row."""
+def _numbered(classes: DataFrame) -> DataFrame:
+    """The classes with a doc_id and a number ``no`` of each, in the order of their doc_ids: the id itself unless two classes share it."""
+    live = classes.where("id IS NOT NULL")
+    if live.groupBy("id").count().where("count > 1").isEmpty():
+        return live.withColumn("no", F.col("id"))
+    return stage(live.orderBy("id", "digest").withColumn("no", F.monotonically_increasing_id()))
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, t, n_shingles, component (smallest doc_id reachable) and pick of every row.
+
+    pick is a hash of text: the text under the component's doc_id that stands for it, null in rows of its other classes.
+    """
     rows = stage(sketches(docs))
+    named_first = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").cast("bigint").alias("id"), "t"))
     classes = stage(rows.where("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").cast("bigint").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
-    live = classes.where("id IS NOT NULL")
-    grouped = stage(groups(live))
-    wanted = grouped.select("id").distinct()
-    packed = compress(docs).select(F.col("doc_id").cast("bigint").alias("id"), "packed").join(wanted.hint("merge"), "id")
-    texts_of = rows.select(F.col("doc_id").cast("bigint").alias("id"), F.col("n_shingles").alias("n"), "signature").where("n > 0").dropDuplicates(["id"])
-    members = grouped.join(packed.join(texts_of, "id"), "id").select("key", "part", "id", "n", "signature", "packed")
+        F.min(named_first).alias("_f"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+        .select("digest", "_f.id", "_f.t", "copies", "n", "signature"))
+    live = _numbered(classes)
+    grouped = stage(groups(live.select(F.col("no").alias("id"), "signature"))).withColumnRenamed("id", "no")
+    wanted = grouped.select("no").distinct().join(live.select("no", "id", "t", "n", "signature").hint("merge"), "no")
+    # copies under one id collapse before the shuffle
+    packed = compress(docs).groupBy(F.col("doc_id").cast("bigint").alias("id"), "t").agg(F.first("packed").alias("packed")).join(wanted.hint("merge"), ["id", "t"])
+    members = grouped.join(packed, "no").select("key", "part", F.col("no").alias("id"), "n", "signature", "packed")
     links = _linked(members.repartition("key", "part").sortWithinPartitions("key", "part", "id"))
-    labels = components(links)
-    # the component is found once for each class; classes are distinct texts, so no id is common here
-    named = stage(classes.select("digest", "copies", "id").join(labels.withColumnRenamed("node", "id").hint("merge"), "id", "left")
-                  .select("digest", "copies", F.coalesce("label", "id").alias("component")))
-    own = F.col("doc_id")
-    component = F.when(F.col("n_shingles") == 0, own).otherwise(F.col("component"))
-    return _of_each_row(rows, named).select(own, "n_shingles", component.cast(dict(docs.dtypes)["doc_id"]).alias("component_id")).withColumn(
-        "kept", own.eqNullSafe(F.col("component_id")))
+    labels = components(links).withColumnRenamed("node", "no")
+    # the component is found once for each class; classes are distinct texts, so no number is common here
+    named = live.select("digest", "copies", "no", "id", "t").join(labels.hint("merge"), "no", "left").withColumn("label", F.coalesce("label", "no"))
+    named = named.withColumn("pick", F.when(F.col("label") == F.col("no"), F.col("t")))
+    if live.where("no <> id").isEmpty():
+        named = named.withColumn("component", F.col("label"))
+    else:  # numbers stand for ids
+        named = named.join(live.select(F.col("no").alias("label"), F.col("id").alias("component")).hint("merge"), "label")
+    named = named.select("digest", "copies", "component", "pick").unionByName(
+        classes.where("id IS NULL").select("digest", "copies", F.col("id").alias("component"), F.col("t").alias("pick")))
+    return _of_each_row(rows, stage(named))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id = component_id) of every row."""
+    own, kind = F.col("doc_id"), dict(docs.dtypes)["doc_id"]
+    return judged(docs).select(own, "n_shingles", F.col("component").cast(kind).alias("component_id")).withColumn("kept", own.eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of one document of each group, with all their columns; of rows that repeat its id, one stays.
+    """The rows of one text of each group, with all their columns; of rows that repeat its id and text, any one stays.
 
     Rows with a null doc_id stay: no group can name them.
     """
-    mark = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(mark, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    mark = judged(docs).where("doc_id = component AND t = pick").select("doc_id", F.col("t").alias("_text_hash")).distinct()
+    named = docs.withColumn("_text_hash", F.xxhash64("text")).join(mark, ["doc_id", "_text_hash"], "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

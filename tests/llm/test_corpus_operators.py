@@ -171,6 +171,26 @@ def test_near_duplicates(odd, small, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0 and near_duplicates.one_of_each(empty).count() == 0
 
 
+def test_texts_under_one_id(spark, monkeypatch):
+    """Two texts under id 5: the near copy of 1 follows it, the other stays, whatever the order of rows; and the way of rare classes."""
+    words = [f"w{i}" for i in range(60)]
+    near, far, other = " ".join([*words[:-1], "end"]), " ".join(f"x{i}" for i in range(30)), " ".join(f"y{i}" for i in range(30))
+    rows = [(1, " ".join(words)), (5, near), (5, far), (9, far + " tail"), (5, other), (5, near), (7, other), (None, far), (8, ""), (8, "")]
+    want = sorted([(1, 1, True), (5, 1, False), (5, 1, False), (5, 5, True), (9, 5, False), (5, 5, True), (7, 5, False), (None, 5, False), (8, 8, True), (8, 8, True)], key=repr)
+    for hot, order in ((near_duplicates.HOT, rows), (1, rows[::-1]), (1, rows[3:] + rows[:3]), (near_duplicates.HOT, rows[5:] + rows[:5])):
+        monkeypatch.setattr(near_duplicates, "HOT", hot)
+        df = spark.createDataFrame(order, "doc_id bigint, text string").repartition(3)
+        assert rows_of(near_duplicates.near_duplicates(df), "doc_id", "component_id", "kept") == want
+        kept = sorted(near_duplicates.one_of_each(df).collect(), key=repr)
+        assert sorted(map(tuple, kept), key=repr) == sorted([(1, " ".join(words)), (5, far), (5, other), (None, far), (8, "")], key=repr)
+
+
+def test_rare_classes(small, monkeypatch):
+    """With no class common, every row finds its component by digest."""
+    monkeypatch.setattr(near_duplicates, "HOT", 1)
+    assert rows_of(near_duplicates.near_duplicates(small), "doc_id", "n_shingles", "component_id", "kept") == near_loop(texts_of(small))
+
+
 def test_near_duplicates_of_edited_copies(spark, monkeypatch):
     """Chains of edits around the threshold, in groups larger than a block."""
     monkeypatch.setattr(near_duplicates, "BLOCK", 7)
