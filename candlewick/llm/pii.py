@@ -65,6 +65,23 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Spans that pass mod 97. The pattern may run on into following words, so the ends of its groups are tried, the longest first;
+    without success the search goes on at the next group."""
+    out, at = [], 0
+    while m := _IBAN.search(text, at):
+        start, end = m.span()
+        while end > start and not (len(code := text[start:end].replace(" ", "")) >= 15 and mod97(code)):
+            end = text.rfind(" ", start, end)  # -1 when no group is left
+        if end > start:
+            out.append((start, end))
+            at = end
+        else:
+            gap = text.find(" ", start)
+            at = gap + 1 if 0 <= gap < m.end() else m.end()
+    return out
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """For each @, the run of name characters before it is the only possible start."""
     out, low, at = [], 0, text.find("@")
@@ -116,10 +133,7 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     taken = sorted((s, e) for _, s, e, _ in out)
     for kind, pattern in zip(ADDED, (_IBAN, _SSN, _LOCAL), strict=True):
         fresh = []
-        for m in pattern.finditer(text):
-            s, e = m.span()
-            if kind == "iban" and not mod97(m.group().replace(" ", "")):
-                continue
+        for s, e in ibans(text) if kind == "iban" else (m.span() for m in pattern.finditer(text)):
             if (x := score(kind, text, s, e)) >= ACCEPT:
                 fresh.append((kind, s, e, x))
         free, i, reach = [], 0, 0

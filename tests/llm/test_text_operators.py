@@ -185,3 +185,12 @@ def test_decontamination(spark, odd, block_bytes):
         kept = rows_of(decontaminate.remove_affected(odd, bench), "doc_id")
         assert kept == sorted(((i,) for i, _, n, _ in want if not n), key=repr)
         assert decontaminate.remove_affected(odd, bench.limit(0)).count() == odd.count()
+
+
+def test_iban_ends():
+    """Upper-case words behind an IBAN do not hide it, nor does a second one, nor a false start."""
+    one, two = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    for t, want in ((f"{one} IS MY IBAN", [one]), (f"{one} BIC COBADEFF", [one]), (f"IBAN {one}, {two}", [one, two]), (f"{two} {one}", [two, one]), (f"{one}X", []), (f"X{one}", []),
+                    (f"AB12 {one} END", [one]), ("DE88 3704 0044 0532 0130 00 IS WRONG", []), ("DE89 " * 400, [])):
+        assert [t[s:e] for s, e in pii.ibans(t)] == want, t
+        assert [t[s:e] for k, s, e, _ in pii.spans(t) if k == "iban"] == want
