@@ -10,7 +10,9 @@
   cumulative block shares holds the point. The rank of a slot within its source (again by chunks) names
   pass and block. A source whose slots run short gets its missing ranks appended; ranks beyond its target stay
   empty, and the last block of a source is cut, so every source meets its target to the word.
-* Documents join the blocks that hold their words; what the mix takes of them is the sum over the uses of these blocks.
+* Documents join the blocks that hold their words. ``sequence`` gives the mix itself, one row for each use of a document's words, with the
+  slot it comes from: read in slot order, any stretch holds the sources by their shares. ``mix`` sums up by document: the words taken, the
+  number of uses, and the first slot, by which the pipeline's output is ordered.
 
 The tables of one row per source are ordered as a whole; all else is split by row count.
 
@@ -67,7 +69,7 @@ def van_der_corput(i: Column) -> Column:
 
 
 def schedule(plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """slot, key, pass, block, words: which block of which source each slot takes (appended slots have a null slot)."""
+    """slot, key, rank, pass, block, words: which block of which source each slot takes. Appended ranks have slots behind all others."""
     spark = plan.sparkSession
     slots = plan.agg(F.coalesce(F.sum("ranks"), F.lit(0)).alias("n")).first()["n"]
     upto = F.sum("ranks").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
@@ -84,7 +86,7 @@ def schedule(plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     ranked = hits.withColumn("_r", F.row_number().over(local) - 1).join(starts, ["key", "_chunk"]).select("slot", "key", (F.col("_from") + F.col("_r")).alias("rank"))
     have = counts.groupBy("key").agg(F.sum("_n").alias("_have"))
     short = plan.join(have, "key", "left").withColumn("_have", F.coalesce("_have", F.lit(0))).where("_have < ranks")
-    more = short.select(F.lit(None).cast("bigint").alias("slot"), "key", F.explode(F.sequence(F.col("_have"), F.col("ranks") - 1)).alias("rank"))
+    more = short.select("key", F.explode(F.sequence(F.col("_have"), F.col("ranks") - 1)).alias("rank")).select((F.col("rank") + slots).alias("slot"), "key", "rank")
     uses = ranked.unionByName(more).join(plan.select("key", "ranks", "blocks", "_full", "_rest", "source_size"), "key").where("rank < ranks")
     uses = uses.withColumn("pass", F.expr("rank div blocks")).withColumn("block", F.expr("rank % blocks"))
     limit = F.when(F.col("pass") < F.col("_full"), F.col("source_size")).otherwise(F.col("_rest"))
@@ -93,14 +95,8 @@ def schedule(plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return uses.select("slot", "key", "rank", "pass", "block", words.alias("words"), (words == whole).alias("whole"))
 
 
-def mix(docs: DataFrame, carry: tuple[str, ...] = (), block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the ``carry`` columns of every document."""
-    cols = list(dict.fromkeys(("doc_id", "source", *carry)))
-    rows = stage(docs.select(*cols, n_words(F.col("text")).alias("_size"), F.monotonically_increasing_id().alias("_row")))
-    sizes = rows.select("_row", "doc_id", "source", F.col("_size").alias("size"))
-    plan = stage(targets(sizes, block_words).coalesce(1))
-    uses = schedule(plan, block_words).groupBy("key", "block").agg(
-        F.count_if("whole").alias("_times"), F.coalesce(F.max(F.when(~F.col("whole"), F.col("words"))), F.lit(0)).alias("_part"))
+def _laid(sizes: DataFrame, plan: DataFrame, block_words: int) -> DataFrame:
+    """The pieces of documents in blocks: words _a to _b of a block (null for documents without words)."""
     keyed = sizes.join(plan.select(F.col("source").alias("_s"), "key", "docs", "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
     keyed = keyed.withColumn("_h", F.xxhash64("doc_id", "size")).withColumn("_chunk", F.pmod(F.col("_h"), F.ceil(F.col("docs") / CHUNK_DOCS)))
     sums = keyed.groupBy("key", "_chunk").agg(F.sum("size").alias("_n"))
@@ -111,10 +107,43 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), block_words: int = BLOCK_W
     first, last = F.expr(f"_at div {block_words}"), F.expr(f"(_at + size - 1) div {block_words}")
     pieces = laid.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
     base = F.col("block") * block_words
-    pieces = pieces.withColumn("_a", F.greatest("_at", base) - base).withColumn("_b", F.least(F.col("_at") + F.col("size"), base + block_words) - base)
-    took = F.col("_times") * (F.col("_b") - F.col("_a")) + F.greatest(F.lit(0), F.least("_b", "_part") - F.col("_a"))
-    out = pieces.join(uses, ["key", "block"], "left").groupBy("_row", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(took), F.lit(0)).cast("bigint").alias("taken"))
+    return pieces.withColumn("_a", F.greatest("_at", base) - base).withColumn("_b", F.least(F.col("_at") + F.col("size"), base + block_words) - base)
+
+
+def _sized(docs: DataFrame, cols: list[str]) -> DataFrame:
+    return stage(docs.select(*cols, n_words(F.col("text")).alias("_size"), F.monotonically_increasing_id().alias("_row")))
+
+
+def sequence(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix as a sequence: slot, source, doc_id, from_word and words (of the document) of every use, in any order; order by slot."""
+    rows = _sized(docs, ["doc_id", "source"])
+    sizes = rows.select("_row", "doc_id", "source", F.col("_size").alias("size"))
+    plan = stage(targets(sizes, block_words).coalesce(1))
+    uses = schedule(plan, block_words).select("slot", "key", "block", "words")
+    base = F.col("block") * block_words
+    used = _laid(sizes, plan, block_words).join(uses, ["key", "block"]).withColumn("words", F.least("_b", "words") - F.col("_a")).where("words > 0")
+    named = used.join(plan.select("key", "source"), "key")
+    return named.select("slot", "source", "doc_id", (base + F.col("_a") - F.col("_at")).alias("from_word"), "words")
+
+
+def mix(docs: DataFrame, carry: tuple[str, ...] = (), block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, uses (slots that hold words of it), first_slot and the ``carry`` columns of every document."""
+    cols = list(dict.fromkeys(("doc_id", "source", *carry)))
+    rows = _sized(docs, cols)
+    sizes = rows.select("_row", "doc_id", "source", F.col("_size").alias("size"))
+    plan = stage(targets(sizes, block_words).coalesce(1))
+    # at most one use of a block is cut, that of the last pass
+    uses = schedule(plan, block_words).groupBy("key", "block").agg(
+        F.count_if("whole").alias("_times"), F.min(F.when(F.col("whole"), F.col("slot"))).alias("_first"),
+        F.coalesce(F.max(F.when(~F.col("whole"), F.col("words"))), F.lit(0)).alias("_part"), F.min(F.when(~F.col("whole"), F.col("slot"))).alias("_last"))
+    pieces = _laid(sizes, plan, block_words)
+    part = F.greatest(F.lit(0), F.least("_b", "_part") - F.col("_a"))
+    in_part = F.col("_part") > F.col("_a")
+    used = pieces.join(uses, ["key", "block"], "left").groupBy("_row", "doc_id", "size", "source_size", "target").agg(
+        F.coalesce(F.sum(F.col("_times") * (F.col("_b") - F.col("_a")) + part), F.lit(0)).cast("bigint").alias("taken"),
+        F.coalesce(F.sum(F.col("_times") + in_part.cast("int")), F.lit(0)).cast("bigint").alias("uses"),
+        F.min(F.least("_first", F.when(in_part, F.col("_last")))).alias("first_slot"))
     if not carry:
-        return out.drop("_row")
+        return used.drop("_row")
     rest = [c for c in cols if c != "doc_id"]
-    return out.join(rows.select("_row", *rest), "_row").select(*cols, "size", "source_size", "target", "taken")
+    return used.join(rows.select("_row", *rest), "_row").select(*cols, "size", "source_size", "target", "taken", "uses", "first_slot")

@@ -3,6 +3,11 @@
 Every stage is a function of (spark, docs, sf_dir) over all rows its predecessor kept; ``run`` writes each result to the
 shared folder and reads it again for the next one. All but the last return the columns of ``documents``; the last
 returns one row for each document that the mix takes words from.
+
+Defined cases, by stage: null and empty texts fail the rules and go; of rows that repeat doc_id and text one stays, of texts
+under one doc_id each is judged by itself, rows with a null doc_id stay; a null item holds no window; texts without personal
+data stay as they are, null texts stay null; a null source is a source of its own. Empty tables stay empty. Further columns
+are kept up to the mix, which returns those of ``documents``.
 """
 
 from __future__ import annotations
@@ -34,8 +39,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents with the words taken of them (repeats counted); those it does not take are left out."""
-    return mixing.mix(docs, carry=("text", "lang", "source", "n_chars")).where("taken > 0")
+    """The mix in the order of its schedule: documents by the first slot that takes words of them, with the words taken (repeats
+    counted); those it does not take are left out."""
+    return mixing.mix(docs, carry=("text", "lang", "source", "n_chars")).where("taken > 0").orderBy("first_slot", "doc_id")
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination), ("personal_data", personal_data), ("mix_sources", mix_sources)]

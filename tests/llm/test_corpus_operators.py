@@ -272,15 +272,52 @@ def test_mixing(spark, odd, small, empty, block_words):
     assert mixing.mix(empty).count() == 0
 
 
-def test_schedule_is_even(small):
-    """Every stretch of the schedule holds each source by its share, up to a few slots."""
-    sizes = small.select("source", mixing.n_words(small["text"]).alias("size"))
-    plan = mixing.targets(sizes, 16)
-    slots = sorted((r["slot"], r["key"]) for r in mixing.schedule(plan, 16).collect() if r["slot"] is not None)
-    share = Counter(k for _, k in slots)
-    for upto in (len(slots) // 4, len(slots) // 2):
-        part = Counter(k for _, k in slots[:upto])
-        assert all(abs(part[k] - share[k] * upto / len(slots)) < 8 for k in share)
+def uses_of(docs, block_words):
+    return [tuple(r) for r in mixing.sequence(docs, block_words).select("slot", "source", "doc_id", "from_word", "words").collect()]
+
+
+def shares_off(uses):
+    """The largest gap, in words, between a prefix of the sequence and the sources' shares of the whole."""
+    uses, total = sorted(uses, key=lambda u: u[0]), Counter()
+    for _, s, _, _, n in uses:
+        total[s] += n
+    everything, seen, done, worst = sum(total.values()), Counter(), 0, 0.0
+    for at, (slot, s, _, _, n) in enumerate(uses):
+        seen[s] += n
+        done += n
+        if at + 1 == len(uses) or uses[at + 1][0] != slot:
+            worst = max(worst, *(abs(seen[k] - total[k] * done / everything) for k in total))
+    return worst
+
+
+def test_schedule_decides(small, monkeypatch):
+    """Any prefix of the sequence holds the sources by their shares, up to a few blocks; other points give another order, worse shares, and the same totals."""
+    docs = small.select("doc_id", "text", "source")
+    uses, first = uses_of(docs, 64), {r["doc_id"]: r["first_slot"] for r in mixing.mix(docs, block_words=64).collect()}
+    assert shares_off(uses) < 8 * 64
+    monkeypatch.setattr(mixing, "van_der_corput", lambda i: i * 0)
+    other, then = uses_of(docs, 64), {r["doc_id"]: r["first_slot"] for r in mixing.mix(docs, block_words=64).collect()}
+    assert shares_off(other) > 8 * 64 and first != then
+    assert sorted(u[2:] for u in uses) == sorted(u[2:] for u in other)
+
+
+@pytest.mark.parametrize("block_words", [16, 1024])
+def test_sequence_makes_up_the_mix(odd, small, block_words):
+    """Words, uses and first slots of every document are those of its rows in the sequence; no row reaches beyond its document."""
+    for docs in (odd, small):
+        by = defaultdict(list)
+        for slot, s, i, at, n in uses_of(docs, block_words):
+            by[i, s].append((slot, at, n))
+        want = defaultdict(lambda: [0, 0, 0, []])
+        for r in mixing.mix(docs, carry=("source",), block_words=block_words).collect():
+            w = want[r["doc_id"], r["source"]]
+            w[0], w[1], w[2] = w[0] + r["taken"], w[1] + r["uses"], max(w[2], r["size"])
+            w[3] += [r["first_slot"]] if r["uses"] else []
+        assert set(by) == {k for k, w in want.items() if w[1]}
+        for k, pieces in by.items():
+            taken, uses, size, firsts = want[k]
+            assert sum(n for *_, n in pieces) == taken and len(pieces) == uses and min(p[0] for p in pieces) == min(firsts)
+            assert all(0 <= at and at + n <= size for _, at, n in pieces)
 
 
 def test_warc(spark, tmp_path):
