@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from candlewick.functions import ordered
 from candlewick.functions.calendar import TIMEFRAME_MINUTES
+from candlewick.functions.staging import stage
 from candlewick.schemas import OHLCV, require_columns
 
 RESAMPLE_TARGETS = ("M15", "H1", "H4")
@@ -174,13 +175,28 @@ def holdout_split(bars: DataFrame, held_out_months: int = 2, opt_months: int = 6
 
 
 def overlapping_ranges(ranges: DataFrame) -> DataFrame:
-    """Pairs of differently named ranges of a symbol that overlap (columns symbol, name, start, end)."""
-    a, b = ranges.alias("a"), ranges.alias("b")
-    return (a.join(b, (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.name") < F.col("b.name"))
-                   & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")))
-            .select(F.col("a.symbol").alias("symbol"), F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"),
-                    F.greatest("a.start", "b.start").alias("overlap_start"),
-                    F.least("a.end", "b.end").alias("overlap_end")))
+    """Pairs of differently named ranges of a symbol that overlap (columns symbol, name, start, end).
+
+    A sweep in the order of starts: ranges are numbered by start, and a running count of starts, read at each end, tells the last number
+    that begins before this end. Partners of a range are the numbers in between, joined by number: as many rows as there are
+    overlaps, whatever the number of ranges. Ranges without a start, an end or a symbol overlap with nothing.
+    """
+    known = ranges.select("symbol", "name", "start", "end").filter("start IS NOT NULL AND end IS NOT NULL")
+    sliced = ordered.time_slices(known, ["symbol"], "start", "_slice")
+    ranked = stage(ordered.index_rows(sliced, ["symbol"], [F.col(c) for c in ("start", "name", "end")], F.col("_slice"), out="_no").drop("_slice"))
+    event = lambda c, side: ranked.select("symbol", F.col(c).alias("_at"), F.lit(side).alias("_start"), "_no")
+    events = ordered.time_slices(event("start", 1).unionByName(event("end", 0)), ["symbol"], "_at", "_slice")
+    seen = ordered.running(events, ["symbol"], ["_at", "_start", "_no"], F.col("_slice"), {"_last": ("sum", F.col("_start"))}).filter("_start = 0").select("symbol", "_no", "_last")
+    n = ordered.CHUNK_ROWS
+    first = ranked.join(seen, ["symbol", "_no"]).filter("_last > _no")
+    # a range that overlaps very many others is cut into stretches of numbers
+    first = first.withColumn("_part", F.explode(F.sequence(F.floor((F.col("_no") + 1) / n), F.floor(F.col("_last") / n))))
+    first = first.withColumn("_other", F.explode(F.sequence(F.greatest(F.col("_no") + 1, F.col("_part") * n), F.least("_last", F.col("_part") * n + n - 1))))
+    a, b = first.alias("a"), ranked.alias("b")
+    both = a.join(b, (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a._other") == F.col("b._no"))).filter(
+        (F.col("a.name") != F.col("b.name")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")))
+    return both.select(F.col("a.symbol").alias("symbol"), F.least("a.name", "b.name").alias("name_a"), F.greatest("a.name", "b.name").alias("name_b"),
+                       F.greatest("a.start", "b.start").alias("overlap_start"), F.least("a.end", "b.end").alias("overlap_end"))
 
 
 def last_closed(indexed: DataFrame, count: int = 300, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -156,40 +156,37 @@ def template(name: str) -> tuple[Template, Template]:
     return _REGISTRY[entry], _REGISTRY[exit_]
 
 
+def _first_code(rules: Sequence[tuple[str, Column, dict[str, Column]]]) -> Column:
+    """The code of the first rule that holds, with the values it rests on; NULL if none does. A rule that cannot be decided does not hold."""
+    return F.coalesce(F.lit(None).cast("string"), *[F.when(holds, F.concat_ws(" ", F.lit(code), *[F.concat(F.lit(f"{n}="), v.cast("string")) for n, v in shown.items()]))
+                                                    for code, holds, shown in rules])
+
+
 def block_reason(params: Params) -> Column:
     """Why no entry is allowed on a bar: dead zone, session list, ATR-ratio band. NULL = allowed."""
     session, ratio = F.col("session"), F.col("atr_ratio")
-    out = F.when(session == "DEAD_ZONE", "Dead zone")
+    rules = [("closed_hours", session == "DEAD_ZONE", {})]
     allowed = params.get("allowed_sessions")
-    if isinstance(allowed, Column):
-        out = out.when(allowed.isNotNull() & (F.size(allowed) > 0) & session.isNotNull() & ~F.array_contains(allowed, session),
-                       F.concat(F.lit("Session "), session, F.lit(" not in allowed_sessions")))
-    elif allowed:
-        out = out.when(session.isNotNull() & ~session.isin(list(allowed)),
-                       F.concat(F.lit("Session "), session, F.lit(" not in allowed_sessions")))
-    for name, text, outside in (("atr_ratio_min", "below min", lambda r, v: r < v), ("atr_ratio_max", "above max", lambda r, v: r > v)):
+    if allowed is not None:
+        listed = allowed if isinstance(allowed, Column) else F.array(*[F.lit(s) for s in allowed]).cast("array<string>")
+        rules.append(("unlisted_session", (F.size(listed) > 0) & ~F.array_contains(listed, session), {"session": session}))
+    for name, code, beyond in (("atr_ratio_min", "quiet", lambda limit: ratio < limit), ("atr_ratio_max", "wild", lambda limit: ratio > limit)):
         if params.get(name) is not None:
-            v = param(params, name).cast("double")
-            out = out.when(ratio.isNotNull() & outside(ratio, v), _fmt(f"ATR ratio %.2f {text} %s", ratio, v.cast("string")))
-    return out
+            limit = param(params, name).cast("double")
+            rules.append((f"{code}_market", beyond(limit), {"atr_ratio": F.round(ratio, 5), "limit": limit}))
+    return _first_code(rules)
 
 
 def adx_block(params: Params, live: bool = False) -> Column:
-    thr, adx = adx_threshold(params), F.col("adx")
-    low = (thr > 0) & (adx < thr)
-    below = _fmt("ADX %.1f below threshold %s", adx, _num(thr))
-    if live:
-        return F.when(low, below)
-    return F.when((thr > 0) & adx.isNull(), F.concat(F.lit("NaN ADX indicator under active ADX filter "), _num(thr))).when(low, below)
+    """Why the trend filter stops an entry; ``live`` lets a missing ADX pass."""
+    limit, adx = adx_threshold(params), F.col("adx")
+    weak = ("weak_trend", (limit > 0) & (adx < limit), {"adx": F.round(adx, 5), "limit": limit.cast("double")})
+    unknown = ("unknown_trend", (limit > 0) & adx.isNull(), {"limit": limit.cast("double")})
+    return _first_code([weak] if live else [unknown, weak])
 
 
 def _missing(names: Sequence[str]) -> Column:
-    out = None
-    for n in names:
-        text = f"NaN indicator: {n}"
-        cond = F.col(n).isNull() | F.isnan(n)
-        out = F.when(cond, text) if out is None else out.when(cond, text)
-    return out
+    return _first_code([("missing_input", F.col(n).isNull() | F.isnan(n), {"name": F.lit(n)}) for n in names])
 
 
 def with_signals(feats: DataFrame, name: str, params: Params, pip: Column | None = None, live: bool = False,
@@ -206,7 +203,7 @@ def with_signals(feats: DataFrame, name: str, params: Params, pip: Column | None
     order = [block_reason(params), _missing(t.needs)] if live else [_missing(t.needs), block_reason(params)]
     order.append(adx_stop)
     if live and is_ma:
-        order.append(F.when(F.col("sma_fast_prev").isNull() | F.col("sma_slow_prev").isNull(), "No previous candle data"))
+        order.append(F.when(F.col("sma_fast_prev").isNull() | F.col("sma_slow_prev").isNull(), "no_previous_bar"))
     blocked = F.coalesce(*order)
     signal = F.when(blocked.isNotNull(), "HOLD").when(up, "BUY").when(down, "SELL").otherwise("HOLD")
     stop = F.col("atr") * param(params, "sl_atr_multiple", t.stop_default)
@@ -311,14 +308,14 @@ def checklist(df: DataFrame) -> DataFrame:
 
 
 def mandate_gate(df: DataFrame, mandate: dict | None) -> DataFrame:
-    """First reason a mandate forbids the trade (needs symbol, safe_mode, risk_per_trade_pct, breaker_tripped, daily_halt)."""
+    """Add ``allowed``, ``gate_reason`` (code and values of the first rule of the mandate that forbids the trade, else ``pass``) and
+    ``violations``, the codes of all rules that do. Needs symbol, safe_mode, risk_per_trade_pct, breaker_tripped, daily_halt."""
     if mandate is None:
-        return df.withColumn("allowed", F.lit(False)).withColumn("gate_reason", F.lit("No mandate loaded"))
-    universe = F.array(*[F.lit(s) for s in mandate["symbol_universe"]])
-    cap = float(mandate["max_daily_risk_pct"])
-    reason = (F.when(F.col("safe_mode"), "SAFE_MODE is active")
-              .when(~F.array_contains(universe, F.upper("symbol")), F.concat(F.lit("Symbol not in mandate universe: "), F.upper("symbol")))
-              .when(F.col("risk_per_trade_pct") > cap, F.lit(f"Risk per trade exceeds mandate max risk ({cap}%)"))
-              .when(F.col("breaker_tripped"), "Circuit breaker or mandate violation is active")
-              .when(F.col("daily_halt"), "Daily halt is active"))
-    return df.withColumn("gate_reason", F.coalesce(reason, F.lit("OK"))).withColumn("allowed", reason.isNull())
+        rules = [("without_mandate", F.lit(True), {})]
+    else:
+        traded, limit = F.upper("symbol"), F.lit(float(mandate["max_daily_risk_pct"]))
+        rules = [("safe_mode", F.col("safe_mode"), {}), ("symbol_not_traded", ~traded.isin(list(mandate["symbol_universe"])), {"symbol": traded}),
+                 ("risk_too_high", F.col("risk_per_trade_pct") > limit, {"risk": F.col("risk_per_trade_pct"), "limit": limit}),
+                 ("breaker_open", F.col("breaker_tripped"), {}), ("day_halted", F.col("daily_halt"), {})]
+    hits = F.array_compact(F.array(*[F.when(holds, F.lit(code)) for code, holds, _ in rules]))
+    return df.withColumns({"violations": hits, "gate_reason": F.coalesce(_first_code(rules), F.lit("pass")), "allowed": F.size(hits) == 0})

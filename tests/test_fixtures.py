@@ -152,7 +152,7 @@ def test_hybrid_signals(spark):
     got = signals.with_signals(spark.createDataFrame([buy, sell, *holes], cols).coalesce(1), "hybrid_confluence", p).collect()
     assert [r.signal for r in got] == ["BUY", "SELL"] + ["HOLD"] * 6
     assert got[0].sl_price == pytest.approx(1.108) and got[0].tp_price == pytest.approx(1.114) and got[0].confidence == "HIGH"
-    assert got[2].reason == "NaN indicator: close" and got[0].reason.startswith("trend_and_rsi_long close=1.11000 sma_slow=1.10000 adx=25.00000")
+    assert got[2].reason == "missing_input name=close" and got[0].reason.startswith("trend_and_rsi_long close=1.11000 sma_slow=1.10000 adx=25.00000")
 
 
 def test_combo_names():

@@ -180,7 +180,7 @@ def test_signal_sink_keeps_all_bars_an_average_needs(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out" / "batch=2")).collect()
     want = stb.live_signals(bars, "ma_crossover", params).collect()
     assert [(r.ts, r.signal, r.reason) for r in got] == [(r.ts, r.signal, r.reason) for r in want]
-    assert "NaN" not in got[0].reason and spark.read.parquet(str(tmp_path / "bars_last" / "batch=2")).count() == 300
+    assert "missing_input" not in got[0].reason and spark.read.parquet(str(tmp_path / "bars_last" / "batch=2")).count() == 300
 
 
 def test_staleness_fires(spark, tmp_path):
