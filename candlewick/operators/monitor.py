@@ -98,6 +98,12 @@ def stale(bars: DataFrame, now: Column, minutes: int = STALE_MINUTES) -> DataFra
     return newest.withColumn("age_minutes", age).withColumn("stale", F.col("age_minutes") > minutes)
 
 
+def newest(rows: DataFrame, key: str, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """The ``cols`` of the newest row per key; combined before the shuffle."""
+    top = rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r"))
+    return top.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
 def system_status(latest: dict[str, DataFrame], key: str = "strategy_id") -> DataFrame:
     """One row per strategy from the newest row of each source (engine, degradation, performance, decision ...)."""
     out = None

@@ -48,6 +48,20 @@ def sufficiency(spans: DataFrame, warmup: int = 250, min_opt: int = MIN_OPT_BARS
     return c.withColumn("status", F.when(short, "INSUFFICIENT_DATA").otherwise("OK"))
 
 
+def window_regimes(feats: DataFrame, spans: DataFrame, block: int = 1024) -> DataFrame:
+    """is_dominant_regime and oos_dominant_regime per symbol and window: the most frequent regime of each phase's bars, UNKNOWN without one.
+
+    Bars and spans meet on (symbol, block of rows); labels are counted before anything is gathered.
+    """
+    cut = spans.select("symbol", "window_num", "phase", "start_no", "end_no").withColumn("_block", F.explode(F.sequence(F.floor(F.col("start_no") / block), F.floor(F.col("end_no") / block))))
+    bars = feats.filter(F.col("regime").isNotNull()).select("symbol", "row_no", "regime").withColumn("_block", F.floor(F.col("row_no") / block))
+    inside = bars.join(cut, ["symbol", "_block"]).filter((F.col("row_no") >= F.col("start_no")) & (F.col("row_no") < F.col("end_no")))
+    found = ind.dominant_regime(inside, ["symbol", "window_num", "phase"])
+    every = spans.select("symbol", "window_num", "phase").join(found, ["symbol", "window_num", "phase"], "left")
+    of = lambda phase, name: F.coalesce(F.max(F.when(F.col("phase") == phase, F.col("dominant_regime"))), F.lit("UNKNOWN")).alias(name)
+    return every.groupBy("symbol", "window_num").agg(of("OPT", "is_dominant_regime"), of("TEST", "oos_dominant_regime"))
+
+
 def walk_forward(indexed: DataFrame, specs: DataFrame, template: str, space: dict, opt_months: int, test_months: int, mandate: dict | None = None,
                  capital: float = 10_000.0, anchored: bool = False, noise: bool = True, min_opt: int = MIN_OPT_BARS, min_test: int = MIN_TEST_BARS,
                  min_trades_opt: int = 10, min_trades_test: int = 10) -> DataFrame:
@@ -77,7 +91,7 @@ def walk_forward(indexed: DataFrame, specs: DataFrame, template: str, space: dic
                    *([F.col("compliant").alias("oos_mandate_compliant"), F.col("breach_reason").alias("oos_mandate_breach_reason")] if mandate else []))
     b = best.select("symbol", "window_num", "params_id", F.col("total_trades").alias("is_trades"), F.col("profit_factor").alias("is_profit_factor"), F.col("calmar_ratio").alias("is_calmar"),
                     F.col("net_profit").alias("is_net_profit"), F.col("score").alias("is_composite_score"))
-    r = windows.join(enough, ["symbol", "window_num"], "left").join(b, ["symbol", "window_num"], "left").join(o, ["symbol", "window_num"], "left")
+    r = windows.join(enough, ["symbol", "window_num"], "left").join(window_regimes(feats, spans), ["symbol", "window_num"], "left").join(b, ["symbol", "window_num"], "left").join(o, ["symbol", "window_num"], "left")
     r = r.withColumn("status", F.when(F.col("status") != "OK", F.col("status")).when(F.col("params_id").isNull(), "INSUFFICIENT_TRADES").otherwise("OK"))
     zero = ["oos_trades", "oos_profit_factor", "oos_calmar", "oos_net_profit", "oos_win_rate", "oos_max_drawdown", "oos_max_consec_losses", "oos_composite_score"]
     return r.fillna(0, zero)

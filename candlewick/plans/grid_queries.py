@@ -110,6 +110,18 @@ def _halves(i):
     return e
 
 
+@query("wf_window_regimes", isql.features(bars="daily") + ", " + _win_sql(False) + """, p AS (SELECT symbol, window_num, 'is' AS part, opt_start AS s, opt_end AS e FROM w UNION ALL SELECT symbol, window_num, 'oos', test_start, test_end FROM w),
+ c AS (SELECT p.symbol, window_num, part, regime, count(*) AS n FROM p JOIN feats f ON f.symbol = p.symbol AND f.ts >= s AND f.ts < e WHERE regime IS NOT NULL GROUP BY ALL),
+ m AS (SELECT symbol, window_num, part, first(regime ORDER BY n DESC, regime) AS r FROM c GROUP BY ALL)
+ SELECT w.symbol, w.window_num, coalesce(i.r, 'UNKNOWN') AS is_dominant_regime, coalesce(o.r, 'UNKNOWN') AS oos_dominant_regime FROM w
+ LEFT JOIN m i ON i.symbol = w.symbol AND i.window_num = w.window_num AND i.part = 'is' LEFT JOIN m o ON o.symbol = w.symbol AND o.window_num = w.window_num AND o.part = 'oos'""")
+def wf_window_regimes(spark, d):
+    """The most frequent regime of every training and test window."""
+    i = stage(daily(spark, d))
+    spans = stage(wf.phase_spans(i, wf.build_windows(i, 36, 6)))
+    return wf.window_regimes(ind.features(i), spans).withColumn("window_num", F.col("window_num").cast("bigint"))
+
+
 @query("grid_entry_signals", b.with_sql("daily") + ", " + b.SQL["indexed"] + """, m AS (SELECT symbol, row_no, ts, close, p, CASE WHEN row_no >= p THEN avg(close) OVER (PARTITION BY symbol, p ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS dummy,
  CASE WHEN row_no >= p THEN (sum(close) OVER (PARTITION BY symbol, p ORDER BY row_no) - coalesce(s0, 0)) / p END AS v FROM (SELECT i.*, p, (SELECT sum(close) FROM indexed j WHERE j.symbol = i.symbol AND j.row_no <= i.row_no - p) AS s0 FROM indexed i, (SELECT unnest([5, 10, 20, 30, 50]) AS p) WHERE i.row_no >= 0)),
  l AS (SELECT *, lag(v) OVER (PARTITION BY symbol, p ORDER BY row_no) AS pv FROM m) SELECT f.symbol, f.p AS fast_ma_period, s.p AS slow_ma_period, count(*) FILTER (f.pv <= s.pv AND f.v > s.v) AS buys, count(*) FILTER (f.pv >= s.pv AND f.v < s.v) AS sells

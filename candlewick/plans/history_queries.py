@@ -218,10 +218,25 @@ def monitor_staleness(spark, d):
     return rounded(monitor.stale(b.bars(spark, d), F.lit("2024-01-30 23:40:00").cast("timestamp")), ["age_minutes"], 4)
 
 
-@query("monitor_system_status", _MON + """ SELECT d.strategy_id, CASE WHEN tripped THEN 'DEGRADED' ELSE level END AS degradation_status, st.alert_count AS degradation_alert_count, p.n AS performance_recent_trades, round(p.pnl, 5) AS performance_total_pnl FROM st
- JOIN (SELECT strategy_id, max(trade_no) AS trade_no FROM n GROUP BY 1) d USING (strategy_id, trade_no) JOIN (SELECT strategy_id, count(*) AS n, sum(net_pnl) AS pnl FROM (SELECT *, max(trade_no) OVER (PARTITION BY strategy_id) AS top FROM n) WHERE trade_no > top - 50 GROUP BY 1) p ON p.strategy_id = d.strategy_id""")
+@query("monitor_system_status", _MON + """, d AS (SELECT st.*, CASE WHEN tripped THEN 'DEGRADED' ELSE level END AS status, row_number() OVER (PARTITION BY strategy_id ORDER BY trade_no DESC) AS back FROM st WHERE trade_no > 0),
+ p AS (SELECT strategy_id, count(*) AS n, sum(net_pnl) AS pnl, count(*) FILTER (net_pnl > 0) AS won FROM (SELECT *, max(trade_no) OVER (PARTITION BY strategy_id) AS top FROM n) WHERE trade_no > top - 50 GROUP BY 1),
+ k AS (SELECT strategy_id, count(*) FILTER (net_pnl > 0) / count(*) AS win_rate FROM n GROUP BY 1),
+ e AS (SELECT user_id AS strategy_id, arg_max(event_type, event_id) AS regime, arg_max(value, event_id) AS equity, max(event_id) AS seq FROM events GROUP BY 1),
+ c AS (SELECT user_id AS strategy_id, max(event_id) AS seq, arg_max(value > 50, event_id) AS promoted FROM events WHERE event_type = 'purchase' GROUP BY 1),
+ s AS (SELECT s_suppkey AS strategy_id, s_name AS name, s_acctbal AS score FROM supplier)
+ SELECT strategy_id, e.regime AS engine_regime, e.equity AS engine_equity, e.seq AS engine_seq, round(d.s, 5) AS cusum_score, d.tripped::VARCHAR AS cusum_tripped, round(bl.p0, 6) AS cusum_p0, round(k.win_rate, 6) AS cusum_win_rate, d.trade_no AS cusum_n_trades,
+ s.name AS strategy_name, s.score AS strategy_score, c.seq AS decision_seq, c.promoted::VARCHAR AS decision_promoted, d.status AS degradation_status, d.alert_count AS degradation_alert_count, p.n AS performance_recent_trades, round(p.pnl, 5) AS performance_total_pnl
+ FROM e FULL JOIN (SELECT * FROM d WHERE back = 1) d USING (strategy_id) FULL JOIN (SELECT * FROM s) s USING (strategy_id) FULL JOIN c USING (strategy_id) FULL JOIN p USING (strategy_id) LEFT JOIN k USING (strategy_id) LEFT JOIN bl ON bl.strategy_id = d.strategy_id""")
 def monitor_system_status(spark, d):
-    n = stage(monitored(spark, d))
-    deg = monitor.latest_summary(monitor.degradation(n, baselines(spark, d))).select(*ST, "status", "alert_count")
+    """One row per strategy from six sources: engine, detector, strategy, last decision, degradation, performance."""
+    n, base = stage(monitored(spark, d)), baselines(spark, d)
+    last = stage(monitor.latest_summary(monitor.degradation(n, base)))
+    events = b.table(spark, d, "events").withColumnsRenamed({"user_id": "strategy_id", "event_id": "seq"})
+    engine = monitor.newest(events.select("strategy_id", "seq", F.col("event_type").alias("regime"), F.col("value").alias("equity")), "strategy_id", ["seq"], ["regime", "equity", "seq"])
+    decision = monitor.newest(events.filter("event_type = 'purchase'").withColumn("promoted", (F.col("value") > 50).cast("string")), "strategy_id", ["seq"], ["seq", "promoted"])
+    cusum = last.select(*ST, F.round("cusum_score", 5).alias("score"), F.col("cusum_tripped").cast("string").alias("tripped"), F.round("p0", 6).alias("p0"),
+                        F.round(F.col("wins") / F.col("trade_no"), 6).alias("win_rate"), F.col("trade_no").alias("n_trades"))
+    strategy = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("strategy_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("score"))
     perf = metrics.recent_performance(n, ST).select(*ST, "recent_trades", "total_pnl")
-    return rounded(monitor.system_status({"degradation": deg, "performance": perf}), ["performance_total_pnl"], 5)
+    status = monitor.system_status({"engine": engine, "cusum": cusum, "strategy": strategy, "decision": decision, "degradation": last.select(*ST, "status", "alert_count"), "performance": perf})
+    return rounded(status, ["performance_total_pnl"], 5)

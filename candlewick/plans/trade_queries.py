@@ -294,6 +294,19 @@ def trade_single_position(spark, d):
     return rounded(t.select("symbol", "signal_no", "exit_no", "direction", "close_reason", "net_pnl"), ["net_pnl"], 4)
 
 
+_LATE = tsql.feats() + tsql.fills("donchian_breakout", 1.5, 2.0, CAPITAL, start="2024-01-12", reanchor=True) + tsql.TOUCH + tsql.resolved("rsi_reversion") + tsql.PNL + tsql.KEPT
+
+
+@query("trade_run_from_start", _LATE + """ SELECT symbol, signal_no, p.exit_no, direction, close_reason, round(sl_price, 6) AS sl_price, round(tp_price, 6) AS tp_price, round(lots, 4) AS lots, round(net_pnl, 4) AS net_pnl
+ FROM kept JOIN pnl p USING (symbol, signal_no)""")
+def trade_run_from_start(spark, d):
+    """A run that begins inside the history, with stops and targets moved to the fill."""
+    t = trades.simulate(stage(ready(spark, d)), b.specs(spark), "combo_donchian_breakout__rsi_reversion", {**_RUN, "reanchor_sl_on_fill": True}, CAPITAL,
+                        start=F.lit("2024-01-12").cast("timestamp"))
+    out = t.select("symbol", "signal_no", "exit_no", "direction", "close_reason", "sl_price", "tp_price", "lots", "net_pnl")
+    return rounded(rounded(out, ["sl_price", "tp_price"]), ["lots", "net_pnl"], 4)
+
+
 @query("trade_mark_to_market", _SIM + """ SELECT t.symbol, f.row_no, f.ts, round(sum(CASE direction WHEN 'BUY' THEN 1 ELSE -1 END * (f.close - entry_price) / tick_size * lots * tick_value), 4) AS unrealised_pnl,
  count(*) AS open_trades FROM (SELECT p.* FROM kept JOIN pnl p USING (symbol, signal_no)) t JOIN ff f ON f.symbol = t.symbol AND f.row_no >= t.entry_no
  AND (f.row_no < t.exit_no OR (t.close_reason = 'END_OF_DATA' AND f.row_no = t.exit_no)) GROUP BY t.symbol, f.row_no, f.ts""")

@@ -78,16 +78,19 @@ def feats(**kw) -> str:
  coalesce(volume_rel, 1) AS volume_rel) FROM feats)"""
 
 
-def fills(name: str, sl: float, rr: float, capital: float, risk: float = 1.0, **kw) -> str:
+def fills(name: str, sl: float, rr: float, capital: float, risk: float = 1.0, start: str | None = None, reanchor: bool = False, **kw) -> str:
+    """``start``: signals from then on only. ``reanchor``: stop and target move with the fill's distance from the signal's close."""
+    since = f" AND ts >= TIMESTAMP '{start}'" if start else ""
+    moved = "SELECT * REPLACE (sl_price + entry_price - signal_close AS sl_price, tp_price + entry_price - signal_close AS tp_price) FROM f1b" if reanchor else "SELECT * FROM f1b"
     return f""", sg AS (SELECT *, {signal_case(name, **kw)} AS signal FROM ff),
- s2 AS (SELECT symbol, row_no AS signal_no, row_no + 1 AS row_no, signal AS direction, ts AS signal_time,
+ s2 AS (SELECT symbol, close AS signal_close, row_no AS signal_no, row_no + 1 AS row_no, signal AS direction, ts AS signal_time,
   close + CASE signal WHEN 'BUY' THEN -1 ELSE 1 END * atr * {sl} AS sl_price, close + CASE signal WHEN 'BUY' THEN 1 ELSE -1 END * atr * {sl} * {rr} AS tp_price
-  FROM sg WHERE signal <> 'HOLD'),
+  FROM sg WHERE signal <> 'HOLD'{since}),
  f0 AS (SELECT s2.*, f.ts AS entry_time, f.open AS fill_open, f.session, f.regime, f.sma_fast, f.atr_ratio, f.rsi, f.bb_pct, f.atr, f.volume_rel, specs.* EXCLUDE (symbol),
   spread_typical * point / {PIP} * {sess('f.session')} * {vol('f.atr_ratio')} * {noise('spread', 'f.symbol', 'f.row_no')} * {PIP} / 2 AS half,
   0.3 * {vol('f.atr_ratio')} * {noise('slip', 'f.symbol', 'f.row_no')} * {PIP} AS slip FROM s2 JOIN ff f USING (symbol, row_no) JOIN specs USING (symbol)),
  f1b AS (SELECT *, fill_open + CASE direction WHEN 'BUY' THEN 1 ELSE -1 END * (half + slip) AS entry_price FROM f0),
- fills AS MATERIALIZED (SELECT *, row_no AS entry_no FROM (SELECT *, {lots(str(capital), str(risk), 'abs(entry_price - sl_price)')} AS lots FROM f1b
+ fills AS MATERIALIZED (SELECT *, row_no AS entry_no FROM (SELECT *, {lots(str(capital), str(risk), 'abs(entry_price - sl_price)')} AS lots FROM ({moved})
   WHERE CASE direction WHEN 'BUY' THEN sl_price < entry_price ELSE sl_price > entry_price END) WHERE lots > 0)"""
 
 
