@@ -196,6 +196,29 @@ def chunk_plan(chains: Sequence[Sequence[float]], lookback: int = 0) -> tuple[in
     return _layout(chains, lookback)
 
 
+def laid_out(rows: DataFrame, halo: int, size: int, **more: int) -> DataFrame:
+    """Note on ``_chunk`` how ``spread`` has cut the rows, so that a table of them can be read back as chunks."""
+    return rows.withMetadata("_chunk", {"halo": halo, "size": size, **more})
+
+
+def layout_of(df: DataFrame) -> dict | None:
+    return next((f.metadata for f in df.schema.fields if f.name == "_chunk" and "halo" in f.metadata), None)
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Rows without the copies that a noted layout brings along; other rows as they are."""
+    return own_rows(df) if layout_of(df) else df
+
+
+def chunked(df: DataFrame, lookback: int, chains: Sequence[Sequence[float]] = ()) -> tuple[DataFrame, int, int]:
+    """(rows, halo, size) for windows over ``lookback`` rows and recurrences: rows that come in chunks wide enough are taken as they are."""
+    halo, size = _layout(chains, lookback)
+    have = layout_of(df)
+    if have and have["halo"] >= halo and have["halo"] + have["size"] <= min([1 << 30, *(recurrence_rows(a) for chain in chains for a in chain)]):
+        return df, have["halo"], have["size"]
+    return spread(plain(df), halo, size), halo, size
+
+
 def known(x: Column) -> Column:
     """NaN becomes NULL: a missing input, whichever way it is missing, leaves an average as it is."""
     return F.when(~F.isnan(x), x)

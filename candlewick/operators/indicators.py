@@ -58,8 +58,7 @@ def wilder_alpha(n: int) -> float:
 # ---- one indicator at a time ------------------------------------------------------------------
 
 def _chunked(indexed: DataFrame, lookback: int, chains: Sequence[Sequence[float]] = ()) -> tuple[DataFrame, int, int]:
-    halo, size = ordered.chunk_plan(chains, lookback)
-    return ordered.spread(indexed, halo, size), halo, size
+    return ordered.chunked(indexed, lookback, chains)
 
 
 def sma(indexed: DataFrame, period: int, src: str = "close", out: str = "sma") -> DataFrame:
@@ -74,7 +73,7 @@ def volume_sma(indexed: DataFrame, period: int = 20, out: str = "volume_sma") ->
 
 
 def _average(rows: DataFrame, specs: dict[str, tuple[str, int, float, int]]) -> DataFrame:
-    return ordered.averages(rows, KEYS, specs)
+    return ordered.averages(ordered.plain(rows), KEYS, specs)
 
 
 def ema(indexed: DataFrame, period: int, src: str = "close", out: str = "ema") -> DataFrame:
