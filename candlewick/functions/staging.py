@@ -29,9 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/candlewick/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/candlewick/{uuid.uuid4().hex}"
+    path = fresh_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

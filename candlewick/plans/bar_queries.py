@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from candlewick import bindings as b
 from candlewick.functions import calendar
-from candlewick.functions.staging import stage
+from candlewick.functions.staging import fresh_folder, stage
 from candlewick.operators import bars as ob
 from candlewick.operators import quality
 from candlewick.plans.registry import query
@@ -54,6 +54,15 @@ def bars_from_ticks(spark, d):
     return rounded(b.bars(spark, d), ["spread"])
 
 
+@query("bars_written", b.with_sql("bars") + """ SELECT symbol, timeframe, ts, open, high, low, close, volume,
+ round(spread, 6) AS spread FROM bars""")
+def bars_written(spark, d):
+    """Bars as partitioned files, read back."""
+    folder = fresh_folder(spark)
+    sb.write_bars(b.bars(spark, d), folder)
+    return rounded(sb.read_bars(spark, folder), ["spread"]).select("symbol", "timeframe", "ts", "open", "high", "low", "close", "volume", "spread")
+
+
 @query("bars_slice", b.with_sql("bars") + f""" SELECT symbol, ts, open, high, low, close FROM bars
  WHERE symbol = 'click' AND ts >= TIMESTAMP '{START}' AND ts <= TIMESTAMP '{END}'""")
 def bars_slice(spark, d):

@@ -1,14 +1,18 @@
 """Queries over indicators."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from candlewick import bindings as b
 from candlewick.functions import ordered
+from candlewick.functions.staging import fresh_folder, stage
 from candlewick.operators import bars as ob
 from candlewick.operators import indicators as ind
 from candlewick.plans import indicator_sql as isql
 from candlewick.plans.bar_queries import rounded, week_windows
-from candlewick.plans.registry import query
+from candlewick.plans.registry import ORACLES, query
+from candlewick.sources import bar_store
 
 
 def _mean(col, n):
@@ -92,6 +96,19 @@ def indicator_features(spark, d):
     return rounded(feature_table(spark, d).select("symbol", "ts", "session", "regime", *FEATURE_COLS), FEATURE_COLS)
 
 
+@query("indicator_features_stored", ORACLES["indicator_features"])
+def indicator_features_stored(spark, d):
+    """The same from a store of bars in chunks, half of them appended later; the indicators need no exchange."""
+    name, folder, bars = f"bars_{uuid.uuid4().hex}", fresh_folder(spark), stage(b.bars(spark, d))
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    bar_store.save(bars.filter(early), name, folder)
+    bar_store.append(bars.filter(~early), name)
+    rows = bar_store.chunks(spark, name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, the catalogue keeps nothing of this query
+    feats = ind.features(rows, PARAMS)
+    return rounded(feats.select("symbol", "ts", "session", "regime", *FEATURE_COLS), FEATURE_COLS)
+
+
 @query("indicator_warmup_defaults", isql.features() + """ SELECT symbol, ts, round(coalesce(rsi, 50), 6) AS rsi, round(coalesce(rsi_prev, 50), 6) AS rsi_prev,
  round(coalesce(bb_pct, 0.5), 6) AS bb_pct, round(coalesce(atr, 0), 6) AS atr, round(coalesce(adx, 0), 6) AS adx,
  round(coalesce(atr_ratio, 1), 6) AS atr_ratio, round(coalesce(volume_rel, 1), 6) AS volume_rel FROM feats""")

@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from candlewick import bindings as b
-from candlewick.functions.staging import stage
+from candlewick.functions.staging import fresh_folder, stage
 from candlewick.plans.bar_queries import rounded
-from candlewick.plans.registry import query
-from candlewick.sources import logs
+from candlewick.plans.registry import ORACLES, query
+from candlewick.sources import log_store, logs
 
 _LV = "CASE WHEN value > 50 THEN 'ERROR' WHEN value > 20 THEN 'WARNING' ELSE 'INFO' END"
 # Every third event is a text line, a JSON line or a state snapshot; a few lines are broken.
@@ -135,3 +135,71 @@ def log_performance_sketches(spark, d):
     out = merged.join(at, keys).select(*keys, "n", "mean", "max", close("q50", 0.5).alias("median_close"), close("q95", 0.95).alias("p95_close"),
                                        (F.abs(F.col("n_values") - F.col("_exact")) <= 0.05 * F.col("_exact")).alias("n_values_close"))
     return rounded(out, ["mean"], 5)
+
+
+def indexed_log(spark, d):
+    """The log lines in a store of their own, added in two calls of which the second repeats the files of the first."""
+    folder, lines = fresh_folder(spark), log_lines(spark, d).select("path", "line")
+    log_store.add(lines.filter(F.col("path").contains("202401")), folder)
+    log_store.add(lines, folder)
+    return folder
+
+
+@query("log_store_query", ORACLES["log_query"])
+def log_store_query(spark, d):
+    """``log_query`` over a store: only parts that may hold a match are opened."""
+    at = lambda s: F.lit(s).cast("timestamp")
+    q = log_store.query(spark, indexed_log(spark, d), "error", "engine", at("2024-01-05"), at("2024-01-20"), "USER 1", at(NOW))
+    return q.select("source_file", "event_type", "message", "ts")
+
+
+@query("log_store_manifest", _SRC + """, own AS (SELECT source_file, count(*) AS entries, min(ts) FILTER (event_type <> 'LOG_LINE_RAW') AS first, max(ts) FILTER (event_type <> 'LOG_LINE_RAW') AS last,
+ count(*) FILTER (event_type = 'LOG_LINE_RAW') AS timeless FROM en GROUP BY source_file)
+ SELECT path, count(*) AS lines, coalesce(any_value(entries), 0) AS entries, any_value(first) AS first, any_value(last) AS last, coalesce(any_value(timeless), 0) AS timeless
+ FROM l LEFT JOIN own ON path = source_file GROUP BY path""")
+def log_store_manifest(spark, d):
+    """What the store knows of every file."""
+    return log_store.files(spark, indexed_log(spark, d)).groupBy("path").agg(
+        F.sum("lines").alias("lines"), F.sum("entries").alias("entries"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("timeless").alias("timeless"))
+
+
+_CLOSED = """SELECT 'E' || event_id AS trade_id, event_type AS symbol, value AS net_pnl, ts AS exit_time, strftime(ts, '%Y%m%d') AS day FROM events"""
+
+
+def closed_trades(spark, d):
+    return b.table(spark, d, "events").select(F.concat(F.lit("E"), "event_id").alias("trade_id"), F.col("event_type").alias("symbol"), F.col("value").alias("net_pnl"), b.utc("ts").alias("exit_time"))
+
+
+@query("log_written_trades", f"""WITH t AS ({_CLOSED}) SELECT day, 'TRADE' AS kind, symbol, count(*) AS n, round(sum(net_pnl), 4) AS net_pnl FROM t GROUP BY ALL
+ UNION ALL SELECT day, 'EVENT', symbol, count(*), NULL FROM t GROUP BY ALL""")
+def log_written_trades(spark, d):
+    """Trades and events appended to the log of their day, read back and told apart."""
+    folder, t = fresh_folder(spark), closed_trades(spark, d)
+    logs.append_trades(t, folder)
+    logs.append_events(t.select(F.col("symbol"), F.lit("CANDLE").alias("event_type"), F.col("exit_time").alias("event_time")), folder)
+    r = stage(logs.read_log(spark, folder))
+    part = lambda rows, kind, pnl: rows.groupBy(F.col("day").cast("string").alias("day"), F.lit(kind).alias("kind"), "symbol").agg(F.count(F.lit(1)).alias("n"), pnl.alias("net_pnl"))
+    return part(logs.trade_records(r), "TRADE", F.round(F.sum("net_pnl"), 4)).unionByName(part(logs.event_records(r), "EVENT", F.max(F.lit(None).cast("double"))))
+
+
+@query("log_compacted_days", f"""WITH t AS ({_CLOSED}) SELECT day, count(*) AS n, round(sum(net_pnl), 4) AS net_pnl, TRUE AS packed FROM t WHERE day < '20240115' GROUP BY day""")
+def log_compacted_days(spark, d):
+    """Old days of the written log as gzip, read back from the packed files alone."""
+    folder, out = fresh_folder(spark), fresh_folder(spark)
+    logs.append_trades(closed_trades(spark, d), folder)
+    logs.compact_old_days(spark, folder, out, "20240115")
+    lines = spark.read.schema("line string, day string").option("basePath", out).text(out).withColumn("packed", F.col("_metadata.file_name").endswith(".gz"))
+    t = logs.trade_records(logs.parse_records(lines))
+    return t.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("net_pnl"), 4).alias("net_pnl"), F.bool_and("packed").alias("packed"))
+
+
+@query("log_audit_trail", """SELECT 'BREACH' AS event_type, event_type AS mandate_id, count(*) AS n, max(user_id)::VARCHAR AS top_user, TRUE AS stamped FROM events WHERE value > 50 GROUP BY event_type
+ UNION ALL SELECT 'CHECK', event_type, count(*), max(user_id)::VARCHAR, TRUE FROM events WHERE value <= 50 GROUP BY event_type""")
+def log_audit_trail(spark, d):
+    """Audit events appended in two writes, read back with their details."""
+    folder, e = fresh_folder(spark), b.table(spark, d, "events")
+    for kind, rows in (("BREACH", e.filter("value > 50")), ("CHECK", e.filter("value <= 50"))):
+        logs.append_audit(rows.select(F.lit(kind).alias("event_type"), F.col("event_type").alias("mandate_id"), F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("details")), folder)
+    back = spark.read.schema("event_type string, mandate_id string, details map<string, string>, timestamp timestamp").json(folder)
+    return back.groupBy("event_type", "mandate_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("details.user").cast("bigint")).cast("string").alias("top_user"),
+                                                        F.bool_and(F.col("timestamp").isNotNull()).alias("stamped"))
