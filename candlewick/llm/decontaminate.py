@@ -3,7 +3,8 @@
 A shard is one batch of documents inside a task: their words become numbers of the benchmark's vocabulary (0 for
 any other word and between documents), and the suffixes that can begin with a test window are sorted by their
 leading words into a suffix array. Every test suffix is looked up in it by binary search; the range found is all its
-occurrences. Occurrences on one diagonal of document and item join to the longest verbatim matches.
+occurrences. Occurrences on one diagonal of document and item join to the longest verbatim matches. What a task holds grows with its shard,
+not with the product of occurrences in documents and in items.
 
 Documents are never shuffled. The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES``, whose size is
 checked first: usually there is one block, and more of them are applied one after the other and merged by row.
@@ -28,6 +29,8 @@ from candlewick.llm.common import narrow_batches, texts
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
+# pairs of equal windows that are held at a time while maximal matches are sought
+PAIRS = 1 << 20
 _PAIR_BITS = 24
 # lower case, and every ASCII byte that is no letter or digit becomes a space
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -43,66 +46,104 @@ def _pairs(ids: np.ndarray) -> np.ndarray:
 
 
 class TestIndex:
-    """The test windows of a block of items, grouped by length, each with the places where it stands."""
+    """The test windows of a block of items, grouped by length, each with the items that have it and the places where it stands."""
 
     def __init__(self, items: list[tuple[object, str]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        self.items = [i for i, _ in items]
+        self.items = [None if i is None else str(i) for i, _ in items]
+        self.names = sorted({i for i in self.items if i is not None})
+        number = {i: n for n, i in enumerate(self.names)}
         self.pair = np.zeros(1 << _PAIR_BITS, bool)
-        by_length: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         for k, (_, text) in enumerate(items):
             ws = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text or "")], ">u4")
             m = min(window, len(ws))
             if m > 1:
                 self.pair[_pairs(ws)] = True
-            for at in range(len(ws) - m + 1 if m else 0):
-                by_length.setdefault(m, {}).setdefault(ws[at:at + m].tobytes(), []).append((k, at))
-        self.groups = []
-        for m, windows in by_length.items():
-            keys = sorted(windows)
-            places = [np.array(windows[w], np.int64) for w in keys]
-            self.groups.append((m, np.array(keys, f"S{4 * m}"), np.concatenate(places), np.cumsum([0, *map(len, places)])))
-
-    def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All (position, item number, item word, length) at which a window stands in a shard of word numbers."""
+            if m:
+                by_length.setdefault(m, []).append((k, ws))
+        self.groups = [_Windows(m, found, [number.get(i, -1) for i in self.items]) for m, found in by_length.items()]
+
+    def search(self, ids: np.ndarray) -> list[tuple[_Windows, np.ndarray]]:
+        """For each length that occurs in a shard of word numbers: the windows, and which of them starts at each position (-1: none)."""
         out = []
-        padded = np.concatenate([ids, np.zeros(max((m for m, *_ in self.groups), default=0), ids.dtype)])
+        padded = np.concatenate([ids, np.zeros(max((g.words for g in self.groups), default=0), ids.dtype)])
         follows = self.pair[_pairs(padded)] & (padded[:-1] > 0) & (padded[1:] > 0) if len(padded) > 1 else np.zeros(0, bool)
-        for m, keys, places, bounds in self.groups:
+        for g in self.groups:
             can = ids > 0
-            for j in range(m - 1):  # a window's pairs of neighbours all stand in the benchmark
+            for j in range(g.words - 1):  # a window's pairs of neighbours all stand in the benchmark
                 can &= follows[j:j + len(ids)]
             at = np.flatnonzero(can)
             if not len(at):
                 continue
-            lead = np.ascontiguousarray(padded[at[:, None] + np.arange(m)]).astype(">u4").view(f"S{4 * m}").ravel()
+            lead = np.ascontiguousarray(padded[at[:, None] + np.arange(g.words)]).astype(">u4").view(f"S{4 * g.words}").ravel()
             order = np.argsort(lead, kind="stable")  # the shard's suffix array
             lead, at = lead[order], at[order]
-            low, high = np.searchsorted(lead, keys, "left"), np.searchsorted(lead, keys, "right")
-            found = np.flatnonzero(high > low)
-            for w in found:
-                here, there = at[low[w]:high[w]], places[bounds[w]:bounds[w + 1]]
-                out.append((np.repeat(here, len(there)), np.tile(there[:, 0], len(here)), np.tile(there[:, 1], len(here)), np.full(len(here) * len(there), m)))
-        if not out:
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def longest(pos: np.ndarray, item: np.ndarray, off: np.ndarray, length: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Maximal verbatim matches (position, item number, item word, words): windows in a row on one diagonal are one."""
-    order = np.lexsort((off, pos - off, item))
-    p, i, o, m = pos[order], item[order], off[order], length[order]
-    if not len(p):
-        return []
-    new = np.ones(len(p), bool)
-    new[1:] = (i[1:] != i[:-1]) | (p[1:] - o[1:] != p[:-1] - o[:-1]) | (o[1:] != o[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(p)) - 1
-    return list(zip(p[first].tolist(), i[first].tolist(), o[first].tolist(), (o[last] - o[first] + m[first]).tolist(), strict=True))
-
-
-def scan_batch(index: TestIndex, batch: list[str | None]) -> list[tuple[int, list[tuple[int, int]], list, list[tuple]]]:
-    """For each text: number of words, spans of hit words, item ids found, maximal matches (item id, word, item word, words)."""
+            stands = np.full(len(ids), -1, np.int64)
+            if len(lead) < len(g.keys):  # both sides are sorted: the shorter one is looked up in the longer one
+                w = np.minimum(np.searchsorted(g.keys, lead), len(g.keys) - 1)
+                same = g.keys[w] == lead
+                stands[at[same]] = w[same]
+            else:
+                low, high = np.searchsorted(lead, g.keys, "left"), np.searchsorted(lead, g.keys, "right")
+                stands[at[_ranges(low, high)]] = np.repeat(np.arange(len(low)), high - low)
+            if (stands >= 0).any():
+                out.append((g, stands))
+        return out
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers low[i] .. high[i] - 1, one range after the other."""
+    n = high - low
+    return np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+
+
+class _Windows:
+    """All windows of one length: sorted keys, the windows of the items in a row (-1 between items), and for each key where it stands there."""
+
+    def __init__(self, words: int, found: list[tuple[int, np.ndarray]], names: list[int]):
+        self.words = words
+        rows = [np.lib.stride_tricks.sliding_window_view(ws, words) for _, ws in found]
+        keys, which = np.unique(np.ascontiguousarray(np.concatenate(rows)).astype(">u4").view(f"S{4 * words}").ravel(), return_inverse=True)
+        self.keys = keys
+        starts = np.cumsum([1, *(len(r) + 1 for r in rows)])  # of the items in the row
+        place = np.concatenate([np.arange(len(r)) + s for r, s in zip(rows, starts, strict=False)])
+        self.row = np.full(int(starts[-1]) + 1, -1, np.int64)
+        self.row[place] = which
+        self.starts, self.item = starts, np.array([k for k, _ in found], np.int64)
+        order = np.argsort(which, kind="stable")
+        self.place, self.bounds = place[order], np.searchsorted(which[order], np.arange(len(keys) + 1))
+        # items by window, each once
+        name = np.repeat(np.array(names, np.int64)[self.item], [len(r) for r in rows])
+        pair = np.unique(np.stack([which, name])[:, name >= 0], axis=1)
+        self.names, self.name_bounds = pair[1], np.searchsorted(pair[0], np.arange(len(keys) + 1))
+
+
+def longest(g: _Windows, stands: np.ndarray, at_once: int = PAIRS) -> list[tuple[int, int, int, int]]:
+    """Maximal verbatim matches (position, item number, item word, words): windows in a row on one diagonal are one.
+
+    A pair of equal windows begins a match unless the windows before them are equal too, and ends one likewise. Pairs are
+    made ``at_once`` at a time and only beginnings and ends stay.
+    """
+    around = np.concatenate([[-1], stands, [-1]])
+    here = np.flatnonzero(stands >= 0)
+    count = g.bounds[stands[here] + 1] - g.bounds[stands[here]]
+    cut = np.unique(np.searchsorted(np.cumsum(count), np.arange(at_once, count.sum() + at_once, at_once), "left") + 1)
+    first, last = [], []
+    for some, n in zip(np.split(here, cut[cut < len(here)]), np.split(count, cut[cut < len(here)]), strict=True):
+        w = stands[some]
+        pos, place = np.repeat(some, n), g.place[_ranges(g.bounds[w], g.bounds[w + 1])]
+        for ends, step in ((first, -1), (last, 1)):
+            beyond = around[pos + 1 + step]
+            edge = (beyond < 0) | (beyond != g.row[place + step])
+            ends.append(np.stack([pos[edge], place[edge]]))
+    (p, f), (q, _) = (e[:, np.lexsort((e[0], e[0] - e[1]))] for e in (np.concatenate(x, axis=1) for x in (first, last)))
+    k = np.searchsorted(g.starts, f, "right") - 1
+    return list(zip(p.tolist(), g.item[k].tolist(), (f - g.starts[k]).tolist(), (q - p + g.words).tolist(), strict=True))
+
+
+def scan_batch(index: TestIndex, batch: list[str | None], locate: bool = True) -> list[tuple[int, list[tuple[int, int]], list[str], list[tuple]]]:
+    """For each text: number of words, spans of hit words, item ids found and, with ``locate``, maximal matches (item id, word, item word, words)."""
     docs = [words_of(t or "") for t in batch]
     sizes = np.array([len(d) for d in docs], np.int64)
     starts = np.cumsum([0, *(sizes + 1)])
@@ -111,73 +152,90 @@ def scan_batch(index: TestIndex, batch: list[str | None]) -> list[tuple[int, lis
     for s, d in zip(starts, docs, strict=False):
         if d:
             ids[s:s + len(d)] = [get(w, 0) for w in d]
-    pos, item, off, length = index.search(ids)
     out = [(int(n), [], [], []) for n in sizes]
-    for p, k, o, n in longest(pos, item, off, length):
-        d = int(np.searchsorted(starts, p, "right")) - 1
-        out[d][3].append((index.items[k], p - int(starts[d]), o, n))
-    for row in out:
-        if row[3]:
-            low = high = None
-            for s, e in sorted((w, w + n) for _, w, _, n in row[3]):
-                if low is None or s > high:
-                    if low is not None:
-                        row[1].append((low, high))
-                    low, high = s, e
-                high = max(high, e)
-            row[1].append((low, high))
-            row[2].extend(sorted({i for i, *_ in row[3] if i is not None}, key=str))
+    edge, met = np.zeros(len(ids) + 1, np.int64), [[] for _ in docs]
+    doc_of = lambda pos: np.searchsorted(starts, pos, "right") - 1
+    for n, (g, stands) in enumerate(index.search(ids)):
+        at = np.flatnonzero(stands >= 0)
+        edge[at] += 1
+        np.subtract.at(edge, at + g.words, 1)
+        for d, w in np.unique(np.stack([doc_of(at), stands[at]]), axis=1).T.tolist():
+            met[d].append((n, w, g))
+        if locate:
+            for p, k, o, words in longest(g, stands):
+                d = int(doc_of(p))
+                out[d][3].append((index.items[k], p - int(starts[d]), o, words))
+    hit = np.concatenate([[0], np.cumsum(edge) > 0, [0]]).astype(np.int8)
+    turn = np.flatnonzero(np.diff(hit))
+    for s, e, d in zip(turn[::2].tolist(), turn[1::2].tolist(), doc_of(turn[::2]).tolist(), strict=True):
+        out[d][1].append((s - int(starts[d]), e - int(starts[d])))
+    known: dict[tuple, list[str]] = {}  # documents with the same windows have the same items
+    for row, windows in zip(out, met, strict=True):
+        if windows:
+            key = tuple((n, w) for n, w, _ in windows)
+            if key not in known:
+                has = np.zeros(len(index.names), bool)
+                for _, w, g in windows:
+                    has[g.names[g.name_bounds[w]:g.name_bounds[w + 1]]] = True
+                known[key] = [index.names[i] for i in np.flatnonzero(has)]
+            row[2].extend(known[key])
     return out
 
 
+def _blocks(items: DataFrame, block_bytes: int) -> int:
+    return max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+
+
 def index_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
     """The benchmark in blocks of about ``block_bytes`` at most, one at a time."""
     items = benchmark.select("item_id", "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
+    n = _blocks(items, block_bytes)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for b in range(n):
         yield TestIndex([tuple(r) for r in (items if n == 1 else items.where(part == b)).distinct().collect()])
 
 
-_FOUND = "hits array<struct<first: bigint, behind: bigint>>, items array<string>, matches array<struct<item_id: string, word: bigint, item_word: bigint, words: bigint>>"
+_FOUND = "n_words bigint, hits array<struct<first: bigint, behind: bigint>>, items array<string>"
+_MATCHES = ", matches array<struct<item_id: string, word: bigint, item_word: bigint, words: bigint>>"
 
 
-def _scan(docs: DataFrame, index: TestIndex, keep: list[str]) -> DataFrame:
+def _scan(docs: DataFrame, index: TestIndex, keep: list[str], locate: bool) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by BLOCK_BYTES of text
-    found = StructType.fromDDL(f"n_words bigint, {_FOUND}")
+    found = StructType.fromDDL(_FOUND + (_MATCHES if locate else ""))
     schema = StructType([*docs.select(*keep).schema.fields, *found.fields])
     kinds = to_arrow_schema(found)
 
     def run(batches):
         for b in batches:
-            rows = scan_batch(sent.value, b.column("text").to_pylist())
+            rows = scan_batch(sent.value, b.column("text").to_pylist(), locate)
             cols = [pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([[{"first": s, "behind": e} for s, e in r[1]] for r in rows], kinds.field("hits").type),
-                    pa.array([[str(i) for i in r[2]] for r in rows], kinds.field("items").type),
-                    pa.array([[{"item_id": None if m[0] is None else str(m[0]), "word": m[1], "item_word": m[2], "words": m[3]} for m in r[3]] for r in rows],
-                             kinds.field("matches").type)]
+                    pa.array([r[2] for r in rows], kinds.field("items").type)]
+            if locate:
+                cols.append(pa.array([[dict(zip(("item_id", "word", "item_word", "words"), m, strict=True)) for m in r[3]] for r in rows], kinds.field("matches").type))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=[*keep, *found.names])
 
     narrow_batches(docs.sparkSession)
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, hits (spans of hit words), items (ids as sorted strings) and maximal verbatim matches of every row."""
-    blocks = list(index_blocks(benchmark, block_bytes))
-    if len(blocks) == 1:
-        return _scan(texts(docs), blocks[0], ["doc_id"])
+def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, locate: bool = True) -> DataFrame:
+    """doc_id, n_words, hits (spans of hit words), items (ids as sorted strings) and, with ``locate``, the maximal verbatim matches of every row.
+
+    Matches are as many as there are shared passages of documents and items; who needs spans and items only leaves them out.
+    """
+    if _blocks(benchmark, block_bytes) == 1:
+        return _scan(texts(docs), next(index_blocks(benchmark, block_bytes)), ["doc_id"], locate)
     rows = stage(texts(docs).withColumn("_row", F.monotonically_increasing_id()))
-    parts = [_scan(rows, index, ["_row", "doc_id"]) for index in blocks]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = None
+    for index in index_blocks(benchmark, block_bytes):  # one on the driver at a time
+        part = stage(_scan(rows, index, ["_row", "doc_id"], locate))
+        every = part if every is None else every.unionByName(part)
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    met = every.groupBy("_row", "doc_id", "n_words").agg(*[flat(c).alias(c) for c in ("hits", "items", "matches")])
+    met = every.groupBy("_row", "doc_id", "n_words").agg(*[flat(c).alias(c) for c in every.columns[3:]])
     join = F.expr("""aggregate(hits, array(), (a, h) -> CASE WHEN size(a) > 0 AND h.first <= element_at(a, -1).behind
         THEN concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'behind', greatest(h.behind, element_at(a, -1).behind))))
         ELSE concat(a, array(h)) END)""".replace("array(), (a", "CAST(array() AS array<struct<first: bigint, behind: bigint>>), (a"))
@@ -192,7 +250,7 @@ def remove_affected(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, sent=sent):
             for b in batches:
-                keep = [not r[1] for r in scan_batch(sent.value, b.column("text").to_pylist())]
+                keep = [not r[1] for r in scan_batch(sent.value, b.column("text").to_pylist(), locate=False)]
                 yield b.filter(pa.array(keep, type=pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

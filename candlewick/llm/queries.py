@@ -28,7 +28,7 @@ def query(name: str, twin: str | None = None):
 
 @query("op1_benchmark_decontamination", sql.DECONTAMINATION)
 def op1(spark, sf_dir):
-    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), locate=False)
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, h: a + h["behind"] - h["first"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

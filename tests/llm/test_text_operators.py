@@ -1,7 +1,9 @@
 """Operators on single texts against plain loops over the same rows."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -187,6 +189,46 @@ def test_decontamination(spark, odd, block_bytes):
         assert decontaminate.remove_affected(odd, bench.limit(0)).count() == odd.count()
 
 
+def matches_loop(text, items):
+    """Hit words, items and maximal matches of one text, pair by pair."""
+    ws, hit, found, matches = decontaminate.words_of(text or ""), set(), set(), set()
+    for k, (i, x) in enumerate(items):
+        xs = decontaminate.words_of(x or "")
+        m = min(10, len(xs))
+        same = {(p, o) for p in range(len(ws) - m + 1) for o in range(len(xs) - m + 1) if ws[p:p + m] == xs[o:o + m]} if m else set()
+        for p, o in same:
+            hit |= set(range(p, p + m))
+            if (p - 1, o - 1) not in same:
+                n = next(n for n in range(1, len(ws) + 2) if (p + n, o + n) not in same)
+                matches.add((None if i is None else str(i), p, o, n - 1 + m, k))
+        if same and i is not None:
+            found.add(str(i))
+    return len(ws), hit, sorted(found), sorted(str(m[:4]) for m in matches)
+
+
+@pytest.mark.parametrize("pairs", [7, 1 << 20])
+def test_matches_of_a_shard(pairs, monkeypatch):
+    """Few words make many diagonals, repeated windows and items that share them; pairs in many pieces and in one."""
+    monkeypatch.setattr(decontaminate.longest, "__defaults__", (pairs,))
+    rng = random.Random(pairs)
+    for _ in range(60):
+        some = rng.choice([1, 2, 3, 30])
+        make = lambda n, some=some: " ".join(f"w{rng.randrange(some)}" for _ in range(rng.randint(0, n)))
+        items = list({(rng.choice([1, 2, 10, 11, None]), make(rng.choice([3, 14, 25]))) for _ in range(rng.randint(0, 6))})
+        docs = [None, "", *(make(40) for _ in range(4)), items[0][1] if items else "x"]
+        for text, (n, spans, found, matches) in zip(docs, decontaminate.scan_batch(decontaminate.TestIndex(items), docs), strict=True):
+            assert (n, {w for s, e in spans for w in range(s, e)}, found, sorted(map(str, matches))) == matches_loop(text, items)
+
+
+def test_window_that_all_items_and_documents_share():
+    """Thousands of items and a batch of documents with one beginning: work per distinct window, not per pair."""
+    start = " ".join(f"s{j}" for j in range(12))
+    index = decontaminate.TestIndex([(i, f"{start} " + " ".join(f"q{i}x{j}" for j in range(12))) for i in range(3000)])
+    began = time.perf_counter()
+    rows = decontaminate.scan_batch(index, [start] * 1000, locate=False)
+    assert time.perf_counter() - began < 5 and all(r[1] == [(0, 12)] and len(r[2]) == 3000 for r in rows)
+
+
 def test_iban_ends():
     """Upper-case words behind an IBAN do not hide it, nor does a second one, nor a false start."""
     one, two = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
