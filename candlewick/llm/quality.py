@@ -119,6 +119,20 @@ def ablations(book: DataFrame, policy: str = CURRENT) -> DataFrame:
     return row.select(F.lit(policy).alias("policy"), F.inline("rules"))
 
 
+def only_rule(policy: str = CURRENT, bits: str = "fail_bits") -> Column:
+    """The rule that alone rejects a document under a policy, else NULL."""
+    failed = F.col(bits).bitwiseAND(F.lit(POLICIES[policy]).cast("bigint"))
+    return F.coalesce(*[F.when(failed == 1 << i, F.lit(r)) for i, r in enumerate(RULES) if POLICIES[policy] >> i & 1])
+
+
+def verdicts(book: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """A stored ledger with every policy's verdict (``kept_<policy>``), the rule that alone rejects a document under ``policy`` and, from the
+    ablations over the same ledger, how many documents only that rule rejects (both NULL for other documents)."""
+    alone = ablations(book, policy).select(F.col("rule").alias("only_rule"), F.col("only").alias("only_rule_docs"))
+    rows = book.withColumns({**{f"kept_{p}": ~rejected_by(p) for p in POLICIES}, "only_rule": only_rule(policy)})
+    return rows.join(F.broadcast(alone), "only_rule", "left")  # one row per rule
+
+
 def accepted(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows that a policy keeps, with all their columns."""
     narrow_batches(docs.sparkSession)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewick.functions.staging import stage
 from candlewick.llm import (
     chat, decontaminate, exact_dedup, filter_audit, language_model, mixing, near_duplicates, pii, quality, sql, suffix_dedup, token_counts, warc, whitening,
 )
@@ -58,10 +59,10 @@ def op5(spark, sf_dir):
 
 @query("op6_quality_rules", sql.QUALITY)
 def op6(spark, sf_dir):
-    book = quality.ledger(table(spark, sf_dir, "documents"))
+    book = quality.verdicts(stage(quality.ledger(table(spark, sf_dir, "documents"))))  # the stored ledger serves every policy and the ablations
     base = F.col("fail_bits").bitwiseAND(F.lit(quality.mask(*quality.BASE)).cast("bigint")) != 0
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
-                       (~quality.rejected_by(quality.CURRENT)).alias("kept"))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.col(f"kept_{quality.CURRENT}").alias("kept"),
+                       "fail_bits", "kept_v1", "only_rule", "only_rule_docs")
 
 
 @query("op7_mixing")

@@ -39,10 +39,12 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
   len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS n_stutter, len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter
-  FROM w LEFT JOIN rep USING (rid))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 3 * n_words OR word_chars > 12 * n_words
-  OR 100 * n_stutter > 20 * n_words OR 2 * n_letter < n_words) AS kept FROM m"""
+  FROM w LEFT JOIN rep USING (rid)),
+f AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
+  + 16 * (word_chars < 3 * n_words OR word_chars > 12 * n_words)::BIGINT + 32 * (100 * n_stutter > 20 * n_words)::BIGINT + 64 * (2 * n_letter < n_words)::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, fail_bits & 7 = 0 AS kept_v1,
+  CASE fail_bits WHEN 1 THEN 'short' WHEN 2 THEN 'repeats' WHEN 4 THEN 'symbols' WHEN 8 THEN 'dup_lines' WHEN 16 THEN 'word_length' WHEN 32 THEN 'stutter' WHEN 64 THEN 'no_letters' END AS only_rule,
+  CASE WHEN fail_bits IN (1, 2, 4, 8, 16, 32, 64) THEN count(*) OVER (PARTITION BY fail_bits) END AS only_rule_docs FROM f"""
 
 # Windows of ten words (or the whole shorter item) as space-joined text.
 _WORDS = "list_filter(string_split_regex(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"

@@ -69,6 +69,19 @@ def test_quality_ledger(odd, small, empty):
     assert quality.ledger(empty).count() == 0 and quality.accepted(empty).count() == 0
 
 
+def test_quality_verdicts(odd):
+    """Every policy from one stored ledger; the count of a sole rule is that of the whole table."""
+    book = odd.select("doc_id", "text").transform(quality.ledger).cache()
+    rows = quality.verdicts(book).collect()
+    sole = Counter(r["fail_bits"] for r in rows)
+    assert len(rows) == book.count()
+    for r in rows:
+        failed = [n for i, n in enumerate(quality.RULES) if r["fail_bits"] >> i & 1]
+        assert r["kept_v2"] == (not failed) and r["kept_v1"] == (not {"short", "repeats", "symbols"} & set(failed))
+        assert (r["only_rule"], r["only_rule_docs"]) == ((failed[0], sole[r["fail_bits"]]) if len(failed) == 1 else (None, None))
+    assert quality.verdicts(book.limit(0)).count() == 0
+
+
 def test_quality_ablations(small):
     book = quality.ledger(small).collect()
     for r in quality.ablations(quality.ledger(small)).collect():
