@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from candlewick.functions import money, ordered
+from candlewick.functions import hashing, money, ordered
 from candlewick.functions.calendar import mandate_date
 from candlewick.functions.staging import stage
 from candlewick.operators.paths import equity_path
@@ -173,22 +178,135 @@ def _failing(rows: DataFrame, per: Sequence[str], order: Sequence[str], chunk: C
     return limits(based, initial_equity, mandate).groupBy(*per).agg(F.bool_or(hit).alias("failed"))
 
 
+# permuted trades that one task of ``_stress_whole`` looks at, about
+TASK_PERMUTED = 8_000_000
+NO_DAY = -(1 << 31)
+
+
+def _resets(days: np.ndarray) -> np.ndarray:
+    """Places along the second axis whose day exceeds all before; a day of NO_DAY exceeds none, but resets until the first day."""
+    upto = np.maximum.accumulate(days, axis=1)
+    out = np.ones(days.shape, dtype=bool)
+    out[:, 1:] = (upto[:, :-1] == NO_DAY) | (days[:, 1:] > upto[:, :-1])
+    return out
+
+
+def _breaches(pnl: np.ndarray, resets: np.ndarray, initial_equity: float, mandate: dict, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Per point of the paths (path, place): daily rule broken, drawdown rule broken. ``slack`` shifts both limits up."""
+    equity = initial_equity + np.cumsum(pnl, axis=1)
+    place = np.arange(pnl.shape[1])
+    start = np.take_along_axis(equity, np.maximum.accumulate(np.where(resets, place, 0), axis=1), axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        daily = np.where(start > 0, (start - equity) * 100 / start, 0.0) >= mandate["max_daily_loss_pct"] + slack
+        if str(mandate["drawdown_type"]).lower() == "static":
+            dd = (initial_equity - equity) * 100 / initial_equity if initial_equity > 0 else np.zeros_like(equity)
+        else:
+            peak = np.maximum(initial_equity, np.maximum.accumulate(equity, axis=1))
+            dd = np.where(peak > 0, (peak - equity) * 100 / peak, 0.0)
+    return daily, dd >= mandate["max_overall_drawdown_pct"] + slack
+
+
+def _stress_one(ident: list[bytes], pnl: np.ndarray, pip: np.ndarray, lots: np.ndarray, days: np.ndarray, permutations: int, max_slippage_pips: float,
+                initial_equity: float, mandate: dict) -> tuple[int, str | None]:
+    """(failing permutations, rule that the first of them breaks) of one key whose trades come in the order of their key; NaN is a missing value.
+
+    Slippage only ever lowers equity, and by a known highest amount per trade. So a path that breaks a rule without slippage fails, one that
+    keeps both under the highest slippage passes, and slippage is worked out only for the paths between.
+    """
+    known = ~(np.isnan(pnl) | np.isnan(pip) | np.isnan(lots))
+    pnl, pip, lots = (np.where(known, x, 0.0) for x in (pnl, pip, lots))
+    most, seat, margin = max_slippage_pips * pip * lots, np.arange(len(pnl), dtype=np.uint64), 1e-6
+    # a limit of 100 % or less breaks before equity is used up, below which a daily loss is not defined
+    bounded = bool(np.all(most >= 0)) and initial_equity > 0 and mandate["max_overall_drawdown_pct"] <= 100
+    failed: list[int] = []
+    between: list[tuple[int, np.ndarray]] = []
+
+    def sequence(heads: np.ndarray) -> np.ndarray:
+        """Trades by hash; equal hashes stay in the order of the trade key."""
+        return (np.sort((heads.astype(np.uint64) << np.uint64(32)) | seat, axis=1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    def exact(numbers: list[int], orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slip = np.concatenate([heads for _, heads in hashing.uniform_parts("slip", numbers, ident)]) / 4294967296.0 * max_slippage_pips * pip * lots
+        return _breaches(np.take_along_axis(pnl - slip, orders, axis=1), _resets(days[orders]), initial_equity, mandate)
+
+    def settle() -> None:
+        numbers = [p for p, _ in between]
+        daily, dd = exact(numbers, np.stack([o for _, o in between]))
+        failed.extend(p for p, hit in zip(numbers, (daily | dd).any(axis=1)) if hit)
+        between.clear()
+
+    for first, heads in hashing.uniform_parts("order", range(permutations), ident):
+        orders = sequence(heads)
+        sure, passes = np.zeros(len(orders), dtype=bool), np.zeros(len(orders), dtype=bool)
+        if bounded:
+            resets = _resets(days[orders])
+            sure, risky = (np.logical_or(*_breaches(x[orders], resets, initial_equity, mandate, s)).any(axis=1) for x, s in ((pnl, margin), (pnl - most, -margin)))
+            passes = ~risky
+        failed.extend(first + int(i) for i in np.flatnonzero(sure))
+        between.extend((first + int(i), orders[i]) for i in np.flatnonzero(~sure & ~passes))
+        if len(between) * len(pnl) >= hashing.BLOCK_ROWS:
+            settle()
+    if between:
+        settle()
+    if not failed:
+        return 0, None
+    number = min(failed)
+    daily, dd = exact([number], sequence(next(hashing.uniform_parts("order", [number], ident))[1]))
+    return len(failed), "MANDATE_DAILY_LOSS_BREACH" if daily[0, int(np.argmax(daily[0] | dd[0]))] else "MANDATE_OVERALL_DD_BREACH"
+
+
+def _stress_whole(trades: DataFrame, total: int, keys: Sequence[str], trade_key: Sequence[str], mandate: dict, initial_equity: float,
+                  pip_value: Column, permutations: int, max_slippage_pips: float) -> DataFrame:
+    """The stress test of keys whose trades fit one chunk: only the trades are shuffled, each key's permutations are made where its trades are."""
+    keys, by = list(keys), [f"_by{i}" for i in range(len(trade_key))]
+    rows = trades.select(*keys, "_ident", F.col("net_pnl").cast("double").alias("_pnl"), F.datediff("day", F.lit(datetime.date(1970, 1, 1))).alias("_day"),
+                         pip_value.cast("double").alias("_pip"), F.col("lots").cast("double").alias("_lots"), *[F.col(c).alias(n) for c, n in zip(trade_key, by)])
+    kind = StructType([*[rows.schema[k] for k in keys], StructField("breach_rate_pct", DoubleType()), StructField("first_breach", StringType())])
+
+    def test(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, sort_keys=[(c, "ascending") for c in by], null_placement="at_start"))
+        number = lambda c, fill: pc.fill_null(group.column(c), fill).to_numpy()
+        count, rule = _stress_one([x.encode() for x in group.column("_ident").to_pylist()], *[number(c, float("nan")) for c in ("_pnl", "_pip", "_lots")],
+                                  number("_day", NO_DAY), permutations, max_slippage_pips, initial_equity, mandate)
+        return group.slice(0, 1).select(keys).append_column("breach_rate_pct", pa.array([count * 100.0 / permutations])).append_column("first_breach", pa.array([rule], pa.string()))
+
+    tasks = max(1, -(-total * permutations // TASK_PERMUTED))
+    return rows.repartition(tasks, *keys).groupBy(*keys).applyInArrow(test, kind)
+
+
 def stress_test(trades: DataFrame, keys: Sequence[str], trade_key: Sequence[str], mandate: dict, initial_equity: float,
                 pip_value: Column, permutations: int = 500, max_slippage_pips: float = 1.5, chunks: int | None = None) -> DataFrame:
     """Breach rate over ``permutations`` reshuffled trade orders with extra slippage, and the rule that the first failing one breaks.
 
-    A permutation is an order by a hash of (permutation, trade), so it needs no driver-side shuffle,
-    repeats exactly, and its chunks are slices of the hash range: equal in size for any key. Their
-    number follows from the trades of the largest key. All permutations are only tested for a breach; the full
-    path is built for the first failing one of each key.
+    A permutation is an order by a hash of (permutation, trade), so it needs no driver-side shuffle and
+    repeats exactly. A key of up to CHUNK_ROWS trades is tested where its trades are, so permuted trades never leave their task.
+    Trades of larger keys are fanned out into chunks, slices of the hash range, equal in size for any key; ``chunks`` does so
+    with all keys.
     """
-    if chunks is None:
-        largest = trades.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-        chunks = -(-largest // ordered.CHUNK_ROWS)
-    per, order = [*keys, "perm"], ["_place", *trade_key]
-    chunk = F.floor(F.col("_place") * chunks)
     told = (trades.withColumn("day", mandate_date(F.col("exit_time")))
             .withColumn("_ident", F.concat_ws("|", *[F.col(c).cast("string") for c in trade_key])))
+    rest = (keys, trade_key, mandate, initial_equity, pip_value, permutations, max_slippage_pips)
+    if chunks is not None:
+        return _stress_fanned(told, chunks, *rest)
+    endless = lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False))
+    odd = endless(F.col("net_pnl").cast("double")) | endless(F.col("lots").cast("double")) | endless(pip_value.cast("double"))
+    sizes = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(odd).alias("_odd"))
+    wide = (F.col("_n") > ordered.CHUNK_ROWS) | F.col("_odd")  # numbers that are none compare Spark's way
+    found = sizes.agg(F.sum("_n"), F.max("_n"), F.count_if(wide)).first()
+    if not found[2]:
+        return _stress_whole(told, found[0] or 0, *rest)
+    group = F.struct(*keys)
+    large = sizes.filter(wide).select(group.alias("_g"))
+    told = told.withColumn("_g", group)
+    return _stress_whole(told.join(large, "_g", "left_anti").drop("_g"), found[0], *rest).unionByName(
+        _stress_fanned(told.join(large, "_g", "left_semi").drop("_g"), -(-found[1] // ordered.CHUNK_ROWS), *rest))
+
+
+def _stress_fanned(told: DataFrame, chunks: int, keys: Sequence[str], trade_key: Sequence[str], mandate: dict, initial_equity: float,
+                   pip_value: Column, permutations: int, max_slippage_pips: float) -> DataFrame:
+    """The stress test of keys of any size: all permutations are only tested for a breach; the full path is built for the first failing one of each key."""
+    per, order = [*keys, "perm"], ["_place", *trade_key]
+    chunk = F.floor(F.col("_place") * chunks)
     fanned = _reshuffled(told.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))), keys, trade_key, pip_value, max_slippage_pips)
     tested = stage(_failing(fanned.drop(*{"exit_time"} - set(order)), per, order, chunk, initial_equity, mandate).groupBy(*keys).agg(
         (F.count_if("failed") * 100.0 / F.count(F.lit(1))).alias("breach_rate_pct"), F.min(F.when(F.col("failed"), F.col("perm"))).alias("perm")))

@@ -37,3 +37,33 @@ def test_stretches_agree_with_full_paths(spark, kind):
         assert row.breach_rate_pct == 4.0 * len(failed)
         assert row.first_breach == (failed[0][1] if failed else None)
     assert len(out) == 3
+
+
+@pytest.mark.parametrize("kind", ["static", "trailing"])
+def test_whole_keys_agree_with_fanned_ones(spark, kind, monkeypatch):
+    m = {"drawdown_type": kind, "max_daily_loss_pct": 6.5, "max_overall_drawdown_pct": 13.0}
+    t, run = _trades(spark), lambda t, **kw: {r.account: tuple(r)[1:] for r in mandate.stress_test(t, ["account"], KEY, m, 10000.0, F.lit(10.0), 25, **kw).collect()}
+    want = run(t, chunks=7)
+    with monkeypatch.context() as mp:
+        # no permuted trade may be shuffled
+        mp.setattr(mandate, "_stress_fanned", None)
+        assert run(t) == want and len({rate for rate, _ in want.values()}) > 1
+    # a key over a chunk goes the other way
+    more = t.unionByName(_trades(spark, 5000).filter("account = 'a0'").withColumn("account", F.lit("big")))
+    got = run(more)
+    assert {k: v for k, v in got.items() if k != "big"} == want
+    assert got == run(more, chunks=3)
+
+
+def test_array_md5():
+    import hashlib
+
+    from candlewick.functions import hashing
+
+    texts, numbers = [b"x" * n for n in range(140)], [0, 7, 10, 99, 100, 12345]
+    seen = []
+    for first, heads in hashing.uniform_parts("order", numbers, texts, 300):
+        for n, row in zip(numbers[first:], heads):
+            seen.append(n)
+            assert [int(h) for h in row] == [int(hashlib.md5(f"order|{n}|".encode() + t).hexdigest()[:8], 16) for t in texts]
+    assert seen == numbers
