@@ -5,6 +5,8 @@ Each binding has an SQL twin (``SQL`` below) so that every oracle query starts f
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,8 +113,9 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("exit_session", calendar.session_label(F.col("exit_time"))))
 
 
-def trade_chunk() -> Column:
-    return ordered.time_chunk(F.col("exit_time"), TRADE_CHUNK_SECONDS)
+def trade_chunk(trades: DataFrame, keys: Sequence[str] = ("account",)) -> Column | None:
+    """Hours, or None where no account outgrows one chunk."""
+    return ordered.chunk_unless_small(trades, keys, ordered.time_chunk(F.col("exit_time"), TRADE_CHUNK_SECONDS))
 
 
 def _values(rows: list[tuple], names: list[str]) -> str:

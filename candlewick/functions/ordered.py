@@ -12,7 +12,8 @@ ordered key into chunks first, so the largest sort is one chunk, however hot the
 * ``recurrence``       the same inside a chunk and its halo, where many short averages share one shuffle.
 
 ``chunk`` arguments are columns that never decrease along the row order. Only the per-chunk summary
-(one row per key and chunk) is ever ordered as a whole.
+(one row per key and chunk) is ever ordered as a whole. Where no key outgrows one chunk (see ``chunk_unless_small``), ``chunk`` is
+None: keys are whole, rows are shuffled once and there is no summary to carry.
 """
 
 from __future__ import annotations
@@ -50,6 +51,12 @@ def time_slices(df: DataFrame, keys: Sequence[str], ts: str, out: str, rows: int
     return tagged.join(found, "_g").withColumn(out, F.col("_slot") * (1 << 24) + inside).drop("_g", "_slot", "_parts", "_lo", "_hi")
 
 
+def chunk_unless_small(df: DataFrame, keys: Sequence[str], chunk: Column, rows: int = CHUNK_ROWS) -> Column | None:
+    """``chunk``, or None if no key has more than ``rows`` rows; counts them, which combines before the shuffle."""
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return None if largest <= rows else chunk
+
+
 def _before(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -65,9 +72,11 @@ def _with(rows: DataFrame, summary: DataFrame) -> DataFrame:
     return rows.join(summary.hint("merge"), "_g").drop("_g")
 
 
-def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column,
+def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column | None,
                out: str = "row_no") -> DataFrame:
     """Add the 1-based position of each row within its key, in ``order``."""
+    if chunk is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     tagged = df.withColumn("_chunk", chunk)
     counts = tagged.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(_group(keys).alias("_g"), F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_offset"))
@@ -107,7 +116,7 @@ def full_frame(agg: Column, keys: Sequence[str], n: int, seq: str = "row_no",
     return F.when(F.col(seq) >= n - end, agg.over(w))
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None,
             specs: Mapping[str, tuple], descending: bool = False, exclusive: bool = False) -> DataFrame:
     """Unbounded running aggregates, one pass for any number of them.
 
@@ -122,6 +131,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
     """
     full = {n: (s[0], s[1], s[2] if len(s) > 2 else exclusive) for n, s in specs.items()}
     side = F.desc if descending else F.asc
+    if chunk is None:
+        return _running_whole(df, Window.partitionBy(*keys).orderBy(*[side(c) for c in order]), full)
     latest = F.min_by if descending else F.max_by
     place = F.struct(*[F.col(c) for c in order])
     part = Window.partitionBy("_g").orderBy(*[side(c) for c in order])
@@ -165,6 +176,26 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
     return joined.select(*[c for c in df.columns if c not in merged], *merged)
 
 
+def _running_whole(df: DataFrame, part, specs: Mapping[str, tuple]) -> DataFrame:
+    """``running`` over whole keys: plain windows, which share one shuffle with others of the same keys."""
+    out, plain = df, {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda x: F.last(x, ignorenulls=True)}
+    # inputs first: an output may carry the name of a column that a later input reads
+    out = out.withColumns({f"_x_{n}": x for n, (_, x, _) in specs.items()})
+    values = {}
+    for n, (kind, _, excl) in specs.items():
+        if kind != "walk" and kind not in plain:
+            raise ValueError(f"unknown running aggregate {kind!r}")
+        w = part.rowsBetween(Window.unboundedPreceding, -1 if excl else 0)
+        x = F.col(f"_x_{n}")
+        values[n] = f"_l_{n}"
+        out = out.withColumn(values[n], F.coalesce(F.sum(x).over(w), F.lit(0)) if kind in ("sum", "walk") else plain[kind](x).over(w))
+        if kind == "walk":
+            for end, fn, pick in (("high", F.max, F.greatest), ("low", F.min, F.least)):
+                values[f"{n}_{end}"] = f"_l_{n}_{end}"
+                out = out.withColumn(f"_l_{n}_{end}", pick(F.lit(0.0), fn(f"_l_{n}").over(w)))
+    return out.select(*[c for c in df.columns if c not in values], *[F.col(v).alias(n) for n, v in values.items()])
+
+
 def _rate(alpha: float) -> float:
     return -math.log1p(-alpha) if alpha < 1 else math.inf
 

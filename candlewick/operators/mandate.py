@@ -28,12 +28,12 @@ def trading_days(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     return days.groupBy(*keys).agg(F.count(F.lit(1)).alias("trading_days"))
 
 
-def with_daily_start(path: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column) -> DataFrame:
+def with_daily_start(path: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None) -> DataFrame:
     """Equity at the day's reset. A reset happens at rows whose date exceeds every earlier date, which
     also holds for rows in shuffled date order. Needs ``day`` and ``_max_day`` (exclusive running max).
-    The path itself is two passes over its input, so it is written once before being read twice.
+    In chunks the path itself is two passes over its input, so it is written once before being read twice; whole keys are read once.
     """
-    path = stage(path)
+    path = path if chunk is None else stage(path)
     reset = F.col("_max_day").isNull() | (F.col("day") > F.col("_max_day"))
     return ordered.running(path, keys, order, chunk, {"daily_start": ("last", F.when(reset, F.col("equity")))}).drop("_max_day")
 
@@ -53,7 +53,7 @@ def limits(path: DataFrame, initial_equity: float, mandate: dict) -> DataFrame:
                         .when(F.col("overall_dd_pct") >= mandate["max_overall_drawdown_pct"], "MANDATE_OVERALL_DD_BREACH")))
 
 
-def curve_points(curve: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, initial_equity: float,
+def curve_points(curve: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None, initial_equity: float,
                  mandate: dict, strict: bool = False) -> DataFrame:
     """Limits along a given curve (keys, order columns, ts, equity). ``strict`` fails on bad points."""
     eq = F.col("equity")
@@ -67,7 +67,7 @@ def curve_points(curve: DataFrame, keys: Sequence[str], order: Sequence[str], ch
     return limits(with_daily_start(path, keys, order, chunk), initial_equity, mandate)
 
 
-def trade_points(trades: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, initial_equity: float,
+def trade_points(trades: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None, initial_equity: float,
                  mandate: dict, pnl: Column | None = None) -> DataFrame:
     """Limits after every closed trade."""
     dated = trades.withColumn("day", mandate_date(F.col("exit_time")))
@@ -122,18 +122,19 @@ def curve_violations(curve: DataFrame, keys: Sequence[str], order: Sequence[str]
         (F.min_by("equity", F.struct(*order)) > 0).alias("positive_start"))
 
 
-def breaker_status(curve: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, initial_equity: float,
+def breaker_status(curve: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None, initial_equity: float,
                    mandate: dict, max_daily_loss_pct: float = MAX_DAILY_LOSS_PCT,
                    max_dd_pct: float = MAX_TRAILING_DD_PCT) -> DataFrame:
     """Sticky circuit breaker along a live equity curve, UTC and mandate days both watched."""
     points = curve_points(curve, keys, order, chunk, initial_equity, mandate)
-    utc = stage(points).withColumn("_utc", F.to_date("ts"))
+    once = stage if chunk is not None else lambda df: df  # only chunks read their input twice
+    utc = once(points).withColumn("_utc", F.to_date("ts"))
     utc = ordered.running(utc, keys, order, chunk, {"_max_utc": ("max", F.col("_utc"), True)})
     reset = F.col("_max_utc").isNull() | (F.col("_utc") > F.col("_max_utc"))
-    utc = ordered.running(stage(utc), keys, order, chunk, {"utc_start": ("last", F.when(reset, F.col("equity")))})
+    utc = ordered.running(once(utc), keys, order, chunk, {"utc_start": ("last", F.when(reset, F.col("equity")))})
     daily = F.when(F.col("utc_start") > 0, F.try_divide((F.col("equity") - F.col("utc_start")) * 100, F.col("utc_start"))).otherwise(0.0)
     hit = ((daily <= -max_daily_loss_pct) | (F.col("overall_dd_pct") >= max_dd_pct) | F.col("breach").isNotNull())
-    out = ordered.running(stage(utc).withColumn("daily_pnl_pct", daily).withColumn("trips", hit.cast("int")), keys, order, chunk,
+    out = ordered.running(once(utc).withColumn("daily_pnl_pct", daily).withColumn("trips", hit.cast("int")), keys, order, chunk,
                           {"_tripped": ("max", F.col("trips"))})
     return out.withColumn("tripped", F.col("_tripped") == 1).drop("_tripped", "_utc", "_max_utc")
 

@@ -43,7 +43,7 @@ def pnl_ratios(df: DataFrame) -> DataFrame:
             .withColumn("avg_win_loss_ratio", ratio_or_inf(F.col("avg_win"), F.col("avg_loss"))))
 
 
-def summary(trades: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, initial_equity: float,
+def summary(trades: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None, initial_equity: float,
             window: tuple[str, str] | None = None) -> DataFrame:
     """All metrics per key. ``window`` names the columns bounding the evaluated period; without it the
     period runs from the first entry to the last exit. A period that ends before it starts is an error.

@@ -34,9 +34,9 @@ def cusum_reference_value(p0: float) -> float:
     return math.log((1 - p1) / (1 - p)) / den if den else 0.5
 
 
-def rolling(numbered: DataFrame, keys: Sequence[str], n: int = ROLLING, seq: str = "trade_no") -> DataFrame:
-    """Win rate, profit factor, net P&L and current loss streak over the last ``n`` trades."""
-    rows = ordered.spread(numbered, n, seq=seq)
+def rolling(numbered: DataFrame, keys: Sequence[str], n: int = ROLLING, seq: str = "trade_no", whole: bool = False) -> DataFrame:
+    """Win rate, profit factor, net P&L and current loss streak over the last ``n`` trades. ``whole``: no key outgrows one chunk."""
+    rows = numbered.withColumns({"_chunk": F.lit(0), "_own": F.lit(True)}) if whole else ordered.spread(numbered, n, seq=seq)
     w = ordered.chunk_window(keys, seq).rowsBetween(-(n - 1), 0)
     p = F.col("net_pnl")
     rows = rows.withColumns({
@@ -49,15 +49,16 @@ def rolling(numbered: DataFrame, keys: Sequence[str], n: int = ROLLING, seq: str
     return ordered.own_rows(rows).drop("_n", "_wins", "_gp", "_gl", "_last_win")
 
 
-def degradation(numbered: DataFrame, baselines: DataFrame, keys: Sequence[str] = ("strategy_id",), seq: str = "trade_no") -> DataFrame:
+def degradation(numbered: DataFrame, baselines: DataFrame, keys: Sequence[str] = ("strategy_id",), seq: str = "trade_no",
+                whole: bool = False) -> DataFrame:
     """Alerts, alert count, CUSUM score and status after every trade.
 
     ``baselines``: keys, wf_median_pf, wf_win_rate, p0. Both the alert counter (up on alert, down to
     zero otherwise) and the CUSUM score are walks reflected at zero: total minus its lowest value.
     """
     keys = list(keys)
-    chunk = F.floor((F.col(seq) - 1) / ordered.CHUNK_ROWS)
-    r = rolling(numbered, keys, seq=seq).join(baselines, keys)
+    chunk = None if whole else F.floor((F.col(seq) - 1) / ordered.CHUNK_ROWS)
+    r = rolling(numbered, keys, seq=seq, whole=whole).join(baselines, keys)
     c = F.col
     active = c("rolling_trades") >= MIN_TRADES
     alerts = F.array_compact(F.array(
@@ -67,9 +68,10 @@ def degradation(numbered: DataFrame, baselines: DataFrame, keys: Sequence[str] =
     r = r.withColumn("alerts", F.when(active, alerts).otherwise(F.array().cast("array<string>")))
     step = F.when(active, F.when(F.size("alerts") > 0, 1.0).otherwise(-1.0)).otherwise(0.0)
     r = r.withColumn("_a", step).withColumn("_k", cusum_reference(c("p0")) - (c("net_pnl") > 0).cast("int"))
-    walk = stage(ordered.running(r, keys, [seq], chunk, {
+    walk = ordered.running(r, keys, [seq], chunk, {
         "_alert": ("walk", c("_a")), "_cusum": ("walk", c("_k")), "max_loss_streak": ("max", c("loss_streak")),
-        "wins": ("sum", (c("net_pnl") > 0).cast("int"))}))
+        "wins": ("sum", (c("net_pnl") > 0).cast("int"))})
+    walk = walk if whole else stage(walk)  # only chunks read their input twice
     walk = (walk.withColumn("alert_count", (c("_alert") - c("_alert_low")).cast("int"))
             .withColumn("cusum_score", c("_cusum") - c("_cusum_low")))
     fired = F.size("alerts") > 0
@@ -87,8 +89,9 @@ def degradation(numbered: DataFrame, baselines: DataFrame, keys: Sequence[str] =
 
 
 def latest_summary(states: DataFrame, keys: Sequence[str] = ("strategy_id",), seq: str = "trade_no") -> DataFrame:
-    top = states.groupBy(*keys).agg(F.max(seq).alias(seq))
-    return states.join(top, [*keys, seq])
+    """The last state of every key; combined before the shuffle, states are read once."""
+    last = states.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in states.columns if c not in keys]), F.col(seq)).alias("_s"))
+    return last.select(*keys, "_s.*")
 
 
 def stale(bars: DataFrame, now: Column, minutes: int = STALE_MINUTES) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from candlewick.functions import forest, ordered
 
 
-def equity_path(trades: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+def equity_path(trades: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None,
                 initial_equity: float, pnl: Column | None = None, extra: dict | None = None) -> DataFrame:
     """Add equity after each trade, its peak so far, the drawdown, and any ``extra`` running specs."""
     step = F.col("net_pnl") if pnl is None else pnl
@@ -21,11 +21,12 @@ def equity_path(trades: DataFrame, keys: Sequence[str], order: Sequence[str], ch
             .drop("_walk", "_walk_high", "_walk_low"))
 
 
-def equity_curve(trades: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+def equity_curve(trades: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None,
                  initial_equity: float, digits: int = 2) -> DataFrame:
     """Curve points (keys, seq, time, equity) with an anchor at the entry of the first trade."""
     numbered = ordered.index_rows(trades, keys, [F.col(c) for c in order], chunk, out="seq")
-    path = equity_path(numbered, keys, ["seq"], F.floor((F.col("seq") - 1) / ordered.CHUNK_ROWS), initial_equity)
+    slices = None if chunk is None else F.floor((F.col("seq") - 1) / ordered.CHUNK_ROWS)
+    path = equity_path(numbered, keys, ["seq"], slices, initial_equity)
     points = path.select(*keys, "seq", F.col("exit_time").alias("time"), F.round("equity", digits).alias("equity"))
     anchor = numbered.filter("seq = 1").select(*keys, F.lit(0).cast("bigint").alias("seq"),
                                                F.col("entry_time").alias("time"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewick.functions.staging import stage
+
 # Hard gate limits.
 GATES = {
     "min_total_trades": 100, "min_trades_per_window": 20, "min_valid_windows": 12, "max_median_drawdown_pct": 20.0,
@@ -50,6 +52,7 @@ def aggregate_windows(results: DataFrame, keys: Sequence[str] = ("candidate_id",
     candidate are few (months of history over months per window).
     """
     keys = list(keys)
+    results = stage(results)  # read twice; a row per window
     order = Window.partitionBy(*keys).orderBy("window_num")
     ok = (results.filter("status = 'OK'").withColumn("_rank", F.row_number().over(order))
           .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))))

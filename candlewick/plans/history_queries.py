@@ -165,8 +165,10 @@ ST = ["strategy_id"]
 
 
 def monitored(spark, d):
+    """The numbered trades, and whether no strategy outgrows one chunk."""
     t = b.trades(spark, d).withColumnRenamed("account", "strategy_id")
-    return ordered.index_rows(t, ST, [F.col(c) for c in b.TRADE_ORDER], b.trade_chunk(), out="trade_no").select(*ST, "trade_no", "net_pnl", "exit_time")
+    chunk = b.trade_chunk(t, ST)
+    return ordered.index_rows(t, ST, [F.col(c) for c in b.TRADE_ORDER], chunk, out="trade_no").select(*ST, "trade_no", "net_pnl", "exit_time"), chunk is None
 
 
 def baselines(spark, d):
@@ -190,14 +192,16 @@ _MON = b.with_sql("trades") + f""", n AS MATERIALIZED (SELECT account AS strateg
 
 @query("monitor_rolling", _MON + " SELECT strategy_id, trade_no, rolling_trades, round(rolling_win_rate, 6) AS rolling_win_rate, round(rolling_pf, 6) AS rolling_pf, round(rolling_net_pnl, 5) AS rolling_net_pnl, loss_streak FROM ro")
 def monitor_rolling(spark, d):
-    r = monitor.rolling(monitored(spark, d), ST)
+    n, whole = monitored(spark, d)
+    r = monitor.rolling(n, ST, whole=whole)
     return rounded(rounded(r, ["rolling_win_rate", "rolling_pf"]), ["rolling_net_pnl"], 5).drop("net_pnl", "exit_time")
 
 
 @query("monitor_degradation", _MON + """ SELECT st.strategy_id, st.trade_no, al.n_alerts::BIGINT AS n_alerts, st.alert_count, round(s, 6) AS cusum_score, tripped AS cusum_tripped, CASE WHEN tripped THEN 'DEGRADED' ELSE level END AS status, tripped OR rerun AS rerun_recommended
  FROM st JOIN al USING (strategy_id, trade_no) WHERE st.trade_no > 0""")
 def monitor_degradation(spark, d):
-    s = monitor.degradation(monitored(spark, d), baselines(spark, d))
+    n, whole = monitored(spark, d)
+    s = monitor.degradation(n, baselines(spark, d), whole=whole)
     return rounded(s.select(*ST, "trade_no", F.size("alerts").cast("bigint").alias("n_alerts"), "alert_count", "cusum_score", "cusum_tripped", "status", "rerun_recommended"), ["cusum_score"])
 
 
@@ -209,7 +213,8 @@ def monitor_cusum_constants(spark, d):
 @query("monitor_latest_summary", _MON + """ SELECT st.strategy_id, st.trade_no AS total_trades, round(rolling_win_rate, 4) AS rolling_win_rate, round(s, 4) AS cusum_score, tripped AS cusum_tripped, alert_count, max_ls AS max_loss_streak, trip_no
  FROM st JOIN al USING (strategy_id, trade_no) JOIN (SELECT strategy_id, max(trade_no) AS trade_no, max(loss_streak) AS max_ls FROM ro GROUP BY 1) USING (strategy_id, trade_no) LEFT JOIN (SELECT strategy_id, min(trade_no) AS trip_no FROM st WHERE tripped GROUP BY 1) USING (strategy_id)""")
 def monitor_latest_summary(spark, d):
-    s = monitor.latest_summary(monitor.degradation(monitored(spark, d), baselines(spark, d)))
+    n, whole = monitored(spark, d)
+    s = monitor.latest_summary(monitor.degradation(n, baselines(spark, d), whole=whole))
     return rounded(s.select(*ST, F.col("trade_no").alias("total_trades"), "rolling_win_rate", "cusum_score", "cusum_tripped", "alert_count", "max_loss_streak", "trip_no"), ["rolling_win_rate", "cusum_score"], 4)
 
 
@@ -229,8 +234,9 @@ def monitor_staleness(spark, d):
  FROM e FULL JOIN (SELECT * FROM d WHERE back = 1) d USING (strategy_id) FULL JOIN (SELECT * FROM s) s USING (strategy_id) FULL JOIN c USING (strategy_id) FULL JOIN p USING (strategy_id) LEFT JOIN k USING (strategy_id) LEFT JOIN bl ON bl.strategy_id = d.strategy_id""")
 def monitor_system_status(spark, d):
     """One row per strategy from six sources: engine, detector, strategy, last decision, degradation, performance."""
-    n, base = stage(monitored(spark, d)), baselines(spark, d)
-    last = stage(monitor.latest_summary(monitor.degradation(n, base)))
+    (n, whole), base = monitored(spark, d), baselines(spark, d)
+    n = stage(n)
+    last = stage(monitor.latest_summary(monitor.degradation(n, base, whole=whole)))
     events = b.table(spark, d, "events").withColumnsRenamed({"user_id": "strategy_id", "event_id": "seq"})
     engine = monitor.newest(events.select("strategy_id", "seq", F.col("event_type").alias("regime"), F.col("value").alias("equity")), "strategy_id", ["seq"], ["regime", "equity", "seq"])
     decision = monitor.newest(events.filter("event_type = 'purchase'").withColumn("promoted", (F.col("value") > 50).cast("string")), "strategy_id", ["seq"], ["seq", "promoted"])

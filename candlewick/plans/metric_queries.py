@@ -19,19 +19,22 @@ _KEY = "account, order_key, line_no, part_key, price"
 
 
 def numbered(spark, d):
-    return ordered.index_rows(b.trades(spark, d), ACC, [F.col(c) for c in ORDER], b.trade_chunk(), out="trade_no")
+    t = b.trades(spark, d)
+    return ordered.index_rows(t, ACC, [F.col(c) for c in ORDER], b.trade_chunk(t), out="trade_no")
 
 
 @query("metrics_equity_curve", _PATH + f""" SELECT account, seq, exit_time AS time, round(equity, 5) AS equity FROM path
  UNION ALL SELECT account, 0, entry_time, {EQ0} FROM tn WHERE seq = 1""")
 def metrics_equity_curve(spark, d):
-    c = paths.equity_curve(b.trades(spark, d), ACC, ORDER, b.trade_chunk(), EQ0, digits=5)
+    t = b.trades(spark, d)
+    c = paths.equity_curve(t, ACC, ORDER, b.trade_chunk(t), EQ0, digits=5)
     return c
 
 
 @query("metrics_drawdown_path", _PATH + f" SELECT {_KEY}, round(equity, 5) AS equity, round(peak_equity, 5) AS peak_equity, round(peak_equity - equity, 5) AS drawdown FROM path")
 def metrics_drawdown_path(spark, d):
-    p = paths.equity_path(b.trades(spark, d), ACC, ORDER, b.trade_chunk(), EQ0)
+    t = b.trades(spark, d)
+    p = paths.equity_path(t, ACC, ORDER, b.trade_chunk(t), EQ0)
     cols = ["equity", "peak_equity", "drawdown"]
     return rounded(p.select(*_KEY.split(", "), *cols), cols, 5)
 
@@ -59,21 +62,23 @@ def rounded_metrics(df):
 
 @query("metrics_summary", _METRICS + " SELECT" + _MSEL)
 def metrics_summary(spark, d):
-    return rounded_metrics(metrics.summary(b.trades(spark, d), ACC, ORDER, b.trade_chunk(), EQ0))
+    t = b.trades(spark, d)
+    return rounded_metrics(metrics.summary(t, ACC, ORDER, b.trade_chunk(t), EQ0))
 
 
 @query("metrics_window_bounds", _METRICS.replace("(epoch(max(exit_time)) - epoch(min(entry_time)))", "(epoch(TIMESTAMP '2003-01-01') - epoch(TIMESTAMP '1995-01-01'))") + " SELECT" + _MSEL)
 def metrics_window_bounds(spark, d):
     """Annualised over a given evaluation period instead of first entry to last exit."""
     t = b.trades(spark, d).withColumns({"lo": F.lit("1995-01-01").cast("timestamp"), "hi": F.lit("2003-01-01").cast("timestamp")})
-    return rounded_metrics(metrics.summary(t, ACC, ORDER, b.trade_chunk(), EQ0, window=("lo", "hi")))
+    return rounded_metrics(metrics.summary(t, ACC, ORDER, b.trade_chunk(t), EQ0, window=("lo", "hi")))
 
 
 @query("metrics_zero_rows", b.with_sql("trades") + """ SELECT c_custkey AS account, coalesce(n, 0) AS total_trades, round(coalesce(p, 0), 5) AS net_profit
  FROM customer LEFT JOIN (SELECT account, count(*) AS n, sum(net_pnl) AS p FROM trades GROUP BY account) t ON t.account = c_custkey""")
 def metrics_zero_rows(spark, d):
     keys = b.table(spark, d, "customer").select(F.col("c_custkey").alias("account"))
-    m = metrics.summary(b.trades(spark, d), ACC, ORDER, b.trade_chunk(), EQ0)
+    t = b.trades(spark, d)
+    m = metrics.summary(t, ACC, ORDER, b.trade_chunk(t), EQ0)
     return rounded(metrics.with_zero_rows(keys, m, ACC).select("account", "total_trades", "net_profit"), ["net_profit"], 5)
 
 
@@ -166,7 +171,8 @@ def mandate_trading_days(spark, d):
 
 @query("mandate_points", _POINTS + f" SELECT {_KEY}, day, round(daily_loss_pct, 8) AS daily_loss_pct, round(overall_dd_pct, 8) AS overall_dd_pct, breach FROM br", dates=('day',))
 def mandate_points(spark, d):
-    p = mandate.trade_points(b.trades(spark, d), ACC, ORDER, b.trade_chunk(), EQ0, M)
+    t = b.trades(spark, d)
+    p = mandate.trade_points(t, ACC, ORDER, b.trade_chunk(t), EQ0, M)
     cols = ["daily_loss_pct", "overall_dd_pct"]
     return rounded(p.select(*_KEY.split(", "), "day", *cols, "breach"), cols, 8)
 
@@ -175,7 +181,8 @@ def mandate_points(spark, d):
  SELECT f.account, f.points, s IS NULL AS compliant, br.breach, round(CASE br.breach WHEN 'MANDATE_DAILY_LOSS_BREACH' THEN daily_loss_pct ELSE overall_dd_pct END, 8) AS breach_pct, br.day AS breach_day
  FROM f LEFT JOIN br ON br.account = f.account AND br.seq = f.s""", dates=('breach_day',))
 def mandate_first_breach(spark, d):
-    p = mandate.trade_points(b.trades(spark, d), ACC, ORDER, b.trade_chunk(), EQ0, M)
+    t = b.trades(spark, d)
+    p = mandate.trade_points(t, ACC, ORDER, b.trade_chunk(t), EQ0, M)
     return rounded(mandate.first_breach(p, ACC, ORDER, M).drop("breach_reason"), ["breach_pct"], 8)
 
 
@@ -183,7 +190,8 @@ def mandate_first_breach(spark, d):
  SELECT f.account, s IS NULL AS compliant, br.breach, br.day AS breach_day FROM f LEFT JOIN br ON br.account = f.account AND br.seq = f.s""", dates=('breach_day',))
 def mandate_trailing_breach(spark, d):
     m = {**M, "drawdown_type": "trailing"}
-    p = mandate.trade_points(b.trades(spark, d), ACC, ORDER, b.trade_chunk(), EQ0, m)
+    t = b.trades(spark, d)
+    p = mandate.trade_points(t, ACC, ORDER, b.trade_chunk(t), EQ0, m)
     return mandate.first_breach(p, ACC, ORDER, m).select("account", "compliant", "breach", "breach_day")
 
 
@@ -211,8 +219,10 @@ def mandate_curve_violations(spark, d):
  tr AS (SELECT *, CASE WHEN utc_start > 0 AND (equity - utc_start) * 100 / utc_start <= -3.0 OR overall_dd_pct >= 6.0 OR breach IS NOT NULL THEN 1 ELSE 0 END AS t FROM us)
  SELECT account, count(*) AS points, min(exit_time) FILTER (t = 1) AS tripped_at, max(t) = 1 AS tripped FROM tr GROUP BY account""")
 def mandate_breaker_status(spark, d):
-    p = paths.equity_path(b.trades(spark, d), ACC, ORDER, b.trade_chunk(), EQ0).withColumn("ts", F.col("exit_time"))
-    s = mandate.breaker_status(p.select(*ACC, *ORDER, "ts", "equity"), ACC, ORDER, b.trade_chunk(), EQ0, M)
+    t = b.trades(spark, d)
+    chunk = b.trade_chunk(t)
+    p = paths.equity_path(t, ACC, ORDER, chunk, EQ0).withColumn("ts", F.col("exit_time"))
+    s = mandate.breaker_status(p.select(*ACC, *ORDER, "ts", "equity"), ACC, ORDER, chunk, EQ0, M)
     return s.groupBy("account").agg(F.count(F.lit(1)).alias("points"), F.min(F.when(F.col("tripped"), F.col("ts"))).alias("tripped_at"),
                                     F.bool_or("tripped").alias("tripped"))
 

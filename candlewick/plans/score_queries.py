@@ -22,7 +22,8 @@ def window_trades(spark, d):
 def window_results(spark, d):
     """candidate_id, window_num and the out-of-sample metrics of each window."""
     keys = ["candidate_id", "window_num"]
-    m = metrics.summary(window_trades(spark, d), keys, b.TRADE_ORDER, b.trade_chunk(), EQ0)
+    t = window_trades(spark, d)
+    m = metrics.summary(t, keys, b.TRADE_ORDER, b.trade_chunk(t, keys[:1]), EQ0)
     score = scoring.quick_score(min_trades=10)
     return m.select(
         *keys, F.when(F.col("total_trades") >= 20, "OK").otherwise("INSUFFICIENT_TRADES").alias("status"), F.col("total_trades").alias("oos_trades"),
@@ -66,7 +67,8 @@ def score_quick(spark, d):
 @query("score_quick_partial", _RES + f", q AS (SELECT *, {quick_sql(20.0, 40, 'pow(total_trades / 40.0, 1.5)')} AS s FROM mm) SELECT candidate_id, window_num, s AS score FROM q")
 def score_quick_partial(spark, d):
     keys = ["candidate_id", "window_num"]
-    m = metrics.summary(window_trades(spark, d), keys, b.TRADE_ORDER, b.trade_chunk(), EQ0)
+    t = window_trades(spark, d)
+    m = metrics.summary(t, keys, b.TRADE_ORDER, b.trade_chunk(t, keys[:1]), EQ0)
     return m.select(*keys, scoring.quick_score(40, 20.0, True).alias("score"))
 
 
