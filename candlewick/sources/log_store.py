@@ -13,7 +13,10 @@ can match, so ``query`` returns what ``logs.query_entries`` returns over all lin
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +32,28 @@ NAMED_PARTS = 10_000
 _FILES = "batch string, file string, part string, path string, lines bigint, entries bigint, first timestamp, last timestamp, timeless bigint"
 
 
-def _grams(text: Column) -> Column:
-    """The distinct sequences of GRAM characters of a text in small letters."""
-    chars = F.split(F.lower(text), "")
-    at = lambda i, k: F.get(chars, (i + k).cast("int"))
-    every = F.transform(F.sequence(F.lit(0), F.size(chars) - GRAM), lambda i: F.concat(*[at(i, k) for k in range(GRAM)]))
-    return F.array_distinct(F.when(F.size(chars) >= GRAM, every).otherwise(F.array().cast("array<string>")))
+def _distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, text) to the distinct (part, gram) of every batch: the sequences of GRAM characters, cut out of all texts at once."""
+    for batch in batches:
+        # log lines repeat themselves: every text of a part is cut once
+        once = pa.Table.from_batches([batch]).group_by(["part", "text"]).aggregate([])
+        texts, parts = once.column("text").to_pylist(), once.column("part").combine_chunks().dictionary_encode()
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+        # places from which GRAM characters of the same text follow
+        at = np.flatnonzero(np.arange(len(chars)) + GRAM <= np.repeat(np.cumsum(sizes), sizes))
+        if not len(at):
+            continue
+        code = sum((chars[at + k] << np.uint64(21 * k) for k in range(GRAM)), np.uint64(0))  # a character has 21 bits
+        grams, which = np.unique(code, return_inverse=True)
+        found = np.unique(np.repeat(parts.indices.to_numpy().astype(np.int64), sizes)[at] * len(grams) + which)
+        words = pa.array(["".join(chr((g >> 21 * k) & 0x1FFFFF) for k in range(GRAM)) for g in grams.tolist()])
+        yield pa.RecordBatch.from_arrays([parts.dictionary.take(pa.array(found // len(grams))), words.take(pa.array(found % len(grams)))], names=["part", "gram"])
+
+
+def _grams(texts: DataFrame) -> DataFrame:
+    """The sequences of GRAM characters in the small letters of the texts (part, text); a part's gram may come from several tasks."""
+    return texts.select("part", F.lower("text").alias("text")).mapInArrow(_distinct_grams, "part string, gram string")
 
 
 def _words(grams: DataFrame, *keys: str) -> DataFrame:
@@ -81,9 +100,9 @@ def add(lines: DataFrame, folder: str) -> None:
      .write.mode("append").partitionBy("batch", "file").option("lineSep", "\n").text(f"{folder}/lines"))
     rows = _scan(spark, folder).filter(F.col("batch") == batch).join(names, "file")
     # no time but its own: an undated entry gets the time of the question
-    entries = logs.parse_entries(rows, F.lit(None).cast("timestamp"), keep=("part",))
-    text = F.explode(F.array_union(_grams(F.coalesce("message", F.lit(""))), _grams(F.coalesce("event_type", F.lit("")))))
-    (_words(entries.select("part", text.alias("gram")), "part").repartitionByRange("word", "part").sortWithinPartitions("word", "part")
+    entries = stage(logs.parse_entries(rows, F.lit(None).cast("timestamp"), keep=("part",)).select("part", "timestamp", "event_type", "message"))  # read twice
+    texts = entries.select("part", F.explode(F.array(*[F.coalesce(c, F.lit("")) for c in ("message", "event_type")])).alias("text"))
+    (_words(_grams(texts), "part").repartitionByRange("word", "part").sortWithinPartitions("word", "part")
      .write.mode("append").parquet(f"{folder}/trigrams"))
     ts = logs.parse_timestamp(F.col("timestamp"))
     known = entries.groupBy("part").agg(F.count(F.lit(1)).alias("entries"), F.min(ts).alias("first"), F.max(ts).alias("last"), F.count_if(ts.isNull()).alias("timeless"))

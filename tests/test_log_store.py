@@ -96,3 +96,11 @@ def test_ingest_again_and_after_an_interruption(spark, tmp_path, monkeypatch):
         assert log_store.query(spark, folder).count() == 3
     log_store.add(a.limit(0), folder)
     assert log_store.query(spark, folder, text="beta").count() == 1
+
+
+def test_grams_of_odd_texts(spark):
+    texts = [("p", "User 1 did"), ("p", "user 1 did"), ("q", "user 1 did"), ("p", ""), ("q", "ab"), ("p", "x\U0001F600yz\U0001F600"), ("q", "ÄÖü\x00\n"), ("p", None)]
+    df = spark.createDataFrame(texts * 50, "part string, text string").select("part", F.coalesce("text", F.lit("")).alias("text")).coalesce(1)
+    want = {(p, t.lower()[i:i + 3]) for p, t in texts if t for i in range(len(t) - 2)}
+    got = [tuple(r) for r in log_store._grams(df).collect()]
+    assert set(got) == want and len(got) == len(want)
