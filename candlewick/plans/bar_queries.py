@@ -44,8 +44,15 @@ def export_lines(spark, d):
         F.col("user_id") % 7, F.lit(" 0 "), F.col("user_id") % 20).alias("line")))
 
 
+def nearest(x, digits):
+    """A double rounded as the SQL does: scaled, rounded half away from zero, scaled back. ``F.round`` rounds the shortest decimal form instead."""
+    scale = float(10 ** digits)
+    return F.round(x * scale, 0) / scale
+
+
 def rounded(df, cols, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: nearest(F.col(c), digits) if kinds[c] == "double" else F.round(c, digits) for c in cols})
 
 
 @query("bars_from_ticks", b.with_sql("bars") + """ SELECT symbol, timeframe, ts, open, high, low, close, volume,

@@ -7,7 +7,7 @@ from candlewick.functions import ordered
 from candlewick.functions.staging import stage
 from candlewick.operators import history, metrics, monitor, signals
 from candlewick.plans import trade_sql as tsql
-from candlewick.plans.bar_queries import rounded
+from candlewick.plans.bar_queries import nearest, rounded
 from candlewick.plans.registry import query
 from candlewick.sources import bars as sb
 
@@ -207,7 +207,7 @@ def monitor_degradation(spark, d):
 
 @query("monitor_cusum_constants", "SELECT s_suppkey AS strategy_id, round(ln((1 - p1) / (1 - p0)) / ln((p0 * (1 - p1)) / (p1 * (1 - p0))), 8) AS k FROM (SELECT *, greatest(0.01, least(p0 - 0.01, p0 * 0.85)) AS p1 FROM (SELECT s_suppkey, 0.4 + (s_suppkey % 4) * 0.08 AS p0 FROM supplier))")
 def monitor_cusum_constants(spark, d):
-    return baselines(spark, d).select(*ST, F.round(monitor.cusum_reference(F.col("p0")), 8).alias("k"))
+    return baselines(spark, d).select(*ST, nearest(monitor.cusum_reference(F.col("p0")), 8).alias("k"))
 
 
 @query("monitor_latest_summary", _MON + """ SELECT st.strategy_id, st.trade_no AS total_trades, round(rolling_win_rate, 4) AS rolling_win_rate, round(s, 4) AS cusum_score, tripped AS cusum_tripped, alert_count, max_ls AS max_loss_streak, trip_no
@@ -240,8 +240,8 @@ def monitor_system_status(spark, d):
     events = b.table(spark, d, "events").withColumnsRenamed({"user_id": "strategy_id", "event_id": "seq"})
     engine = monitor.newest(events.select("strategy_id", "seq", F.col("event_type").alias("regime"), F.col("value").alias("equity")), "strategy_id", ["seq"], ["regime", "equity", "seq"])
     decision = monitor.newest(events.filter("event_type = 'purchase'").withColumn("promoted", (F.col("value") > 50).cast("string")), "strategy_id", ["seq"], ["seq", "promoted"])
-    cusum = last.select(*ST, F.round("cusum_score", 5).alias("score"), F.col("cusum_tripped").cast("string").alias("tripped"), F.round("p0", 6).alias("p0"),
-                        F.round(F.col("wins") / F.col("trade_no"), 6).alias("win_rate"), F.col("trade_no").alias("n_trades"))
+    cusum = last.select(*ST, nearest(F.col("cusum_score"), 5).alias("score"), F.col("cusum_tripped").cast("string").alias("tripped"), nearest(F.col("p0"), 6).alias("p0"),
+                        nearest(F.col("wins") / F.col("trade_no"), 6).alias("win_rate"), F.col("trade_no").alias("n_trades"))
     strategy = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("strategy_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("score"))
     perf = metrics.recent_performance(n, ST).select(*ST, "recent_trades", "total_pnl")
     status = monitor.system_status({"engine": engine, "cusum": cusum, "strategy": strategy, "decision": decision, "degradation": last.select(*ST, "status", "alert_count"), "performance": perf})

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from candlewick import bindings as b
 from candlewick.functions import ordered
 from candlewick.operators import mandate, metrics, paths
-from candlewick.plans.bar_queries import rounded
+from candlewick.plans.bar_queries import nearest, rounded
 from candlewick.plans.registry import query
 
 ACC, ORDER, EQ0 = ["account"], b.TRADE_ORDER, b.INITIAL_EQUITY
@@ -57,7 +57,7 @@ _MONEY = ["gross_profit", "gross_loss", "net_profit", "avg_win", "avg_loss", "ma
 
 
 def rounded_metrics(df):
-    return df.withColumns({c: F.round(c, 5 if c in _MONEY else 8 if c in ("total_return_pct", "max_drawdown_pct") else n) for c, n in metrics.ROUNDING.items()})
+    return df.withColumns({c: nearest(F.col(c), 5 if c in _MONEY else 8 if c in ("total_return_pct", "max_drawdown_pct") else n) for c, n in metrics.ROUNDING.items()})
 
 
 @query("metrics_summary", _METRICS + " SELECT" + _MSEL)

@@ -6,7 +6,7 @@ from candlewick import bindings as b
 from candlewick.functions.staging import stage
 from candlewick.operators import mandate, metrics, promotion, scoring
 from candlewick.plans import metric_queries as mq
-from candlewick.plans.bar_queries import rounded
+from candlewick.plans.bar_queries import nearest, rounded
 from candlewick.plans.registry import query
 
 EQ0, M = b.INITIAL_EQUITY, b.MANDATE
@@ -128,7 +128,7 @@ def gates_stress_for_survivors(spark, d):
     t = window_trades(spark, d).join(first.filter("gates_passed").select("candidate_id"), "candidate_id", "left_semi")
     s = mandate.stress_test(t, ["candidate_id"], ["exit_time", "order_key", "line_no", "part_key"], M, EQ0, F.lit(10.0), GATE_PERMUTATIONS)
     return scoring.with_stress(first, s.select("candidate_id", "breach_rate_pct"), M).select(
-        "candidate_id", "gates_passed", "failed_gate", F.round("breach_rate_pct", 4).alias("breach_rate_pct"))
+        "candidate_id", "gates_passed", "failed_gate", nearest(F.col("breach_rate_pct"), 4).alias("breach_rate_pct"))
 
 
 _SENS = "CASE candidate_id % 3 WHEN 0 THEN 'FRAGILE' WHEN 1 THEN 'ROBUST' ELSE 'MODERATE' END"
@@ -147,7 +147,7 @@ def scored(spark, d):
 
 @query("score_composite", _SCORED + " SELECT candidate_id, round(raw, 6) AS raw_score, composite, CASE WHEN composite >= 0.70 THEN 'EXCELLENT' WHEN composite >= 0.55 THEN 'GOOD' WHEN composite >= 0.40 THEN 'MARGINAL' ELSE 'WEAK' END AS band FROM scored")
 def score_composite(spark, d):
-    return scored(spark, d).select("candidate_id", F.round("raw_score", 6).alias("raw_score"), "composite", scoring.interpretation(F.col("composite")).alias("band"))
+    return scored(spark, d).select("candidate_id", nearest(F.col("raw_score"), 6).alias("raw_score"), "composite", scoring.interpretation(F.col("composite")).alias("band"))
 
 
 @query("score_rank", _SCORED + " SELECT candidate_id, composite, rank() OVER (ORDER BY composite DESC) AS rank FROM scored")
@@ -177,7 +177,7 @@ def decisions(spark, d):
 @query("promotion_decisions", _DEC + " SELECT candidate_id, path AS decision_path, outcome AS decision_outcome, n_flags::BIGINT AS n_flags, round(imp, 4) AS improvement_pct FROM dc")
 def promotion_decisions(spark, d):
     return decisions(spark, d).select("candidate_id", "decision_path", "decision_outcome", F.size("flags").cast("bigint").alias("n_flags"),
-                                      F.round("improvement_pct", 4).alias("improvement_pct"))
+                                      nearest(F.col("improvement_pct"), 4).alias("improvement_pct"))
 
 
 @query("promotion_records", _DEC + " SELECT candidate_id, substr(sha256('run_' || candidate_id % 5 || '_' || candidate_id), 1, 12) AS decision_id, outcome AS decision_outcome FROM dc")
@@ -211,8 +211,8 @@ def promotion_report(spark, d):
  CASE WHEN p >= 60 AND mp >= 1.1 THEN 'PROMISING' WHEN p >= 50 AND mp >= 1.0 THEN 'MARGINAL' WHEN p >= 40 THEN 'WEAK' ELSE 'NO EDGE' END AS verdict FROM v""")
 def wf_degradation_verdict(spark, d):
     v = scoring.degradation_verdict(window_results(spark, d))
-    return v.select("candidate_id", "valid_windows", F.round("profitable_pct", 4).alias("profitable_pct"), F.round("median_pf", 5).alias("median_pf"),
-                    F.round("degradation_pct", 4).alias("degradation_pct"), "verdict")
+    return v.select("candidate_id", "valid_windows", nearest(F.col("profitable_pct"), 4).alias("profitable_pct"), nearest(F.col("median_pf"), 5).alias("median_pf"),
+                    nearest(F.col("degradation_pct"), 4).alias("degradation_pct"), "verdict")
 
 
 @query("wf_skipped_windows", _RES + " SELECT candidate_id, status, count(*) AS windows FROM res WHERE status <> 'OK' GROUP BY ALL")
