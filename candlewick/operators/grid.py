@@ -296,26 +296,32 @@ def pick_trades(out: DataFrame, feats: DataFrame, specs: DataFrame, template: st
     priced = inside.join(bar, ["symbol", "exit_no"]).withColumn("exit_price", F.when(F.col("close_reason").isin("SL_HIT", "TP_HIT"), F.col("touch_price"))
                                                                .when(F.col("close_reason") == "END_OF_DATA", F.col("_c")).otherwise(F.col("_o"))).drop("_o", "_c")
     costed = trades.with_pnl(priced, specs)
-    s = sets.select(set_key, *[F.col(a) for a in axes], *[c for c in SET_FILTERS if c in has])
-    picked = costed.join(s, axes)
+    guards = [c for c in ("daily_loss_halt_pct", "cooldown_requires_midline") if c in has]
+    plain = [*axes, *[c for c in SET_FILTERS if c in has and c not in guards]]
+    s = sets.select(set_key, *[F.col(c) for c in plain], *guards)
+    run = set_key
+    if guards:
+        # guards filter a path: sets that differ in nothing else share it
+        run = "_path"
+        s = s.withColumn(run, F.min(set_key).over(Window.partitionBy(*plain)))
+    picked = costed.join(s.select(run, *plain).distinct() if guards else s, axes)
     ok = (F.col("adx_threshold") <= 0) | (F.col("signal_adx") >= F.col("adx_threshold"))
     if "allowed_sessions" in has:
         ok = ok & (F.col("allowed_sessions").isNull() | F.array_contains("allowed_sessions", F.col("signal_session")))
     for name, cond in (("atr_ratio_min", lambda v: F.col("signal_atr_ratio") >= v), ("atr_ratio_max", lambda v: F.col("signal_atr_ratio") <= v)):
         if name in has:
             ok = ok & F.coalesce(cond(F.col(name).cast("double")), F.lit(True))
-    keys = ["symbol", "span_id", set_key]
+    keys = ["symbol", "span_id", run]
     want = [*keys, "signal_no", "entry_no", "exit_no", "direction", "entry_time", "exit_time", "lots", "net_pnl", "close_reason"]
     cand = picked.filter(ok)
-    guards = [c for c in ("daily_loss_halt_pct", "cooldown_requires_midline") if c in has]
     if guards:
-        want = [*want, "signal_time", *guards]
+        want = [*want, "signal_time"]
     taken = paths.one_position(stage(cand.select(*want)), keys)
     if not guards:
         return taken
-    marked = trades.with_guard_inputs(taken, feats, signals.midline_crossed({}, template))
+    marked = paths.guard_columns(trades.with_guard_inputs(taken, feats, signals.midline_crossed({}, template)), keys)
     halt, cool = (F.col(c) if c in has else F.lit(v) for c, v in (("daily_loss_halt_pct", 0.0), ("cooldown_requires_midline", False)))
-    return paths.guarded(marked, keys, capital, halt, cool)
+    return paths.let_through(marked.join(s.select(set_key, *scope, *guards, run), [*scope, run]), capital, halt, cool).drop(run)
 
 
 def score_trades(picked: DataFrame, spans: DataFrame, set_key: str, capital: float, mandate: dict | None = None, min_trades: int = 10,
@@ -323,7 +329,7 @@ def score_trades(picked: DataFrame, spans: DataFrame, set_key: str, capital: flo
     """Metrics and quick score per (symbol, span, set); a breached mandate scores 0."""
     keys = ["symbol", "span_id", set_key]
     bounded = stage(picked.join(spans.select("symbol", "span_id", F.col("start").alias("_from"), F.col("end").alias("_to")), ["symbol", "span_id"]))
-    chunk = F.floor(F.col("exit_no") / ordered.CHUNK_ROWS)
+    chunk = ordered.chunk_unless_small(bounded, keys, F.floor(F.col("exit_no") / ordered.CHUNK_ROWS))
     order = ["exit_no", "signal_no"]
     m = metrics.summary(bounded, keys, order, chunk, capital, window=("_from", "_to"))
     limit = 8.0 if mandate is None else float(mandate["max_overall_drawdown_pct"])

@@ -69,9 +69,13 @@ def guard_columns(taken: DataFrame, keys: Sequence[str]) -> DataFrame:
 def guarded(taken: DataFrame, keys: Sequence[str], capital: float, halt_pct: Column, cooldown: Column) -> DataFrame:
     """Leave out trades signalled on a day whose realised loss had reached ``halt_pct`` of ``capital`` (0: no limit), and, with
     ``cooldown``, trades on a side that just lost before the midline was crossed."""
+    return let_through(guard_columns(taken, keys), capital, halt_pct, cooldown)
+
+
+def let_through(marked: DataFrame, capital: float, halt_pct: Column, cooldown: Column) -> DataFrame:
+    """The filter of ``guarded`` over trades that have their ``guard_columns``."""
     halted = (halt_pct > 0) & (F.col("day_low") / capital * 100 <= -halt_pct)
-    rows = guard_columns(taken, keys)
-    return rows.filter(~F.coalesce(halted, F.lit(False)) & ~(F.coalesce(cooldown, F.lit(False)) & F.col("side_lost"))).drop("day_low", "side_lost")
+    return marked.filter(~F.coalesce(halted, F.lit(False)) & ~(F.coalesce(cooldown, F.lit(False)) & F.col("side_lost"))).drop("day_low", "side_lost")
 
 
 # Broker deal reason codes.
