@@ -114,8 +114,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_chunk(trades: DataFrame, keys: Sequence[str] = ("account",)) -> Column | None:
-    """Hours, or None where no account outgrows one chunk."""
-    return ordered.chunk_unless_small(trades, keys, ordered.time_chunk(F.col("exit_time"), TRADE_CHUNK_SECONDS))
+    """Slots of hours or more, or None where every account can be taken whole."""
+    return ordered.time_chunk_unless_small(trades, keys, F.col("exit_time"), TRADE_CHUNK_SECONDS)
 
 
 def _values(rows: list[tuple], names: list[str]) -> str:

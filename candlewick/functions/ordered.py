@@ -12,7 +12,7 @@ ordered key into chunks first, so the largest sort is one chunk, however hot the
 * ``recurrence``       the same inside a chunk and its halo, where many short averages share one shuffle.
 
 ``chunk`` arguments are columns that never decrease along the row order. Only the per-chunk summary
-(one row per key and chunk) is ever ordered as a whole. Where no key outgrows one chunk (see ``chunk_unless_small``), ``chunk`` is
+(one row per key and chunk) is ever ordered as a whole. Where no key has more than WHOLE_ROWS rows (see ``chunk_unless_small``), ``chunk`` is
 None: keys are whole, rows are shuffled once and there is no summary to carry.
 """
 
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 CHUNK_ROWS = 4096
+# rows of one key that plain windows take in one task; they run over its sorted rows
+WHOLE_ROWS = 1 << 18
 # chunk of ``averages``: weights of alpha up to 2/3 stay in range
 AVERAGE_ROWS = 512
 # exp(-41.5) is below 1e-18: older inputs cannot change a double.
@@ -51,10 +53,26 @@ def time_slices(df: DataFrame, keys: Sequence[str], ts: str, out: str, rows: int
     return tagged.join(found, "_g").withColumn(out, F.col("_slot") * (1 << 24) + inside).drop("_g", "_slot", "_parts", "_lo", "_hi")
 
 
-def chunk_unless_small(df: DataFrame, keys: Sequence[str], chunk: Column, rows: int = CHUNK_ROWS) -> Column | None:
-    """``chunk``, or None if no key has more than ``rows`` rows; counts them, which combines before the shuffle."""
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return None if largest <= rows else chunk
+def _largest(df: DataFrame, *by: Column | str) -> int:
+    """Rows of the largest group; they are counted before the shuffle."""
+    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+
+
+def chunk_unless_small(df: DataFrame, keys: Sequence[str], chunk: Column, rows: int = WHOLE_ROWS) -> Column | None:
+    """``chunk``, or None if no key has more than ``rows`` rows."""
+    return None if _largest(df, *keys) <= rows else chunk
+
+
+def time_chunk_unless_small(df: DataFrame, keys: Sequence[str], ts: Column, seconds: int, rows: int = WHOLE_ROWS) -> Column | None:
+    """Slots of time, or None if no key has more than ``rows`` rows.
+
+    A slot is ``seconds`` long, doubled as often as the densest one allows without any slot of a key outgrowing ``rows``. So
+    chunks are few beside the rows, and so are their summaries.
+    """
+    if _largest(df, *keys) <= rows:
+        return None
+    densest = _largest(df, *keys, time_chunk(ts, seconds))
+    return time_chunk(ts, seconds << max(0, (rows // densest).bit_length() - 1))
 
 
 def _before(keys: Sequence[str]):

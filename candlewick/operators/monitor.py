@@ -35,7 +35,7 @@ def cusum_reference_value(p0: float) -> float:
 
 
 def rolling(numbered: DataFrame, keys: Sequence[str], n: int = ROLLING, seq: str = "trade_no", whole: bool = False) -> DataFrame:
-    """Win rate, profit factor, net P&L and current loss streak over the last ``n`` trades. ``whole``: no key outgrows one chunk."""
+    """Win rate, profit factor, net P&L and current loss streak over the last ``n`` trades. ``whole``: keys are taken whole."""
     rows = numbered.withColumns({"_chunk": F.lit(0), "_own": F.lit(True)}) if whole else ordered.spread(numbered, n, seq=seq)
     w = ordered.chunk_window(keys, seq).rowsBetween(-(n - 1), 0)
     p = F.col("net_pnl")

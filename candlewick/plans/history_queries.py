@@ -165,7 +165,7 @@ ST = ["strategy_id"]
 
 
 def monitored(spark, d):
-    """The numbered trades, and whether no strategy outgrows one chunk."""
+    """The numbered trades, and whether strategies are taken whole."""
     t = b.trades(spark, d).withColumnRenamed("account", "strategy_id")
     chunk = b.trade_chunk(t, ST)
     return ordered.index_rows(t, ST, [F.col(c) for c in b.TRADE_ORDER], chunk, out="trade_no").select(*ST, "trade_no", "net_pnl", "exit_time"), chunk is None
