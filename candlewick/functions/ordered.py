@@ -66,13 +66,18 @@ def chunk_unless_small(df: DataFrame, keys: Sequence[str], chunk: Column, rows:
 def time_chunk_unless_small(df: DataFrame, keys: Sequence[str], ts: Column, seconds: int, rows: int = WHOLE_ROWS) -> Column | None:
     """Slots of time, or None if no key has more than ``rows`` rows.
 
-    A slot is ``seconds`` long, doubled as often as the densest one allows without any slot of a key outgrowing ``rows``. So
-    chunks are few beside the rows, and so are their summaries.
+    Slots are ``seconds`` times a power of two: the longest that hold no more than ``rows`` rows of any key, or one where none
+    do. They are tried from the longest down, never shorter than the densest one asks for, so few counts are needed.
     """
-    if _largest(df, *keys) <= rows:
+    densest = _largest(df, *keys)
+    if densest <= rows:
         return None
-    densest = _largest(df, *keys, time_chunk(ts, seconds))
-    return time_chunk(ts, seconds << max(0, (rows // densest).bit_length() - 1))
+    span = df.agg(F.max(F.unix_seconds(ts)) - F.min(F.unix_seconds(ts))).first()[0] or 0
+    doublings = (span // seconds).bit_length()
+    while doublings and densest > rows:
+        doublings = max(0, doublings - math.ceil(math.log2(densest / rows)))
+        densest = _largest(df, *keys, time_chunk(ts, seconds << doublings))
+    return time_chunk(ts, seconds << doublings)
 
 
 def _before(keys: Sequence[str]):
