@@ -94,13 +94,20 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   order.alias("seq")), "D1", by_seq=True)
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed trades of the accounts (suppliers)."""
+def trade_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """``tasks`` for ``trades``, or None where an account is too large to be taken whole."""
+    return ordered.tasks_unless_large(table(spark, sf_dir, "lineitem"), ["l_suppkey"])
+
+
+def trades(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """Closed trades of the accounts (suppliers). With ``tasks`` lines are dealt by account to that many, before anything is derived from them."""
+    lines = table(spark, sf_dir, "lineitem")
+    lines = lines if tasks is None else lines.repartition(tasks, "l_suppkey")
     entry = utc("l_shipdate")
     exit_ = F.timestamp_seconds(F.unix_seconds(entry) + (F.col("l_quantity") * 3600).cast("bigint"))
     lots = F.col("l_quantity") / 10
     gross = F.col("l_extendedprice") * (F.col("l_discount") - 0.04)
-    return (table(spark, sf_dir, "lineitem")
+    return (lines
             .select(F.col("l_suppkey").alias("account"), entry.alias("entry_time"), exit_.alias("exit_time"),
                     F.when(F.col("l_linestatus") == "O", "BUY").otherwise("SELL").alias("direction"),
                     lots.alias("lots"), gross.alias("gross_pnl"), (lots * 7).alias("commission"),

@@ -63,6 +63,15 @@ def chunk_unless_small(df: DataFrame, keys: Sequence[str], chunk: Column, rows:
     return None if _largest(df, *keys) <= rows else chunk
 
 
+def tasks_unless_large(df: DataFrame, keys: Sequence[str], rows: int = WHOLE_ROWS) -> int | None:
+    """How many tasks take whole keys, about ``rows`` rows or one key each, or None if a key has more than ``rows`` rows.
+
+    For rows that are dealt once by ``keys``, after which windows and sums of any finer keys need no shuffle of their own.
+    """
+    total, densest = df.groupBy(*keys).count().agg(F.sum("count"), F.max("count")).first()
+    return None if (densest or 0) > rows else max(df.sparkSession.sparkContext.defaultParallelism, math.ceil((total or 0) / rows))
+
+
 def time_chunk_unless_small(df: DataFrame, keys: Sequence[str], ts: Column, seconds: int, rows: int = WHOLE_ROWS) -> Column | None:
     """Slots of time, or None if no key has more than ``rows`` rows.
 

@@ -28,6 +28,12 @@ def trading_days(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     return days.groupBy(*keys).agg(F.count(F.lit(1)).alias("trading_days"))
 
 
+def opens_day(keys: Sequence[str]) -> Column:
+    """True on one row of each key and mandate date of entry: ``trading_days`` is their number. Rows dealt by key stay where they are."""
+    day = mandate_date(F.col("entry_time"))
+    return F.row_number().over(Window.partitionBy(*keys, day).orderBy(day)) == 1
+
+
 def with_daily_start(path: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None) -> DataFrame:
     """Equity at the day's reset. A reset happens at rows whose date exceeds every earlier date, which
     also holds for rows in shuffled date order. Needs ``day`` and ``_max_day`` (exclusive running max).

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candlewick.functions import ordered
 from candlewick.functions.calendar import elapsed_years
 from candlewick.operators.paths import equity_path
 
@@ -44,12 +45,31 @@ def pnl_ratios(df: DataFrame) -> DataFrame:
 
 
 def summary(trades: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None, initial_equity: float,
-            window: tuple[str, str] | None = None) -> DataFrame:
+            window: tuple[str, str] | None = None, more: Mapping[str, Column] | None = None) -> DataFrame:
     """All metrics per key. ``window`` names the columns bounding the evaluated period; without it the
     period runs from the first entry to the last exit. A period that ends before it starts is an error.
+    ``more`` adds aggregates of the trades.
     """
     lo, hi = (F.min("entry_time"), F.max("exit_time")) if window is None else (F.min(window[0]), F.max(window[1]))
-    base = trades.groupBy(*keys).agg(*pnl_aggregates(), lo.alias("_lo"), hi.alias("_hi"))
+    sums = [*pnl_aggregates(), lo.alias("_lo"), hi.alias("_hi"), *[c.alias(n) for n, c in (more or {}).items()]]
+    found = (_whole if chunk is None else _in_chunks)(trades, keys, order, chunk, initial_equity, sums)
+    return ratios(pnl_ratios(found), initial_equity).select(*keys, *METRICS, *(more or {}))
+
+
+def _whole(trades: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: None, initial_equity: float, sums: Sequence[Column]) -> DataFrame:
+    """Sums and risk of whole keys from one pass over their sorted trades: nothing is shuffled or joined after them."""
+    p = F.col("net_pnl")
+    known = trades.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))  # as the join of the chunks has it
+    path = equity_path(known, keys, order, chunk, initial_equity, extra={"_lost": ("sum", (p <= 0).cast("int"))})
+    path = ordered.running(path, keys, order, chunk, {"_at_win": ("max", F.when(p > 0, F.col("_lost")))})
+    dd_pct = F.try_divide(F.col("drawdown") * 100, F.col("peak_equity"))
+    return path.groupBy(*keys).agg(
+        *sums, F.max(F.col("_lost") - F.coalesce("_at_win", F.lit(0))).alias("max_consecutive_losses"),
+        F.max("drawdown").alias("max_drawdown_usd"), F.sqrt(F.sum(dd_pct * dd_pct) / (F.count(F.lit(1)) + 1)).alias("ulcer_index"))
+
+
+def _in_chunks(trades: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, initial_equity: float, sums: Sequence[Column]) -> DataFrame:
+    base = trades.groupBy(*keys).agg(*sums)
     path = equity_path(trades, keys, order, chunk, initial_equity,
                        extra={"_wins": ("sum", (F.col("net_pnl") > 0).cast("int"))})
     dd_pct = F.try_divide(F.col("drawdown") * 100, F.col("peak_equity"))
@@ -60,7 +80,7 @@ def summary(trades: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     risk = runs.groupBy(*keys).agg(
         F.max("_losses").alias("max_consecutive_losses"), F.max("_dd").alias("max_drawdown_usd"),
         F.sqrt(F.sum("_sq") / (F.sum("_n") + 1)).alias("ulcer_index"))
-    return ratios(pnl_ratios(base.join(risk, list(keys))), initial_equity).select(*keys, *METRICS)
+    return base.join(risk, list(keys))
 
 
 def ratios(df: DataFrame, initial_equity: float) -> DataFrame:

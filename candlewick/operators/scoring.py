@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.functions.staging import stage
-
 # Hard gate limits.
 GATES = {
     "min_total_trades": 100, "min_trades_per_window": 20, "min_valid_windows": 12, "max_median_drawdown_pct": 20.0,
@@ -48,38 +46,47 @@ def quick_score(min_trades: int = 10, max_dd_pct: float = 8.0, allow_partial: bo
 def aggregate_windows(results: DataFrame, keys: Sequence[str] = ("candidate_id",)) -> DataFrame:
     """One summary row per candidate from its window results; only windows with status OK count.
 
-    Medians are exact. Early and recent thirds are told apart by the window's rank; windows per
+    A column ``new_trading_days`` (trading days that no other window of the candidate counts), if there is one, is summed over all
+    windows as ``trading_days``. Medians are exact. Early and recent thirds are told apart by the window's rank; windows per
     candidate are few (months of history over months per window).
     """
     keys = list(keys)
-    results = stage(results)  # read twice; a row per window
     order = Window.partitionBy(*keys).orderBy("window_num")
-    ok = (results.filter("status = 'OK'").withColumn("_rank", F.row_number().over(order))
-          .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))))
+    valid = F.coalesce(F.col("status") == "OK", F.lit(False))
+    values = ["oos_trades", "oos_profit_factor", "oos_win_rate", "oos_calmar", "oos_max_drawdown", "oos_max_consec_losses", "oos_net_profit",
+              "oos_composite_score", "oos_mandate_compliant", "oos_mandate_breach_reason"]
+    # windows that do not count have a row of NULLs, so candidates without a valid one are told in the same pass
+    ok = (results.withColumn("_ok", valid).withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in values})
+          .withColumn("_rank", F.when(F.col("_ok"), F.count_if("_ok").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+          .withColumn("_n", F.count_if("_ok").over(Window.partitionBy(*keys))))
     third = F.floor(F.col("_n") / 3)
     wr, pf = F.col("oos_win_rate"), F.col("oos_profit_factor")
     wl = F.when((wr > 0) & (wr < 1) & (pf > 0), pf * (1 - wr) / wr)
     med = lambda c: F.coalesce(F.percentile(c, 0.5), F.lit(0.0))
     bad = ~F.coalesce(F.col("oos_mandate_compliant"), F.lit(True))
+    days = [F.sum("new_trading_days").alias("trading_days")] if "new_trading_days" in results.columns else []
     s = ok.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("valid_windows"), F.sum("oos_trades").alias("total_trades"),
+        F.count_if("_ok").alias("valid_windows"), F.sum("oos_trades").alias("total_trades"),
         med("oos_trades").alias("median_trades_per_window"), med(F.when(pf > 0, pf)).alias("median_profit_factor"),
         med("oos_win_rate").alias("median_win_rate"), med("oos_calmar").alias("median_calmar_ratio"), med(wl).alias("median_avg_win_loss"),
         med("oos_max_drawdown").alias("median_max_drawdown_pct"), F.max("oos_max_drawdown").alias("worst_oos_drawdown_pct"),
-        (F.count_if(F.col("oos_net_profit") > 0) / F.count(F.lit(1))).alias("profitable_window_rate"),
+        F.try_divide(F.count_if(F.col("oos_net_profit") > 0), F.count_if("_ok")).alias("profitable_window_rate"),
         F.max("oos_max_consec_losses").alias("max_consecutive_losses"),
         F.avg(F.when(F.col("_rank") <= third, F.col("oos_composite_score"))).alias("_early"),
         F.avg(F.when(F.col("_rank") > F.col("_n") - third, F.col("oos_composite_score"))).alias("_recent"),
         F.sum("oos_net_profit").alias("total_oos_pnl"), F.avg("oos_net_profit").alias("avg_oos_pnl_per_window"),
         (~F.bool_or(bad)).alias("mandate_compliant"),
-        F.min_by("oos_mandate_breach_reason", F.when(bad, F.col("window_num"))).alias("mandate_breach_reason"))
+        F.min_by("oos_mandate_breach_reason", F.when(bad, F.col("window_num"))).alias("mandate_breach_reason"), *days)
     trend = F.when(F.col("valid_windows") < 3, F.lit(0.0)).otherwise(
         F.when(F.col("_early") > 0, (F.col("_recent") - F.col("_early")) / F.col("_early") * 100).otherwise(F.lit(0.0)))
     s = (s.withColumn("temporal_trend_pct", trend)
          .withColumn("temporal_stable", (F.col("valid_windows") < 3) | (F.abs("temporal_trend_pct") < 30))
          .withColumn("regime_consistency", F.col("profitable_window_rate")).drop("_early", "_recent"))
-    everyone = results.select(*keys).distinct()
-    return everyone.join(s, keys, "left").fillna(EMPTY_SUMMARY)
+    some = F.col("valid_windows") > 0
+    for k in keys:
+        some = some & F.col(k).isNotNull()
+    kept = {*keys, "trading_days"}
+    return s.select(*[F.col(c) if c in kept else F.when(some, F.col(c)).alias(c) for c in s.columns]).fillna(EMPTY_SUMMARY)
 
 
 # The summary of a candidate without a single valid window.

@@ -14,16 +14,29 @@ EQ0, M = b.INITIAL_EQUITY, b.MANDATE
 _HALF = "((year(exit_time) - 1995) * 2 + CASE WHEN month(exit_time) > 6 THEN 1 ELSE 0 END)"
 
 
-def window_trades(spark, d):
+def window_trades(spark, d, tasks=None):
     half = (F.year("exit_time") - 1995) * 2 + F.when(F.month("exit_time") > 6, 1).otherwise(0)
-    return b.trades(spark, d).withColumn("window_num", half.cast("bigint")).withColumnRenamed("account", "candidate_id")
+    return b.trades(spark, d, tasks).withColumn("window_num", half.cast("bigint")).withColumnRenamed("account", "candidate_id")
 
 
-def window_results(spark, d):
+def window_metrics(spark, d, days=False):
+    """Metrics per candidate and window. Trades of candidates that can be taken whole are shuffled once, by candidate; only then ``days``
+    adds the trading days that a window is the one to count."""
+    keys = ["candidate_id", "window_num"]
+    tasks = b.trade_tasks(spark, d)
+    t = window_trades(spark, d, tasks)
+    if tasks is None:
+        return metrics.summary(t, keys, b.TRADE_ORDER, b.trade_chunk(t, keys[:1]), EQ0)
+    if not days:
+        return metrics.summary(t, keys, b.TRADE_ORDER, None, EQ0)
+    t = t.filter("window_num IS NOT NULL").withColumn("_opens_day", mandate.opens_day(keys[:1]))
+    return metrics.summary(t, keys, b.TRADE_ORDER, None, EQ0, more={"new_trading_days": F.count_if("_opens_day")})
+
+
+def window_results(spark, d, days=False):
     """candidate_id, window_num and the out-of-sample metrics of each window."""
     keys = ["candidate_id", "window_num"]
-    t = window_trades(spark, d)
-    m = metrics.summary(t, keys, b.TRADE_ORDER, b.trade_chunk(t, keys[:1]), EQ0)
+    m = window_metrics(spark, d, days)
     score = scoring.quick_score(min_trades=10)
     return m.select(
         *keys, F.when(F.col("total_trades") >= 20, "OK").otherwise("INSUFFICIENT_TRADES").alias("status"), F.col("total_trades").alias("oos_trades"),
@@ -31,7 +44,8 @@ def window_results(spark, d):
         F.col("win_rate").alias("oos_win_rate"), F.col("max_drawdown_pct").alias("oos_max_drawdown"),
         F.col("max_consecutive_losses").alias("oos_max_consec_losses"), score.alias("oos_composite_score"),
         (score * 1.1 + 0.01).alias("is_composite_score"), (F.col("max_drawdown_pct") < 8).alias("oos_mandate_compliant"),
-        F.when(F.col("max_drawdown_pct") >= 8, F.concat(F.lit("window "), F.col("window_num"))).alias("oos_mandate_breach_reason"))
+        F.when(F.col("max_drawdown_pct") >= 8, F.concat(F.lit("window "), F.col("window_num"))).alias("oos_mandate_breach_reason"),
+        *[c for c in m.columns if c == "new_trading_days"])
 
 
 def quick_sql(dd=8.0, min_trades=10, ramp="0.0"):
@@ -66,10 +80,7 @@ def score_quick(spark, d):
 
 @query("score_quick_partial", _RES + f", q AS (SELECT *, {quick_sql(20.0, 40, 'pow(total_trades / 40.0, 1.5)')} AS s FROM mm) SELECT candidate_id, window_num, s AS score FROM q")
 def score_quick_partial(spark, d):
-    keys = ["candidate_id", "window_num"]
-    t = window_trades(spark, d)
-    m = metrics.summary(t, keys, b.TRADE_ORDER, b.trade_chunk(t, keys[:1]), EQ0)
-    return m.select(*keys, scoring.quick_score(40, 20.0, True).alias("score"))
+    return window_metrics(spark, d).select("candidate_id", "window_num", scoring.quick_score(40, 20.0, True).alias("score"))
 
 
 _SUM_COLS = ["median_trades_per_window", "median_profit_factor", "median_calmar_ratio", "median_avg_win_loss", "median_max_drawdown_pct",
@@ -92,8 +103,10 @@ _GATED = _RES + _DAYS + f", g AS MATERIALIZED (SELECT *, {_FAILED} AS failed_gat
 
 
 def gated(spark, d):
-    days = mandate.trading_days(window_trades(spark, d), ["candidate_id"])
-    return scoring.hard_gates(scoring.aggregate_windows(window_results(spark, d)).join(days, "candidate_id", "left"), M)
+    s = scoring.aggregate_windows(window_results(spark, d, days=True))
+    if "trading_days" not in s.columns:
+        s = s.join(mandate.trading_days(window_trades(spark, d), ["candidate_id"]), "candidate_id", "left")
+    return scoring.hard_gates(s, M)
 
 
 @query("gates_verdict", _GATED + " SELECT candidate_id, failed_gate IS NULL AS gates_passed, failed_gate FROM g")
