@@ -6,50 +6,67 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-_ADD = [int(abs(np.sin(i + 1)) * 2**32) & 0xFFFFFFFF for i in range(64)]
+_ADD = [np.uint32(int(abs(np.sin(i + 1)) * 2**32) & 0xFFFFFFFF) for i in range(64)]
 _TURN = [[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]]
+_SHIFT = [(np.uint32(n), np.uint32(32 - n)) for n in (_TURN[i // 16][i % 4] for i in range(64))]
 _WORD = [*range(16), *[(5 * i + 1) % 16 for i in range(16)], *[(3 * i + 5) % 16 for i in range(16)], *[7 * i % 16 for i in range(16)]]
-# values of one block of ``uniform_parts``: the arrays of a round stay in the processor's cache
+# values of one block of heads: the arrays of a round stay in the processor's cache
 BLOCK_ROWS = 1 << 15
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
-def _compress(state: list[np.ndarray], words: Sequence[np.ndarray], keep: np.ndarray | None) -> None:
-    """One block of every text into ``state``; where ``keep`` is false the text has ended before."""
-    a, b, c, d = (s.copy() for s in state)
-    f, t = np.empty_like(a), np.empty_like(a)
-    for i in range(64):
-        kind = i // 16
+def _compress(state: Sequence[np.ndarray], words: Sequence[np.ndarray], keep: np.ndarray | None, wide: int = 0, last: bool = False) -> list[np.ndarray]:
+    """The state after one block of every text; where ``keep`` is false the text has ended before.
+
+    The first ``wide`` words and the state are those of the prefixes, one column, and spread over the texts from then on. Of the ``last``
+    block only the head is worked out, which its last three steps do not touch.
+    """
+    a, b, c, d = state
+    f = t = None
+    for i in range(61 if last else 64):
+        kind, turn = i // 16, _SHIFT[i]
+        word = words[_WORD[i]] + _ADD[i]
+        if i < wide + 4:  # shapes differ still, and the state must stay as it is
+            g = ((c ^ d) & b) ^ d if kind == 0 else ((b ^ c) & d) ^ c
+            g = a + g + word
+            a, b, c, d = d, ((g << turn[0]) | (g >> turn[1])) + b, b, c
+            continue
+        if f is None:
+            f, t = np.empty_like(b), np.empty_like(b)
         if kind == 0:
-            np.bitwise_xor(c, d, out=f); np.bitwise_and(f, b, out=f); np.bitwise_xor(f, d, out=f)  # noqa: E702
+            np.bitwise_xor(c, d, f); np.bitwise_and(f, b, f); np.bitwise_xor(f, d, f)  # noqa: E702
         elif kind == 1:
-            np.bitwise_xor(b, c, out=f); np.bitwise_and(f, d, out=f); np.bitwise_xor(f, c, out=f)  # noqa: E702
+            np.bitwise_xor(b, c, f); np.bitwise_and(f, d, f); np.bitwise_xor(f, c, f)  # noqa: E702
         elif kind == 2:
-            np.bitwise_xor(b, c, out=f); np.bitwise_xor(f, d, out=f)  # noqa: E702
+            np.bitwise_xor(b, c, f); np.bitwise_xor(f, d, f)  # noqa: E702
         else:
-            np.bitwise_not(d, out=f); np.bitwise_or(f, b, out=f); np.bitwise_xor(f, c, out=f)  # noqa: E702
-        np.add(a, f, out=a)
-        np.add(a, words[_WORD[i]] + np.uint32(_ADD[i]), out=a)
-        turn = _TURN[kind][i % 4]
-        np.left_shift(a, np.uint32(turn), out=t)
-        np.right_shift(a, np.uint32(32 - turn), out=a)
-        np.bitwise_or(a, t, out=a)
-        np.add(a, b, out=a)
-        a, b, c, d = d, a, b, c
-    for s, x in zip(state, (a, b, c, d)):
-        np.add(s, x, out=s) if keep is None else np.add(s, x, out=s, where=keep)
-
-
-def _blocks(texts: Sequence[bytes], lead: int) -> tuple[np.ndarray, np.ndarray]:
-    """Padded messages with ``lead`` empty bytes before each text, as (text, word), and the blocks each text fills."""
-    sizes = np.array([lead + len(x) for x in texts], dtype=np.int64)
-    used = (sizes + 8) // 64 + 1
-    raw = np.zeros((len(texts), int(used.max()) * 64), dtype=np.uint8)
-    for row, text, size, n in zip(raw, texts, sizes, used):
-        row[lead:size] = np.frombuffer(text, dtype=np.uint8)
-        row[size] = 0x80
-        row[n * 64 - 8:n * 64] = np.frombuffer(int(size * 8).to_bytes(8, "little"), dtype=np.uint8)
-    return raw.view("<u4"), used
+            np.bitwise_not(d, f); np.bitwise_or(f, b, f); np.bitwise_xor(f, c, f)  # noqa: E702
+        np.add(f, a, f)
+        np.add(f, word, f)
+        np.right_shift(f, turn[1], t)
+        np.left_shift(f, turn[0], f)
+        np.bitwise_or(f, t, f)
+        # the column that is replaced becomes the next scratch; those of the prefixes cannot
+        np.add(f, b, f)
+        a, b, c, d, f = d, f, b, c, a if i >= wide + 8 else np.empty_like(b)
+    ends = [b] if last else [a, b, c, d]
+    return [s + x if keep is None else np.where(keep, s + x, s) for s, x in zip(state, ends)]
+
+
+def _blocks(texts: Sequence[bytes], lead: int, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Padded messages with ``lead`` empty bytes before each text, as (word, text), and the blocks each text fills."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    used = (sizes + (lead + 8)) // 64 + 1
+    width = int(used.max()) * 64
+    words = np.empty((width // 4, len(texts)), dtype="<u4")
+    for at in range(0, len(texts), rows):
+        n, body = sizes[at:at + rows], np.frombuffer(b"".join(texts[at:at + rows]), dtype=np.uint8)
+        raw, row = np.zeros(len(n) * width, dtype=np.uint8), np.arange(len(n)) * width
+        raw[np.arange(len(body)) + np.repeat(row + lead - (np.cumsum(n) - n), n)] = body
+        raw[row + lead + n] = 0x80
+        raw.view("<u8")[(row + used[at:at + rows] * 64 - 8) // 8] = (n + lead) * 8
+        words[:, at:at + rows] = raw.view("<u4").reshape(len(n), -1).T
+    return words, used
 
 
 class Md5Heads:
@@ -57,33 +74,72 @@ class Md5Heads:
 
     def __init__(self, texts: Sequence[bytes], lead: int):
         self.lead = lead
-        words, self.used = _blocks(texts, lead)
-        self.words = np.ascontiguousarray(words.T)
+        self.words, self.used = _blocks(texts, lead)
 
-    def __call__(self, prefixes: Sequence[bytes]) -> np.ndarray:
-        """Heads as (prefix, text)."""
-        shape = (len(prefixes), self.words.shape[1])
+    def _front(self, prefixes: Sequence[bytes]) -> np.ndarray:
         head = np.zeros((len(prefixes), -(-self.lead // 4) * 4), dtype=np.uint8)
-        for row, p in zip(head, prefixes):
-            row[:self.lead] = np.frombuffer(p, dtype=np.uint8)
-        front = head.view("<u4")
-        state = [np.full(shape, s, dtype=np.uint32) for s in _START]
-        for block in range(self.words.shape[0] // 16):
-            at = range(block * 16, block * 16 + 16)
-            # only the words that a prefix reaches into differ between prefixes
-            words = [self.words[w] | front[:, w:w + 1] if w < front.shape[1] else self.words[w] for w in at]
-            _compress(state, words, None if block == 0 else np.broadcast_to(self.used > block, shape))
+        head[:, :self.lead] = np.frombuffer(b"".join(prefixes), dtype=np.uint8).reshape(len(prefixes), self.lead)
+        return head.view("<u4")
+
+    def _run(self, words: Sequence[np.ndarray], used: np.ndarray, alone: int) -> np.ndarray:
+        state, blocks = [np.full((1,) * words[-1].ndim, s, dtype=np.uint32) for s in _START], len(words) // 16
+        for block in range(blocks):
+            keep = None if block == 0 else used > block
+            state = _compress(state, words[block * 16:block * 16 + 16], keep, min(max(alone - block * 16, 0), 16), block == blocks - 1)
         return state[0].byteswap()
 
+    def __call__(self, prefixes: Sequence[bytes]) -> np.ndarray:
+        """Heads as (prefix, text)."""
+        front, alone = self._front(prefixes), self.lead // 4
+        # words of the prefixes are a column, those of the texts a row; only a word of both differs from pair to pair
+        words = [front[:, w:w + 1] if w < alone else row | front[:, w:w + 1] if w < front.shape[1] else row[None, :] for w, row in enumerate(self.words)]
+        return np.broadcast_to(self._run(words, self.used, alone), (len(prefixes), self.words.shape[1]))
+
+    def pairs(self, prefixes: Sequence[bytes], which: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Heads of single pairs (number of the prefix, number of the text)."""
+        front = self._front(prefixes)
+        words = [row[text] | front[which, w] if w < front.shape[1] else row[text] for w, row in enumerate(self.words)]
+        return np.broadcast_to(self._run(words, self.used[text], 0), which.shape)
+
+
+class UniformHeads:
+    """``money.uniform_hash(prefix, number, text)`` times 2^32 for any number and a fixed list of texts."""
+
+    def __init__(self, prefix: str, texts: Sequence[bytes]):
+        self.prefix, self.texts, self.heads = prefix, texts, None
+
+    def _lead(self, number: int) -> bytes:
+        return f"{self.prefix}|{number}|".encode()
+
+    def _of(self, size: int) -> Md5Heads:
+        # numbers come in order, so those of one length are asked together
+        if self.heads is None or self.heads.lead != size:
+            self.heads = Md5Heads(self.texts, size)
+        return self.heads
+
+    def parts(self, numbers: Sequence[int], rows: int = BLOCK_ROWS) -> Iterator[tuple[int, np.ndarray]]:
+        """In blocks of numbers: (place of the first number, heads as (number, text))."""
+        step, first = max(1, rows // max(1, len(self.texts))), 0
+        while first < len(numbers):
+            lead = [self._lead(n) for n in numbers[first:first + step]]
+            lead = lead[:next((i for i, p in enumerate(lead) if len(p) != len(lead[0])), len(lead))]
+            yield first, self._of(len(lead[0]))(lead)
+            first += len(lead)
+
+    def pairs(self, numbers: Sequence[int], which: np.ndarray, text: np.ndarray, rows: int = BLOCK_ROWS) -> np.ndarray:
+        """Heads of single pairs (place in ``numbers``, place in the texts)."""
+        lead, out = [self._lead(n) for n in numbers], np.empty(len(which), dtype=np.uint32)
+        sizes = np.array([len(x) for x in lead])
+        for size in np.unique(sizes):
+            mine, of_size = np.flatnonzero(sizes[which] == size), np.flatnonzero(sizes == size)
+            place = np.searchsorted(of_size, which[mine])
+            heads, some = self._of(int(size)), [lead[i] for i in of_size]
+            for at in range(0, len(mine), rows):
+                part = mine[at:at + rows]
+                out[part] = heads.pairs(some, place[at:at + rows], text[part])
+        return out
+
 
 def uniform_parts(prefix: str, numbers: Sequence[int], texts: Sequence[bytes], rows: int = BLOCK_ROWS) -> Iterator[tuple[int, np.ndarray]]:
-    """``money.uniform_hash(prefix, number, text)`` times 2^32, in blocks of numbers: (place of the first number, heads as (number, text))."""
-    step, heads, first = max(1, rows // max(1, len(texts))), {}, 0
-    while first < len(numbers):
-        lead = [f"{prefix}|{n}|".encode() for n in numbers[first:first + step]]
-        lead = lead[:next((i for i, p in enumerate(lead) if len(p) != len(lead[0])), len(lead))]
-        size = len(lead[0])
-        if size not in heads:
-            heads[size] = Md5Heads(texts, size)
-        yield first, heads[size](lead)
-        first += len(lead)
+    """``UniformHeads.parts`` of texts that are asked once."""
+    return UniformHeads(prefix, texts).parts(numbers, rows)

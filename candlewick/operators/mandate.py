@@ -186,7 +186,7 @@ def _failing(rows: DataFrame, per: Sequence[str], order: Sequence[str], chunk: C
 
 
 # permuted trades that one task of ``_stress_whole`` looks at, about
-TASK_PERMUTED = 8_000_000
+TASK_PERMUTED = 16_000_000
 NO_DAY = -(1 << 31)
 
 
@@ -213,67 +213,102 @@ def _breaches(pnl: np.ndarray, resets: np.ndarray, initial_equity: float, mandat
     return daily, dd >= mandate["max_overall_drawdown_pct"] + slack
 
 
+def _hits(pnl: np.ndarray, resets: np.ndarray, initial_equity: float, mandate: dict, slack: float = 0.0) -> np.ndarray:
+    """Per path (path, place): whether ``_breaches`` finds any point. Both limits of a static mandate grow as equity falls, so one look at
+    the lowest equity of each stretch between resets is enough."""
+    if str(mandate["drawdown_type"]).lower() != "static" or initial_equity <= 0:
+        return np.logical_or(*_breaches(pnl, resets, initial_equity, mandate, slack)).any(axis=1)
+    if not len(pnl):
+        return np.zeros(0, dtype=bool)
+    total, at = np.cumsum(pnl, axis=1).ravel(), np.flatnonzero(resets)
+    start, low = initial_equity + total[at], initial_equity + np.fmin.reduceat(total, at)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        hit = np.where(start > 0, (start - low) * 100 / start, 0.0) >= mandate["max_daily_loss_pct"] + slack
+    hit |= (initial_equity - low) * 100 / initial_equity >= mandate["max_overall_drawdown_pct"] + slack
+    return np.bincount(at[hit] // pnl.shape[1], minlength=len(pnl)) > 0
+
+
 def _stress_one(ident: list[bytes], pnl: np.ndarray, pip: np.ndarray, lots: np.ndarray, days: np.ndarray, permutations: int, max_slippage_pips: float,
                 initial_equity: float, mandate: dict) -> tuple[int, str | None]:
     """(failing permutations, rule that the first of them breaks) of one key whose trades come in the order of their key; NaN is a missing value.
 
     Slippage only ever lowers equity, and by a known highest amount per trade. So a path that breaks a rule without slippage fails, one that
-    keeps both under the highest slippage passes, and slippage is worked out only for the paths between.
+    keeps both under the highest slippage passes, and slippage is worked out only for the paths between, up to the last point where the highest
+    one breaks a rule.
     """
     known = ~(np.isnan(pnl) | np.isnan(pip) | np.isnan(lots))
     pnl, pip, lots = (np.where(known, x, 0.0) for x in (pnl, pip, lots))
     most, seat, margin = max_slippage_pips * pip * lots, np.arange(len(pnl), dtype=np.uint64), 1e-6
+    worst = pnl - most
     # a limit of 100 % or less breaks before equity is used up, below which a daily loss is not defined
     bounded = bool(np.all(most >= 0)) and initial_equity > 0 and mandate["max_overall_drawdown_pct"] <= 100
+    places, slips = hashing.UniformHeads("order", ident), hashing.UniformHeads("slip", ident)
     failed: list[int] = []
-    between: list[tuple[int, np.ndarray]] = []
+    between: list[tuple[int, np.ndarray, int]] = []
 
     def sequence(heads: np.ndarray) -> np.ndarray:
         """Trades by hash; equal hashes stay in the order of the trade key."""
-        return (np.sort((heads.astype(np.uint64) << np.uint64(32)) | seat, axis=1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-    def exact(numbers: list[int], orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slip = np.concatenate([heads for _, heads in hashing.uniform_parts("slip", numbers, ident)]) / 4294967296.0 * max_slippage_pips * pip * lots
-        return _breaches(np.take_along_axis(pnl - slip, orders, axis=1), _resets(days[orders]), initial_equity, mandate)
+        key = heads.astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= seat
+        key.sort(axis=1)
+        key &= np.uint64(0xFFFFFFFF)
+        return key.view(np.int64)
+
+    def exact(numbers: list[int], orders: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """P&L after slippage along the paths; places from ``upto`` on go without."""
+        which, place = np.nonzero(np.arange(orders.shape[1]) < upto[:, None])
+        trade, out = orders[which, place], pnl[orders]
+        out[which, place] -= slips.pairs(numbers, which, trade) / 4294967296.0 * max_slippage_pips * pip[trade] * lots[trade]
+        return out
 
     def settle() -> None:
-        numbers = [p for p, _ in between]
-        daily, dd = exact(numbers, np.stack([o for _, o in between]))
-        failed.extend(p for p, hit in zip(numbers, (daily | dd).any(axis=1)) if hit)
+        numbers, upto = [p for p, _, _ in between], np.array([n for _, _, n in between])
+        # no point behind the last risky one can break a rule, with slippage there or without
+        orders = np.stack([o for _, o, _ in between])[:, :upto.max()]
+        failed.extend(p for p, hit in zip(numbers, _hits(exact(numbers, orders, upto), _resets(days[orders]), initial_equity, mandate)) if hit)
         between.clear()
 
-    for first, heads in hashing.uniform_parts("order", range(permutations), ident):
+    for first, heads in places.parts(range(permutations)):
         orders = sequence(heads)
-        sure, passes = np.zeros(len(orders), dtype=bool), np.zeros(len(orders), dtype=bool)
+        resets, upto = _resets(days[orders]), np.full(len(orders), orders.shape[1])
         if bounded:
-            resets = _resets(days[orders])
-            sure, risky = (np.logical_or(*_breaches(x[orders], resets, initial_equity, mandate, s)).any(axis=1) for x, s in ((pnl, margin), (pnl - most, -margin)))
-            passes = ~risky
-        failed.extend(first + int(i) for i in np.flatnonzero(sure))
-        between.extend((first + int(i), orders[i]) for i in np.flatnonzero(~sure & ~passes))
-        if len(between) * len(pnl) >= hashing.BLOCK_ROWS:
+            sure = _hits(pnl[orders], resets, initial_equity, mandate, margin)
+            open_ = np.flatnonzero(~sure)
+            failed.extend(first + int(i) for i in np.flatnonzero(sure))
+            orders, resets = orders[open_], resets[open_]
+            low = worst[orders]
+            risky = _hits(low, resets, initial_equity, mandate, -margin)
+            open_, orders = open_[risky], orders[risky]
+            points = np.logical_or(*_breaches(low[risky], resets[risky], initial_equity, mandate, -margin))
+            upto = points.shape[1] - np.argmax(points[:, ::-1], axis=1)
+        else:
+            open_ = np.arange(len(orders))
+        between.extend((first + int(i), o, int(n)) for i, o, n in zip(open_, orders, upto))
+        if sum(n for _, _, n in between) >= hashing.BLOCK_ROWS:
             settle()
     if between:
         settle()
     if not failed:
         return 0, None
     number = min(failed)
-    daily, dd = exact([number], sequence(next(hashing.uniform_parts("order", [number], ident))[1]))
+    order = sequence(next(places.parts([number]))[1])
+    daily, dd = _breaches(exact([number], order, np.array([len(pnl)])), _resets(days[order]), initial_equity, mandate)
     return len(failed), "MANDATE_DAILY_LOSS_BREACH" if daily[0, int(np.argmax(daily[0] | dd[0]))] else "MANDATE_OVERALL_DD_BREACH"
 
 
 def _stress_whole(trades: DataFrame, total: int, keys: Sequence[str], trade_key: Sequence[str], mandate: dict, initial_equity: float,
                   pip_value: Column, permutations: int, max_slippage_pips: float) -> DataFrame:
-    """The stress test of keys whose trades fit one chunk: only the trades are shuffled, each key's permutations are made where its trades are."""
+    """The stress test of keys that may be taken whole: only the trades are shuffled, each key's permutations are made where its trades are."""
     keys, by = list(keys), [f"_by{i}" for i in range(len(trade_key))]
-    rows = trades.select(*keys, "_ident", F.col("net_pnl").cast("double").alias("_pnl"), F.datediff("day", F.lit(datetime.date(1970, 1, 1))).alias("_day"),
+    rows = trades.select(*keys, F.col("_ident").cast("binary").alias("_ident"), F.col("net_pnl").cast("double").alias("_pnl"), F.datediff("day", F.lit(datetime.date(1970, 1, 1))).alias("_day"),
                          pip_value.cast("double").alias("_pip"), F.col("lots").cast("double").alias("_lots"), *[F.col(c).alias(n) for c, n in zip(trade_key, by)])
     kind = StructType([*[rows.schema[k] for k in keys], StructField("breach_rate_pct", DoubleType()), StructField("first_breach", StringType())])
 
     def test(group: pa.Table) -> pa.Table:
         group = group.take(pc.sort_indices(group, sort_keys=[(c, "ascending") for c in by], null_placement="at_start"))
         number = lambda c, fill: pc.fill_null(group.column(c), fill).to_numpy()
-        count, rule = _stress_one([x.encode() for x in group.column("_ident").to_pylist()], *[number(c, float("nan")) for c in ("_pnl", "_pip", "_lots")],
+        count, rule = _stress_one(group.column("_ident").to_pylist(), *[number(c, float("nan")) for c in ("_pnl", "_pip", "_lots")],
                                   number("_day", NO_DAY), permutations, max_slippage_pips, initial_equity, mandate)
         return group.slice(0, 1).select(keys).append_column("breach_rate_pct", pa.array([count * 100.0 / permutations])).append_column("first_breach", pa.array([rule], pa.string()))
 
@@ -286,7 +321,7 @@ def stress_test(trades: DataFrame, keys: Sequence[str], trade_key: Sequence[str]
     """Breach rate over ``permutations`` reshuffled trade orders with extra slippage, and the rule that the first failing one breaks.
 
     A permutation is an order by a hash of (permutation, trade), so it needs no driver-side shuffle and
-    repeats exactly. A key of up to CHUNK_ROWS trades is tested where its trades are, so permuted trades never leave their task.
+    repeats exactly. A key of up to WHOLE_ROWS trades is tested where its trades are, so permuted trades never leave their task.
     Trades of larger keys are fanned out into chunks, slices of the hash range, equal in size for any key; ``chunks`` does so
     with all keys.
     """
@@ -298,7 +333,7 @@ def stress_test(trades: DataFrame, keys: Sequence[str], trade_key: Sequence[str]
     endless = lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False))
     odd = endless(F.col("net_pnl").cast("double")) | endless(F.col("lots").cast("double")) | endless(pip_value.cast("double"))
     sizes = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(odd).alias("_odd"))
-    wide = (F.col("_n") > ordered.CHUNK_ROWS) | F.col("_odd")  # numbers that are none compare Spark's way
+    wide = (F.col("_n") > ordered.WHOLE_ROWS) | F.col("_odd")  # numbers that are none compare Spark's way
     found = sizes.agg(F.sum("_n"), F.max("_n"), F.count_if(wide)).first()
     if not found[2]:
         return _stress_whole(told, found[0] or 0, *rest)

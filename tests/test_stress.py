@@ -67,3 +67,58 @@ def test_array_md5():
             seen.append(n)
             assert [int(h) for h in row] == [int(hashlib.md5(f"order|{n}|".encode() + t).hexdigest()[:8], 16) for t in texts]
     assert seen == numbers
+
+
+def test_array_md5_of_pairs():
+    import hashlib
+
+    import numpy as np
+
+    from candlewick.functions import hashing
+
+    texts, numbers = [b"x" * n for n in range(140)], [0, 7, 10, 99, 100, 12345]
+    for prefix in ("slip", "p" * 47, "p" * 50, "p" * 70):  # the first words of a message, or whole blocks, may be the prefix's alone
+        want = [[int(hashlib.md5(f"{prefix}|{n}|".encode() + t).hexdigest()[:8], 16) for t in texts] for n in numbers]
+        heads, rng = hashing.UniformHeads(prefix, texts), np.random.default_rng(3)
+        assert [[int(h) for h in row] for _, block in heads.parts(numbers) for row in block] == want
+        which, text = rng.integers(0, len(numbers), 400), rng.integers(0, len(texts), 400)
+        assert heads.pairs(numbers, which, text, 150).tolist() == [want[i][j] for i, j in zip(which, text)]
+
+
+def test_keys_over_a_chunk_stay_whole(spark, monkeypatch):
+    m = {"drawdown_type": "static", "max_daily_loss_pct": 6.5, "max_overall_drawdown_pct": 13.0}
+    t = _trades(spark, 5000).filter("account = 'a0'").withColumn("net_pnl", F.col("net_pnl") / 4)
+    run = lambda **kw: [tuple(r) for r in mandate.stress_test(t, ["account"], KEY, m, 10000.0, F.lit(10.0), 25, **kw).collect()]
+    want = run(chunks=3)
+    monkeypatch.setattr(mandate, "_stress_fanned", None)
+    assert run() == want and 0 < want[0][1] < 100
+
+
+def test_slippage_stops_behind_the_last_risky_point(monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    from candlewick.functions import hashing
+
+    rng, n, m = np.random.default_rng(7), 600, {"drawdown_type": "static", "max_daily_loss_pct": 4.0, "max_overall_drawdown_pct": 8.0}
+    ident, lots, pip = [b"t%d" % i for i in range(n)], rng.uniform(0.1, 5, n), np.full(n, 10.0)
+    pnl, days, asked = rng.normal(360, 1400, n), rng.integers(0, 2000, n), []
+    pairs = hashing.UniformHeads.pairs
+    monkeypatch.setattr(hashing.UniformHeads, "pairs", lambda self, numbers, which, text, *rest: asked.append(len(which)) or pairs(self, numbers, which, text, *rest))
+    count, rule = mandate._stress_one(ident, pnl, pip, lots, days, 100, 1.5, 100_000.0, m)
+
+    head = lambda kind, p, t: int(hashlib.md5(f"{kind}|{p}|".encode() + t).hexdigest()[:8], 16) / 2**32
+    rules = []
+    for p in range(100):
+        equity, start, latest, hit = 100_000.0, None, None, None
+        for i in sorted(range(n), key=lambda i: (head("order", p, ident[i]), i)):
+            equity += pnl[i] - head("slip", p, ident[i]) * 1.5 * 10 * lots[i]
+            if latest is None or days[i] > latest:
+                start, latest = equity, days[i]
+            daily, dd = start > 0 and (start - equity) * 100 / start >= 4, (100_000 - equity) * 100 / 100_000 >= 8
+            hit = hit or ("MANDATE_DAILY_LOSS_BREACH" if daily else "MANDATE_OVERALL_DD_BREACH" if dd else None)
+        rules.append(hit)
+    failed = [r for r in rules if r]
+    assert (count, rule) == (len(failed), failed[0]) and 0 < count < 100
+    assert sum(asked) < 0.2 * 100 * n
