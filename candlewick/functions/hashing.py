@@ -15,24 +15,24 @@ BLOCK_ROWS = 1 << 15
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
-def _compress(state: Sequence[np.ndarray], words: Sequence[np.ndarray], keep: np.ndarray | None, wide: int = 0, last: bool = False) -> list[np.ndarray]:
+def _compress(state: Sequence[np.ndarray], words: Sequence[np.ndarray], keep: np.ndarray | None, shape: tuple[int, ...], last: bool) -> list[np.ndarray]:
     """The state after one block of every text; where ``keep`` is false the text has ended before.
 
-    The first ``wide`` words and the state are those of the prefixes, one column, and spread over the texts from then on. Of the ``last``
-    block only the head is worked out, which its last three steps do not touch.
+    A word that many messages share is one column or row of ``shape``, and so is the state until words of both kinds have entered it. Of the
+    ``last`` block only the head is worked out, which its last three steps do not touch.
     """
     a, b, c, d = state
-    f = t = None
+    f = None
     for i in range(61 if last else 64):
         kind, turn = i // 16, _SHIFT[i]
         word = words[_WORD[i]] + _ADD[i]
-        if i < wide + 4:  # shapes differ still, and the state must stay as it is
-            g = ((c ^ d) & b) ^ d if kind == 0 else ((b ^ c) & d) ^ c
+        if f is None and i >= 4 and all(x.shape == shape for x in (a, b, c, d)):
+            f = np.empty_like(b)  # from here on every array is the step's own
+        if f is None:
+            g = ((c ^ d) & b) ^ d if kind == 0 else ((b ^ c) & d) ^ c if kind == 1 else b ^ c ^ d if kind == 2 else c ^ (b | ~d)
             g = a + g + word
             a, b, c, d = d, ((g << turn[0]) | (g >> turn[1])) + b, b, c
             continue
-        if f is None:
-            f, t = np.empty_like(b), np.empty_like(b)
         if kind == 0:
             np.bitwise_xor(c, d, f); np.bitwise_and(f, b, f); np.bitwise_xor(f, d, f)  # noqa: E702
         elif kind == 1:
@@ -41,14 +41,13 @@ def _compress(state: Sequence[np.ndarray], words: Sequence[np.ndarray], keep: np
             np.bitwise_xor(b, c, f); np.bitwise_xor(f, d, f)  # noqa: E702
         else:
             np.bitwise_not(d, f); np.bitwise_or(f, b, f); np.bitwise_xor(f, c, f)  # noqa: E702
-        np.add(f, a, f)
-        np.add(f, word, f)
-        np.right_shift(f, turn[1], t)
-        np.left_shift(f, turn[0], f)
-        np.bitwise_or(f, t, f)
-        # the column that is replaced becomes the next scratch; those of the prefixes cannot
-        np.add(f, b, f)
-        a, b, c, d, f = d, f, b, c, a if i >= wide + 8 else np.empty_like(b)
+        np.add(a, f, a)
+        np.add(a, word, a)
+        np.right_shift(a, turn[1], f)
+        np.left_shift(a, turn[0], a)
+        np.bitwise_or(a, f, a)
+        np.add(a, b, a)
+        a, b, c, d = d, a, b, c
     ends = [b] if last else [a, b, c, d]
     return [s + x if keep is None else np.where(keep, s + x, s) for s, x in zip(state, ends)]
 
@@ -74,32 +73,34 @@ class Md5Heads:
 
     def __init__(self, texts: Sequence[bytes], lead: int):
         self.lead = lead
-        self.words, self.used = _blocks(texts, lead)
+        words, self.used = _blocks(texts, lead)
+        # the padding, and often a beginning, is the same in all messages
+        self.words = [row[:1] if (row == row[0]).all() else row for row in words]
 
     def _front(self, prefixes: Sequence[bytes]) -> np.ndarray:
         head = np.zeros((len(prefixes), -(-self.lead // 4) * 4), dtype=np.uint8)
         head[:, :self.lead] = np.frombuffer(b"".join(prefixes), dtype=np.uint8).reshape(len(prefixes), self.lead)
         return head.view("<u4")
 
-    def _run(self, words: Sequence[np.ndarray], used: np.ndarray, alone: int) -> np.ndarray:
-        state, blocks = [np.full((1,) * words[-1].ndim, s, dtype=np.uint32) for s in _START], len(words) // 16
+    def _run(self, words: Sequence[np.ndarray], used: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+        state, blocks = [np.full((1,) * len(shape), s, dtype=np.uint32) for s in _START], len(words) // 16
         for block in range(blocks):
-            keep = None if block == 0 else used > block
-            state = _compress(state, words[block * 16:block * 16 + 16], keep, min(max(alone - block * 16, 0), 16), block == blocks - 1)
-        return state[0].byteswap()
+            state = _compress(state, words[block * 16:block * 16 + 16], None if block == 0 else used > block, shape, block == blocks - 1)
+        return np.broadcast_to(state[0].byteswap(), shape)
 
     def __call__(self, prefixes: Sequence[bytes]) -> np.ndarray:
         """Heads as (prefix, text)."""
         front, alone = self._front(prefixes), self.lead // 4
         # words of the prefixes are a column, those of the texts a row; only a word of both differs from pair to pair
         words = [front[:, w:w + 1] if w < alone else row | front[:, w:w + 1] if w < front.shape[1] else row[None, :] for w, row in enumerate(self.words)]
-        return np.broadcast_to(self._run(words, self.used, alone), (len(prefixes), self.words.shape[1]))
+        return self._run(words, self.used, (len(prefixes), len(self.used)))
 
     def pairs(self, prefixes: Sequence[bytes], which: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Heads of single pairs (number of the prefix, number of the text)."""
         front = self._front(prefixes)
-        words = [row[text] | front[which, w] if w < front.shape[1] else row[text] for w, row in enumerate(self.words)]
-        return np.broadcast_to(self._run(words, self.used[text], 0), which.shape)
+        some = [row if len(row) == 1 else row[text] for row in self.words]
+        words = [row | front[which, w] if w < front.shape[1] else row for w, row in enumerate(some)]
+        return self._run(words, self.used[text], which.shape)
 
 
 class UniformHeads:

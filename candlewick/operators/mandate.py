@@ -244,7 +244,7 @@ def _stress_one(ident: list[bytes], pnl: np.ndarray, pip: np.ndarray, lots: np.n
     bounded = bool(np.all(most >= 0)) and initial_equity > 0 and mandate["max_overall_drawdown_pct"] <= 100
     places, slips = hashing.UniformHeads("order", ident), hashing.UniformHeads("slip", ident)
     failed: list[int] = []
-    between: list[tuple[int, np.ndarray, int]] = []
+    between: list[tuple[int, np.ndarray]] = []
 
     def sequence(heads: np.ndarray) -> np.ndarray:
         """Trades by hash; equal hashes stay in the order of the trade key."""
@@ -255,45 +255,45 @@ def _stress_one(ident: list[bytes], pnl: np.ndarray, pip: np.ndarray, lots: np.n
         key &= np.uint64(0xFFFFFFFF)
         return key.view(np.int64)
 
-    def exact(numbers: list[int], orders: np.ndarray, upto: np.ndarray) -> np.ndarray:
-        """P&L after slippage along the paths; places from ``upto`` on go without."""
-        which, place = np.nonzero(np.arange(orders.shape[1]) < upto[:, None])
-        trade, out = orders[which, place], pnl[orders]
-        out[which, place] -= slips.pairs(numbers, which, trade) / 4294967296.0 * max_slippage_pips * pip[trade] * lots[trade]
-        return out
+    def exact(paths: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """P&L after slippage and resets along paths (permutation, trades), behind whose ends nothing changes."""
+        sizes = np.array([len(o) for _, o in paths])
+        which, trade = np.repeat(np.arange(len(paths)), sizes), np.concatenate([o for _, o in paths])
+        place = np.arange(len(trade)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        net, day = np.zeros((len(paths), sizes.max())), np.full((len(paths), sizes.max()), NO_DAY)
+        slip = slips.pairs([p for p, _ in paths], which, trade) / 4294967296.0 * max_slippage_pips * pip[trade] * lots[trade]
+        net[which, place], day[which, place] = pnl[trade] - slip, days[trade]
+        return net, _resets(day)
 
     def settle() -> None:
-        numbers, upto = [p for p, _, _ in between], np.array([n for _, _, n in between])
-        # no point behind the last risky one can break a rule, with slippage there or without
-        orders = np.stack([o for _, o, _ in between])[:, :upto.max()]
-        failed.extend(p for p, hit in zip(numbers, _hits(exact(numbers, orders, upto), _resets(days[orders]), initial_equity, mandate)) if hit)
-        between.clear()
+        between.sort(key=lambda x: len(x[1]))
+        while between:  # paths of about one length, the longest first
+            at = max(0, len(between) - max(1, hashing.BLOCK_ROWS // len(between[-1][1])))
+            failed.extend(p for (p, _), hit in zip(between[at:], _hits(*exact(between[at:]), initial_equity, mandate)) if hit)
+            del between[at:]
 
     for first, heads in places.parts(range(permutations)):
-        orders = sequence(heads)
-        resets, upto = _resets(days[orders]), np.full(len(orders), orders.shape[1])
+        orders, numbers = sequence(heads), np.arange(first, first + len(heads))
+        ends = np.full(len(orders), len(pnl))
         if bounded:
+            resets = _resets(days[orders])
             sure = _hits(pnl[orders], resets, initial_equity, mandate, margin)
-            open_ = np.flatnonzero(~sure)
-            failed.extend(first + int(i) for i in np.flatnonzero(sure))
-            orders, resets = orders[open_], resets[open_]
+            failed.extend(numbers[sure].tolist())
+            orders, resets, numbers = orders[~sure], resets[~sure], numbers[~sure]
             low = worst[orders]
             risky = _hits(low, resets, initial_equity, mandate, -margin)
-            open_, orders = open_[risky], orders[risky]
+            orders, numbers = orders[risky], numbers[risky]
             points = np.logical_or(*_breaches(low[risky], resets[risky], initial_equity, mandate, -margin))
-            upto = points.shape[1] - np.argmax(points[:, ::-1], axis=1)
-        else:
-            open_ = np.arange(len(orders))
-        between.extend((first + int(i), o, int(n)) for i, o, n in zip(open_, orders, upto))
-        if sum(n for _, _, n in between) >= hashing.BLOCK_ROWS:
+            # no point behind the last risky one can break a rule, with slippage there or without
+            ends = len(pnl) - np.argmax(points[:, ::-1], axis=1)
+        between.extend((n, o[:end].copy()) for n, o, end in zip(numbers.tolist(), orders, ends))
+        if sum(len(o) for _, o in between) >= hashing.BLOCK_ROWS:
             settle()
-    if between:
-        settle()
+    settle()
     if not failed:
         return 0, None
     number = min(failed)
-    order = sequence(next(places.parts([number]))[1])
-    daily, dd = _breaches(exact([number], order, np.array([len(pnl)])), _resets(days[order]), initial_equity, mandate)
+    daily, dd = _breaches(*exact([(number, sequence(next(places.parts([number]))[1])[0])]), initial_equity, mandate)
     return len(failed), "MANDATE_DAILY_LOSS_BREACH" if daily[0, int(np.argmax(daily[0] | dd[0]))] else "MANDATE_OVERALL_DD_BREACH"
 
 

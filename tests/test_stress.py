@@ -76,8 +76,9 @@ def test_array_md5_of_pairs():
 
     from candlewick.functions import hashing
 
-    texts, numbers = [b"x" * n for n in range(140)], [0, 7, 10, 99, 100, 12345]
-    for prefix in ("slip", "p" * 47, "p" * 50, "p" * 70):  # the first words of a message, or whole blocks, may be the prefix's alone
+    numbers, mixed, alike = [0, 7, 10, 99, 100, 12345], [b"x" * n for n in range(140)], [b"y" * 45 + b"%04d" % n for n in range(9)]
+    # the first words of a message, or whole blocks, may be the prefix's alone or the same in all texts
+    for prefix, texts in [(p, t) for p in ("slip", "p" * 47, "p" * 50, "p" * 70) for t in (mixed, alike, alike[:1], [b"z"] * 3)]:
         want = [[int(hashlib.md5(f"{prefix}|{n}|".encode() + t).hexdigest()[:8], 16) for t in texts] for n in numbers]
         heads, rng = hashing.UniformHeads(prefix, texts), np.random.default_rng(3)
         assert [[int(h) for h in row] for _, block in heads.parts(numbers) for row in block] == want
